@@ -209,7 +209,7 @@ def train(rows: DataFrame, totals: np.ndarray, *, states: int, rounds: int, cut:
 _SCORES = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()))])
 
 
-def language_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", states: int = 5, classes: int = 1 << 16, rounds: int = 4, cut: int = 256, smoothing: float = 0.5) -> DataFrame:
+def language_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", states: int = 5, classes: int = 1 << 16, rounds: int = 4, cut: int = 256, smoothing: float = 1.0) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     rows = stored(encode_blocks(docs, id_col=id_col, text_col=text_col))
     listed = rows.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("block", "at", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))

@@ -16,8 +16,10 @@ are judged row by row; texts are judged whole, whatever their length.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -150,9 +152,39 @@ def quality_measures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return text_rows(docs, id_col=id_col, text_col=text_col).mapInArrow(by_batch(made, _MEASURES), _MEASURES)
 
 
-def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_repeat: int = 8, max_covered: float = 0.3, max_repeat: int = 200) -> DataFrame:
-    """The measures with base_failed, covered_share and kept."""
-    m = quality_measures(docs, id_col=id_col, text_col=text_col, min_repeat=min_repeat)
+def _judged(m: DataFrame, max_covered: float, max_repeat: int) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") > MAX_REPEAT_SHARE * F.col("n_words"))
     share = F.coalesce(F.try_divide(F.col("covered_words").cast("double"), F.col("n_words")), F.lit(0.0))
     return m.withColumn("base_failed", failed).withColumn("covered_share", share).withColumn("kept", ~failed & (share <= max_covered) & (F.col("longest_repeat") <= max_repeat))
+
+
+def passing(docs: DataFrame, *, text_col: str = "text", min_repeat: int = 8, max_covered: float = 0.3, max_repeat: int = 200) -> DataFrame:
+    """The rows whose text the rules keep, with all their columns; judged in place, without a join."""
+
+    @F.pandas_udf(T.StructType(_MEASURES.fields[1:]))
+    def measured(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for x in texts:
+            parts = [measure(t, min_repeat) for _, t in pieces(x.tolist())]
+            yield pd.DataFrame({c: np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, np.int64) for c in _COLUMNS})
+
+    rows = docs.select(F.struct("*").alias("row"), measured(F.col(text_col).cast("string")).alias("m")).select("row", "m.*")
+    return _judged(rows, max_covered, max_repeat).where("kept").select("row.*")
+
+
+def pieces(texts: list):
+    """A batch's texts in runs of bounded size."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t) if t else 0
+        if size >= 1_000_000:
+            yield size, part
+            part, size = [], 0
+    if part:
+        yield size, part
+
+
+def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_repeat: int = 8, max_covered: float = 0.3, max_repeat: int = 200) -> DataFrame:
+    """The measures with base_failed, covered_share and kept."""
+    m = quality_measures(docs, id_col=id_col, text_col=text_col, min_repeat=min_repeat)
+    return _judged(m, max_covered, max_repeat)
