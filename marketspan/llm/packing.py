@@ -56,7 +56,8 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
     """The boundary records, with ``sequence_tokens`` and ``padded_tokens`` of the piece's sequence."""
     rows = stored(encoded(docs, id_col=id_col, text_col=text_col, tokenizer=tokenizer, end_id=end_id))
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("all"))
-    bases = totals.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("base"))
+    # a written table: its size is known when the join is planned, so the documents aren't moved to meet a few numbers
+    bases = stored(totals.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("base")))
     file = tokenizer_path(tokenizer)
     arrow = to_arrow_schema(_PIECES)
 
