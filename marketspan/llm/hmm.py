@@ -43,7 +43,7 @@ BLOCK_CHARS = 16_000_000
 #: Tokens whose forward and backward values a task holds at a time.
 HELD_TOKENS = 1_000_000
 
-_BLOCK = T.StructType([T.StructField(n, t) for n, t in (("block", T.LongType()), ("doc_ids", T.ArrayType(T.LongType())), ("held_out", T.ArrayType(T.BooleanType())), ("doc_tokens", T.ArrayType(T.LongType())), ("tokens", T.BinaryType()), ("words", T.ArrayType(T.BinaryType())), ("counts", T.ArrayType(T.LongType())))])
+_BLOCK = T.StructType([T.StructField(n, t) for n, t in (("block", T.LongType()), ("doc_ids", T.ArrayType(T.LongType())), ("held_out", T.ArrayType(T.BooleanType())), ("doc_tokens", T.ArrayType(T.LongType())), ("tokens", T.BinaryType()), ("classes", T.BinaryType()), ("words", T.ArrayType(T.BinaryType())), ("counts", T.ArrayType(T.LongType())))])
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -54,8 +54,8 @@ def word_class(word: bytes, classes: int) -> int:
     return xxhash.xxh64_intdigest(word, 7) % classes
 
 
-def encode_blocks(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """Blocks of documents with their own vocabulary and its counts in training texts."""
+def encode_blocks(docs: DataFrame, *, id_col: str, text_col: str, classes: int) -> DataFrame:
+    """Blocks of documents with their own vocabulary, its classes, and its counts in training texts."""
     arrow = to_arrow_schema(_BLOCK)
 
     def run(batches):
@@ -72,7 +72,8 @@ def encode_blocks(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
             sizes = np.array([len(x) + 1 for x in tokens[::2]], np.int64)
             flat = np.concatenate(tokens)
             counts = np.bincount(flat[~np.repeat(held, sizes)], minlength=len(known))
-            row = (block, ids, held, sizes, pack(flat.tobytes()), list(known), counts)
+            of = np.fromiter((word_class(w, classes) for w in known), "<u4", len(known))
+            row = (block, ids, held, sizes, pack(flat.tobytes()), of.tobytes(), list(known), counts)
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, arrow)], schema=arrow)
             block += 1
 
@@ -172,7 +173,7 @@ def train(rows: DataFrame, totals: np.ndarray, *, states: int, rounds: int, cut:
     model = Model.first(totals, states)
     spark, classes = rows.sparkSession, len(totals)
     schema = ", ".join(["class int", *(f"s{k} double" for k in range(states))])
-    trained = rows.select("held_out", "doc_tokens", "tokens", "words")
+    trained = rows.select("held_out", "doc_tokens", "tokens", "classes")
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(model)
 
@@ -180,7 +181,7 @@ def train(rows: DataFrame, totals: np.ndarray, *, states: int, rounds: int, cut:
             emit, move, start = np.zeros((classes, states)), np.zeros((states, states)), np.zeros(states)
             for batch in batches:
                 for row in batch.to_pylist():
-                    of = np.array([word_class(w, classes) for w in row["words"]])
+                    of = np.frombuffer(row["classes"], "<u4")
                     seqs = [x[i : i + cut] for d, h in zip(_documents(row), row["held_out"]) if not h for x in [of[d]] for i in range(0, len(x), cut)]
                     for part in _groups(seqs):
                         sent.value.expected([seqs[k] for k in part], emit, move, start)
@@ -211,7 +212,7 @@ _SCORES = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()
 
 def language_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", states: int = 5, classes: int = 1 << 16, rounds: int = 4, cut: int = 256, smoothing: float = 1.0) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
-    rows = stored(encode_blocks(docs, id_col=id_col, text_col=text_col))
+    rows = stored(encode_blocks(docs, id_col=id_col, text_col=text_col, classes=classes))
     listed = rows.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("block", "at", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     vocabulary = stored(listed.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")))
 
@@ -235,10 +236,10 @@ def language_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                c = np.zeros(len(row["words"]))
+                of = np.frombuffer(row["classes"], "<u4")
+                c = np.zeros(len(of))
                 if row["at"]:
                     c[row["at"]] = row["c"]
-                of = np.array([word_class(w, classes) for w in row["words"]])
                 base = np.log10((c + 0.5) / (n_all + 0.5 * (v_all + 1)))
                 inside = np.log10((c + 0.5) / (totals[of] + 0.5 * (distinct[of] + 1)))
                 seqs = _documents(row)
@@ -249,5 +250,5 @@ def language_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 made = (row["doc_ids"], row["held_out"], row["doc_tokens"], [int((c[s] > 0).sum()) for s in seqs], [math.fsum(base[s]) for s in seqs], score)
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(made, arrow)], schema=arrow)
 
-    scored = rows.join(counted, "block", "left").select("doc_ids", "held_out", "doc_tokens", "tokens", "words", "at", "c").mapInArrow(run, _SCORES)
+    scored = rows.join(counted, "block", "left").select("doc_ids", "held_out", "doc_tokens", "tokens", "classes", "at", "c").mapInArrow(run, _SCORES)
     return scored.withColumn("train_tokens", F.lit(n_all).cast("long"))
