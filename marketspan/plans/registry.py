@@ -2,5 +2,115 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import web
+from ..functions.dates import date_spine
+from ..operators import advertising as ads
+from ..operators import commerce, rules, storefront
+from ..operators.joins import asof_join, without_revoked
+from ..sources import canonical as c
+from .oracle import ORACLE_SQL as ORACLE_SQL
+
+
+def costed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asof_join(c.period_lines(spark, sf_dir), c.costs(spark, sf_dir), on=["product_id"], at="demand_at", begins="effective_from", ends="effective_until", take=["unit_cost"])
+
+
+def economics(s, d):
+    return commerce.product_economics(costed_lines(s, d))
+
+
+def metrics(s, d):
+    return commerce.product_metrics(economics(s, d))
+
+
+def collections(s, d):
+    p = c.table(s, d, "part")
+    members = p.select(F.col("p_partkey").alias("product_id"), F.explode(F.array("p_brand", "p_type")).alias("collection_id"))
+    periods = s.createDataFrame([("CURRENT",), ("COMPARISON",)], "period string")
+    return commerce.collection_performance(c.period_lines(s, d), members, periods, members.select("collection_id").distinct())
+
+
+def classes(s, d):
+    return ads.classify_mappings(c.mappings(s, d), c.table(s, d, "supplier").where("s_suppkey % 5 = 0").select(F.col("s_suppkey").alias("ad_id")))
+
+
+def sessions(s, d):
+    return storefront.materialize_sessions(storefront.sessions_by_gap(c.events(s, d), 720))
+
+
+def touch(s, d):
+    t = storefront.touches(storefront.sessions_by_gap(c.events(s, d), 720), ["source"])
+    return t.select("session_id", "visitor_id", F.col("event_at").alias("touched_at"), "ordinal", "source")
+
+
+def attribution(s, d):
+    bought = c.events(s, d).where("event_name = 'CHECKOUT_COMPLETED'").select(F.col("event_id").alias("purchase_id"), "visitor_id", F.col("event_at").alias("purchased_at"))
+    return storefront.attribution(bought, touch(s, d))
+
+
+def last_clicks(s, d):
+    e = c.events(s, d)
+    bought = e.where("event_name = 'CHECKOUT_COMPLETED'").select(F.col("event_id").alias("order_id"), "visitor_id", F.col("event_at").alias("ordered_at"))
+    clicks = e.where("event_name = 'ADD_TO_CART'").select("visitor_id", F.col("event_id").alias("click_id"), F.col("event_at").alias("clicked_at"))
+    return storefront.last_click(bought, clicks, 7)
+
+
+def consented(s, d):
+    e = c.events(s, d).withColumn("visitor_key", F.concat(F.lit("v"), F.col("visitor_id")))
+    gone = e.where("event_id % 50 = 0").select(F.col("visitor_key").alias("scope_key"), F.col("event_at").alias("revoked_before"))
+    return without_revoked(e, gone, scopes=["visitor_key"], at="event_at").groupBy("event_name").agg(F.count("*").alias("events"))
+
+
+def campaign_rules(s, d):
+    both = ads.metric_sums(c.ad_daily(s, d), ["period", "campaign_id"]).groupBy(F.col("campaign_id").alias("entity_id"))
+    pick = lambda m, p: F.max(F.when(F.col("period") == p, F.col(m)))
+    names = ["impressions", "spend", "roas", "cpa", "frequency", "ctr"]
+    e = both.agg(*[pick(m, "CURRENT").alias(m) for m in names], *[pick(m, "COMPARISON").alias(f"{m}0") for m in names])
+    return rules.apply_rules({"campaign": e, "creative": e, "adset": e, "ad": e})
+
+
+def landing_pages(s, d):
+    url = F.col("url")
+    return c.table(s, d, "pages").groupBy(web.landing_page(url).alias("landing_page"), web.host(url).alias("host"), F.coalesce(web.query_value(url, "utm_source"), F.lit("none")).alias("utm_source")).agg(F.count("*").alias("pages"))
+
+
+def stock_history(s, d):
+    li = c.table(s, d, "lineitem").where("l_partkey % 10 = 0")  # the items of one warehouse
+    snaps = li.groupBy(F.col("l_partkey").alias("item_id"), F.lit(1).alias("location_id"), F.col("l_shipdate").alias("observed_at")).agg(F.max(F.col("l_quantity").cast("long")).alias("available"))
+    return commerce.inventory_history(snaps, date_spine(s, ("1997-01-01", "1997-02-01")))
+
+
+QUERIES = {
+    "O-60_order_aggregates": lambda s, d: commerce.order_aggregates(c.period_orders(s, d)),
+    "O-61_product_economics": economics,
+    "O-62_order_kpis": lambda s, d: commerce.order_kpis(commerce.order_aggregates(c.period_orders(s, d))),
+    "O-63_product_metrics": metrics,
+    "O-64_total_product_metrics": lambda s, d: commerce.total_product_metrics(metrics(s, d)).select("period", "order_count", "net_units", F.round("net_revenue", 2).alias("net_revenue"), F.round("cogs", 2).alias("cogs"), F.round("cost_coverage", 6).alias("cost_coverage")),
+    "O-65_variant_depletion": lambda s, d: commerce.variant_depletion(c.period_lines(s, d)),
+    "O-70_advertising_overview": lambda s, d: ads.overview(c.ad_daily(s, d)),
+    "O-71_campaign_metrics": lambda s, d: ads.metric_sums(c.ad_daily(s, d), ["period", "campaign_id", "currency"]),
+    "O-76_raw_refund_evidence": lambda s, d: commerce.raw_refund_evidence(c.period_lines(s, d)),
+    "O-78_commerce_health": lambda s, d: commerce.commerce_health(c.period_orders(s, d)),
+    "O-82_mapping_classes": classes,
+    "O-83_mapping_accounting": lambda s, d: ads.mapping_accounting(c.ad_daily(s, d), classes(s, d)),
+    "O-85_unified_accounts": lambda s, d: ads.unified_accounts(c.ad_daily(s, d)),
+    "O-88_monitor_summary": lambda s, d: ads.monitor_summary(c.ad_daily(s, d)),
+    "O-89_collection_performance": collections,
+    "O-92_daily_sales": lambda s, d: commerce.daily_sales(c.period_lines(s, d)),
+    "O-94_inventory_history": stock_history,
+    "O-100_daily_series": lambda s, d: ads.daily_series(c.ad_daily(s, d), date_spine(s, c.CURRENT)),
+    "O-109_leaderboard": lambda s, d: commerce.leaderboard(metrics(s, d).where("period = 'CURRENT'"), 25).select("rank", "product_id", "net_revenue", "net_units", "orders"),
+    "O-111_spend_shares": lambda s, d: ads.spend_shares(c.ad_daily(s, d), "campaign_id"),
+    "O-118_sessions": sessions,
+    "O-120_behavior_daily": lambda s, d: storefront.largest_drop(storefront.behavior_daily(sessions(s, d))),
+    "O-121_attribution": attribution,
+    "O-124_source_paths": lambda s, d: storefront.source_paths(touch(s, d)).groupBy("path", "path_key").agg(F.count("*").alias("sessions")),
+    "O-45_last_clicks": last_clicks,
+    "O-50_consented_events": consented,
+    "O-147_landing_pages": landing_pages,
+    "R-01_campaign_rules": campaign_rules,
+    "W-09_product_ads": lambda s, d: ads.product_ads(metrics(s, d), c.ad_daily(s, d), classes(s, d)),
+}
