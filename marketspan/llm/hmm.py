@@ -201,7 +201,8 @@ def train(rows: DataFrame, totals: np.ndarray, *, states: int, rounds: int, cut:
             else:
                 start = x
         # a class seen rarely, or never, is shared out as the states are
-        emit += smoothing * emit.sum(0) / emit.sum()
+        share = emit.sum(0) + 1e-9
+        emit += smoothing * share / share.sum()
         model = Model((start + 0.5) / (start + 0.5).sum(), (move + 0.5) / (move + 0.5).sum(1, keepdims=True), emit / emit.sum(0))
         sent.unpersist()
     return model
