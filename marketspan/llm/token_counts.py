@@ -33,7 +33,8 @@ _PRE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
 _UNITS = regex.compile(_PRE + r"|\s+(?:(?<= )(?:\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+))?")
 #: The vocabulary's one special string, which the library takes for one token inside texts.
 SPECIAL = "<|endoftext|>"
-CACHE_UNITS = 600_000
+#: What a worker remembers: units, and the tables of beginnings of so many bytes.
+CACHE_UNITS, CACHE_HEADS, HEAD_BYTES = 1_000_000, 200_000, 6
 _WORKER: dict = {}
 
 
@@ -52,6 +53,7 @@ class PrefixCounter:
         self.follows: dict[tuple[bytes, bytes], bool] = {}
         self.last: dict[bytes, tuple[bytes, int]] = {}
         self.units: dict[str, bytes] = {}
+        self.heads: dict[bytes, tuple[list[bytes], list[int]]] = {}
 
     def merged(self, raw: bytes) -> list[bytes]:
         parts = [raw[i : i + 1] for i in range(len(raw))]
@@ -79,13 +81,22 @@ class PrefixCounter:
     def prefixes(self, raw: bytes) -> list[int]:
         """Token counts of raw[:1], raw[:2], ...: the table of last tokens grows by one prefix at a time."""
         last, counts = [b""], [0]
-        for end in range(1, len(raw) + 1):
+        if len(raw) > HEAD_BYTES:  # words with the same beginning share its table
+            head = raw[:HEAD_BYTES]
+            if head not in self.heads:
+                self.prefixes(head)
+            last, counts = (x[:] for x in self.heads[head])
+        for end in range(len(counts), len(raw) + 1):
             for begin in range(max(0, end - self.longest), end):
                 token = raw[begin:end]
                 if token in self.vocabulary and (not begin or self.may_follow(last[begin], token)):
                     last.append(token)
                     counts.append(counts[begin] + 1)
                     break
+        if len(raw) == HEAD_BYTES:
+            if len(self.heads) >= CACHE_HEADS:
+                self.heads.clear()
+            self.heads[raw] = last[:], counts[:]
         return counts[1:]
 
     def pre_token(self, text: str) -> list[int]:
@@ -135,7 +146,11 @@ class PrefixCounter:
 
     def _plain(self, text: str) -> np.ndarray:
         try:
-            steps = np.frombuffer(b"".join([self.unit(u) for u in _UNITS.findall(text)]), np.int8)
+            units = _UNITS.findall(text)
+            try:
+                steps = np.frombuffer(b"".join(map(self.units.__getitem__, units)), np.int8)
+            except KeyError:
+                steps = np.frombuffer(b"".join([self.unit(u) for u in units]), np.int8)
         except OverflowError:
             return self._by_library(text)
         if _UNUSUAL.search(text) and int(steps.sum(dtype=np.int64)) != self._count(text):
