@@ -227,8 +227,9 @@ def links(fps: DataFrame, distance: int, groups: list[list[int]], thresholds: li
         when probe then transform(sequence(0L, ni - 1L), i -> 1L + ni * ni + i * np + block)
         when np > 0 then concat(transform(sequence(0L, ni - 1L), j -> 1L + least(block, j) * ni + greatest(block, j)), transform(sequence(0L, np - 1L), p -> 1L + ni * ni + block * np + p))
         else transform(sequence(0L, ni - 1L), j -> 1L + least(block, j) * ni + greatest(block, j)) end""")
+    # sorted, so that a forest doesn't depend on the order in which rows arrive
     met = dealt.select("k", "key", F.explode(at).alias("at"), "probe", F.struct("fp", "check", "node").alias("x")).groupBy("k", "key", "at")
-    met = met.agg(F.collect_list(F.when(~F.col("probe"), F.col("x"))).alias("i"), F.collect_list(F.when(F.col("probe"), F.col("x"))).alias("p"))
+    met = met.agg(F.array_sort(F.collect_list(F.when(~F.col("probe"), F.col("x")))).alias("i"), F.array_sort(F.collect_list(F.when(F.col("probe"), F.col("x")))).alias("p"))
     met = met.where((F.size("i") > 1) | (F.size("i") > 0) & (F.size("p") > 0)).select(F.size("i").alias("n"), F.concat("i", "p").alias("x"))
     most = distance if check_distance is None else check_distance
 
