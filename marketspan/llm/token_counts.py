@@ -46,53 +46,68 @@ class PrefixCounter:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         read = lambda s: bytes(bytes_of[c] for c in s)
-        self.vocabulary = {read(t) for t in model["vocab"] if all(c in bytes_of for c in t)}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.rank = {(read(a), read(b)): k for k, (a, b) in enumerate(pairs)}
-        self.longest = max(map(len, self.vocabulary))
-        self.follows: dict[tuple[bytes, bytes], bool] = {}
-        self.last: dict[bytes, tuple[bytes, int]] = {}
+        #: Tokens by their bytes, numbered in the order in which merging makes them; 0 to 255 are single bytes.
+        self.number = {bytes([b]): b for b in range(256)}
+        self.merge: dict[tuple[int, int], int] = {}
+        self.halves: list[tuple[int, int]] = [(b, b) for b in range(256)]
+        for a, b in pairs:
+            a, b = read(a), read(b)
+            made = self.number.setdefault(a + b, len(self.halves))
+            self.merge[self.number[a], self.number[b]] = made
+            self.halves.append((self.number[a], self.number[b]))
+        self.longest = max(map(len, self.number))
+        self.follows: dict[tuple[int, int], bool] = {}
         self.units: dict[str, bytes] = {}
-        self.heads: dict[bytes, tuple[list[bytes], list[int]]] = {}
+        self.heads: dict[bytes, tuple[list[int], list[int]]] = {}
 
-    def merged(self, raw: bytes) -> list[bytes]:
-        parts = [raw[i : i + 1] for i in range(len(raw))]
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.rank.get((parts[i], parts[i + 1]), 1 << 60))
-            if (parts[best], parts[best + 1]) not in self.rank:
+    def may_follow(self, before: int, token: int) -> bool:
+        """Whether two tokens stay apart when their bytes are merged side by side.
+
+        Undoes the merges of both tokens, the latest first, and looks at the two
+        pieces that touch the border at each time: a merge of these that came before
+        either became part of a larger piece would have crossed the border.  Of
+        equal merges the left one comes first.
+        """
+        if (known := self.follows.get((before, token))) is not None:
+            return known
+        left, right = before, token
+        left_until = right_until = len(self.halves)
+        apart = True
+        while True:
+            crossing = self.merge.get((left, right))
+            if crossing is not None and crossing < left_until and crossing <= right_until:
+                apart = False
                 break
-            pair = (parts[best], parts[best + 1])
-            i, out = 0, []
-            while i < len(parts):
-                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == pair:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return parts
-
-    def may_follow(self, before: bytes, token: bytes) -> bool:
-        if (known := self.follows.get((before, token))) is None:
-            known = self.follows[before, token] = self.merged(before + token) == [before, token]
-        return known
+            if left < 256 and right < 256:
+                break
+            if left > right:
+                left_until, left = left, self.halves[left][1]
+            else:
+                right_until, right = right, self.halves[right][0]
+        self.follows[before, token] = apart
+        return apart
 
     def prefixes(self, raw: bytes) -> list[int]:
         """Token counts of raw[:1], raw[:2], ...: the table of last tokens grows by one prefix at a time."""
-        last, counts = [b""], [0]
+        last, counts = [-1], [0]
         if len(raw) > HEAD_BYTES:  # words with the same beginning share its table
             head = raw[:HEAD_BYTES]
             if head not in self.heads:
                 self.prefixes(head)
             last, counts = (x[:] for x in self.heads[head])
+        number, follows = self.number.get, self.follows.get
         for end in range(len(counts), len(raw) + 1):
             for begin in range(max(0, end - self.longest), end):
-                token = raw[begin:end]
-                if token in self.vocabulary and (not begin or self.may_follow(last[begin], token)):
-                    last.append(token)
-                    counts.append(counts[begin] + 1)
-                    break
+                if (token := number(raw[begin:end])) is None:
+                    continue
+                if begin:
+                    known = follows((last[begin], token))
+                    if not (self.may_follow(last[begin], token) if known is None else known):
+                        continue
+                last.append(token)
+                counts.append(counts[begin] + 1)
+                break
         if len(raw) == HEAD_BYTES:
             if len(self.heads) >= CACHE_HEADS:
                 self.heads.clear()
@@ -105,8 +120,8 @@ class PrefixCounter:
         counts = self.prefixes(raw)
         if len(raw) == len(text):
             return counts
-        ends = np.cumsum([len(c.encode()) for c in text])
-        return [counts[e - 1] for e in ends.tolist()]
+        # a character ends where no continuation byte follows
+        return [c for c, after in zip(counts, raw[1:] + b" ") if after & 0xC0 != 0x80]
 
     def unit(self, text: str) -> bytes:
         """Differences of the counts at each character prefix of a unit."""
@@ -123,12 +138,12 @@ class PrefixCounter:
             counts = self.pre_token(text)
             if text in ("'re", "'ve", "'ll"):  # cut after two characters it is a quote and a letter
                 counts[1] = 2
-        out = np.diff(counts, prepend=0)
+        steps = [b - a for a, b in zip([0, *counts], counts)]
         if len(self.units) >= CACHE_UNITS:
             self.units.clear()
-        known = self.units[text] = out.astype(np.int8).tobytes() if abs(out).max(initial=0) < 128 else b""
-        if not known:
+        if max(steps) > 127 or min(steps) < -127:
             raise OverflowError("a step of more than 127 tokens")
+        known = self.units[text] = bytes([x & 255 for x in steps])
         return known
 
     def differences(self, text: str) -> np.ndarray:
