@@ -112,7 +112,9 @@ def write_token_files(docs: DataFrame, path: str, *, id_col: str = "doc_id", tex
             yield row()
 
     rows = text_rows(docs, id_col=id_col, text_col=text_col)
-    rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text").mapInArrow(run, _SHARD).write.parquet(path)
+    # rows of one doc_id are split by their texts' hashes: the sample from which ranges are made holds numbers, not texts
+    digest = F.xxhash64("text")
+    rows.repartitionByRange("doc_id", digest).sortWithinPartitions("doc_id", digest, "text").mapInArrow(run, _SHARD).write.parquet(path)
 
 
 def shards(spark: SparkSession, path: str) -> DataFrame:
