@@ -122,10 +122,10 @@ class Model:
     def expected(self, seqs: list[np.ndarray], emit: np.ndarray, move: np.ndarray, start: np.ndarray) -> float:
         """Adds the expected counts of the sequences, by forward and backward recursion; gives their log10 probability."""
         order, flat, begin, running = self.steps(seqs)
-        alphas, scales, total = [], [], 0.0
+        ats, alphas, scales, total = [], [], [], 0.0
         for t, n in enumerate(running):
-            e = self.emit[flat[begin[:n] + t]]
-            alpha = (self.start if t == 0 else alphas[-1][:n] @ self.move) * e
+            ats.append(flat[begin[:n] + t])
+            alpha = (self.start if t == 0 else alphas[-1][:n] @ self.move) * self.emit[ats[t]]
             scale = alpha.sum(1)
             total += float(np.log10(scale).sum())
             alphas.append(alpha / scale[:, None])
@@ -136,17 +136,18 @@ class Model:
             beta = np.concatenate((beta, np.ones((n - len(beta), len(self.start)))))
             gamma = alphas[t] * beta
             gamma /= gamma.sum(1, keepdims=True)
-            at = flat[begin[:n] + t]
-            for k in range(emit.shape[1]):
-                emit[:, k] += np.bincount(at, gamma[:, k], len(emit))[: len(emit)] if n > 2000 else 0
-            if n <= 2000:
-                np.add.at(emit, at, gamma)
+            at = ats[t]
             if t == 0:
                 start += gamma.sum(0)
             else:
                 back = self.emit[at] * beta / scales[t][:, None]
                 move += self.move * (alphas[t - 1][:n].T @ back)
                 beta = back @ self.move.T
+            alphas[t] = gamma
+        if ats:
+            at, gamma = np.concatenate(ats), np.concatenate(alphas)
+            for k in range(emit.shape[1]):
+                emit[:, k] += np.bincount(at, gamma[:, k], len(emit))
         return total
 
 
@@ -247,8 +248,8 @@ def language_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 score = np.zeros(len(seqs))
                 for part in _groups(seqs):
                     score[part] = model.log10_probabilities([of[seqs[k]] for k in part])
-                score += [math.fsum(inside[s]) for s in seqs]
-                made = (row["doc_ids"], row["held_out"], row["doc_tokens"], [int((c[s] > 0).sum()) for s in seqs], [math.fsum(base[s]) for s in seqs], score)
+                score += [math.fsum(inside[s].tolist()) for s in seqs]
+                made = (row["doc_ids"], row["held_out"], row["doc_tokens"], [int((c[s] > 0).sum()) for s in seqs], [math.fsum(base[s].tolist()) for s in seqs], score)
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(made, arrow)], schema=arrow)
 
     scored = rows.join(counted, "block", "left").select("doc_ids", "held_out", "doc_tokens", "tokens", "classes", "at", "c").mapInArrow(run, _SCORES)
