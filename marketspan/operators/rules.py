@@ -27,6 +27,7 @@ def _efficiency(t: float) -> str:
 RULES: dict[str, tuple[str, str, str]] = {
     "campaign_efficiency_deterioration": ("campaign", _efficiency(0.2), f"coalesce(abs({_rel('roas')}) >= 0.35, false) or coalesce({_rel('cpa')} >= 0.35, false)"),
     "creative_fatigue_symptoms": ("creative", f"impressions >= 1000 and impressions0 >= 1000 and {_rel('frequency')} >= 0.2 and {_rel('ctr')} <= -0.2 and (coalesce({_rel('cpa')} >= 0.15, false) or coalesce({_rel('roas')} <= -0.2, false))", "false"),
+    "video_retention_deterioration": ("creative_video", "status = 'READY' and evidence_quality <> 'LOW' and comparison_valid and plays0 >= minimum_plays and (coalesce(hook - hook0 <= -0.1, false) or coalesce(completion - completion0 <= -0.1, false))", "greatest(abs(hook - hook0), abs(completion - completion0)) >= 0.2"),
     "underexposed_commerce_winner": ("product", "units >= 5 and mapping_confidence >= 0.7 and revenue_share >= 0.08 and spend_share < 0.6 * revenue_share", "false"),
     "paid_commerce_exposure_mismatch": ("product", "(units >= 2 or impressions >= 1000) and mapping_confidence >= 0.7 and spend_share >= 0.08 and revenue_share <= 0.55 * spend_share", "false"),
     "provider_roas_margin_trap": ("product", "cost_coverage >= 0.8 and roas >= 1.5 and contribution_after_ads <= 0", "false"),
@@ -48,6 +49,55 @@ RULES: dict[str, tuple[str, str, str]] = {
     "landing_page_quality_deterioration": ("landing_page", f"sessions >= 75 and sessions0 >= 75 and conversion_rate - conversion_rate0 <= -0.015 and {_rel('conversion_rate')} <= -0.30", "false"),
 }
 
+#: Rule -> action; all others are to be investigated.  Fixed values.
+ACTIONS = {
+    "creative_fatigue_symptoms": "TEST",
+    "video_retention_deterioration": "TEST",
+    "underexposed_commerce_winner": "TEST",
+    "provider_roas_margin_trap": "REDUCE",
+    "inventory_spend_conflict": "HOLD",
+    "shared_exposure_inventory_conflict": "HOLD",
+    "inventory_runway_risk": "HOLD",
+}
+#: Rules whose action is to reduce spend at HIGH severity and to hold it otherwise.
+BY_SEVERITY = ("campaign_efficiency_deterioration", "adset_efficiency_deterioration", "ad_efficiency_deterioration")
+
+#: Impressions from which an entity's delivery says anything, and from which it says so with confidence.
+SIGNAL_IMPRESSIONS, CONFIDENT_IMPRESSIONS = 100, 1000
+_COMPARED = f"impressions >= {SIGNAL_IMPRESSIONS} and source_rows0 > 0 and impressions0 >= {SIGNAL_IMPRESSIONS} and "
+
+#: Signal -> (condition, severity as an expression).  Thresholds are fixed values.
+SIGNALS: dict[str, tuple[str, str]] = {
+    "INSUFFICIENT_CURRENT_EVIDENCE": ("coalesce(source_rows, 0) = 0", "'WARNING'"),
+    "LOW_DELIVERY_INSUFFICIENT_EVIDENCE": (f"source_rows > 0 and coalesce(impressions, 0) < {SIGNAL_IMPRESSIONS}", "'INFO'"),
+    "NO_CONVERSION_SPEND": (f"impressions >= {SIGNAL_IMPRESSIONS} and spend > 0 and conversions = 0", "'WARNING'"),
+    "SPEND_UP_EFFICIENCY_DOWN": (f"{_COMPARED} {_rel('spend')} >= 0.15 and {_rel('roas')} <= -0.15", f"if({_rel('roas')} <= -0.3, 'HIGH', 'WARNING')"),
+    "CPC_DETERIORATION": (f"{_COMPARED} {_rel('cpc')} >= 0.2", f"if({_rel('cpc')} >= 0.4, 'HIGH', 'WARNING')"),
+    "CTR_DETERIORATION": (f"{_COMPARED} {_rel('ctr')} <= -0.2", f"if({_rel('ctr')} <= -0.4, 'HIGH', 'WARNING')"),
+    "CONVERSIONS_DOWN_SPEND_UP": (f"{_COMPARED} {_rel('spend')} > 0.1 and {_rel('conversions')} < -0.1", "'HIGH'"),
+    "STRONG_PROVIDER_EFFICIENCY": (f"{_COMPARED} least(impressions, impressions0) >= {CONFIDENT_IMPRESSIONS} and conversions >= 5 and roas >= roas0 * 1.15", "'INFO'"),
+    "SUDDEN_DELIVERY_CHANGE": (f"{_COMPARED} abs({_rel('spend')}) >= 0.5", "'WARNING'"),
+}
+
+
+def entity_signals(entities: DataFrame) -> DataFrame:
+    """(entity_id, code, severity) of every signal that holds, in one pass over the entities.
+
+    Entities have source_rows, impressions, spend, conversions, roas, cpc and ctr,
+    and the comparison's under the same name with a 0.  No current facts, or few
+    impressions, leave no other signal; a thin comparison leaves none that compares.
+    """
+    found = [F.when(F.expr(f"coalesce({when}, false)"), F.struct(F.lit(code).alias("code"), F.expr(severity).alias("severity"))) for code, (when, severity) in SIGNALS.items()]
+    listed = entities.select("entity_id", F.explode(F.array_compact(F.array(*found))).alias("_s"))
+    return listed.select("entity_id", "_s.code", "_s.severity")
+
+
+def with_actions(drafts: DataFrame) -> DataFrame:
+    """Drafts with what to do about them: REDUCE, HOLD, TEST or INVESTIGATE."""
+    fixed = F.create_map(*[F.lit(x) for pair in ACTIONS.items() for x in pair])
+    held = F.when(F.col("severity") == "HIGH", "REDUCE").otherwise("HOLD")
+    return drafts.withColumn("action", F.when(F.col("rule_id").isin(*BY_SEVERITY), held).otherwise(F.coalesce(F.try_element_at(fixed, F.col("rule_id")), F.lit("INVESTIGATE"))))
+
 
 def apply_rules(evidence: dict[str, DataFrame]) -> DataFrame:
     """(rule_id, entity_id, severity) of all rules whose family of evidence is given; families need an entity_id."""

@@ -82,3 +82,10 @@ def last_click(orders: DataFrame, clicks: DataFrame, days: int = 30) -> DataFram
     near = (F.col("clicked_at") <= F.col("ordered_at")) & (F.col("clicked_at") >= F.col("ordered_at") - F.expr(f"interval {days} days"))
     best = orders.join(clicks, "visitor_id").where(near).groupBy("order_id").agg(F.max_by("click_id", F.struct("clicked_at", "click_id")).alias("click_id"))
     return orders.join(best, "order_id", "left")
+
+
+def visitor_journeys(sessions: DataFrame) -> DataFrame:
+    """Each visitor's sessions in order, with the pause before each and the purchases up to it."""
+    w = Window.partitionBy("visitor_id").orderBy("started_at", "session_id")
+    pause = F.unix_seconds(F.col("started_at").cast("timestamp")) - F.unix_seconds(F.lag("ended_at").over(w).cast("timestamp"))
+    return sessions.select("visitor_id", "session_id", F.row_number().over(w).alias("ordinal"), "started_at", "ended_at", "purchases", pause.alias("seconds_since_previous"), F.sum("purchases").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("purchases_so_far"))

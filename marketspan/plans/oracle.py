@@ -51,8 +51,43 @@ ses as (select session_id, min(visitor_id) visitor_id, count(distinct visitor_id
  count(case when event_name = 'CHECKOUT_COMPLETED' then 1 end) purchases from es group by 1),
 tm as (select *, lag(source) over (partition by session_id order by event_at, event_id) p from es),
 tc as (select session_id, visitor_id, event_at touched_at, source, row_number() over (partition by session_id order by event_at, event_id) ordinal from tm where p is null or p <> source)"""
+_B = f"""{_C}, {_A}, per as (select unnest(['CURRENT', 'COMPARISON']) period), acc as (select distinct account_id from ad where currency = 'EUR'),
+sp as (select period, count(*) - count(s) missing_accounts, case when count(s) = count(*) then cast(sum(s) as double) end spend from per cross join acc
+ left join (select period, account_id, sum(spend) s from ad where currency = 'EUR' group by 1, 2) using (period, account_id) group by 1),
+bl as (select k.*, cb contribution_before_ads, missing_accounts, spend, case when spend > 0 then order_value / spend end mer, case when order_value > 0 then spend / order_value end ad_spend_ratio, cb - spend contribution_after_ads
+ from (select period, count(*) orders, cast(sum(value) as double) order_value from po group by 1) k left join (select period, case when count(cogs) = count(*) then sum(net_revenue) - sum(cogs) end cb from mets group by 1) using (period) left join sp using (period))"""
+
+
+def _change(x: str) -> str:
+    return f"case when {x} = 0 and {x}0 = 0 then 0.0 when {x}0 <> 0 then cast({x} - {x}0 as double) / abs(cast({x}0 as double)) end"
+
+
+def _rel(x: str) -> str:
+    return f"(cast({x} - {x}0 as double) / nullif(abs(cast({x}0 as double)), 0))"
+
+
+_K = "impressions >= 100 and n0 > 0 and impressions0 >= 100"
+_SIGNALS = [
+    ("INSUFFICIENT_CURRENT_EVIDENCE", "coalesce(n, 0) = 0", "'WARNING'"),
+    ("LOW_DELIVERY_INSUFFICIENT_EVIDENCE", "n > 0 and impressions < 100", "'INFO'"),
+    ("NO_CONVERSION_SPEND", "impressions >= 100 and spend > 0 and conversions = 0", "'WARNING'"),
+    ("SPEND_UP_EFFICIENCY_DOWN", f"{_K} and {_rel('spend')} >= 0.15 and {_rel('roas')} <= -0.15", f"case when {_rel('roas')} <= -0.3 then 'HIGH' else 'WARNING' end"),
+    ("CPC_DETERIORATION", f"{_K} and {_rel('cpc')} >= 0.2", f"case when {_rel('cpc')} >= 0.4 then 'HIGH' else 'WARNING' end"),
+    ("CTR_DETERIORATION", f"{_K} and {_rel('ctr')} <= -0.2", f"case when {_rel('ctr')} <= -0.4 then 'HIGH' else 'WARNING' end"),
+    ("CONVERSIONS_DOWN_SPEND_UP", f"{_K} and {_rel('spend')} > 0.1 and {_rel('conversions')} < -0.1", "'HIGH'"),
+    ("STRONG_PROVIDER_EFFICIENCY", f"{_K} and impressions >= 1000 and impressions0 >= 1000 and conversions >= 5 and roas >= roas0 * 1.15", "'INFO'"),
+    ("SUDDEN_DELIVERY_CHANGE", f"{_K} and abs({_rel('spend')}) >= 0.5", "'WARNING'"),
+]
+_PAIR = ", ".join(f"max(case when period = '{p}' then {m} end) {m}{z}" for m in "n impressions spend conversions roas cpc ctr".split() for p, z in (("CURRENT", ""), ("COMPARISON", "0")))
+_SEG = ", ".join(f"{f}{z}" for f, z in [(f"coalesce(sum(case when period = '{p}' then {e} end), 0) {n}", z) for p, z in (("CURRENT", ""), ("COMPARISON", "0")) for e, n in (("1", "orders"), ("units", "units"), ("value", "v"))])
 
 ORACLE_SQL = {
+    "R-24_ad_signals": f"with {_A}, x as (select period, ad_id, count(*) n, {_SUMS} from ad group by 1, 2), y as (select *, {_RATIOS} from x), z as (select ad_id entity_id, {_PAIR} from y group by 1) " + " union all ".join(f"select entity_id, '{code}' code, {severity} severity from z where {when}" for code, when, severity in _SIGNALS),
+    "W-01_overview_changes": f"with {_B}, w as (select " + ", ".join(f"max(case when period = '{p}' then {m} end) {m}{z}" for m in ("orders", "order_value", "spend", "mer") for p, z in (("CURRENT", ""), ("COMPARISON", "0"))) + f" from bl) select orders, orders0, round(order_value, 2) order_value, round(order_value0, 2) order_value0, spend, spend0, round(mer, 6) mer, round(mer0, 6) mer0, {_change('orders')} orders_change, round({_change('order_value')}, 6) order_value_change, round({_change('spend')}, 6) spend_change, round({_change('mer')}, 6) mer_change from w",
+    "W-04_customers": f"with {_O}, x as (select s.segment, {_SEG} from (select unnest(['TOTAL', 'NEW', 'RETURNING', 'UNKNOWN']) segment) s left join po on s.segment in ('TOTAL', po.segment) group by 1), y as (select segment, orders, orders0, units, units0, cast(v as double) order_value, cast(v0 as double) order_value0, coalesce(cast((select sum(orders) from x where segment in ('NEW', 'RETURNING')) as double) / nullif((select orders from x where segment = 'TOTAL'), 0), 0.0) coverage, coalesce(cast((select sum(orders0) from x where segment in ('NEW', 'RETURNING')) as double) / nullif((select orders0 from x where segment = 'TOTAL'), 0), 0.0) coverage0 from x) select segment, orders, orders0, units, units0, round(order_value, 2) order_value, round(order_value0, 2) order_value0, coverage, coverage0, round(order_value / nullif(orders, 0), 4) average_order_value, round(order_value0 / nullif(orders0, 0), 4) average_order_value0, {_change('orders')} orders_change, {_change('units')} units_change, round({_change('order_value')}, 6) order_value_change from y",
+    "W-05_inventory_cover": f"with {_O}, x as (select p_partkey product_id, p_partkey % 4 <> 0 tracked, cast(p_size - 7 as bigint) available, cast(p_size % 7 as bigint) incoming, coalesce((select sum(greatest(quantity - restocked_units, 0)) from pl where pl.product_id = p_partkey and period = 'CURRENT'), 0) units_sold from part) select *, units_sold / 365.0::double units_per_day, case when tracked and units_sold > 0 then greatest(available, 0) / (units_sold / 365.0::double) end days_cover from x",
+    "W-13_blended_economics": f"with {_B} select period, orders, round(order_value, 2) order_value, round(contribution_before_ads, 2) contribution_before_ads, missing_accounts, spend, round(mer, 6) mer, round(ad_spend_ratio, 6) ad_spend_ratio, round(contribution_after_ads, 2) contribution_after_ads from bl",
+    "W-19_visitor_journeys": f"with {_E} select visitor_id, session_id, row_number() over w ordinal, started_at, ended_at, purchases, cast(floor(epoch(started_at)) - floor(epoch(lag(ended_at) over w)) as bigint) seconds_since_previous, sum(purchases) over (partition by visitor_id order by started_at, session_id rows unbounded preceding) purchases_so_far from ses window w as (partition by visitor_id order by started_at, session_id)",
     "O-60_order_aggregates": f"with {_O} select period, segment, count(*) orders, sum(units) units, cast(sum(value) as double) order_value, cast(sum(refunds) as double) refunds from po group by 1, 2",
     "O-61_product_economics": f"with {_C} select period, product_id, orders, sold_units, refunded_units, revenue, raw_cogs, covered_units, relevant_units, cast(refund_value as double) refund_value from eco",
     "O-63_product_metrics": f"with {_C} select period, product_id, orders, sold_units, refunded_units, revenue, raw_cogs, covered_units, relevant_units, cast(refund_value as double) refund_value, cost_coverage, net_revenue, net_units, cogs, contribution_before_ads from mets",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import web
 from ..functions.dates import date_spine
 from ..operators import advertising as ads
-from ..operators import commerce, rules, storefront
+from ..operators import commerce, economics as eco, rules, storefront
 from ..operators.joins import asof_join, without_revoked
 from ..sources import canonical as c
 from .oracle import ORACLE_SQL as ORACLE_SQL
@@ -72,6 +72,33 @@ def campaign_rules(s, d):
     return rules.apply_rules({"campaign": e, "creative": e, "adset": e, "ad": e})
 
 
+def blended(s, d):
+    facts = c.ad_daily(s, d)
+    spend = eco.compatible_spend(facts, facts.select("account_id", "currency").distinct(), "EUR")
+    return eco.blended_economics(commerce.order_kpis(commerce.order_aggregates(c.period_orders(s, d))), metrics(s, d), spend)
+
+
+def rounded(df, **digits):
+    """Sums of doubles depend on their order; this keeps the digits that don't."""
+    return df.withColumns({n: F.round(n, k) for n, k in digits.items()})
+
+
+def stock_cover(s, d):
+    p = c.table(s, d, "part")
+    items = p.select(F.col("p_partkey").alias("product_id"), (F.col("p_partkey") % 4 != 0).alias("tracked"))
+    places = F.array(F.struct((F.col("p_size") - 10).cast("long").alias("available"), F.lit(0).cast("long").alias("incoming")), F.struct(F.lit(3).cast("long").alias("available"), (F.col("p_size") % 7).cast("long").alias("incoming")))
+    levels = p.select(F.col("p_partkey").alias("product_id"), F.inline(places))
+    return eco.inventory_cover(items, levels, c.period_lines(s, d).where("period = 'CURRENT'"), days=365, trusted=True)
+
+
+def ad_signals(s, d):
+    facts = c.ad_daily(s, d)
+    rows = facts.groupBy("period", "ad_id").agg(F.count("*").alias("source_rows"))
+    both = ads.metric_sums(facts, ["period", "ad_id"]).join(rows, ["period", "ad_id"])
+    names = ["source_rows", "impressions", "spend", "conversions", "roas", "cpc", "ctr"]
+    return rules.entity_signals(eco.period_changes(both, names, ["ad_id"]).withColumnRenamed("ad_id", "entity_id"))
+
+
 def landing_pages(s, d):
     url = F.col("url")
     return c.table(s, d, "pages").groupBy(web.landing_page(url).alias("landing_page"), web.host(url).alias("host"), F.coalesce(web.query_value(url, "utm_source"), F.lit("none")).alias("utm_source")).agg(F.count("*").alias("pages"))
@@ -112,5 +139,12 @@ QUERIES = {
     "O-50_consented_events": consented,
     "O-147_landing_pages": landing_pages,
     "R-01_campaign_rules": campaign_rules,
+    "R-24_ad_signals": ad_signals,
+    "R-26_campaign_actions": lambda s, d: rules.with_actions(campaign_rules(s, d)),
+    "W-01_overview_changes": lambda s, d: rounded(eco.period_changes(blended(s, d), ["orders", "order_value", "spend", "mer"]), order_value=2, order_value0=2, mer=6, mer0=6, order_value_change=6, mer_change=6, spend_change=6),
+    "W-04_customers": lambda s, d: rounded(eco.customers(commerce.order_aggregates(c.period_orders(s, d))), order_value=2, order_value0=2, average_order_value=4, average_order_value0=4, order_value_change=6),
+    "W-05_inventory_cover": stock_cover,
+    "W-13_blended_economics": lambda s, d: rounded(blended(s, d), order_value=2, mer=6, ad_spend_ratio=6, contribution_before_ads=2, contribution_after_ads=2),
+    "W-19_visitor_journeys": lambda s, d: storefront.visitor_journeys(sessions(s, d)),
     "W-09_product_ads": lambda s, d: ads.product_ads(metrics(s, d), c.ad_daily(s, d), classes(s, d)),
 }
