@@ -56,6 +56,13 @@ def spend_shares(facts: DataFrame, entity: str) -> DataFrame:
     return sums.join(totals, "currency").withColumn("spend_share", safe_div(F.col("spend"), F.col("_all"))).drop("_all")
 
 
+def entity_evidence(facts: DataFrame, entity: str) -> DataFrame:
+    """An entity's metrics by period and currency, with its share of that spend."""
+    totals = facts.groupBy("period", "currency").agg(F.sum("spend").cast("double").alias("_all"))
+    out = metric_sums(facts, ["period", "currency", entity]).join(totals, ["period", "currency"])
+    return out.withColumn("spend_share", safe_div(F.col("spend"), F.col("_all"))).drop("_all")
+
+
 def purchase_actions(actions: DataFrame) -> DataFrame:
     """One action type per insight and kind: pixel purchases, then omni, then ``purchase``, then any other purchase."""
     t = F.lower("action_type")

@@ -1,11 +1,11 @@
-"""Composite reads over both periods: blended economics, customers, stock cover."""
+"""Composite reads: blended economics, customers, stock cover, shared exposure, trends, candidates."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import percent_change, safe_div
+from ..functions.exprs import clamp01, percent_change, safe_div
 from .commerce import with_adjustments
 
 PERIODS = ("CURRENT", "COMPARISON")
@@ -78,3 +78,54 @@ def inventory_cover(items: DataFrame, levels: DataFrame, lines: DataFrame, *, da
     a_day = F.col("units_sold") / F.lit(float(days))
     known = F.lit(trusted) & F.col("tracked") & (F.col("units_per_day") > 0)
     return out.withColumn("units_per_day", a_day).withColumn("days_cover", F.when(known, F.greatest(F.col("available"), F.lit(0)) / F.col("units_per_day")))
+
+
+def with_reorder_state(cover: DataFrame, *, lead_days: float = 10, low_stock: float = 0) -> DataFrame:
+    """Adds reorder_point, at_risk, critical and urgency; null without sales or with stock unknown or below 0."""
+    lead, low = max(0, lead_days), max(0, low_stock)
+    known = (F.col("available") >= 0) & (F.col("units_per_day") > 0)
+    point = F.ceil(F.col("units_per_day") * lead + F.lit(low))
+    short = F.greatest(F.col("reorder_point") - F.col("available"), F.lit(0))
+    out = cover.withColumn("reorder_point", F.when(known, point))
+    return (
+        out.withColumn("at_risk", F.when(known, F.col("available") <= F.col("reorder_point")))
+        .withColumn("critical", F.when(known, (F.col("available") <= low) | (F.col("available") <= F.col("units_per_day") * max(1.0, lead / 2))))
+        .withColumn("urgency", F.when(known, clamp01(0.55 + short / F.greatest(F.lit(1), F.col("reorder_point")) * 0.45)))
+    )
+
+
+def shared_exposure_conflicts(sums: DataFrame, targets: DataFrame, stock: DataFrame) -> DataFrame:
+    """Ads of several products that spend while some of these are at their reorder point; spend is never split.
+
+    sums: (ad_id, spend, impressions); targets: (ad_id, product_id, confidence,
+    is_merchant_confirmed); stock: trusted items ``with_reorder_state``.
+    """
+    scope = targets.groupBy("ad_id").agg(F.count_distinct("product_id").alias("products"), F.max("confidence").alias("confidence"), F.bool_or("is_merchant_confirmed").alias("confirmed"))
+    active = sums.where("spend > 0 and impressions >= 1000").join(scope.where("products > 1 and (confirmed or confidence >= 0.7)"), "ad_id")
+    risky = targets.select("ad_id", "product_id").distinct().join(stock.where("at_risk"), "product_id").groupBy("ad_id").agg(F.count("*").alias("affected_products"), F.bool_or("critical").alias("_critical"), F.max("urgency").alias("urgency"), F.min("days_cover").alias("minimum_days_cover"))
+    out = active.join(risky, "ad_id").withColumn("severity", F.when(F.col("_critical"), "CRITICAL").otherwise("HIGH"))
+    return out.select("ad_id", "products", "affected_products", "spend", "impressions", "severity", "urgency", "minimum_days_cover")
+
+
+def daily_trend(orders: DataFrame, facts: DataFrame, days: DataFrame, currency: str) -> DataFrame:
+    """Every day of the spine: orders by local day beside the store currency's spend by report day, and their ratio."""
+    sold = orders.groupBy(F.to_date("demand_at").alias("day")).agg(F.count("*").alias("orders"), F.sum("value").cast("double").alias("order_value"))
+    spent = facts.where(F.col("currency") == currency).groupBy(F.col("date").alias("day")).agg(F.sum("spend").cast("double").alias("spend"))
+    out = days.join(sold, "day", "left").join(spent, "day", "left").fillna({"orders": 0, "order_value": 0.0, "spend": 0.0})
+    return out.withColumn("mer", F.when(F.col("spend") > 0, safe_div(F.col("order_value"), F.col("spend"))))
+
+
+def net_revenue_totals(lines: DataFrame) -> DataFrame:
+    """Net revenue by period: refunds clamped by line, a product's sum at least 0."""
+    left = F.greatest(F.sum(F.col("revenue").cast("double") - F.col("adjusted_value")), F.lit(0.0))
+    return with_adjustments(lines).groupBy("period", "product_id").agg(left.alias("_net")).groupBy("period").agg(F.sum("_net").alias("net_revenue"))
+
+
+def ranked_candidates(metrics: DataFrame, spend: DataFrame, explicit: DataFrame, *, offset: int, limit: int) -> DataFrame:
+    """A page of all products with sales, mapped spend or an explicit wish, by spend, net revenue and id.
+
+    metrics: (product_id, net_revenue); spend: (product_id, spend); explicit: (product_id).
+    """
+    ids = metrics.select("product_id").union(spend.select("product_id")).union(explicit.select("product_id")).distinct()
+    out = ids.join(spend, "product_id", "left").join(metrics, "product_id", "left")
+    return out.orderBy(F.desc_nulls_last("spend"), F.desc_nulls_last("net_revenue"), "product_id").offset(offset).limit(limit)

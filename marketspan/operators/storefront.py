@@ -89,3 +89,11 @@ def visitor_journeys(sessions: DataFrame) -> DataFrame:
     w = Window.partitionBy("visitor_id").orderBy("started_at", "session_id")
     pause = F.unix_seconds(F.col("started_at").cast("timestamp")) - F.unix_seconds(F.lag("ended_at").over(w).cast("timestamp"))
     return sessions.select("visitor_id", "session_id", F.row_number().over(w).alias("ordinal"), "started_at", "ended_at", "purchases", pause.alias("seconds_since_previous"), F.sum("purchases").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("purchases_so_far"))
+
+
+def conversion_delays(purchases: DataFrame, sessions: DataFrame, days: int = 30) -> DataFrame:
+    """Milliseconds from the start of the visitor's first session of the days before a purchase; null without one."""
+    near = (F.col("started_at") <= F.col("purchased_at")) & (F.to_date("started_at") >= F.date_sub(F.to_date("purchased_at"), days))
+    first = purchases.join(sessions.select("visitor_id", "started_at"), "visitor_id").where(near).groupBy("purchase_id").agg(F.min("started_at").alias("journey_started_at"))
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return purchases.join(first, "purchase_id", "left").withColumn("delay_ms", F.floor((us("purchased_at") - us("journey_started_at")) / 1000))

@@ -58,6 +58,10 @@ bl as (select k.*, cb contribution_before_ads, missing_accounts, spend, case whe
  from (select period, count(*) orders, cast(sum(value) as double) order_value from po group by 1) k left join (select period, case when count(cogs) = count(*) then sum(net_revenue) - sum(cogs) end cb from mets group by 1) using (period) left join sp using (period))"""
 
 
+_COVER = f"""{_O}, cv as (select p_partkey product_id, p_partkey % 4 <> 0 tracked, cast(p_size - 7 as bigint) available, coalesce((select sum(greatest(quantity - restocked_units, 0)) from pl where pl.product_id = p_partkey and period = 'CURRENT'), 0) / 365.0::double u from part),
+st as (select *, ceil(u * 10) rp, greatest(available, 0) / u dc from cv where available >= 0 and u > 0)"""
+
+
 def _change(x: str) -> str:
     return f"case when {x} = 0 and {x}0 = 0 then 0.0 when {x}0 <> 0 then cast({x} - {x}0 as double) / abs(cast({x}0 as double)) end"
 
@@ -82,6 +86,13 @@ _PAIR = ", ".join(f"max(case when period = '{p}' then {m} end) {m}{z}" for m in
 _SEG = ", ".join(f"{f}{z}" for f, z in [(f"coalesce(sum(case when period = '{p}' then {e} end), 0) {n}", z) for p, z in (("CURRENT", ""), ("COMPARISON", "0")) for e, n in (("1", "orders"), ("units", "units"), ("value", "v"))])
 
 ORACLE_SQL = {
+    "O-75_adset_evidence": f"with {_A}, x as (select period, currency, campaign_id, {_SUMS} from ad group by 1, 2, 3), t as (select period, currency, cast(sum(spend) as double) a from ad group by 1, 2) select x.*, {_RATIOS}, spend / nullif(a, 0) spend_share from x join t using (period, currency)",
+    "O-90_net_revenue_totals": f"with {_C}, x as (select period, product_id, greatest(sum(cast(revenue as double) - av), 0.0) n from adj group by 1, 2) select period, round(sum(n), 2) net_revenue from x group by 1",
+    "O-93_latest_levels": "with x as (select l_partkey item_id, l_suppkey location_id, l_shipdate observed_at, max(cast(l_quantity as bigint)) available from lineitem where l_shipdate <= timestamp '1997-06-30' group by 1, 2, 3) select * from x qualify row_number() over (partition by item_id, location_id order by observed_at desc) = 1",
+    "O-101_daily_trend": f"with {_O}, {_A}, d as (select cast(unnest(generate_series(timestamp '1997-01-01', timestamp '1997-12-31', interval 1 day)) as date) as day), a as (select cast(demand_at as date) as day, count(*) orders, cast(sum(value) as double) order_value from po where period = 'CURRENT' group by 1), b as (select date as day, cast(sum(spend) as double) spend from ad where currency = 'EUR' and period = 'CURRENT' group by 1) select day, coalesce(orders, 0) orders, coalesce(order_value, 0.0) order_value, coalesce(spend, 0.0) spend, case when spend > 0 then coalesce(order_value, 0.0) / spend end mer from d left join a using (day) left join b using (day)",
+    "O-108_ranked_candidates": f"with {_C}, {_A}, m as (select product_id, round(net_revenue, 2) net_revenue from mets where period = 'CURRENT'), sp as (select cls.product_id, cast(sum(spend) as double) spend from ad join cls using (ad_id) where mapping_class = 'EXACT' and period = 'CURRENT' group by 1), ids as (select product_id from m union select product_id from sp union select p_partkey from part where p_partkey % 50 = 0) select product_id, spend, net_revenue from ids left join sp using (product_id) left join m using (product_id) order by spend desc nulls last, net_revenue desc nulls last, product_id limit 50 offset 10",
+    "O-122_conversion_delays": f"with {_E}, b as (select event_id purchase_id, visitor_id, event_at purchased_at from ev where event_name = 'CHECKOUT_COMPLETED'), f as (select purchase_id, min(started_at) journey_started_at from b join ses using (visitor_id) where started_at <= purchased_at and cast(started_at as date) >= cast(purchased_at as date) - 30 group by 1) select b.*, journey_started_at, (epoch_us(purchased_at) - epoch_us(journey_started_at)) // 1000 delay_ms from b left join f using (purchase_id)",
+    "W-12_shared_exposure": f"with {_COVER}, {_A}, tg as (select ad_id, count(distinct product_id) products from mp where confirmed or confidence >= 0.7 group by 1), sm as (select ad_id, cast(sum(spend) as double) spend, sum(impressions) impressions from ad where period = 'CURRENT' group by 1), rk as (select ad_id, count(*) affected_products, bool_or(available <= 0 or available <= u * 5) c, max(greatest(0.0::double, least(1.0::double, 0.55::double + greatest(rp - available, 0) / greatest(1, rp) * 0.45::double))) urgency, min(case when tracked then dc end) minimum_days_cover from mp join st using (product_id) where (confirmed or confidence >= 0.7) and available <= rp group by 1) select ad_id, products, affected_products, spend, impressions, case when c then 'CRITICAL' else 'HIGH' end severity, urgency, minimum_days_cover from tg join sm using (ad_id) join rk using (ad_id) where products > 1 and spend > 0 and impressions >= 1000",
     "R-24_ad_signals": f"with {_A}, x as (select period, ad_id, count(*) n, {_SUMS} from ad group by 1, 2), y as (select *, {_RATIOS} from x), z as (select ad_id entity_id, {_PAIR} from y group by 1) " + " union all ".join(f"select entity_id, '{code}' code, {severity} severity from z where {when}" for code, when, severity in _SIGNALS),
     "W-01_overview_changes": f"with {_B}, w as (select " + ", ".join(f"max(case when period = '{p}' then {m} end) {m}{z}" for m in ("orders", "order_value", "spend", "mer") for p, z in (("CURRENT", ""), ("COMPARISON", "0"))) + f" from bl) select orders, orders0, round(order_value, 2) order_value, round(order_value0, 2) order_value0, spend, spend0, round(mer, 6) mer, round(mer0, 6) mer0, {_change('orders')} orders_change, round({_change('order_value')}, 6) order_value_change, round({_change('spend')}, 6) spend_change, round({_change('mer')}, 6) mer_change from w",
     "W-04_customers": f"with {_O}, x as (select s.segment, {_SEG} from (select unnest(['TOTAL', 'NEW', 'RETURNING', 'UNKNOWN']) segment) s left join po on s.segment in ('TOTAL', po.segment) group by 1), y as (select segment, orders, orders0, units, units0, cast(v as double) order_value, cast(v0 as double) order_value0, coalesce(cast((select sum(orders) from x where segment in ('NEW', 'RETURNING')) as double) / nullif((select orders from x where segment = 'TOTAL'), 0), 0.0) coverage, coalesce(cast((select sum(orders0) from x where segment in ('NEW', 'RETURNING')) as double) / nullif((select orders0 from x where segment = 'TOTAL'), 0), 0.0) coverage0 from x) select segment, orders, orders0, units, units0, round(order_value, 2) order_value, round(order_value0, 2) order_value0, coverage, coverage0, round(order_value / nullif(orders, 0), 4) average_order_value, round(order_value0 / nullif(orders0, 0), 4) average_order_value0, {_change('orders')} orders_change, {_change('units')} units_change, round({_change('order_value')}, 6) order_value_change from y",

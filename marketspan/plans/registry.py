@@ -99,6 +99,31 @@ def ad_signals(s, d):
     return rules.entity_signals(eco.period_changes(both, names, ["ad_id"]).withColumnRenamed("ad_id", "entity_id"))
 
 
+def shared_exposure(s, d):
+    m = c.mappings(s, d)
+    sums = ads.metric_sums(c.ad_daily(s, d).where("period = 'CURRENT'"), ["ad_id"]).select("ad_id", "spend", "impressions")
+    return eco.shared_exposure_conflicts(sums, m.where("is_merchant_confirmed or confidence >= 0.7"), eco.with_reorder_state(stock_cover(s, d)))
+
+
+def candidates(s, d):
+    sold = metrics(s, d).where("period = 'CURRENT'").select("product_id", F.round("net_revenue", 2).alias("net_revenue"))
+    exact = classes(s, d).where("mapping_class = 'EXACT'").select("ad_id", "product_id")
+    spend = c.ad_daily(s, d).where("period = 'CURRENT'").join(exact, "ad_id").groupBy("product_id").agg(F.sum("spend").cast("double").alias("spend"))
+    wished = c.table(s, d, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("product_id"))
+    return eco.ranked_candidates(sold, spend, wished, offset=10, limit=50)
+
+
+def stock_levels(s, d):
+    li = c.table(s, d, "lineitem")
+    snaps = li.groupBy(F.col("l_partkey").alias("item_id"), F.col("l_suppkey").alias("location_id"), F.col("l_shipdate").alias("observed_at")).agg(F.max(F.col("l_quantity").cast("long")).alias("available"))
+    return commerce.latest_levels(snaps, F.lit("1997-06-30").cast("timestamp_ntz"))
+
+
+def delays(s, d):
+    bought = c.events(s, d).where("event_name = 'CHECKOUT_COMPLETED'").select(F.col("event_id").alias("purchase_id"), "visitor_id", F.col("event_at").alias("purchased_at"))
+    return storefront.conversion_delays(bought, sessions(s, d))
+
+
 def landing_pages(s, d):
     url = F.col("url")
     return c.table(s, d, "pages").groupBy(web.landing_page(url).alias("landing_page"), web.host(url).alias("host"), F.coalesce(web.query_value(url, "utm_source"), F.lit("none")).alias("utm_source")).agg(F.count("*").alias("pages"))
@@ -139,6 +164,13 @@ QUERIES = {
     "O-50_consented_events": consented,
     "O-147_landing_pages": landing_pages,
     "R-01_campaign_rules": campaign_rules,
+    "O-75_adset_evidence": lambda s, d: ads.entity_evidence(c.ad_daily(s, d), "campaign_id"),
+    "O-90_net_revenue_totals": lambda s, d: rounded(eco.net_revenue_totals(c.period_lines(s, d)), net_revenue=2),
+    "O-93_latest_levels": stock_levels,
+    "O-101_daily_trend": lambda s, d: eco.daily_trend(c.period_orders(s, d).where("period = 'CURRENT'"), c.ad_daily(s, d).where("period = 'CURRENT'"), date_spine(s, c.CURRENT), "EUR"),
+    "O-108_ranked_candidates": candidates,
+    "O-122_conversion_delays": delays,
+    "W-12_shared_exposure": shared_exposure,
     "R-24_ad_signals": ad_signals,
     "R-26_campaign_actions": lambda s, d: rules.with_actions(campaign_rules(s, d)),
     "W-01_overview_changes": lambda s, d: rounded(eco.period_changes(blended(s, d), ["orders", "order_value", "spend", "mer"]), order_value=2, order_value0=2, mer=6, mer0=6, order_value_change=6, mer_change=6, spend_change=6),

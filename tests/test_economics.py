@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from marketspan.operators import economics, rules
+from marketspan.operators import economics, rules, storefront
 
 
 def rows(df):
@@ -68,3 +68,26 @@ def test_video_retention(spark):
     video = spark.createDataFrame([("a", "READY", "HIGH", True, 100, 50, 0.5, 0.7, 0.2, None), ("b", "READY", "LOW", True, 100, 50, 0.5, 0.7, 0.2, 0.2), ("c", "READY", "MEDIUM", True, 40, 50, 0.5, 0.7, 0.2, 0.2), ("d", "READY", "MEDIUM", True, 60, 50, None, 0.7, 0.25, 0.375)], "entity_id string, status string, evidence_quality string, comparison_valid boolean, plays0 int, minimum_plays int, hook double, hook0 double, completion double, completion0 double")
     drafts = rules.apply_rules({"creative_video": video}).where(F.col("rule_id") == "video_retention_deterioration")
     assert [r[1] for r in rows(drafts)] == ["a", "d"]
+
+
+def test_reorder_state(spark):
+    cover = spark.createDataFrame([(1, 20, 2.0), (2, 21, 2.0), (3, 10, 2.0), (4, -1, 2.0), (5, 5, 0.0), (6, None, 1.0)], "product_id int, available int, units_per_day double")
+    got = {r.product_id: (r.reorder_point, r.at_risk, r.critical, r.urgency) for r in economics.with_reorder_state(cover, lead_days=10).collect()}
+    assert got[1] == (20, True, False, 0.55) and got[2] == (20, False, False, 0.55)
+    assert got[3][:3] == (20, True, True) and abs(got[3][3] - 0.775) < 1e-9
+    assert got[4] == got[5] == got[6] == (None, None, None, None)
+
+
+def test_shared_exposure_needs_confidence(spark):
+    stock = spark.createDataFrame([(1, True, False, 0.6, 3.0), (2, None, None, None, None)], "product_id int, at_risk boolean, critical boolean, urgency double, days_cover double")
+    targets = spark.createDataFrame([(7, 1, 0.8, False), (7, 2, 0.8, False), (8, 1, 0.2, False), (8, 2, 0.2, False), (9, 1, 0.9, True)], "ad_id int, product_id int, confidence double, is_merchant_confirmed boolean")
+    sums = spark.createDataFrame([(7, 1.0, 1000), (8, 1.0, 1000), (9, 1.0, 1000)], "ad_id int, spend double, impressions int")
+    assert rows(economics.shared_exposure_conflicts(sums, targets, stock)) == [(7, 2, 1, 1.0, 1000, "HIGH", 0.6, 3.0)]
+    assert rows(economics.shared_exposure_conflicts(sums.withColumn("impressions", F.lit(999)), targets, stock)) == []
+
+
+def test_delay_without_sessions(spark):
+    bought = spark.sql("select 1L purchase_id, 5L visitor_id, timestamp'2024-03-01 10:00:00' purchased_at union all select 2L, 6L, timestamp'2024-03-01 10:00:00'")
+    sessions = spark.sql("select 5L visitor_id, timestamp'2024-03-01 09:59:58.5' started_at union all select 5L, timestamp'2023-03-01 09:00:00' union all select 6L, timestamp'2024-03-01 10:00:01'")
+    got = {r.purchase_id: r.delay_ms for r in storefront.conversion_delays(bought, sessions).collect()}
+    assert got == {1: 1500, 2: None}
