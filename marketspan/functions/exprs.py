@@ -44,6 +44,11 @@ def complement(c: Column) -> Column:
     return F.when(c.isNotNull(), clamp01(1 - c))
 
 
+def stage_drop(n: Column, d: Column) -> Column:
+    """The share of d that n lacks; null unless n is from 0 to a d above 0."""
+    return F.when((d > 0) & n.between(0, d), 1 - n / d)
+
+
 def half_up(c: Column, digits: int) -> Column:
     """Rounds halves towards plus infinity."""
     scale = float(10**digits)

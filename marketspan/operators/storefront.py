@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import complement, safe_div
+from ..functions.exprs import safe_div, stage_drop
 
 
 def accepted(events: DataFrame) -> DataFrame:
@@ -40,14 +40,14 @@ def touches(events: DataFrame, signature: list[str]) -> DataFrame:
 def behavior_daily(sessions: DataFrame) -> DataFrame:
     """Sessions by the day they start on, with the funnel's rates."""
     has = lambda c: F.count_if(F.col(c) > 0)
-    out = sessions.groupBy(F.to_date("started_at").alias("day")).agg(F.count("*").alias("sessions"), has("product_views").alias("view_sessions"), has("adds_to_cart").alias("cart_sessions"), has("checkouts").alias("checkout_sessions"), has("purchases").alias("purchase_sessions"))
+    out = sessions.groupBy(F.to_date("started_at").alias("day")).agg(F.count("*").alias("sessions"), has("product_views").alias("view_sessions"), has("adds_to_cart").alias("cart_sessions"), has("checkouts").alias("checkout_sessions"), has("purchases").alias("purchase_sessions"), F.count_if(F.expr("adds_to_cart > 0 and checkouts > 0")).alias("cart_checkout_sessions"), F.count_if(F.expr("checkouts > 0 and purchases > 0")).alias("checkout_purchase_sessions"))
     return out.withColumn("conversion_rate", safe_div(F.col("purchase_sessions"), F.col("sessions")))
 
 
 def largest_drop(funnel: DataFrame) -> DataFrame:
-    """The funnel stage that loses the largest share; the first of equals."""
-    steps = [("VIEW", "sessions", "view_sessions"), ("CART", "view_sessions", "cart_sessions"), ("CHECKOUT", "cart_sessions", "checkout_sessions"), ("PURCHASE", "checkout_sessions", "purchase_sessions")]
-    drops = F.array(*[F.struct(complement(safe_div(F.col(b), F.col(a))).alias("drop"), F.lit(-k).alias("k"), F.lit(s).alias("stage")) for k, (s, a, b) in enumerate(steps)])
+    """The funnel stage that loses the largest share; the first of equals, null without any stage's evidence."""
+    steps = [("SESSION_TO_PRODUCT", "sessions", "view_sessions"), ("PRODUCT_TO_CART", "view_sessions", "cart_sessions"), ("CART_TO_CHECKOUT", "cart_sessions", "cart_checkout_sessions"), ("CHECKOUT_TO_PURCHASE", "checkout_sessions", "checkout_purchase_sessions")]
+    drops = F.array(*[F.struct(stage_drop(F.col(b), F.col(a)).alias("drop"), F.lit(-k).alias("k"), F.lit(s).alias("stage")) for k, (s, a, b) in enumerate(steps)])
     best = F.array_max(F.filter(drops, lambda d: d["drop"].isNotNull()))
     return funnel.withColumn("largest_drop_stage", best["stage"]).withColumn("largest_drop", best["drop"])
 

@@ -93,6 +93,7 @@ ORACLE_SQL = {
     "O-108_ranked_candidates": f"with {_C}, {_A}, m as (select product_id, round(net_revenue, 2) net_revenue from mets where period = 'CURRENT'), sp as (select cls.product_id, cast(sum(spend) as double) spend from ad join cls using (ad_id) where mapping_class = 'EXACT' and period = 'CURRENT' group by 1), ids as (select product_id from m union select product_id from sp union select p_partkey from part where p_partkey % 50 = 0) select product_id, spend, net_revenue from ids left join sp using (product_id) left join m using (product_id) order by spend desc nulls last, net_revenue desc nulls last, product_id limit 50 offset 10",
     "O-122_conversion_delays": f"with {_E}, b as (select event_id purchase_id, visitor_id, event_at purchased_at from ev where event_name = 'CHECKOUT_COMPLETED'), f as (select purchase_id, min(started_at) journey_started_at from b join ses using (visitor_id) where started_at <= purchased_at and cast(started_at as date) >= cast(purchased_at as date) - 30 group by 1) select b.*, journey_started_at, (epoch_us(purchased_at) - epoch_us(journey_started_at)) // 1000 delay_ms from b left join f using (purchase_id)",
     "W-12_shared_exposure": f"with {_COVER}, {_A}, tg as (select ad_id, count(distinct product_id) products from mp where confirmed or confidence >= 0.7 group by 1), sm as (select ad_id, cast(sum(spend) as double) spend, sum(impressions) impressions from ad where period = 'CURRENT' group by 1), rk as (select ad_id, count(*) affected_products, bool_or(available <= 0 or available <= u * 5) c, max(greatest(0.0::double, least(1.0::double, 0.55::double + greatest(rp - available, 0) / greatest(1, rp) * 0.45::double))) urgency, min(case when tracked then dc end) minimum_days_cover from mp join st using (product_id) where (confirmed or confidence >= 0.7) and available <= rp group by 1) select ad_id, products, affected_products, spend, impressions, case when c then 'CRITICAL' else 'HIGH' end severity, urgency, minimum_days_cover from tg join sm using (ad_id) join rk using (ad_id) where products > 1 and spend > 0 and impressions >= 1000",
+    "O-120_behavior_daily": f"with {_E}, x as (select cast(started_at as date) as day, count(*) sessions, " + ", ".join(f"count(case when {when} then 1 end) {n}" for n, when in [("view_sessions", "product_views > 0"), ("cart_sessions", "adds_to_cart > 0"), ("checkout_sessions", "checkouts > 0"), ("purchase_sessions", "purchases > 0"), ("cart_checkout_sessions", "adds_to_cart > 0 and checkouts > 0"), ("checkout_purchase_sessions", "checkouts > 0 and purchases > 0")]) + " from ses group by 1), s as (select day, k, stage, 1 - n / d::double as dropped from (" + " union all ".join(f"select day, {k} k, '{stage}' stage, {n} n, {d} d from x" for k, (stage, n, d) in enumerate([("SESSION_TO_PRODUCT", "view_sessions", "sessions"), ("PRODUCT_TO_CART", "cart_sessions", "view_sessions"), ("CART_TO_CHECKOUT", "cart_checkout_sessions", "cart_sessions"), ("CHECKOUT_TO_PURCHASE", "checkout_purchase_sessions", "checkout_sessions")])) + ") where d > 0 and n <= d), w as (select * from s qualify row_number() over (partition by day order by dropped desc, k) = 1) select x.*, cast(purchase_sessions as double) / sessions conversion_rate, stage largest_drop_stage, dropped largest_drop from x left join w using (day)",
     "R-24_ad_signals": f"with {_A}, x as (select period, ad_id, count(*) n, {_SUMS} from ad group by 1, 2), y as (select *, {_RATIOS} from x), z as (select ad_id entity_id, {_PAIR} from y group by 1) " + " union all ".join(f"select entity_id, '{code}' code, {severity} severity from z where {when}" for code, when, severity in _SIGNALS),
     "W-01_overview_changes": f"with {_B}, w as (select " + ", ".join(f"max(case when period = '{p}' then {m} end) {m}{z}" for m in ("orders", "order_value", "spend", "mer") for p, z in (("CURRENT", ""), ("COMPARISON", "0"))) + f" from bl) select orders, orders0, round(order_value, 2) order_value, round(order_value0, 2) order_value0, spend, spend0, round(mer, 6) mer, round(mer0, 6) mer0, {_change('orders')} orders_change, round({_change('order_value')}, 6) order_value_change, round({_change('spend')}, 6) spend_change, round({_change('mer')}, 6) mer_change from w",
     "W-04_customers": f"with {_O}, x as (select s.segment, {_SEG} from (select unnest(['TOTAL', 'NEW', 'RETURNING', 'UNKNOWN']) segment) s left join po on s.segment in ('TOTAL', po.segment) group by 1), y as (select segment, orders, orders0, units, units0, cast(v as double) order_value, cast(v0 as double) order_value0, coalesce(cast((select sum(orders) from x where segment in ('NEW', 'RETURNING')) as double) / nullif((select orders from x where segment = 'TOTAL'), 0), 0.0) coverage, coalesce(cast((select sum(orders0) from x where segment in ('NEW', 'RETURNING')) as double) / nullif((select orders0 from x where segment = 'TOTAL'), 0), 0.0) coverage0 from x) select segment, orders, orders0, units, units0, round(order_value, 2) order_value, round(order_value0, 2) order_value0, coverage, coverage0, round(order_value / nullif(orders, 0), 4) average_order_value, round(order_value0 / nullif(orders0, 0), 4) average_order_value0, {_change('orders')} orders_change, {_change('units')} units_change, round({_change('order_value')}, 6) order_value_change from y",

@@ -91,3 +91,10 @@ def test_delay_without_sessions(spark):
     sessions = spark.sql("select 5L visitor_id, timestamp'2024-03-01 09:59:58.5' started_at union all select 5L, timestamp'2023-03-01 09:00:00' union all select 6L, timestamp'2024-03-01 10:00:01'")
     got = {r.purchase_id: r.delay_ms for r in storefront.conversion_delays(bought, sessions).collect()}
     assert got == {1: 1500, 2: None}
+
+
+def test_largest_drop_skips_stages_without_evidence(spark):
+    names = ["sessions", "view_sessions", "cart_sessions", "checkout_sessions", "cart_checkout_sessions", "checkout_purchase_sessions"]
+    data = [(10, 5, 4, 2, 2, 2), (10, 12, 6, 0, 0, 0), (0, 0, 0, 0, 0, 0), (10, 5, 5, 4, 5, 2)]
+    got = [(r.largest_drop_stage, r.largest_drop) for r in storefront.largest_drop(spark.createDataFrame(data, names)).collect()]
+    assert got == [("SESSION_TO_PRODUCT", 0.5), ("CART_TO_CHECKOUT", 1.0), (None, None), ("SESSION_TO_PRODUCT", 0.5)]
