@@ -40,19 +40,29 @@ MOST_FLIPS = 2
 
 def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
     """A bit is set if it is set in over half the XXH64 values of the shingles, repeats included."""
+    return majority(shingle_values(text, shingle, seed))
+
+
+def shingle_values(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """The XXH64 value of each shingle in order, repeats included."""
     words = spaced_words(text.translate(_LOWER) if text else None)
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     n = max(1, len(words) - shingle + 1)
     begins = np.concatenate(([0], ends[: n - 1] + 1)).tolist()
     ends = (ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]).tolist()
-    ones, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
-    for at in range(0, n, 65536):
-        h = np.array([digest(line[i:j], seed) for i, j in zip(begins[at : at + 65536], ends[at : at + 65536])], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little", signed=True)
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(line[i:j], seed) for i, j in zip(begins, ends)), "<u8", n)
+
+
+def majority(values: np.ndarray) -> int:
+    """The bits that are set in over half the values; zero without values."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(values), 65536):
+        ones += np.unpackbits(values[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(values), bitorder="little").tobytes(), "little", signed=True)
 
 
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -264,16 +274,19 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     ``distance`` and whose fingerprints over shingles are within
     ``check_distance``.  Of their links a minimum spanning forest is compared
     exactly: a link stands if the Jaccard similarity of the shingle sets is at
-    least ``similarity``.  Texts without words form one group, as equal texts do.
+    least ``similarity``.  Only texts with equal shingle sets are linked
+    without that; texts without words form one group so.
     """
     rows = text_rows(docs, id_col=id_col, text_col=text_col).where("doc_id is not null")
 
     def made(ids, texts):
-        return {"doc_id": ids, "fp": [fingerprint(t, 1) for t in texts], "check": [fingerprint(t, shingle) for t in texts]}
+        values = [shingle_values(t, shingle) for t in texts]
+        return {"doc_id": ids, "fp": [fingerprint(t, 1) for t in texts], "check": [majority(v) for v in values], "same": [set_digest(np.unique(v)) for v in values]}
 
-    schema = T.StructType([*_FINGERPRINTS, T.StructField("check", T.LongType())])
+    schema = T.StructType([*_FINGERPRINTS, T.StructField("check", T.LongType()), T.StructField("same", T.BinaryType())])
     each = stored(rows.mapInArrow(by_batch(made, schema), schema))
-    nodes = stored(each.groupBy("fp", "check").agg(F.min("doc_id").alias("node")))
+    # equal sets whose repeats differ have several fingerprints, each of which finds candidates
+    nodes = stored(each.groupBy("same", "fp", "check").agg(F.min("doc_id").alias("node")))
     candidates = stored(links(nodes, distance, *plan(nodes, distance, (3, 4, 5, 6)), check_distance=check_distance))
     met = candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
@@ -285,14 +298,18 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     both = candidates.join(hashed.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(hashed.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     held = both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
-    found = connected_components(held)
-    of_node = nodes.join(found, "node", "left").select("fp", "check", F.coalesce("root", "node").alias("group_id"))
-    return each.join(of_node, ["fp", "check"]).select("doc_id", "group_id")
+    first = nodes.groupBy("same").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("same", "a")
+    equal = nodes.join(first, "same").where("node <> a").select("a", F.col("node").alias("b"))
+    found = connected_components(held.union(equal))
+    of_set = nodes.join(found, "node", "left").groupBy("same").agg(F.min(F.coalesce("root", "node")).alias("group_id"))
+    return each.join(of_set, "same").select("doc_id", "group_id")
+
+
+def set_digest(values: np.ndarray) -> bytes:
+    """128 bits that stand for a set of values, sorted and distinct."""
+    return xxhash.xxh3_128_digest(values.tobytes())
 
 
 def shingle_hashes(text: str | None, shingle: int) -> list[int]:
     """The distinct shingles' XXH64 values as signed longs."""
-    words = spaced_words(text.translate(_LOWER) if text else None)
-    n = max(1, len(words) - shingle + 1) if words else 0
-    h = {xxhash.xxh64_intdigest(b" ".join(words[k : k + shingle]), 42) for k in range(n)}
-    return np.array(sorted(h), "<u8").view("<i8").tolist()
+    return np.unique(shingle_values(text, shingle)).view("<i8").tolist()
