@@ -216,11 +216,17 @@ def _forest(n_index: int, fp: np.ndarray, check: np.ndarray, distance: int, chec
     return edges
 
 
-def links(fps: DataFrame, distance: int, groups: list[list[int]], thresholds: list[int], check_distance: int | None = None) -> DataFrame:
-    """(a, b): nodes within the distance; every linked pair is connected by these edges.
+def _probes(key: Column, masks: list[int], k: int) -> Column:
+    """Probe rows of a value; of two values that differ, the smaller one probes."""
+    # Spark counts a lambda's parameters with a default too and would pass the index for them
+    flips = F.transform(F.array(*[F.lit(x).cast("long") for x in masks]), lambda x: key.bitwiseXOR(x))
+    return F.transform(F.filter(flips, lambda x: x > key), lambda x: F.struct(F.lit(k).alias("k"), x.alias("key"), F.lit(True).alias("probe")))
 
-    fps has a row per node: node, fp and check, a second fingerprint that must
-    be within check_distance (by default that of fp).
+
+def dealt_rows(fps: DataFrame, groups: list[list[int]], thresholds: list[int]) -> DataFrame:
+    """(k, key, at, probe, x): what meets under a value of a partition, crowded values in blocks.
+
+    Probes of a crowded value that no fingerprint is listed under meet nothing and are left out.
     """
     rows = []
     for k, (bits, t) in enumerate(zip(groups, thresholds)):
@@ -230,19 +236,27 @@ def links(fps: DataFrame, distance: int, groups: list[list[int]], thresholds: li
         rows.append(F.array(F.struct(F.lit(k).alias("k"), key.alias("key"), F.lit(False).alias("probe"))))
         if t:
             masks = [1 << i for i in range(len(bits))] + [1 << i | 1 << j for i in range(len(bits)) for j in range(i) if t > 1]
-            flips = F.transform(F.array(*[F.lit(x).cast("long") for x in masks]), lambda x, key=key: key.bitwiseXOR(x))
-            # of two values that differ, the smaller one probes
-            rows.append(F.transform(F.filter(flips, lambda x, key=key: x > key), lambda x, k=k: F.struct(F.lit(k).alias("k"), x.alias("key"), F.lit(True).alias("probe"))))
+            rows.append(_probes(key, masks, k))
     listed = fps.select("node", "fp", "check", F.explode(F.concat(*rows)).alias("x")).select("node", "fp", "check", "x.*")
     blocks = [F.ceil(F.sum(F.when(kind, 1).otherwise(0)) / F.lit(BLOCK_ROWS)).cast("int") for kind in (~F.col("probe"), F.col("probe"))]
-    crowded = listed.groupBy("k", "key").agg(blocks[0].alias("ni"), blocks[1].alias("np")).where("ni > 1 or (np > 1 and ni > 0)")
+    crowded = listed.groupBy("k", "key").agg(blocks[0].alias("ni"), blocks[1].alias("np")).where("ni > 1 or np > 1")
     dealt = listed.join(stored(crowded), ["k", "key"], "left").withColumn("block", F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.when(F.col("probe"), F.col("np")).otherwise(F.col("ni")))))
     at = F.expr("""case when ni is null then array(0L)
+        when ni = 0 then cast(array() as array<bigint>)
         when probe then transform(sequence(0L, ni - 1L), i -> 1L + ni * ni + i * np + block)
         when np > 0 then concat(transform(sequence(0L, ni - 1L), j -> 1L + least(block, j) * ni + greatest(block, j)), transform(sequence(0L, np - 1L), p -> 1L + ni * ni + block * np + p))
         else transform(sequence(0L, ni - 1L), j -> 1L + least(block, j) * ni + greatest(block, j)) end""")
+    return dealt.select("k", "key", F.explode(at).alias("at"), "probe", F.struct("fp", "check", "node").alias("x"))
+
+
+def links(fps: DataFrame, distance: int, groups: list[list[int]], thresholds: list[int], check_distance: int | None = None) -> DataFrame:
+    """(a, b): nodes within the distance; every linked pair is connected by these edges.
+
+    fps has a row per node: node, fp and check, a second fingerprint that must
+    be within check_distance (by default that of fp).
+    """
     # sorted, so that a forest doesn't depend on the order in which rows arrive
-    met = dealt.select("k", "key", F.explode(at).alias("at"), "probe", F.struct("fp", "check", "node").alias("x")).groupBy("k", "key", "at")
+    met = dealt_rows(fps, groups, thresholds).groupBy("k", "key", "at")
     met = met.agg(F.array_sort(F.collect_list(F.when(~F.col("probe"), F.col("x")))).alias("i"), F.array_sort(F.collect_list(F.when(F.col("probe"), F.col("x")))).alias("p"))
     met = met.where((F.size("i") > 1) | (F.size("i") > 0) & (F.size("p") > 0)).select(F.size("i").alias("n"), F.concat("i", "p").alias("x"))
     most = distance if check_distance is None else check_distance
