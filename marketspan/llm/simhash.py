@@ -34,8 +34,6 @@ from .common import by_batch, connected_components, spaced_words, stored, text_r
 
 #: Rows of a block of a crowded value.
 BLOCK_ROWS = 1024
-#: Sets, and shingles in them, of a block of a large group of candidates.
-SET_ROWS, SET_SHINGLES = 512, 4_000_000
 #: Cost of verifying a candidate, against that of a probe row.
 VERIFY_COST = 0.02
 #: Bits that a probe may flip at most.
@@ -283,126 +281,3 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     of_fp = rooted.select("fp", "root").join(named, "root").select("fp", "component_id", "component_size")
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return each.join(of_fp, "fp").select("doc_id", text.alias("fingerprint"), "component_id", "component_size")
-
-
-def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 9, check_distance: int = 16) -> DataFrame:
-    """(doc_id, group_id) for rows with a doc_id: groups of near copies on word shingles.
-
-    Candidates are pairs whose fingerprints over single words are within
-    ``distance`` and whose fingerprints over shingles are within
-    ``check_distance``; a forest of their links only says which sets belong to
-    one family.  Within a family every candidate pair is compared exactly,
-    unless links that stand connect it already: a link stands if the Jaccard
-    similarity of the shingle sets is at least ``similarity``.  Only texts with equal shingle sets are linked
-    without that; texts without words form one group so.
-    """
-    rows = text_rows(docs, id_col=id_col, text_col=text_col).where("doc_id is not null")
-
-    def made(ids, texts):
-        values = [shingle_values(t, shingle) for t in texts]
-        distinct = [np.unique(v) for v in values]
-        return {"doc_id": ids, "fp": [fingerprint(t, 1) for t in texts], "check": [majority(v) for v in values], "same": [set_digest(s) for s in distinct], "n": [len(s) for s in distinct]}
-
-    schema = T.StructType([*_FINGERPRINTS, T.StructField("check", T.LongType()), T.StructField("same", T.BinaryType()), T.StructField("n", T.LongType())])
-    each = stored(rows.mapInArrow(by_batch(made, schema), schema))
-    # equal sets whose repeats differ have several fingerprints, each of which finds candidates
-    nodes = stored(each.groupBy("same", "fp", "check").agg(F.min("doc_id").alias("node"), F.first("n").alias("n")))
-    families = connected_components(links(nodes, distance, *plan(nodes, distance, (3, 4, 5, 6)), check_distance=check_distance))
-    members = stored(nodes.join(families.withColumnRenamed("root", "family"), "node"))
-
-    def sets(ids, texts):
-        values = [np.unique(shingle_values(t, shingle)) for t in texts]
-        return {"same": [set_digest(v) for v in values], "shingles": [v.view("<i8") for v in values]}
-
-    kind = T.StructType([T.StructField("same", T.BinaryType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
-    met = members.select(F.col("node").alias("doc_id")).distinct()
-    hashed = rows.join(met, "doc_id", "left_semi").mapInArrow(by_batch(sets, kind), kind).groupBy("same").agg(F.first("shingles").alias("shingles"))
-    held = similar_pairs(members, hashed, similarity, distance, check_distance)
-    first = nodes.groupBy("same").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("same", "a")
-    equal = nodes.join(first, "same").where("node <> a").select("a", F.col("node").alias("b"))
-    found = connected_components(held.union(equal))
-    of_set = nodes.join(found, "node", "left").groupBy("same").agg(F.min(F.coalesce("root", "node")).alias("group_id"))
-    return each.join(of_set, "same").select("doc_id", "group_id")
-
-
-def similar_pairs(members: DataFrame, hashed: DataFrame, similarity: float, distance: int, check_distance: int) -> DataFrame:
-    """(a, b): links that connect all candidates of a family whose sets are similar.
-
-    members: (node, fp, check, same, n, family), n the size of the set; hashed:
-    (same, shingles).  A large family is dealt into blocks, and each pair of
-    blocks is a task's work, so that no task gets an unbounded family.
-    """
-    blocks = F.ceil(F.greatest(F.count("*") / F.lit(SET_ROWS), F.sum("n") / F.lit(SET_SHINGLES))).cast("int")
-    large = stored(members.groupBy("family").agg(blocks.alias("blocks")).where("blocks > 1"))
-    dealt = members.join(large, "family", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node", "same"), "blocks").cast("int"))
-    pairs = F.expr("transform(sequence(0, blocks - 1), j -> struct(least(block, j) as p, greatest(block, j) as q))")
-    met = dealt.select("family", F.inline(pairs), "block", "node", "fp", "check", "same").join(hashed, "same").drop("same")
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-    arrow = to_arrow_schema(schema)
-
-    def compared(batches):
-        key, parts = None, []
-
-        def found():
-            block, node, fp, check = (np.concatenate(x) for x in list(zip(*parts))[:4])
-            sets = [s for x in parts for s in x[4]]
-            return [(node[i], node[j]) for i, j in _similar(block, fp.view(np.uint64), check.view(np.uint64), sets, similarity, distance, check_distance)]
-
-        def table(edges):
-            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], schema=arrow)
-
-        for batch in batches:
-            keys = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in ("family", "p", "q")], 1)
-            columns = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("block", "node", "fp", "check")]
-            lists = batch.column("shingles")
-            sets = np.split(lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))[:-1])
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
-            edges = []
-            for i, j in zip([0, *cuts], [*cuts, len(keys)]):
-                if parts and key != tuple(keys[i]):
-                    edges += found()
-                    parts = []
-                key = tuple(keys[i])
-                parts.append((*(c[i:j] for c in columns), sets[i:j]))
-            yield table(edges)
-        if parts:
-            yield table(found())
-
-    # sorted, so that a task holds one pair of blocks at a time
-    return met.repartition("family", "p", "q").sortWithinPartitions("family", "p", "q").mapInArrow(compared, schema)
-
-
-def _similar(block: np.ndarray, fp: np.ndarray, check: np.ndarray, sets: list[np.ndarray], similarity: float, distance: int, check_distance: int) -> list[tuple[int, int]]:
-    """Links that connect all similar candidates, as positions: of different blocks if there are two, else of the one."""
-    two = block.min() != block.max()
-    sizes = np.array([len(s) for s in sets])
-    words, place = np.unique(np.concatenate(sets), return_inverse=True)
-    sets = np.split(place, np.cumsum(sizes)[:-1])
-    marked, label, edges = np.zeros(len(words), bool), np.arange(len(sets)), []
-    for i in range(len(sets) - 1):
-        near = (np.bitwise_count(fp[i + 1 :] ^ fp[i]) <= distance) & (np.bitwise_count(check[i + 1 :] ^ check[i]) <= check_distance) & (label[i + 1 :] != label[i])
-        # sets of sizes so unlike can't be similar
-        near &= (np.minimum(sizes[i + 1 :], sizes[i]) >= similarity * np.maximum(sizes[i + 1 :], sizes[i])) & (sizes[i + 1 :] > 0)
-        if two:
-            near &= block[i + 1 :] != block[i]
-        near = i + 1 + np.flatnonzero(near)
-        if not len(near):
-            continue
-        marked[sets[i]] = True
-        common = np.add.reduceat(marked[np.concatenate([sets[j] for j in near])].astype(np.int64), np.cumsum(sizes[near]) - sizes[near])
-        marked[sets[i]] = False
-        for j in near[common >= similarity * (sizes[near] + sizes[i] - common)].tolist():
-            if label[j] != label[i]:
-                edges.append((i, j))
-                label[label == label[j]] = label[i]
-    return edges
-
-
-def set_digest(values: np.ndarray) -> bytes:
-    """128 bits that stand for a set of values, sorted and distinct."""
-    return xxhash.xxh3_128_digest(values.tobytes())
-
-
-def shingle_hashes(text: str | None, shingle: int) -> list[int]:
-    """The distinct shingles' XXH64 values as signed longs."""
-    return np.unique(shingle_values(text, shingle)).view("<i8").tolist()
