@@ -1,25 +1,31 @@
-"""Benchmark decontamination with a positional inverted index.
+"""Benchmark decontamination with a distributed positional inverted index.
 
-The training documents are indexed in segments of bounded size: a segment's row
-holds, for each benchmark term that occurs in it, the term's positions over the
-segment's words.  Segments are written to the shared folder; the terms' counts
-over all segments order each window's terms from the rarest.  A query meets a
-segment by intersecting the window's position lists, each shifted by the
-term's offset, from the rarest list on: what is left after all of them are exact
-phrase matches.  With ``slop`` above 0 a term may stand that many words off its
-place, which gives proximity matches too.
+The index is built once from the training documents and holds every posting: a
+segment's row has, for each term of a bounded block of documents in term order,
+the term's positions over the block's words.  It is a written table that any
+number of benchmarks can query.  Documents of a segment are ``GAP`` positions
+apart, so no window crosses from one to the next.
+
+A query takes the global counts of its terms from the index and, in each
+segment, intersects every window's position lists, each shifted by the term's
+offset, from the rarest term on; only windows whose rarest term occurs in the segment are
+looked at.  What is left after all lists are exact phrase matches.  With ``slop``
+above 0 a term may stand that many words off its place, which gives proximity
+matches too; an exact match is one of them.
 
 The benchmark is the stated query set: its windows go to the tasks in slices of
-at most ``SLICE_WORDS`` words, and each slice has an index of its own, so what is
-sent to tasks is bounded whatever the benchmark's size.
+at most ``SLICE_WORDS`` words (or one item, if it is longer), which all read the same index.
 
 Nulls: a null text has no words; items without words or without an item_id are
 no items.  Items with the same id are one item.  Null doc_ids and repeated rows are
-reported row by row; a window doesn't cross from one document to the next.
+reported row by row.  Texts are read whole, long ones piece by piece; a task holds the
+positions of ``SEGMENT_CHARS`` characters, or of one text if it is longer.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -29,23 +35,20 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.taskcontext import TaskContext
 
-from .common import alnum_words, blocks, stored, text_rows
+from .common import alnum_pieces, alnum_words, blocks, stored, text_rows
 
 #: Words of the benchmark that are sent to the tasks at a time.
 SLICE_WORDS = 500_000
 #: Characters of text in a segment.
 SEGMENT_CHARS = 8_000_000
+#: Positions between two documents of a segment; slop may be a quarter of it.
+GAP = 64
 
-_SEGMENT = T.StructType([T.StructField(n, t) for n, t in (("segment", T.LongType()), ("doc_ids", T.ArrayType(T.LongType())), ("doc_words", T.ArrayType(T.LongType())), ("terms", T.ArrayType(T.BinaryType())), ("counts", T.ArrayType(T.LongType())), ("postings", T.BinaryType()))])
-_HITS = T.StructType([T.StructField(n, t) for n, t in (("row", T.LongType()), ("doc_id", T.LongType()), ("n_words", T.LongType()), ("begins", T.ArrayType(T.LongType())), ("ends", T.ArrayType(T.LongType())), ("items", T.ArrayType(T.StringType())), ("near_items", T.ArrayType(T.StringType())))])
-
+_SEGMENT = T.StructType([T.StructField(n, t) for n, t in (("segment", T.LongType()), ("doc_ids", T.ArrayType(T.LongType())), ("doc_words", T.ArrayType(T.LongType())), ("terms", T.ArrayType(T.BinaryType())), ("counts", T.ArrayType(T.IntegerType())), ("postings", T.BinaryType()))])
+_HITS = T.StructType([T.StructField(n, t) for n, t in (("segment", T.LongType()), ("place", T.IntegerType()), ("begins", T.ArrayType(T.LongType())), ("ends", T.ArrayType(T.LongType())), ("items", T.ArrayType(T.StringType())), ("near_items", T.ArrayType(T.StringType())))])
 
-def windows_of(words: list[bytes], size: int) -> list[tuple[bytes, ...]]:
-    """All runs of ``size`` words; a shorter list is one window."""
-    return [tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
 
-
-def slices(benchmark: DataFrame, *, item_col: str, text_col: str):
+def slices(benchmark: DataFrame, *, item_col: str, text_col: str) -> Iterator[list[tuple[str, list[bytes]]]]:
     """The benchmark's (item, words), in slices of bounded size that are read one after the other."""
     rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null")
     part, n = [], 0
@@ -57,31 +60,43 @@ def slices(benchmark: DataFrame, *, item_col: str, text_col: str):
         if n >= SLICE_WORDS:
             yield part
             part, n = [], 0
-    yield part
-
-
-def index(docs: DataFrame, terms: set[bytes], *, id_col: str, text_col: str) -> DataFrame:
-    """The segments' rows: documents with their numbers of words, terms, and positions term by term."""
-    known = docs.sparkSession.sparkContext.broadcast({t: k for k, t in enumerate(sorted(terms))})
+    if part:
+        yield part
+
+
+def segment_of(texts: list[str | None]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """Words of each text, terms in order, their counts, and differences of their positions, term by term."""
+    number: dict[bytes, int] = {}
+    sizes, found, at, begin = np.zeros(len(texts), np.int64), [], [], 0
+    for k, t in enumerate(texts):
+        for words in alnum_pieces(t):
+            found.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
+            at.append(np.arange(begin, begin + len(words), dtype="<u4"))
+            begin += len(words)
+            sizes[k] += len(words)
+        begin += GAP
+    terms = sorted(number)
+    rank = np.empty(len(terms), np.int32)
+    rank[[number[t] for t in terms]] = np.arange(len(terms))
+    flat = rank[np.concatenate(found)] if found else np.zeros(0, np.int32)
+    order = np.argsort(flat, kind="stable")
+    positions = np.concatenate(at)[order] if at else np.zeros(0, "<u4")
+    counts = np.bincount(flat, minlength=len(terms))
+    steps = np.diff(positions, prepend=np.uint32(0))
+    firsts = (np.cumsum(counts) - counts).astype(np.int64)
+    steps[firsts] = positions[firsts]
+    return sizes, terms, counts, steps
+
+
+def index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The segments' rows; a segment's number is its partition and its place in it."""
     arrow = to_arrow_schema(_SEGMENT)
 
     def run(batches):
-        number, names, segment = known.value, sorted(known.value, key=known.value.get), TaskContext.get().partitionId() << 32
+        segment = TaskContext.get().partitionId() << 32
         for ids, texts in blocks(batches, SEGMENT_CHARS):
-            sizes, found, begin = [], [], 0
-            at = []
-            for t in texts:
-                words = alnum_words(t)
-                numbers = np.fromiter((number.get(w, -1) for w in words), np.int64, len(words))
-                hit = np.flatnonzero(numbers >= 0)
-                found.append(numbers[hit])
-                at.append(begin + hit)
-                sizes.append(len(words))
-                begin += len(words)
-            found, at = np.concatenate(found), np.concatenate(at)
-            order = np.argsort(found, kind="stable")
-            present, counts = np.unique(found, return_counts=True)
-            row = (segment, ids, sizes, [names[k] for k in present], counts, at[order].astype("<u4").tobytes())
+            sizes, terms, counts, steps = segment_of(texts)
+            row = (segment, ids, sizes, terms, counts, steps.astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, arrow)], schema=arrow)
             segment += 1
 
@@ -91,7 +106,7 @@ def index(docs: DataFrame, terms: set[bytes], *, id_col: str, text_col: str) ->
 def shifted(lists: list[tuple[np.ndarray, int]], slop: int) -> np.ndarray:
     """Starts at which every list has a position within slop of start + offset; lists are (positions, offset), rarest first."""
     positions, offset = lists[0]
-    starts = positions - offset
+    starts = np.unique((positions - offset)[:, None] + np.arange(-slop, slop + 1)) if slop else positions - offset
     for positions, offset in lists[1:]:
         want = starts + offset - slop
         at = np.searchsorted(positions, want)
@@ -102,47 +117,95 @@ def shifted(lists: list[tuple[np.ndarray, int]], slop: int) -> np.ndarray:
     return starts
 
 
-def query(segments: DataFrame, items: list[tuple[str, list[bytes]]], frequency: dict[bytes, int], *, window: int, slop: int) -> DataFrame:
-    """A row per document: spans of exact window matches, the items they come from, and items with proximity matches."""
-    of: dict[tuple[bytes, ...], list[str]] = {}
+def term_counts(segments: DataFrame, terms: list[bytes]) -> dict[bytes, int]:
+    """How often each of the terms occurs in all segments; no more rows than terms reach the driver."""
+    sent = segments.sparkSession.sparkContext.broadcast(set(terms))
+
+    def run(batches):
+        for batch in batches:
+            for listed, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                met = [(t, n) for t, n in zip(listed, counts) if t in sent.value]
+                yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in met], pa.binary()), pa.array([n for _, n in met], pa.int64())], names=["term", "n"])
+
+    counted = segments.select("terms", "counts").mapInArrow(run, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    return {bytes(t): n for t, n in counted}
+
+
+def planned(items: list[tuple[str, list[bytes]]], frequency: dict[bytes, int], window: int) -> tuple[list[bytes], dict[int, list[tuple[np.ndarray, np.ndarray, list[str]]]]]:
+    """The slice's terms, and by its rarest term each window: term numbers, offsets from the rarest on, and items.
+
+    Windows are all runs of ``window`` words, or a shorter item whole.  Terms that occur nowhere rule a window out.
+    """
+    terms = sorted({w for _, words in items for w in words if w in frequency})
+    number = {t: k for k, t in enumerate(terms)}
+    often = np.array([frequency[t] for t in terms], np.int64)
+    of: dict[bytes, list[str]] = {}
     for item, words in items:
-        for w in windows_of(words, window):
-            of.setdefault(w, []).append(item)
-    # terms that occur nowhere rule a window out
-    plan = [(w, sorted(range(len(w)), key=lambda i: (frequency[w[i]], i)), sorted(set(names))) for w, names in of.items() if all(t in frequency for t in w)]
-    sent = segments.sparkSession.sparkContext.broadcast(plan)
+        ids = np.array([number.get(w, -1) for w in words], np.int32)
+        for i in range(max(1, len(ids) - window + 1)):
+            part = ids[i : i + window]
+            if part.min() >= 0:
+                of.setdefault(part.tobytes(), []).append(item)
+    by_rarest: dict[int, list[tuple[np.ndarray, np.ndarray, list[str]]]] = {}
+    for raw, names in of.items():
+        ids = np.frombuffer(raw, np.int32)
+        order = np.argsort(often[ids], kind="stable")
+        by_rarest.setdefault(int(ids[order[0]]), []).append((ids, order, sorted(set(names))))
+    return terms, by_rarest
+
+
+def query(segments: DataFrame, items: list[tuple[str, list[bytes]]], *, window: int, slop: int) -> DataFrame:
+    """A row per document with a match: spans of exact window matches, the items they come from, and items with proximity matches."""
+    if slop > GAP // 4:
+        raise ValueError(f"a slop of at most {GAP // 4}")
+    frequency = term_counts(segments, [w for _, words in items for w in words])
+    sent = segments.sparkSession.sparkContext.broadcast(planned(items, frequency, window))
     arrow = to_arrow_schema(_HITS)
 
+    def matches(row: dict, numbers: dict[bytes, int], by_rarest: dict) -> tuple[dict, dict, dict]:
+        cut = np.concatenate(([0], np.cumsum(row["counts"], dtype=np.int64)))
+        steps = np.frombuffer(row["postings"], "<u4")
+        place = {numbers[t]: k for k, t in enumerate(row["terms"]) if t in numbers}
+        lists: dict[int, np.ndarray] = {}
+
+        def positions(term: int) -> np.ndarray:
+            if term not in lists:
+                lists[term] = np.cumsum(steps[cut[place[term]] : cut[place[term] + 1]], dtype=np.int64)
+            return lists[term]
+
+        sizes = np.array(row["doc_words"], np.int64)
+        ends = np.cumsum(sizes + GAP) - GAP
+        spans: dict[int, list[tuple[int, int]]] = {}
+        exact: dict[int, set[str]] = {}
+        near: dict[int, set[str]] = {}
+        for rarest in place.keys() & by_rarest.keys():
+            for ids, order, names in by_rarest[rarest]:
+                if any(t not in place for t in ids.tolist()):
+                    continue
+                shifts = [(positions(int(ids[k])), int(k)) for k in order]
+                for starts, into in ((shifted(shifts, 0), exact), (shifted(shifts, slop) if slop else (), near)):
+                    if not len(starts):
+                        continue
+                    # the rarest term stands near its place, so within half a gap of its document
+                    docs = np.searchsorted(ends + GAP // 2, starts + int(order[0]), side="right")
+                    for s, d in zip(starts.tolist(), docs.tolist()):
+                        into.setdefault(d, set()).update(names)
+                        if into is exact:
+                            begin = s - int(ends[d] - sizes[d])
+                            spans.setdefault(d, []).append((begin, begin + len(ids)))
+        return spans, exact, near
+
     def run(batches):
+        terms, by_rarest = sent.value
+        numbers = {t: k for k, t in enumerate(terms)}
         for batch in batches:
-            for row in batch.to_pylist():
-                sizes = np.array(row["doc_words"], np.int64)
-                doc_ends = np.cumsum(sizes)
-                cut = np.cumsum(row["counts"])
-                postings = np.frombuffer(row["postings"], "<u4").astype(np.int64)
-                lists = dict(zip(row["terms"], np.split(postings, cut[:-1]))) if len(cut) else {}
-                spans: dict[int, list[tuple[int, int]]] = {}
-                exact: dict[int, set[str]] = {}
-                near: dict[int, set[str]] = {}
-                for words, order, names in sent.value:
-                    if any(words[i] not in lists for i in order):
-                        continue
-                    shifts = [(lists[words[i]], i) for i in order]
-                    last = len(words) - 1
-                    for starts, into in ((shifted(shifts, 0), exact), (shifted(shifts, slop) if slop else (), near)):
-                        if not len(starts):
-                            continue
-                        doc = np.searchsorted(doc_ends, np.maximum(starts, 0), side="right")
-                        whole = (starts >= doc_ends[doc] - sizes[doc]) & (starts + last < doc_ends[doc])
-                        for s, d in zip(starts[whole].tolist(), doc[whole].tolist()):
-                            into.setdefault(d, set()).update(names)
-                            if into is exact:
-                                begin = s - int(doc_ends[d] - sizes[d])
-                                spans.setdefault(d, []).append((begin, begin + last + 1))
-                n = len(sizes)
-                merged = [_union(spans[d]) if d in spans else [] for d in range(n)]
-                rows = (row["segment"] * (1 << 20) + np.arange(n), row["doc_ids"], sizes, [[a for a, _ in m] for m in merged], [[b for _, b in m] for m in merged], [sorted(exact.get(d, ())) for d in range(n)], [sorted(near.get(d, ())) for d in range(n)])
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, arrow)], schema=arrow)
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                spans, exact, near = matches(row, numbers, by_rarest)
+                hit = sorted(exact.keys() | near.keys())
+                merged = [_union(spans.get(d, [])) for d in hit]
+                columns = ([row["segment"]] * len(hit), hit, [[a for a, _ in m] for m in merged], [[b for _, b in m] for m in merged], [sorted(exact.get(d, ())) for d in hit], [sorted(near.get(d, ()) if slop else exact.get(d, ())) for d in hit])
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, arrow)], schema=arrow)
 
     return segments.mapInArrow(run, _HITS)
 
@@ -157,27 +220,33 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, slop: int = 0) -> DataFrame:
-    """(doc_id, n_words, n_hit, begins, ends, items, near_items): spans count words from 0; ends are exclusive."""
-    found = None
-    for items in slices(benchmark, item_col=item_col, text_col=item_text_col):
-        terms = {w for _, words in items for w in words}
-        segments = stored(index(docs, terms, id_col=id_col, text_col=text_col))
-        counted = segments.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy("x.terms").agg(F.sum("x.counts").alias("n"))
-        frequency = {bytes(t): n for t, n in counted.collect()}  # no more rows than the slice has terms
-        rows = query(segments, items, frequency, window=window, slop=slop)
-        found = rows if found is None else found.union(rows)
-        several = found is not rows
-    if several:
-        # a document's row number is the same in every slice's index
+def matched(segments: DataFrame, benchmark: DataFrame, *, item_col: str = "item_id", item_text_col: str = "text", window: int = 10, slop: int = 0) -> DataFrame:
+    """(doc_id, n_words, n_hit, begins, ends, items, near_items) of every document of a written index.
+
+    Spans count words from 0, ends are exclusive.
+    """
+    found = segments.sparkSession.createDataFrame([], _HITS)
+    several = 0
+    for several, items in enumerate(slices(benchmark, item_col=item_col, text_col=item_text_col), 1):
+        rows = query(segments, items, window=window, slop=slop)
+        found = rows if several == 1 else found.unionAll(rows)
+    if several > 1:
         gather = lambda c: F.flatten(F.collect_list(c)).alias(c)
-        found = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), gather("begins"), gather("ends"), *[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("items", "near_items")])
+        found = found.groupBy("segment", "place").agg(gather("begins"), gather("ends"), *[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("items", "near_items")])
 
         @F.pandas_udf("struct<begins:array<long>,ends:array<long>>")
         def union(begins: pd.Series, ends: pd.Series) -> pd.DataFrame:
             m = [_union(list(zip(a.tolist(), b.tolist()))) for a, b in zip(begins, ends)]
             return pd.DataFrame({"begins": [[a for a, _ in x] for x in m], "ends": [[b for _, b in x] for x in m]})
 
-        found = found.withColumn("u", union("begins", "ends")).select("doc_id", "n_words", "u.begins", "u.ends", "items", "near_items")
+        found = found.withColumn("u", union("begins", "ends")).select("segment", "place", "u.begins", "u.ends", "items", "near_items")
+    docs = segments.select("segment", F.posexplode(F.arrays_zip("doc_ids", "doc_words")).alias("place", "d")).select("segment", "place", F.col("d.doc_ids").alias("doc_id"), F.col("d.doc_words").alias("n_words"))
+    none = F.expr("cast(array() as array<bigint>)")
+    out = docs.join(found, ["segment", "place"], "left").withColumns({c: F.coalesce(c, none) for c in ("begins", "ends")}).withColumns({c: F.coalesce(c, F.expr("cast(array() as array<string>)")) for c in ("items", "near_items")})
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    return found.select("doc_id", "n_words", (total(F.col("ends")) - total(F.col("begins"))).alias("n_hit"), "begins", "ends", "items", "near_items")
+    return out.select("doc_id", "n_words", (total(F.col("ends")) - total(F.col("begins"))).alias("n_hit"), "begins", "ends", "items", "near_items")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, slop: int = 0) -> DataFrame:
+    """Indexes the documents and queries the index: see ``matched``."""
+    return matched(stored(index(docs, id_col=id_col, text_col=text_col)), benchmark, item_col=item_col, item_text_col=item_text_col, window=window, slop=slop)
