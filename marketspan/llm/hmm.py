@@ -1,21 +1,25 @@
 """Language-model scores from a hidden Markov model.
 
-States emit word classes and a class emits its words.  A word's class is its
-hash into ``classes`` classes, so the states' parameters have a fixed size that
-can be sent to every task; the words' counts are a table that grows with the
-corpus and is joined, never collected.  The probability of a word is
-P(class | state) * P(word | class), the latter from smoothed counts with one
-share for words that no training text has.
+Baum-Welch trains latent states in rounds.  In all rounds but the last, states
+emit word classes: a word's class is its hash into ``classes`` classes, so what is
+sent to every task has a fixed size.  The last round sums the expected counts by
+word, across partitions, into a table that grows with the corpus and is joined
+to each block's own words, never collected: P(word | state) is the word's smoothed
+share of all tokens, times how much more the state emits it than its share of
+all tokens lets expect.  A word that no training text has keeps one
+smoothed share in every state.  The states' sums are made 1 over all words.
 
 Texts are written once as blocks: a block has its own vocabulary and its
-documents as positions in it.  Baum-Welch: each task runs the scaled
-forward-backward recursion over its blocks' training texts, cut into
-sequences of ``cut`` tokens for training only; expected counts are summed by class
-across partitions, and the new parameters have classes x states numbers.  Scores
-come from the scaled forward recursion over whole texts.
+documents as positions in it.  Each task runs the scaled forward-backward
+recursion over its blocks' training texts, whole: a group of sequences is gone
+through in stretches of ``HELD_TOKENS``, the forward values at their ends are kept, and
+the stretches are redone backwards with the backward values carried along.  Scores come
+from the scaled forward recursion over whole texts.
 
 Nulls: a null text is empty and has only the end token.  A null doc_id counts as
 the text "null" in the choice of training texts; repeated rows are texts of their own.
+Texts are read whole, long ones piece by piece; a task holds a block's tokens as
+32-bit numbers, of ``BLOCK_CHARS`` characters or of one text if it is longer.
 """
 
 from __future__ import annotations
@@ -24,7 +28,6 @@ import math
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -34,7 +37,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.taskcontext import TaskContext
 
-from .common import blocks, stored, text_rows
+from .common import blocks, pieces_of, stored, text_rows
 from .simhash import _LOWER
 
 #: The end token in vocabularies; no word is empty.
@@ -64,12 +67,16 @@ def encode_blocks(docs: DataFrame, *, id_col: str, text_col: str, classes: int)
         for ids, texts in blocks(batches, BLOCK_CHARS):
             known: dict[bytes, int] = {END: 0}
             held = [held_out(i) for i in ids]
-            tokens = []
+            tokens, sizes = [], []
             for t in texts:
-                words = t.translate(_LOWER).encode().split() if t else []
-                tokens.append(np.fromiter((known.setdefault(w, len(known)) for w in words), "<u4", len(words)))
+                n = 1
+                for begin, end in pieces_of(t) if t else ():
+                    words = t[begin:end].translate(_LOWER).encode().split()
+                    tokens.append(np.fromiter((known.setdefault(w, len(known)) for w in words), "<u4", len(words)))
+                    n += len(words)
                 tokens.append(np.zeros(1, "<u4"))
-            sizes = np.array([len(x) + 1 for x in tokens[::2]], np.int64)
+                sizes.append(n)
+            sizes = np.array(sizes, np.int64)
             flat = np.concatenate(tokens)
             counts = np.bincount(flat[~np.repeat(held, sizes)], minlength=len(known))
             of = np.fromiter((word_class(w, classes) for w in known), "<u4", len(known))
@@ -81,7 +88,7 @@ def encode_blocks(docs: DataFrame, *, id_col: str, text_col: str, classes: int)
 
 
 class Model:
-    """Initial, transition and class-emission probabilities."""
+    """Initial, transition and emission probabilities; emit has a row per symbol."""
 
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
         self.start, self.move, self.emit = start, move, emit
@@ -96,8 +103,12 @@ class Model:
         np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
         return cls(np.full(states, 1 / states), move, emit / emit.sum(0))
 
+    def of_words(self, of: np.ndarray) -> "Model":
+        """The model over a block's words: each is emitted as its class is."""
+        return Model(self.start, self.move, self.emit[of])
+
     def steps(self, seqs: list[np.ndarray]):
-        """Sequences side by side, longest first: per step the classes of those that still run."""
+        """Sequences side by side, longest first: per step the symbols of those that still run."""
         order = sorted(range(len(seqs)), key=lambda k: -len(seqs[k]))
         sizes = np.array([len(seqs[k]) for k in order])
         flat = np.concatenate([seqs[k] for k in order])
@@ -106,7 +117,7 @@ class Model:
         return order, flat, begin, running
 
     def log10_probabilities(self, seqs: list[np.ndarray]) -> np.ndarray:
-        """Scaled forward recursion over whole sequences of classes."""
+        """Scaled forward recursion over whole sequences of symbols."""
         order, flat, begin, running = self.steps(seqs)
         total, alpha = np.zeros(len(seqs)), None
         for t, n in enumerate(running):
@@ -119,32 +130,50 @@ class Model:
         out[order] = total
         return out
 
-    def expected(self, seqs: list[np.ndarray], emit: np.ndarray, move: np.ndarray, start: np.ndarray) -> float:
-        """Adds the expected counts of the sequences, by forward and backward recursion; gives their log10 probability."""
+    def expected(self, seqs: list[np.ndarray], emit: np.ndarray, move: np.ndarray, start: np.ndarray, held: int = HELD_TOKENS) -> float:
+        """Adds the expected counts of whole sequences, by forward and backward recursion; gives their log10 probability.
+
+        Forward values are held for stretches of about ``held`` tokens; of all others only those at a stretch's end.
+        """
         order, flat, begin, running = self.steps(seqs)
-        ats, alphas, scales, total = [], [], [], 0.0
-        for t, n in enumerate(running):
-            ats.append(flat[begin[:n] + t])
-            alpha = (self.start if t == 0 else alphas[-1][:n] @ self.move) * self.emit[ats[t]]
-            scale = alpha.sum(1)
-            total += float(np.log10(scale).sum())
-            alphas.append(alpha / scale[:, None])
-            scales.append(scale)
-        beta = np.ones((0, len(self.start)))
-        for t in range(len(running) - 1, -1, -1):
-            n = running[t]
-            beta = np.concatenate((beta, np.ones((n - len(beta), len(self.start)))))
-            gamma = alphas[t] * beta
-            gamma /= gamma.sum(1, keepdims=True)
-            at = ats[t]
-            if t == 0:
-                start += gamma.sum(0)
-            else:
-                back = self.emit[at] * beta / scales[t][:, None]
-                move += self.move * (alphas[t - 1][:n].T @ back)
-                beta = back @ self.move.T
-            alphas[t] = gamma
-        if ats:
+        cuts, n = [0], 0
+        for t, k in enumerate(running):
+            n += int(k)
+            if n >= held or t + 1 == len(running):
+                cuts.append(t + 1)
+                n = 0
+
+        def forward(first: int, end: int, alpha: np.ndarray | None) -> tuple[list, list, list]:
+            ats, alphas, scales = [], [], []
+            for t in range(first, end):
+                n = running[t]
+                ats.append(flat[begin[:n] + t])
+                alpha = (self.start if alpha is None else alpha[:n] @ self.move) * self.emit[ats[-1]]
+                scales.append(alpha.sum(1))
+                alpha = alpha / scales[-1][:, None]
+                alphas.append(alpha)
+            return ats, alphas, scales
+
+        before: list[np.ndarray | None] = [None]
+        for first, end in zip(cuts[:-2], cuts[1:-1]):
+            before.append(forward(first, end, before[-1])[1][-1])
+        total, beta = 0.0, np.ones((0, len(self.start)))
+        for first, end, entry in reversed([*zip(cuts[:-1], cuts[1:], before)]):
+            ats, alphas, scales = forward(first, end, entry)
+            total += sum(float(np.log10(x).sum()) for x in scales)
+            for k in range(end - first - 1, -1, -1):
+                n = len(ats[k])
+                beta = np.concatenate((beta, np.ones((n - len(beta), len(self.start)))))
+                gamma = alphas[k] * beta
+                gamma /= gamma.sum(1, keepdims=True)
+                last = alphas[k - 1] if k else entry
+                if last is None:
+                    start += gamma.sum(0)
+                else:
+                    back = self.emit[ats[k]] * beta / scales[k][:, None]
+                    move += self.move * (last[:n].T @ back)
+                    beta = back @ self.move.T
+                alphas[k] = gamma
             at, gamma = np.concatenate(ats), np.concatenate(alphas)
             for k in range(emit.shape[1]):
                 emit[:, k] += np.bincount(at, gamma[:, k], len(emit))
@@ -169,8 +198,33 @@ def _documents(row: dict) -> list[np.ndarray]:
     return np.split(flat, np.cumsum(row["doc_tokens"])[:-1])
 
 
-def train(rows: DataFrame, totals: np.ndarray, *, states: int, rounds: int, cut: int, smoothing: float) -> Model:
-    """Baum-Welch rounds; a round's counts are summed by class across all tasks."""
+def word_counts(row: dict, model: Model, move: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Expected counts by word and state of a block's training texts; adds those of transitions and starts."""
+    local = model.of_words(np.frombuffer(row["classes"], "<u4"))
+    by_word = np.zeros(local.emit.shape)
+    seqs = [d for d, h in zip(_documents(row), row["held_out"]) if not h]
+    for part in _groups(seqs):
+        local.expected([seqs[k] for k in part], by_word, move, start)
+    return by_word
+
+
+def _renewed(move: np.ndarray, start: np.ndarray, emit: np.ndarray) -> Model:
+    return Model((start + 0.5) / (start + 0.5).sum(), (move + 0.5) / (move + 0.5).sum(1, keepdims=True), emit)
+
+
+def _split(number: np.ndarray, table: np.ndarray, states: int) -> tuple[np.ndarray, np.ndarray]:
+    """Transitions and starts, which travel as numbers below 0."""
+    move, start = np.zeros((states, states)), np.zeros(states)
+    for n, x in zip(number, table):
+        if n >= -states:
+            move[-1 - n] = x
+        else:
+            start = x
+    return move, start
+
+
+def train(rows: DataFrame, totals: np.ndarray, *, states: int, rounds: int, smoothing: float) -> Model:
+    """Baum-Welch rounds over classes; a round's counts are summed by class across all tasks."""
     model = Model.first(totals, states)
     spark, classes = rows.sparkSession, len(totals)
     schema = ", ".join(["class int", *(f"s{k} double" for k in range(states))])
@@ -181,76 +235,125 @@ def train(rows: DataFrame, totals: np.ndarray, *, states: int, rounds: int, cut:
         def count(batches, sent=sent):
             emit, move, start = np.zeros((classes, states)), np.zeros((states, states)), np.zeros(states)
             for batch in batches:
-                for row in batch.to_pylist():
+                for k in range(batch.num_rows):
+                    row = batch.slice(k, 1).to_pylist()[0]
+                    by_word = word_counts(row, sent.value, move, start)
                     of = np.frombuffer(row["classes"], "<u4")
-                    seqs = [x[i : i + cut] for d, h in zip(_documents(row), row["held_out"]) if not h for x in [of[d]] for i in range(0, len(x), cut)]
-                    for part in _groups(seqs):
-                        sent.value.expected([seqs[k] for k in part], emit, move, start)
+                    for s in range(states):
+                        emit[:, s] += np.bincount(of, by_word[:, s], classes)
             used = np.flatnonzero(emit.sum(1))
-            # transitions and starts travel as classes below 0
             table = np.concatenate((emit[used], move, start[None, :]))
             number = np.concatenate((used, -1 - np.arange(states), [-1 - states])).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(number), *(pa.array(table[:, k].copy()) for k in range(states))], names=["class", *(f"s{k}" for k in range(states))])
 
         summed = trained.mapInArrow(count, schema).groupBy("class").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(states)]).toPandas()  # at most classes + states + 1 rows
         number, table = summed["class"].to_numpy(), summed.drop(columns="class").to_numpy()
-        emit, move, start = np.zeros((classes, states)), np.zeros((states, states)), np.zeros(states)
+        emit = np.zeros((classes, states))
         emit[number[number >= 0]] = table[number >= 0]
-        for n, x in zip(number[number < 0], table[number < 0]):
-            if n >= -states:
-                move[-1 - n] = x
-            else:
-                start = x
         # a class seen rarely, or never, is shared out as the states are
         share = emit.sum(0) + 1e-9
         emit += smoothing * share / share.sum()
-        model = Model((start + 0.5) / (start + 0.5).sum(), (move + 0.5) / (move + 0.5).sum(1, keepdims=True), emit / emit.sum(0))
+        model = _renewed(*_split(number[number < 0], table[number < 0], states), emit / emit.sum(0))
         sent.unpersist()
     return model
 
 
+def word_table(rows: DataFrame, model: Model, *, states: int) -> DataFrame:
+    """(word, c, s0, s1, ...): each training word's count and its expected count by state, summed over all blocks.
+
+    Transitions and starts are rows with a null word, numbered by c from -1 down.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+    names = [f"s{k}" for k in range(states)]
+    schema = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("c", T.LongType()), *(T.StructField(n, T.FloatType()) for n in names)])
+    arrow = to_arrow_schema(schema)
+
+    def count(batches):
+        move, start = np.zeros((states, states)), np.zeros(states)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                by_word = word_counts(row, sent.value, move, start)
+                counts = np.array(row["counts"], np.int64)
+                used = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([batch.column("words").slice(k, 1).flatten().take(pa.array(used)), pa.array(counts[used]), *(pa.array(by_word[used, s].astype(np.float32)) for s in range(states))], schema=arrow)
+        table = np.concatenate((move, start[None, :])).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.nulls(states + 1, pa.binary()), pa.array(-1 - np.arange(states + 1)), *(pa.array(table[:, s].copy()) for s in range(states))], schema=arrow)
+
+    counted = rows.select("held_out", "doc_tokens", "tokens", "classes", "words", "counts").mapInArrow(count, schema)
+    which = F.when(F.col("word").isNull(), F.col("c")).otherwise(0)  # numbers of transitions aren't counts
+    summed = counted.groupBy("word", which.alias("_which")).agg(F.sum("c").alias("c"), *[F.sum(n).cast("float").alias(n) for n in names])
+    return summed.select("word", F.when(F.col("word").isNull(), F.col("_which")).otherwise(F.col("c")).alias("c"), *names)
+
+
 _SCORES = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()))])
 
 
-def language_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", states: int = 5, classes: int = 1 << 16, rounds: int = 4, cut: int = 256, smoothing: float = 1.0) -> DataFrame:
+def language_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", states: int = 5, classes: int = 1 << 16, rounds: int = 4, smoothing: float = 1.0) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     rows = stored(encode_blocks(docs, id_col=id_col, text_col=text_col, classes=classes))
-    listed = rows.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("block", "at", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    vocabulary = stored(listed.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")))
 
-    @F.pandas_udf("int")
-    def class_of(words: pd.Series) -> pd.Series:
-        return pd.Series([word_class(bytes(w), classes) for w in words], dtype="int32")
-
-    by_class = vocabulary.groupBy(class_of("word").alias("class")).agg(F.sum("c").alias("tokens"), F.count("*").alias("words")).toPandas()  # at most `classes` rows
-    totals, distinct = np.zeros(classes), np.zeros(classes)
-    totals[by_class["class"]], distinct[by_class["class"]] = by_class["tokens"], by_class["words"]
-    n_all, v_all = int(totals.sum()), int(distinct.sum())
-    model = train(rows, totals, states=states, rounds=rounds, cut=cut, smoothing=smoothing)
+    def by_class(batches):
+        totals = np.zeros(classes, np.int64)
+        for batch in batches:
+            for of, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                np.add.at(totals, np.frombuffer(of, "<u4"), np.array(counts, np.int64))
+        used = np.flatnonzero(totals)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(totals[used])], names=["class", "tokens"])
+
+    found = rows.select("classes", "counts").mapInArrow(by_class, "class int, tokens long").groupBy("class").agg(F.sum("tokens").alias("tokens")).toPandas()  # at most `classes` rows
+    totals = np.zeros(classes)
+    totals[found["class"]] = found["tokens"]
+    model = train(rows, totals, states=states, rounds=max(0, rounds - 1), smoothing=smoothing)
+    counted = stored(word_table(rows, model, states=states))
+    vocabulary = counted.where("word is not null")
+    numbered = counted.where("word is null").drop("word").toPandas()  # states + 1 rows
+    names = [f"s{k}" for k in range(states)]
+    move, start = _split(numbered["c"].to_numpy(), numbered[names].to_numpy(np.float64), states)
+    sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), *[F.coalesce(F.sum(F.col(n).cast("double")), F.lit(0.0)).alias(n) for n in names]).first()
+    n_all, v_all = sums["n"], sums["v"]
+    whole = n_all + 0.5 * (v_all + 1)
+    share = (np.array([sums[n] for n in names]) + 1e-9) / (sum(sums[n] for n in names) + 1e-9 * states)
+    # P(word | state) before the states' sums are made 1: see ``emissions``
+    made = [F.sum((F.col("c") + 0.5) / F.lit(whole) * (F.col(n).cast("double") + smoothing * float(share[k])) / (F.col("c") + smoothing) / float(share[k])) for k, n in enumerate(names)]
+    sums = vocabulary.agg(*[F.coalesce(x, F.lit(0.0)).alias(n) for x, n in zip(made, names)]).first()
+    scale = np.array([sums[n] for n in names]) + 0.5 / whole
 
     # each block gets the counts of its own words
-    counted = listed.select("block", "at", "word").join(vocabulary, "word").groupBy("block").agg(F.collect_list("at").alias("at"), F.collect_list("c").alias("c"))
-    sent = docs.sparkSession.sparkContext.broadcast((model, totals, distinct))
+    listed = rows.select("block", F.posexplode("words").alias("at", "word"))
+    counted = listed.join(vocabulary, "word").groupBy("block").agg(F.collect_list(F.struct("at", "c", *names)).alias("known"))
+    sent = docs.sparkSession.sparkContext.broadcast((_renewed(move, start, np.zeros((0, states))), share, scale))
     arrow = to_arrow_schema(_SCORES)
 
     def run(batches):
-        model, totals, distinct = sent.value
+        model, share, scale = sent.value
         for batch in batches:
             for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                of = np.frombuffer(row["classes"], "<u4")
-                c = np.zeros(len(of))
-                if row["at"]:
-                    c[row["at"]] = row["c"]
-                base = np.log10((c + 0.5) / (n_all + 0.5 * (v_all + 1)))
-                inside = np.log10((c + 0.5) / (totals[of] + 0.5 * (distinct[of] + 1)))
+                one = batch.slice(k, 1)
+                known = one.column("known").flatten()
+                row = one.select([n for n in one.schema.names if n != "known"]).to_pylist()[0]
+                c, by_state = np.zeros(row["n_words"]), np.zeros((row["n_words"], states))
+                at = known.field("at").to_numpy(zero_copy_only=False)
+                c[at] = known.field("c").to_numpy(zero_copy_only=False)
+                for s in range(states):
+                    by_state[at, s] = known.field(f"s{s}").to_numpy(zero_copy_only=False)
+                local = Model(model.start, model.move, emissions(c, by_state, share, scale, whole, smoothing))
+                base = np.log10((c + 0.5) / whole)
                 seqs = _documents(row)
                 score = np.zeros(len(seqs))
                 for part in _groups(seqs):
-                    score[part] = model.log10_probabilities([of[seqs[k]] for k in part])
-                score += [math.fsum(inside[s].tolist()) for s in seqs]
-                made = (row["doc_ids"], row["held_out"], row["doc_tokens"], [int((c[s] > 0).sum()) for s in seqs], [math.fsum(base[s].tolist()) for s in seqs], score)
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(made, arrow)], schema=arrow)
+                    score[part] = local.log10_probabilities([seqs[k] for k in part])
+                out = (row["doc_ids"], row["held_out"], row["doc_tokens"], [int((c[s] > 0).sum()) for s in seqs], [math.fsum(base[s].tolist()) for s in seqs], score)
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, arrow)], schema=arrow)
 
-    scored = rows.join(counted, "block", "left").select("doc_ids", "held_out", "doc_tokens", "tokens", "classes", "at", "c").mapInArrow(run, _SCORES)
+    scored = rows.join(counted, "block", "left").select("doc_ids", "held_out", "doc_tokens", "tokens", F.size("words").alias("n_words"), "known").mapInArrow(run, _SCORES)
     return scored.withColumn("train_tokens", F.lit(n_all).cast("long"))
+
+
+def emissions(c: np.ndarray, by_state: np.ndarray, share: np.ndarray, scale: np.ndarray, whole: float, smoothing: float) -> np.ndarray:
+    """P(word | state): the smoothed share of all tokens, times the state's preference for the word.
+
+    The preference is the state's smoothed part of the word's tokens over its part of all tokens; scale makes each state's sum 1.
+    """
+    preference = (by_state + smoothing * share) / (c[:, None] + smoothing) / share
+    return ((c + 0.5) / whole)[:, None] * preference / scale
