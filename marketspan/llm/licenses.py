@@ -10,6 +10,8 @@ evaluated, to the licences it names or against a set of accepted ones.
 Nulls: a null text is empty: no words, no labels, score 0.  Malformed
 expressions (two names in a row, an operator without an operand, open
 brackets) give no label.  Null ids and repeated rows are scanned as they stand.
+Texts are scanned whole, in time linear in their length; a task holds the words of
+about a million characters at a time, or of one text if it is longer.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 import re
 
 import ahocorasick
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -121,7 +124,7 @@ def scan(text: str | None) -> dict:
     """Counts, places and labels of one text."""
     words = text.encode().translate(WORD_BYTES).split() if text else []
     line = (b" " + b" ".join(words) + b" ").decode("latin1")
-    base, labels, places, tagged, known = set(), set(), [], False, 0
+    base, labels, ends, tagged, known = set(), set(), [], False, 0
     for end, (phrase, label) in _automaton().iter(line):
         if phrase == TAG:
             tagged = True
@@ -130,7 +133,12 @@ def scan(text: str | None) -> dict:
         known += phrase.count(" ") + 1
         if phrase in BASE_PHRASES:
             base.add(label)
-            places.append(line.count(" ", 0, end - len(phrase) - 1))
+            ends.append((end, phrase.count(" ")))
+    places = []
+    if ends:
+        # where each word's last character stands in the line
+        last = np.cumsum([len(w) + 1 for w in words])
+        places = (np.searchsorted(last, [e - 1 for e, _ in ends]) - [n for _, n in ends]).tolist()
     expressions = []
     if tagged:
         for found in _TAG_IN_TEXT.findall(text):
