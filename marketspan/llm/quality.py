@@ -10,7 +10,8 @@ covers more than ``max_covered`` of its words or if its longest repeat has more
 ``max_repeat`` words.
 
 Nulls: a null text has no words and no lines.  Null ids, ties and repeated rows
-are judged row by row; texts are judged whole, whatever their length.
+are judged row by row; texts are judged whole, whatever their length.  A task holds a
+few integers for each word of about a million characters at a time, or of one text if it is longer.
 """
 
 from __future__ import annotations
@@ -37,53 +38,83 @@ def _ranks(keys: np.ndarray) -> np.ndarray:
 
 
 class SuffixRanks:
-    """Ranks of word windows of 1, 2, 4, ... words for many documents in a row.
+    """Suffixes of many documents in a row in order, by prefix doubling over 1, 2, 4, ... words.
 
-    levels[k][i] is the rank of the 2**k words from i; windows that pass the end of
-    their document rank by their words alone and equal no window of another document or length.
+    Ranks never mix documents: a suffix that ends early comes before its
+    extensions, and equals no window of another document or length.  ``first``
+    and ``second`` are the ranks of windows of one and two words; of the
+    later ranks only the last are kept.
     """
 
-    def __init__(self, words: np.ndarray, doc: np.ndarray, ends: np.ndarray, least_levels: int = 0):
+    def __init__(self, words: np.ndarray, doc: np.ndarray, ends: np.ndarray):
         n = len(words)
         self.ends = ends  # of each word's document
-        rank = _ranks(doc.astype(np.int64) * (int(words.max(initial=0)) + 1) + words)
-        self.levels = [rank]
         where = np.arange(n)
-        k = 1
-        while True:
-            if len(self.levels) > least_levels and len(np.unique(rank)) == n:
-                break
+        rank = _ranks(doc.astype(np.int64) * (int(words.max(initial=0)) + 1) + words)
+        self.first, self.second, k = rank, None, 1
+        while self.second is None or k < n and int(rank.max(initial=-1)) + 1 < n:
             after = np.where(where + k < ends, rank[np.minimum(where + k, n - 1)] + 1, 0)
-            new = _ranks(rank.astype(np.int64) * (n + 1) + after)
-            self.levels.append(new)
-            if len(self.levels) > least_levels and k >= n:
+            rank = _ranks(rank.astype(np.int64) * (n + 1) + after)
+            if self.second is None:
+                self.second = rank
+            k *= 2
+        self.rank = rank
+        self.order = np.argsort(rank, kind="stable")
+
+    def common(self) -> np.ndarray:
+        """Longest common prefix of each suffix in order with the one before it, 0 for the first.
+
+        The suffix one word on keeps all but one of its common words, so only the
+        first suffix of each chain of neighbours is compared, all chains side by side;
+        these comparisons take about n log n words in all.
+        """
+        n = len(self.first)
+        before = np.full(n, -1)
+        before[self.order[1:]] = self.order[:-1]
+        # only neighbours with an equal first word share anything
+        before[(before >= 0) & (self.first[before] != self.first)] = -1
+        lcp = np.zeros(n, np.int64)
+        # links of a chain: the suffix one word on has the neighbour one word on
+        chained = np.zeros(n, bool)
+        inner = np.flatnonzero(before[1:] >= 0) + 1
+        chained[inner] = (before[inner - 1] >= 0) & (before[inner] == before[inner - 1] + 1) & (self.ends[inner] == self.ends[inner - 1])
+        at = np.flatnonzero((before >= 0) & ~chained)
+        i, j, out = at.copy(), before[at], np.zeros(len(at), np.int64)
+        live = np.arange(len(at))
+        for _ in range(32):
+            if not len(live):
                 break
-            rank, k = new, 2 * k
-        self.order = np.argsort(self.levels[-1], kind="stable")
-
-    def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Longest common prefixes of the suffixes at i and j, from the largest windows down."""
-        i, j, out = i.copy(), j.copy(), np.zeros(len(i), np.int64)
-        n = len(self.levels[0])
-        for k in range(len(self.levels) - 1, -1, -1):
-            size = 1 << k
-            inside = (i + size <= self.ends[np.minimum(i, n - 1)]) & (j + size <= self.ends[np.minimum(j, n - 1)]) & (i < n) & (j < n)
-            same = inside & (self.levels[k][np.minimum(i, n - 1)] == self.levels[k][np.minimum(j, n - 1)])
-            i, j, out = i + size * same, j + size * same, out + size * same
-        return out
+            a, b = i[live], j[live]
+            same = (a < self.ends[at[live]]) & (b < self.ends[before[at[live]]])
+            a, b = np.minimum(a, n - 1), np.minimum(b, n - 1)
+            same &= self.first[a] == self.first[b]
+            live = live[same]
+            i[live] += 1
+            j[live] += 1
+            out[live] += 1
+        for k in live.tolist():  # long repeats, of which there are few: by stretches of words
+            a, b, size = int(i[k]), int(j[k]), 64
+            rest = min(int(self.ends[at[k]]) - a, int(self.ends[before[at[k]]]) - b)
+            while rest > 0:
+                size = min(2 * size, rest)
+                differ = np.flatnonzero(self.first[a : a + size] != self.first[b : b + size])
+                step = int(differ[0]) if len(differ) else size
+                out[k] += step
+                a, b, rest = a + step, b + step, rest - size if step == size else 0
+        lcp[at] = out
+        # along a chain each value is one less than the one before it
+        head = np.maximum.accumulate(np.where((before >= 0) & ~chained, np.arange(n), -1))
+        on = np.flatnonzero(chained)
+        lcp[on] = lcp[head[on]] - (on - head[on])
+        return lcp[self.order]
 
     def repeats(self, least: int) -> np.ndarray:
         """For each word the length of the longest repeat that starts there, 0 if under least words."""
-        left, right = self.order[:-1], self.order[1:]
-        # only neighbours whose first words agree over a window of at most ``least`` words can share as many
-        k = min(max(0, least.bit_length() - 1), len(self.levels) - 1)
-        near = self.levels[k][left] == self.levels[k][right]
-        left, right = left[near], right[near]
-        lcp = self.common(left, right)
-        keep = lcp >= least
-        longest = np.zeros(len(self.levels[0]), np.int64)
-        np.maximum.at(longest, left[keep], lcp[keep])
-        np.maximum.at(longest, right[keep], lcp[keep])
+        lcp = self.common()
+        keep = np.flatnonzero(lcp >= least)
+        longest = np.zeros(len(self.first), np.int64)
+        np.maximum.at(longest, self.order[keep - 1], lcp[keep])
+        np.maximum.at(longest, self.order[keep], lcp[keep])
         return longest
 
 
@@ -112,11 +143,11 @@ def measure(texts: list[str | None], min_repeat: int) -> dict[str, np.ndarray]:
         dup.append(len(lines) - len(set(lines)))
     out["n_dup_lines"] = np.array(dup, np.int64)
     if n:
-        ranks = SuffixRanks(flat, doc, ends, 1)
+        ranks = SuffixRanks(flat, doc, ends)
         where = np.arange(n)
         starts = where[where + 3 <= ends]
         if len(starts):
-            window = _ranks(ranks.levels[1][starts].astype(np.int64) * (n + 1) + ranks.levels[0][starts + 2])
+            window = _ranks(ranks.second[starts].astype(np.int64) * (n + 1) + ranks.first[starts + 2])
             twice = np.bincount(window)[window] > 1
             out["n_repeat_words"] = np.bincount(doc, covered(starts[twice], np.full(int(twice.sum()), 3), n), len(texts)).astype(np.int64)
         longest = ranks.repeats(min_repeat)
