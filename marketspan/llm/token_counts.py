@@ -8,8 +8,13 @@ differences from one prefix to the next, one small integer per character; sums
 of them answer how many tokens a prefix has, or where a budget is used up, without
 encoding again.  Differences are remembered per piece of text between sure cuts.
 
-Counts of texts with unusual characters are checked against the library, and
-taken from it prefix by prefix if they differ.
+Where characters are unusual (engines may class them in another way) each distinct unit's
+prefixes are checked against the library, and each stretch between sure cuts by its
+total; a stretch that differs is taken from the library prefix by prefix.  That is
+quadratic in the stretch, so it matters only where nothing in a text separates words.
+Tokenizer files of another kind than byte-level merges are refused.
+
+A worker remembers a bounded number of units, beginnings and pairs of tokens.  Texts are counted whole.
 Nulls: a null text is empty and has no tokens; repeated rows and null ids are
 counted as they stand.
 """
@@ -25,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import by_batch, text_rows
-from .tokenization import _UNUSUAL, load_tokenizer, tokenizer_path
+from .tokenization import _UNUSUAL, is_byte_level, load_tokenizer, tokenizer_path
 
 #: Fixed value: how byte-level tokenizers split text before merging.
 _PRE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
@@ -34,12 +39,18 @@ _UNITS = regex.compile(_PRE + r"|\s+(?:(?<= )(?:\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+))
 #: The vocabulary's one special string, which the library takes for one token inside texts.
 SPECIAL = "<|endoftext|>"
 #: What a worker remembers: units, and the tables of beginnings of so many bytes.
-CACHE_UNITS, CACHE_HEADS, HEAD_BYTES = 1_000_000, 200_000, 6
+CACHE_UNITS, CACHE_HEADS, HEAD_BYTES, CACHE_PAIRS = 1_000_000, 200_000, 6, 2_000_000
+#: Characters of a unit whose prefixes are checked one by one.
+CHECKED_CHARS = 64
+#: A cut that every engine makes: a space between two visible ASCII characters.
+_SURE = regex.compile(r"(?<=[!-~])(?= [!-~])")
 _WORKER: dict = {}
 
 
 class PrefixCounter:
     def __init__(self, path: str):
+        if not is_byte_level(path):
+            raise ValueError(f"{path} is no byte-level merge tokenizer")
         self.library = load_tokenizer(path)
         visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         bytes_of = {chr(c): c for c in visible} | {chr(0x100 + k): b for k, b in enumerate(sorted(set(range(256)) - set(visible)))}
@@ -85,6 +96,8 @@ class PrefixCounter:
                 left_until, left = left, self.halves[left][1]
             else:
                 right_until, right = right, self.halves[right][0]
+        if len(self.follows) >= CACHE_PAIRS:
+            self.follows.clear()
         self.follows[before, token] = apart
         return apart
 
@@ -138,6 +151,8 @@ class PrefixCounter:
             counts = self.pre_token(text)
             if text in ("'re", "'ve", "'ll"):  # cut after two characters it is a quote and a letter
                 counts[1] = 2
+        if _UNUSUAL.search(text) and len(text) <= CHECKED_CHARS:
+            counts = [self._count(text[:k]) for k in range(1, len(text) + 1)]
         steps = [b - a for a, b in zip([0, *counts], counts)]
         if len(self.units) >= CACHE_UNITS:
             self.units.clear()
@@ -160,17 +175,29 @@ class PrefixCounter:
         return np.concatenate([*parts, rest]).astype(np.int32) if parts else rest
 
     def _plain(self, text: str) -> np.ndarray:
+        if not _UNUSUAL.search(text):
+            return self._steps(text)
+        parts, usual = [], []
+        for stretch in _SURE.split(text):
+            if not _UNUSUAL.search(stretch):
+                usual.append(stretch)
+                continue
+            steps = self._steps(stretch)
+            if int(steps.sum(dtype=np.int64)) != self._count(stretch):
+                steps = self._by_library(stretch)
+            parts += [self._steps("".join(usual)), steps]
+            usual = []
+        return np.concatenate([*parts, self._steps("".join(usual))])
+
+    def _steps(self, text: str) -> np.ndarray:
+        units = _UNITS.findall(text)
         try:
-            units = _UNITS.findall(text)
             try:
-                steps = np.frombuffer(b"".join(map(self.units.__getitem__, units)), np.int8)
+                return np.frombuffer(b"".join(map(self.units.__getitem__, units)), np.int8)
             except KeyError:
-                steps = np.frombuffer(b"".join([self.unit(u) for u in units]), np.int8)
+                return np.frombuffer(b"".join([self.unit(u) for u in units]), np.int8)
         except OverflowError:
             return self._by_library(text)
-        if _UNUSUAL.search(text) and int(steps.sum(dtype=np.int64)) != self._count(text):
-            return self._by_library(text)
-        return steps
 
     def _count(self, text: str) -> int:
         return len(self.library.encode(text, add_special_tokens=False).ids)
@@ -189,14 +216,14 @@ def prefix_counter(path: str) -> PrefixCounter:
 _COUNTS = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("n_bytes", T.LongType()), ("n_tokens", T.LongType()), ("steps", T.BinaryType()))])
 
 
-def prefix_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, steps): steps has little-endian 16-bit differences, one per character."""
+def prefix_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", keep_steps: bool = True) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, steps): steps has little-endian 16-bit differences, one per character; null if they aren't kept."""
     path = tokenizer_path(tokenizer)
 
     def made(ids, texts):
         counter = prefix_counter(path)
         steps = [counter.differences(t) if t else np.zeros(0, np.int8) for t in texts]
-        return {"doc_id": ids, "n_bytes": [len(t.encode()) if t else 0 for t in texts], "n_tokens": [int(x.sum(dtype=np.int64)) for x in steps], "steps": [x.astype("<i2").tobytes() for x in steps]}
+        return {"doc_id": ids, "n_bytes": [len(t.encode()) if t else 0 for t in texts], "n_tokens": [int(x.sum(dtype=np.int64)) for x in steps], "steps": [x.astype("<i2").tobytes() if keep_steps else None for x in steps]}
 
     return text_rows(docs, id_col=id_col, text_col=text_col).mapInArrow(by_batch(made, _COUNTS), _COUNTS)
 

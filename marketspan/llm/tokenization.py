@@ -8,6 +8,7 @@ strings) go to the library whole, so ids always equal the library's.
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -45,6 +46,7 @@ def load_tokenizer(path: str, specials_as_text: bool = False):
 class CachedEncoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes.
 
+    cut "whole": any tokenizer, texts are encoded whole.
     cut "space": byte-level BPE, where a space before a visible character or a
     lone line break starts a pre-token.  cut "white": tokenizers that drop white
     space and fold case.
@@ -81,7 +83,7 @@ class CachedEncoder:
 
     def _cuts(self, text: str) -> tuple[str, list[str]] | None:
         """What stands before the first sure cut, and the pieces after it; None if the whole text must be encoded."""
-        if _SPECIAL in text:
+        if self.cut == "whole" or _SPECIAL in text:
             return None
         if self.cut == "white":
             return None if _UNUSUAL_SPACED.search(text) else ("", text.lower().split())
@@ -120,7 +122,31 @@ def cached_encoder(path: str, cut: str, specials_as_text: bool = False) -> Cache
     return _WORKER[key]
 
 
+def described(path: str) -> dict:
+    """What a tokenizer file says about itself, without vocabulary and merges."""
+    key = ("description", path)
+    if key not in _WORKER:
+        with open(path, encoding="utf-8") as f:
+            found = json.load(f)
+        _WORKER[key] = {k: v for k, v in found.items() if k != "model"} | {"kind": found["model"].get("type"), "ignore_merges": found["model"].get("ignore_merges")}
+    return _WORKER[key]
+
+
+def is_byte_level(path: str) -> bool:
+    """Whether the file is byte-level BPE over the usual split, whose one special string is ``CachedEncoder.JOINER``."""
+    d = described(path)
+    pre = d["pre_tokenizer"] or {}
+    usual = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    return bool(usual and d["normalizer"] is None and d["kind"] == "BPE" and not d["ignore_merges"] and [t["content"] for t in d["added_tokens"]] == [CachedEncoder.JOINER])
+
+
 def cut_of(path: str) -> str:
-    """How texts may be cut for a tokenizer file, from its own description."""
-    library = load_tokenizer(path)
-    return "space" if library.normalizer is None else "white"
+    """How texts may be cut for a tokenizer file, from its own description; "whole" for kinds that aren't known here."""
+    d = described(path)
+    if is_byte_level(path):
+        return "space"
+    steps = (d["normalizer"] or {}).get("normalizers", [])
+    folds = {x["type"] for x in steps} == {"NFC", "Replace", "Lowercase"} and all(x.get("pattern") == {"Regex": r"\s+"} and x["content"] == " " for x in steps if x["type"] == "Replace")
+    splits = [x for x in (d["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"]
+    drops = len(splits) == 1 and splits[0]["behavior"] == "Removed" and splits[0]["invert"] and r"[^\s\p{L}\p{N}]+" in splits[0]["pattern"].get("Regex", "")
+    return "white" if folds and drops and CachedEncoder.JOINER in [t["content"] for t in d["added_tokens"]] else "whole"
