@@ -8,7 +8,8 @@ without decoding its neighbours.  Shards lie in Parquet files, in ascending
 doc_id order, so they can be kept in any store that Spark reads.
 
 Nulls: a null text is empty and has only the end id.  A null doc_id sorts
-first.  Repeated doc_ids are documents of their own, in order of their text.
+first.  Repeated doc_ids are documents of their own, in order of their texts' hashes.
+Texts are encoded whole; a task holds the ids of a shard, ``SHARD_TOKENS`` and one text more at most.
 """
 
 from __future__ import annotations
@@ -117,16 +118,19 @@ def write_token_files(docs: DataFrame, path: str, *, id_col: str = "doc_id", tex
     rows.repartitionByRange("doc_id", digest).sortWithinPartitions("doc_id", digest, "text").mapInArrow(run, _SHARD).write.parquet(path)
 
 
-def shards(spark: SparkSession, path: str) -> DataFrame:
-    """The shards with ``base``: ids in all shards before; prefix sums of the parts' totals, then within a part."""
-    rows = spark.read.schema(_SHARD).parquet(path)
-    sizes = rows.select("part", "shard", "n_tokens")
+def places(spark: SparkSession, path: str) -> DataFrame:
+    """(part, shard, n_tokens, base) of each shard, base being the ids in all shards before: prefix sums of the parts' totals, then within a part."""
+    sizes = spark.read.schema(_SHARD).parquet(path).select("part", "shard", "n_tokens")
     totals = sizes.groupBy("part").agg(F.sum("n_tokens").alias("all"))
-    parts = totals.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("part_base"))
-    inside = sizes.select("part", "shard", (F.sum("n_tokens").over(Window.partitionBy("part").orderBy("shard")) - F.col("n_tokens")).alias("inside"))
+    parts = totals.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("part_base"))  # a row per task that wrote
+    inside = sizes.select("part", "shard", "n_tokens", (F.sum("n_tokens").over(Window.partitionBy("part").orderBy("shard")) - F.col("n_tokens")).alias("inside"))
+    return inside.join(parts, "part").select("part", "shard", "n_tokens", (F.col("part_base") + F.col("inside")).alias("base"))
+
+
+def shards(spark: SparkSession, path: str) -> DataFrame:
+    """The shards with ``base``."""
     # a written table: its size is known when the join is planned, so the shards aren't moved to meet a few numbers
-    base = stored(inside.join(parts, "part").select("part", "shard", (F.col("part_base") + F.col("inside")).alias("base")))
-    return rows.join(base, ["part", "shard"])
+    return spark.read.schema(_SHARD).parquet(path).join(stored(places(spark, path).drop("n_tokens")), ["part", "shard"])
 
 
 _DOC = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "start", "n_tokens", "ids_crc32")])
@@ -149,9 +153,12 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_at(spark: SparkSession, path: str, position: int) -> int | None:
-    """The id at a global position: one shard is read, and one token in it."""
-    row = shards(spark, path).where((F.col("base") <= position) & (F.col("base") + F.col("n_tokens") > position)).select("codes", "base").first()
-    return None if row is None else Codes(bytes(row["codes"]))[position - row["base"]]
+    """The id at a global position: the small columns say which shard has it, only that one's codes are read, and one token in it."""
+    at = places(spark, path).where((F.col("base") <= position) & (F.col("base") + F.col("n_tokens") > position)).first()
+    if at is None:
+        return None
+    row = spark.read.schema(_SHARD).parquet(path).where((F.col("part") == at["part"]) & (F.col("shard") == at["shard"])).select("codes").first()
+    return Codes(bytes(row["codes"]))[position - at["base"]]
 
 
 def written_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", end_id: int = 0) -> DataFrame:
