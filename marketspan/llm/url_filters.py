@@ -7,7 +7,11 @@ Pages without a rule take the decision of their aliases: pages that redirects
 are connected components over those links.  If any alias is allowed by a rule the
 page is allowed; else if any is blocked it is blocked; else it is allowed.
 
-Only DataFrame functions are used.  Urls are compared without their fragment.
+Only DataFrame functions are used.  Links in comments, scripts and styles don't
+count.  Targets are resolved against their page: absolute, from the scheme, from the root, beside
+the page (with ``.`` and ``..``), or its query only; a target that is empty or a
+fragment only is the page itself.  Urls are compared without their fragment, with dot
+segments removed and an empty path as ``/``.  Pages are read whole.
 Nulls: a null url, or one without ``://``, has an empty host and path, no rule
 and no aliases, and is allowed; a null html has no links.  Repeated urls are
 aliases of each other; repeated rows are judged alike.
@@ -21,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import connected_components, stored
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 _TAGS = r"(?is)<(?:link|meta)\s[^>]*>"
 _CANONICAL = r"(?is)\srel\s*=\s*[\"']?canonical[\"'\s>/]"
 _REFRESH = r"(?is)\shttp-equiv\s*=\s*[\"']?refresh[\"'\s>/]"
@@ -56,14 +61,14 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
 
 def link_targets(html: Column) -> Column:
     """All canonical and refresh targets in a page, as they are written."""
-    tags = F.regexp_extract_all(html, F.lit(_TAGS), F.lit(0))
+    tags = F.regexp_extract_all(F.regexp_replace(html, _HIDDEN, " "), F.lit(_TAGS), F.lit(0))
     canonical = F.transform(F.filter(tags, lambda t: t.rlike(_CANONICAL)), lambda t: F.concat(F.regexp_extract(t, _HREF, 1), F.regexp_extract(t, _HREF, 2), F.regexp_extract(t, _HREF, 3)))
     refresh = F.transform(F.filter(tags, lambda t: t.rlike(_REFRESH)), lambda t: F.regexp_extract(t, _TARGET, 1))
-    return F.filter(F.transform(F.concat(canonical, refresh), lambda t: F.trim(t)), lambda t: t != "")
+    return F.filter(F.transform(F.concat(canonical, refresh), lambda t: F.regexp_replace(F.trim(t), "&(?:amp|#38|#x26);", "&")), lambda t: t != "")
 
 
 def absolute(target: Column, url: Column) -> Column:
-    """A target as a url: absolute, from the scheme, from the host's root, or beside the page."""
+    """A target as a url: absolute, from the scheme, from the host's root, beside the page, or the page with another query or none."""
     scheme = F.regexp_extract(url, r"(?s)^([^:/?#]*)://", 1)
     root = F.concat(scheme, F.lit("://"), host_of(url))
     folder = F.regexp_replace(path_of(url), r"[^/]*$", "")
@@ -71,15 +76,26 @@ def absolute(target: Column, url: Column) -> Column:
         F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
         .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
         .when(target.startswith("/"), F.concat(root, target))
+        .when(target.startswith("?"), F.concat(root, path_of(url), target))
+        .when(target.startswith("#"), url)
         .otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), target))
     )
 
 
+def without_dots(path: Column) -> Column:
+    """A path whose ``.`` and ``..`` segments are carried out; empty becomes ``/``."""
+    closed = F.when(path.rlike(r"/\.\.?$"), F.concat(path, F.lit("/"))).otherwise(path)
+    step = lambda kept, x: F.when(x == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).when(x == ".", kept).otherwise(F.array_append(kept, x))
+    parts = F.slice(F.split(closed, "/"), F.lit(2), F.greatest(F.size(F.split(closed, "/")) - 1, F.lit(0)))
+    walked = F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.expr("cast(array() as array<string>)"), step), "/"))
+    return F.when(path == "", "/").when(path.contains("/."), walked).otherwise(path)
+
+
 def node_of(url: Column) -> Column:
-    """A url without its fragment and with a lower-cased scheme and host."""
+    """A url without its fragment, with a lower-cased scheme and host and without dot segments."""
     bare = F.regexp_extract(url, r"(?s)^([^#]*)", 1)
-    rest = F.regexp_extract(bare, r"(?s)^[^:/?#]*://[^/?#]*(.*)$", 1)
-    return F.concat(ascii_lower(F.regexp_extract(bare, r"(?s)^([^:/?#]*)://", 1)), F.lit("://"), host_of(bare), rest)
+    query = F.regexp_extract(bare, r"(?s)^[^?]*(\?.*)$", 1)
+    return F.concat(ascii_lower(F.regexp_extract(bare, r"(?s)^([^:/?#]*)://", 1)), F.lit("://"), host_of(bare), without_dots(path_of(bare)), query)
 
 
 def page_links(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", redirects: DataFrame | None = None) -> DataFrame:
