@@ -37,15 +37,24 @@ def unified_accounts(facts: DataFrame) -> DataFrame:
     return sums.withColumn("complete", whole).withColumn("conversions", F.when(F.col("complete"), F.col("conversions"))).withColumn("conversion_value", F.when(F.col("complete"), F.col("conversion_value")))
 
 
-def daily_series(facts: DataFrame, days: DataFrame) -> DataFrame:
-    """Every day of the spine: spend and fail-closed value; days without facts are 0 spend and no value."""
-    sums = facts.groupBy(F.col("date").alias("day")).agg(F.sum("spend").cast("double").alias("spend"), sum_if_complete(F.col("conversion_value")).cast("double").alias("conversion_value"))
-    return days.join(sums, "day", "left").fillna({"spend": 0.0})
+def daily_series(facts: DataFrame) -> DataFrame:
+    """By day and currency, over the level that each provider is read at; currencies are never added.
 
+    A point's purchases and their value are null if any fact of the day lacks them.
+    """
+    sums = level_policy(facts).groupBy(F.col("date").alias("day"), F.coalesce("currency", F.lit("UNKNOWN")).alias("currency"))
+    return sums.agg(F.sum("spend").cast("double").alias("spend"), F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"), sum_if_complete(F.col("conversions")).alias("purchases"), sum_if_complete(F.col("conversion_value")).cast("double").alias("purchase_value"))
+
+
+def monitor_summary(facts: DataFrame, provider: str = "TIKTOK", keys: list[str] | None = None) -> DataFrame:
+    """The monitor's rules, over one provider's ad facts: missing conversions count 0, CTR in percent, no ROAS without value.
 
-def monitor_summary(facts: DataFrame) -> DataFrame:
-    """The monitor's rules: missing conversions count 0, CTR in percent, no ROAS without value."""
-    out = facts.groupBy("currency").agg(F.sum("spend").cast("double").alias("spend"), F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"), F.coalesce(F.sum("conversions"), F.lit(0)).alias("conversions"), F.coalesce(F.sum("conversion_value").cast("double"), F.lit(0.0)).alias("conversion_value"))
+    By currency, or by currency and other keys.
+    """
+    own = facts.where((F.col("provider") == provider) & (F.col("level") == "AD"))
+    weighted = F.coalesce(F.sum(F.when(F.col("impressions") > 0, F.col("frequency") * F.col("impressions"))), F.lit(0)).cast("double")
+    out = own.groupBy("currency", *(keys or [])).agg(F.count("*").alias("row_count"), F.sum("spend").cast("double").alias("spend"), F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"), F.coalesce(F.sum("conversions"), F.lit(0)).alias("conversions"), F.coalesce(F.sum("conversion_value").cast("double"), F.lit(0.0)).alias("conversion_value"), weighted.alias("_weighted"))
+    out = out.withColumn("frequency", safe_div(F.col("_weighted"), F.col("impressions"))).drop("_weighted")
     return out.withColumn("ctr_percent", safe_div(F.col("clicks") * 100, F.col("impressions"))).withColumn("roas", F.when(F.col("conversion_value") != 0, safe_div(F.col("conversion_value"), F.col("spend"))))
 
 
@@ -72,28 +81,151 @@ def purchase_actions(actions: DataFrame) -> DataFrame:
 
 
 def classify_mappings(mappings: DataFrame, shared: DataFrame) -> DataFrame:
-    """Each ad's mapping: SHARED if it advertises a collection, EXACT for one product, else AMBIGUOUS.
+    """Each mapped ad's class, the product it is exactly mapped to, and the confidence.
 
-    Confirmed products stand before automatic ones, which need a confidence of 0.7.
+    SHARED if the ad advertises several products or a collection; EXACT if its
+    confirmed mappings, or without any those with a confidence of 0.7 or more, name
+    one product; else AMBIGUOUS, so an ad with weak mappings only is AMBIGUOUS too.
     """
-    confirmed = F.col("is_merchant_confirmed")
-    usable = mappings.where(confirmed | (F.col("confidence") >= 0.7))
-    by_ad = usable.groupBy("ad_id").agg(F.count_distinct(F.when(confirmed, F.col("product_id"))).alias("n_confirmed"), F.count_distinct("product_id").alias("n_any"), F.min(F.when(confirmed, F.col("product_id"))).alias("_c"), F.min("product_id").alias("_a"))
-    n = F.when(F.col("n_confirmed") > 0, F.col("n_confirmed")).otherwise(F.col("n_any"))
-    one = F.when(F.col("n_confirmed") > 0, F.col("_c")).otherwise(F.col("_a"))
-    flagged = by_ad.join(shared.select("ad_id").distinct().withColumn("_shared", F.lit(True)), "ad_id", "full")
-    kind = F.when(F.col("_shared"), "SHARED").when(n == 1, "EXACT").otherwise("AMBIGUOUS")
-    return flagged.select("ad_id", kind.alias("mapping_class"), F.when((kind == "EXACT"), one).alias("product_id"))
+    confirmed = F.coalesce("is_merchant_confirmed", F.lit(False))
+    usable = F.col("confidence") >= 0.7
+    by_ad = mappings.groupBy("ad_id").agg(
+        F.bool_or(confirmed).alias("merchant_confirmed"),
+        F.count_distinct(F.when(confirmed, F.col("product_id"))).alias("_nc"), F.min(F.when(confirmed, F.col("product_id"))).alias("_c"), F.max(F.when(confirmed, F.col("confidence"))).alias("_cc"),
+        F.count_distinct(F.when(usable, F.col("product_id"))).alias("_nu"), F.min(F.when(usable, F.col("product_id"))).alias("_u"), F.max(F.when(usable, F.col("confidence"))).alias("_cu"), F.max("confidence").alias("_any"),
+    )
+    flagged = by_ad.join(shared.select("ad_id").distinct().withColumn("_shared", F.lit(True)), "ad_id", "left")
+    is_shared, n = F.coalesce("_shared", F.lit(False)), F.when(F.col("merchant_confirmed"), F.col("_nc")).otherwise(F.col("_nu"))
+    kind = F.when(is_shared, "SHARED").when(n == 1, "EXACT").otherwise("AMBIGUOUS")
+    sure = F.when(is_shared, F.col("_any")).when(F.col("merchant_confirmed") & (F.col("_nc") == 1), 1.0).when(F.col("merchant_confirmed"), F.col("_cc")).otherwise(F.coalesce("_cu", F.lit(0.0)))
+    return flagged.select("ad_id", kind.alias("mapping_class"), F.when(kind == "EXACT", F.when(F.col("merchant_confirmed"), F.col("_c")).otherwise(F.col("_u"))).alias("product_id"), sure.cast("double").alias("confidence"), "merchant_confirmed")
 
 
 def mapping_accounting(facts: DataFrame, classes: DataFrame) -> DataFrame:
     """Spend by period, provider and mapping class; ads without a mapping are UNMAPPED."""
-    joined = facts.join(classes.select("ad_id", "mapping_class"), "ad_id", "left")
-    return joined.groupBy("period", "provider", F.coalesce("mapping_class", F.lit("UNMAPPED")).alias("mapping_class")).agg(F.sum("spend").cast("double").alias("spend"), F.count_distinct("ad_id").alias("ads"))
+    joined = facts.groupBy("period", "provider", "ad_id").agg(F.sum("spend").alias("spend")).join(classes.select("ad_id", "mapping_class"), "ad_id", "left")
+    return joined.groupBy("period", "provider", F.coalesce("mapping_class", F.lit("UNMAPPED")).alias("mapping_class")).agg(F.sum("spend").cast("double").alias("spend"), F.count("*").alias("ads"))
+
+
+def mapping_summary(ads: DataFrame, mappings: DataFrame) -> DataFrame:
+    """Ads by the scope of what they advertise, and how many have a confirmed mapping.  ads: (ad_id, target_scope)."""
+    confirmed = mappings.where("is_merchant_confirmed").select("ad_id").distinct().withColumn("_c", F.lit(1))
+    return ads.join(confirmed, "ad_id", "left").groupBy("target_scope").agg(F.count("*").alias("ads"), F.count("_c").alias("confirmed_ads"))
+
+
+def overridden_mappings(mappings: DataFrame, manual: DataFrame, at) -> DataFrame:
+    """Mappings after a manual choice: the ads' current ones end at a time, and the chosen products are confirmed from then on.
+
+    mappings: (ad_id, product_id, confidence, is_merchant_confirmed, valid_from, valid_until); manual: (ad_id, product_id).
+    """
+    touched = manual.select("ad_id").distinct().withColumn("_t", F.lit(True))
+    closed = mappings.join(touched, "ad_id", "left").withColumn("valid_until", F.when(F.col("_t") & F.col("valid_until").isNull(), at).otherwise(F.col("valid_until"))).drop("_t")
+    added = manual.distinct().select("ad_id", "product_id", F.lit(1.0).alias("confidence"), F.lit(True).alias("is_merchant_confirmed"), at.alias("valid_from"), F.lit(None).cast(mappings.schema["valid_until"].dataType).alias("valid_until"))
+    return closed.select(added.columns).unionAll(added)
+
+
+def product_ads(metrics: DataFrame, facts: DataFrame, classes: DataFrame, currency: str) -> DataFrame:
+    """Products by period with the spend of the ads mapped to exactly them.
+
+    Only facts in the store's currency count.  Products with sales, with spend or
+    with a mapped ad only are all there; without a fact there is no contribution
+    after ads, as missing spend is not a spend of 0.  Confidence is weighted by spend, or the largest without any.
+    """
+    exact = classes.where("mapping_class = 'EXACT'").select("ad_id", "product_id", "confidence", "merchant_confirmed")
+    own = facts.where(F.col("currency") == currency)
+    spent = own.join(exact, "ad_id").groupBy("period", "product_id").agg(F.count("*").alias("source_rows"), F.sum("spend").cast("double").alias("exact_spend"), F.sum("impressions").alias("impressions"), sum_if_complete(F.col("conversion_value")).cast("double").alias("conversion_value"), F.sum(F.col("spend").cast("double") * F.col("confidence")).alias("_weighted"))
+    mapped = exact.groupBy("product_id").agg(F.count("*").alias("mapped_ads"), F.max("confidence").alias("_most"), F.bool_or("merchant_confirmed").alias("merchant_confirmed"))
+    totals = own.groupBy("period").agg(F.sum("spend").cast("double").alias("_spend"))
+    revenue = metrics.groupBy("period").agg(F.sum("net_revenue").alias("_revenue"))
+    each = mapped.select("product_id", F.explode(F.array(F.lit("CURRENT"), F.lit("COMPARISON"))).alias("period"))
+    ids = metrics.select("period", "product_id").union(spent.select("period", "product_id")).union(each.select("period", "product_id")).distinct()
+    out = ids.join(metrics.select("period", "product_id", "net_units", "net_revenue", "cost_coverage", "contribution_before_ads"), ["period", "product_id"], "left").join(spent, ["period", "product_id"], "left").join(mapped, "product_id", "left").join(totals, "period", "left").join(revenue, "period", "left")
+    out = out.fillna(0, ["source_rows", "impressions", "mapped_ads", "net_units"]).fillna(0.0, ["exact_spend", "net_revenue"]).fillna(False, ["merchant_confirmed"])
+    # no sales: nothing was sold at no cost
+    before = F.when(F.col("cost_coverage").isNull(), 0.0).otherwise(F.col("contribution_before_ads"))
+    spend = F.col("exact_spend")
+    return out.select(
+        "period", "product_id", "net_units", "net_revenue", before.alias("contribution_before_ads"), "source_rows", "exact_spend", "impressions",
+        F.when(F.col("source_rows") > 0, before - spend).alias("contribution_after_ads"),
+        F.coalesce(safe_div(F.col("net_revenue"), F.col("_revenue")), F.lit(0.0)).alias("revenue_share"),
+        F.coalesce(safe_div(spend, F.col("_spend")), F.lit(0.0)).alias("spend_share"),
+        F.when(F.col("source_rows") > 0, safe_div(F.col("conversion_value"), spend)).alias("roas"),
+        F.when(spend > 0, F.col("_weighted") / spend).otherwise(F.coalesce("_most", F.lit(0.0))).alias("mapping_confidence"),
+        "mapped_ads", "merchant_confirmed",
+    )
+
+
+def mapping_coverage(facts: DataFrame, classes: DataFrame, currency: str) -> DataFrame:
+    """By period: the store currency's spend, how much of it is exactly mapped, and the spend in other currencies."""
+    exact = classes.where("mapping_class = 'EXACT'").select("ad_id", F.lit(True).alias("_exact"))
+    own = F.col("currency") == currency
+    sums = facts.groupBy("period", "ad_id", "currency").agg(F.sum("spend").alias("spend")).join(exact, "ad_id", "left")
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("spend"))).cast("double"), F.lit(0.0))
+    out = sums.groupBy("period").agg(total(own).alias("spend"), total(own & F.col("_exact")).alias("exact_spend"), total(F.coalesce(~own, F.lit(True))).alias("excluded_spend"))
+    return out.withColumn("mapping_coverage", F.when(F.col("spend") > 0, F.col("exact_spend") / F.col("spend")).otherwise(0.0))
+
+
+def ad_rows(facts: DataFrame) -> DataFrame:
+    """Each ad's sums by period, provider and currency: the rows that product reads fold."""
+    return metric_sums(facts.where("level <> 'CAMPAIGN'"), ["period", "provider", "ad_id", "currency"])
+
+
+#: The column that names an entity of a kind.
+ENTITY_COLUMNS = {"ACCOUNT": "account_id", "CAMPAIGN": "campaign_id", "GROUP": "group_id", "AD": "ad_id", "CREATIVE": "creative_id"}
+
+
+def entity_metrics(facts: DataFrame, kind: str) -> DataFrame:
+    """One kind of entity by period and currency, with how many facts there are and the days they cover."""
+    entity = ENTITY_COLUMNS[kind]
+    keys = ["period", "provider", "currency", entity]
+    rows = facts.where(F.col(entity).isNotNull()).groupBy(*keys).agg(F.count("*").alias("source_rows"), F.min("date").alias("first_day"), F.max("date").alias("last_day"))
+    return metric_sums(facts.where(F.col(entity).isNotNull()), keys).join(rows, keys).withColumnRenamed(entity, "entity_id")
+
+
+def entity_confidence(source_rows, impressions) -> F.Column:
+    """LOW without facts or impressions enough to say anything, HIGH from 1000 impressions, else MEDIUM."""
+    return F.when((F.coalesce(source_rows, F.lit(0)) == 0) | (F.coalesce(impressions, F.lit(0)) < 100), "LOW").when(impressions >= 1000, "HIGH").otherwise("MEDIUM")
+
+
+def creative_rows(facts: DataFrame) -> DataFrame:
+    """Creatives' sums, where missing conversions and value count 0, unlike anywhere else."""
+    filled = facts.withColumn("conversions", F.coalesce("conversions", F.lit(0))).withColumn("conversion_value", F.coalesce("conversion_value", F.lit(0)))
+    return metric_sums(filled.where("creative_id is not null"), ["period", "currency", "creative_id"])
+
+
+def counters(facts: DataFrame) -> DataFrame:
+    """How many accounts, campaigns and ads have facts, and how many facts there are; one pass."""
+    return facts.agg(F.count_distinct("account_id").alias("accounts"), F.count_distinct("campaign_id").alias("campaigns"), F.count_distinct("ad_id").alias("ads"), F.count("*").alias("facts"))
+
+
+def without_unknown_currency(summary: DataFrame, accounts: DataFrame, fields: list[str]) -> DataFrame:
+    """Blended fields are null as soon as any account's currency is unknown."""
+    unknown = accounts.agg(F.coalesce(F.bool_or(F.col("currency").isNull()), F.lit(False)).alias("_u"))
+    return summary.crossJoin(F.broadcast(unknown)).withColumns({f: F.when(~F.col("_u"), F.col(f)) for f in fields}).drop("_u")
+
+
+def in_scope(accounts: DataFrame, *, provider: str | None, selected: list, entitled: list[str]) -> DataFrame:
+    """The accounts that are selected, of an entitled provider, and of the one asked for; none selected gives none."""
+    out = accounts.where(F.col("provider").isin(entitled) if entitled else F.lit(False)).where(F.col("account_id").isin(selected) if selected else F.lit(False))
+    return out if provider is None else out.where(F.col("provider") == provider)
+
+
+#: Which levels a provider reports.  Fixed values.
+LEVELS = {"META": ("AD",), "TIKTOK": ("CAMPAIGN", "GROUP", "AD"), "GOOGLE": ("ACCOUNT", "CAMPAIGN", "GROUP", "ASSET_GROUP", "AD")}
+
+
+def exposure_targets(mappings: DataFrame, most: int = 10) -> DataFrame:
+    """Each ad's targets in order of confidence, so many at most, beside how many there are.
+
+    The members shown are a feature of the list; ``targets`` counts all.
+    """
+    w = Window.partitionBy("ad_id").orderBy(F.desc("confidence"), "product_id")
+    counted = mappings.groupBy("ad_id").agg(F.count("*").alias("targets"))
+    return mappings.select("ad_id", "product_id", "confidence").withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).join(counted, "ad_id")
 
 
-def product_ads(metrics: DataFrame, facts: DataFrame, classes: DataFrame) -> DataFrame:
-    """Products with the spend of ads mapped to exactly them, and what they contribute after it."""
-    exact = facts.join(classes.where("mapping_class = 'EXACT'").select("ad_id", "product_id"), "ad_id").groupBy("period", "product_id").agg(F.sum("spend").cast("double").alias("exact_spend"), F.sum("impressions").alias("impressions"))
-    out = metrics.select("period", "product_id", "net_revenue", "contribution_before_ads").join(exact, ["period", "product_id"], "left")
-    return out.withColumn("contribution_after_ads", F.col("contribution_before_ads") - F.coalesce("exact_spend", F.lit(0.0))).withColumn("mer", safe_div(F.col("net_revenue"), F.col("exact_spend")))
+def exposure_scope(classes: DataFrame, facts: DataFrame) -> DataFrame:
+    """Each ad's spend by how it may be used: with one product, or shared by several and then never split."""
+    spent = facts.groupBy("period", "ad_id", "currency").agg(F.sum("spend").cast("double").alias("spend"))
+    scope = F.coalesce("mapping_class", F.lit("UNKNOWN"))
+    return spent.join(classes.select("ad_id", "mapping_class", "product_id"), "ad_id", "left").select("period", "ad_id", "currency", scope.alias("scope"), "product_id", F.when(scope == "EXACT", F.col("spend")).alias("product_spend"), F.when(scope == "SHARED", F.col("spend")).alias("shared_spend"), "spend")

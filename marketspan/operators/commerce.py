@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import safe_div
+from ..functions.exprs import percent_change, safe_div
 from .joins import top1_by
 
 #: Share of cost-relevant units that must have a cost before a COGS is reported.
@@ -24,16 +24,15 @@ def with_adjustments(lines: DataFrame) -> DataFrame:
 def product_economics(lines: DataFrame) -> DataFrame:
     """Per period and product, from lines that carry unit_cost (null: no cost is known at the order's time)."""
     has_cost = F.col("unit_cost").isNotNull()
-    base = with_adjustments(lines).groupBy("period", "product_id").agg(
-        F.count_distinct("order_id").alias("orders"),
-        F.sum("quantity").alias("sold_units"),
-        F.sum("adjusted_units").alias("refunded_units"),
-        F.sum("revenue").cast("double").alias("revenue"),
-        F.sum(F.round(F.col("adjusted_value") * 10000).cast("long")).alias("_refund"),
-        F.sum(F.when(has_cost, F.col("unit_cost") * F.col("cost_units"))).cast("double").alias("raw_cogs"),
-        F.coalesce(F.sum(F.when(has_cost, F.col("cost_units"))), F.lit(0)).alias("covered_units"),
-        F.sum("cost_units").alias("relevant_units"),
-    )
+    # one row per order and product first, so that orders are counted as rows beside the sums
+    by_order = with_adjustments(lines).groupBy("period", "product_id", "order_id").agg(
+        F.sum("quantity").alias("q"), F.sum("adjusted_units").alias("a"), F.sum("revenue").alias("r"), F.sum(F.round(F.col("adjusted_value") * 10000).cast("long")).alias("v"),
+        F.sum(F.when(has_cost, F.col("unit_cost") * F.col("cost_units"))).alias("c"), F.sum(F.when(has_cost, F.col("cost_units"))).alias("n"), F.sum("cost_units").alias("u"),
+    )
+    base = by_order.groupBy("period", "product_id").agg(
+        F.count("*").alias("orders"), F.sum("q").alias("sold_units"), F.sum("a").alias("refunded_units"), F.sum("r").cast("double").alias("revenue"), F.sum("v").alias("_refund"),
+        F.sum("c").cast("double").alias("raw_cogs"), F.coalesce(F.sum("n"), F.lit(0)).alias("covered_units"), F.sum("u").alias("relevant_units"),
+    )
     return base.withColumn("refund_value", F.col("_refund") / 10000.0).drop("_refund")
 
 
@@ -93,11 +92,43 @@ def daily_sales(lines: DataFrame) -> DataFrame:
     return lines.groupBy(F.to_date("demand_at").alias("day")).agg(F.count_distinct("order_id").alias("orders"), F.sum("quantity").alias("units"), F.sum("revenue").cast("double").alias("gross"), F.sum("refund_value").cast("double").alias("refunds"))
 
 
+def variant_sales(lines: DataFrame) -> DataFrame:
+    """Sales by product: orders, ordered, current and refunded units, gross, refunds and what is left of both."""
+    by_order = lines.groupBy("product_id", "order_id").agg(F.sum("quantity").alias("q"), F.sum("current_quantity").alias("c"), F.sum("refunded_units").alias("r"), F.sum("revenue").alias("g"), F.sum("refund_value").alias("f"))
+    out = by_order.groupBy("product_id").agg(F.count("*").alias("orders"), F.sum("q").alias("units"), F.sum("c").alias("current_units"), F.sum("r").alias("refunded_units"), F.sum("g").cast("double").alias("gross"), F.sum("f").cast("double").alias("refunds"))
+    return out.withColumn("net", F.col("gross") - F.col("refunds"))
+
+
+def search(products: DataFrame, variants: DataFrame, text: str) -> DataFrame:
+    """Products whose title or vendor, or any of whose variants' SKU, holds a text, whatever its case."""
+    q = text.lower()
+    holds = lambda c: F.lower(c).contains(q)
+    by_sku = variants.where(holds("sku")).select("product_id").distinct().withColumn("_sku", F.lit(True))
+    return products.join(by_sku, "product_id", "left").where(holds("title") | holds("vendor") | F.col("_sku")).drop("_sku")
+
+
+def stock_state(available, trusted, units_per_day, *, lead_days: float, low_stock: float):
+    """What a stock level means: UNAVAILABLE, SOLD_OUT, STOCKOUT_RISK, LOW_STOCK, OVERSTOCK_WEAK_DEMAND or HEALTHY."""
+    cover = F.when(units_per_day > 0, F.greatest(available, F.lit(0)) / units_per_day)
+    return (
+        F.when(~trusted | available.isNull(), "UNAVAILABLE")
+        .when(available <= 0, "SOLD_OUT")
+        .when(cover <= lead_days, "STOCKOUT_RISK")
+        .when(available <= low_stock, "LOW_STOCK")
+        .when((units_per_day == 0) & (available > low_stock * 3), "OVERSTOCK_WEAK_DEMAND")
+        .otherwise("HEALTHY")
+    )
+
+
 def leaderboard(metrics: DataFrame, size: int) -> DataFrame:
-    """The first products by net revenue, net units, orders and id, with their rank; only the result is in one partition."""
-    order = [F.desc_nulls_last("net_revenue"), F.desc_nulls_last("net_units"), F.desc("orders"), F.asc("product_id")]
-    best = metrics.orderBy(*order).limit(size)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    """The first products of either period by current net revenue, net units, orders and id, with changes; only the result is in one partition."""
+    names = ["net_revenue", "net_units", "orders"]
+    pick = lambda m, p: F.coalesce(F.max(F.when(F.col("period") == p, F.col(m))), F.lit(0))
+    both = metrics.groupBy("product_id").agg(*[pick(m, p).alias(m + z) for m in names for p, z in (("CURRENT", ""), ("COMPARISON", "0"))])
+    order = [F.desc("net_revenue"), F.desc("net_units"), F.desc("orders"), F.asc("product_id")]
+    best = both.orderBy(*order).limit(size)
+    ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return ranked.withColumns({f"{m}_change": percent_change(F.col(m), F.col(f"{m}0")) for m in names})
 
 
 def latest_levels(snapshots: DataFrame, until) -> DataFrame:

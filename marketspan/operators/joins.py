@@ -23,6 +23,28 @@ def asof_join(left: DataFrame, right: DataFrame, *, on: list[str], at: str, begi
     return left.join(best, [*on, at], "left").select(*left.columns, *[F.col("_v")[c].alias(c) for c in take])
 
 
+def last_before(left: DataFrame, right: DataFrame, *, on: list[str], at: str, when: str, days: int, ties: list[str], take: list[str]) -> DataFrame:
+    """Each left row with ``_last``, the right row of its key that comes last by ``when`` and ties, at most ``days`` days before its time.
+
+    Right rows are reduced to the last of each day; a left row meets those of the
+    days before, and on its own day the last one up to its time by a running
+    maximum.  So many rows under one key cost a sort by day, not a product.
+    """
+    value = F.struct(when, *ties, *take)
+    times = left.select(*on, at).distinct().withColumn("_day", F.to_date(at))
+    rows = right.select(*on, F.to_date(when).alias("_day"), value.alias("_v"))
+    daily = rows.groupBy(*on, "_day").agg(F.max("_v").alias("_v"))
+    spread = times.select(*on, at, F.explode(F.sequence(F.date_sub("_day", days), F.date_sub("_day", 1))).alias("_day"))
+    earlier = spread.join(daily, [*on, "_day"]).groupBy(*on, at).agg(F.max("_v").alias("_earlier"))
+    kind = right.select(value.alias("_v")).schema["_v"].dataType
+    both = rows.select(*on, "_day", "_v", F.col(f"_v.{when}").alias("_t"), F.lit(0).alias("_k")).unionAll(times.select(*on, "_day", F.lit(None).cast(kind).alias("_v"), F.col(at).alias("_t"), F.lit(1).alias("_k")))
+    w = Window.partitionBy(*on, "_day").orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    same = both.withColumn("_same", F.max("_v").over(w)).where("_k = 1").select(*on, F.col("_t").alias(at), "_same")
+    best = same.join(earlier, [*on, at], "left").select(*on, at, F.coalesce("_same", "_earlier").alias("_last"))
+    best = best.withColumn("_last", F.when(F.col(f"_last.{when}") >= F.col(at) - F.expr(f"interval {days} days"), F.col("_last")))
+    return left.join(best, [*on, at], "left")
+
+
 def or_key_join(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Rows that agree on any of the key pairs, as a union of equi-joins; each pair of rows once."""
     l, r = left.alias("l"), right.alias("r")

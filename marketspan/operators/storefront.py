@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import safe_div, stage_drop
+from ..functions.exprs import complement, safe_div, stage_drop
+from ..functions.web import landing_page
+from .joins import last_before
+
+#: Events that a session counts, by the name of their counter.  Fixed values.
+COUNTED = {"page_views": "PAGE_VIEW", "product_views": "PRODUCT_VIEW", "collection_views": "COLLECTION_VIEW", "searches": "SEARCH", "adds_to_cart": "ADD_TO_CART", "removes_from_cart": "REMOVE_FROM_CART", "cart_views": "CART_VIEW", "checkouts": "BEGIN_CHECKOUT", "purchases": "CHECKOUT_COMPLETED"}
+#: Days that a journey looks back.
+LOOKBACK_DAYS = 30
 
 
 def accepted(events: DataFrame) -> DataFrame:
@@ -13,6 +22,20 @@ def accepted(events: DataFrame) -> DataFrame:
     return events.where("event_at >= received_at - interval 7 days and event_at <= received_at + interval 10 minutes")
 
 
+def expires_at(received_at: Column, days: int = 90) -> Column:
+    """When an event is to be forgotten; 1 to 365 days."""
+    return received_at + F.make_dt_interval(F.lit(max(1, min(365, days))))
+
+
+def unexpired(events: DataFrame, now: Column, sessions_to_keep: DataFrame | None = None) -> DataFrame:
+    """Events before their time, and those of sessions that are still to be rebuilt; sessions_to_keep: (session_id)."""
+    live = F.col("retention_expires_at") > now
+    if sessions_to_keep is None:
+        return events.where(live)
+    kept = sessions_to_keep.select("session_id").distinct().withColumn("_kept", F.lit(True))
+    return events.join(kept, "session_id", "left").where(live | F.col("_kept")).drop("_kept")
+
+
 def sessions_by_gap(events: DataFrame, minutes: int) -> DataFrame:
     """For tables without session ids: a session ends where a visitor pauses longer than the gap."""
     w = Window.partitionBy("visitor_id").orderBy("event_at", "event_id")
@@ -22,10 +45,28 @@ def sessions_by_gap(events: DataFrame, minutes: int) -> DataFrame:
 
 
 def materialize_sessions(events: DataFrame) -> DataFrame:
-    """One row per session: its span, counts and stages; events count once however often they arrive."""
+    """One row per session: its first event's visitor and landing page, span, counts and stages.
+
+    Events count once however often they arrive.  several_visitors marks a session
+    of doubtful quality.  A linked purchase is a completed checkout whose valid order is known.
+    """
     once = events.dropDuplicates(["event_id"])
+    at = F.struct("event_at", "event_id")
     n = lambda name: F.count_if(F.col("event_name") == name)
-    return once.groupBy("session_id").agg(F.min("visitor_id").alias("visitor_id"), F.count_distinct("visitor_id").alias("visitors"), F.min("event_at").alias("started_at"), F.max("event_at").alias("ended_at"), F.count("*").alias("events"), n("PRODUCT_VIEW").alias("product_views"), n("ADD_TO_CART").alias("adds_to_cart"), n("BEGIN_CHECKOUT").alias("checkouts"), n("CHECKOUT_COMPLETED").alias("purchases"), F.min_by("event_id", F.struct("event_at", "event_id")).alias("first_event_id"), F.max_by("event_id", F.struct("event_at", "event_id")).alias("last_event_id"))
+    first = lambda name: F.min(F.when(F.col("event_name") == name, F.col("event_at")))
+    return once.groupBy("session_id").agg(
+        F.min_by("visitor_id", at).alias("visitor_id"), (F.count_distinct("visitor_id") > 1).alias("several_visitors"), F.min("event_at").alias("started_at"), F.max("event_at").alias("ended_at"), F.count("*").alias("events"),
+        *[n(name).alias(c) for c, name in COUNTED.items()],
+        first("BEGIN_CHECKOUT").alias("checkout_started_at"), first("CHECKOUT_COMPLETED").alias("checkout_completed_at"), F.coalesce(F.bool_or("order_linked"), F.lit(False)).alias("linked_purchase"),
+        F.min_by("page_url", F.when(F.col("page_url").isNotNull(), at)).alias("landing_url"), F.min_by("event_id", at).alias("first_event_id"), F.max_by("event_id", at).alias("last_event_id"),
+    )
+
+
+def session_products(events: DataFrame) -> DataFrame:
+    """What a session did with each product: views, adds, removals, and when first and last."""
+    n = lambda name: F.count_if(F.col("event_name") == name)
+    once = events.where("product_id is not null").dropDuplicates(["event_id"])
+    return once.groupBy("session_id", "product_id").agg(n("PRODUCT_VIEW").alias("views"), n("ADD_TO_CART").alias("adds"), n("REMOVE_FROM_CART").alias("removals"), F.min("event_at").alias("first_seen_at"), F.max("event_at").alias("last_seen_at"))
 
 
 def touches(events: DataFrame, signature: list[str]) -> DataFrame:
@@ -37,51 +78,208 @@ def touches(events: DataFrame, signature: list[str]) -> DataFrame:
     return marked.withColumn("ordinal", F.row_number().over(w))
 
 
-def behavior_daily(sessions: DataFrame) -> DataFrame:
-    """Sessions by the day they start on, with the funnel's rates."""
-    has = lambda c: F.count_if(F.col(c) > 0)
-    out = sessions.groupBy(F.to_date("started_at").alias("day")).agg(F.count("*").alias("sessions"), has("product_views").alias("view_sessions"), has("adds_to_cart").alias("cart_sessions"), has("checkouts").alias("checkout_sessions"), has("purchases").alias("purchase_sessions"), F.count_if(F.expr("adds_to_cart > 0 and checkouts > 0")).alias("cart_checkout_sessions"), F.count_if(F.expr("checkouts > 0 and purchases > 0")).alias("checkout_purchase_sessions"))
-    return out.withColumn("conversion_rate", safe_div(F.col("purchase_sessions"), F.col("sessions")))
+_FUNNEL = {
+    "view_sessions": "product_views > 0", "cart_sessions": "adds_to_cart > 0", "cart_view_sessions": "cart_views > 0", "cart_view_checkout_sessions": "cart_views > 0 and checkouts > 0", "cart_view_purchase_sessions": "cart_views > 0 and linked_purchase",
+    "checkout_sessions": "checkouts > 0", "checkout_purchase_sessions": "checkouts > 0 and linked_purchase", "purchase_sessions": "linked_purchase",
+}
+FUNNEL_COLUMNS = ["sessions", *_FUNNEL]
+
+
+def behavior_daily(sessions: DataFrame, products: DataFrame) -> DataFrame:
+    """The cube of daily behaviour: sessions by the day they start on, over the store, the landing page and each product.
+
+    products: ``session_products``; its rows count a product's own views and adds,
+    and a purchase where the session's linked order can have it: it was added to the cart.
+    """
+    day = F.to_date("started_at").alias("day")
+    places = F.array(F.struct(F.lit("STORE").alias("dimension"), F.lit("store").alias("key")), F.struct(F.lit("LANDING_PAGE").alias("dimension"), landing_page(F.col("landing_url")).alias("key")))
+    whole = sessions.select("*", F.inline(places)).where("key is not null")
+    counted = [F.count("*").alias("sessions"), *[F.count_if(F.expr(e)).alias(c) for c, e in _FUNNEL.items()]]
+    rows = whole.groupBy(day, "dimension", "key").agg(*counted)
+    stages = sessions.select("session_id", "started_at", "cart_views", "checkouts", "linked_purchase")
+    each = products.join(stages, "session_id").select("session_id", "started_at", F.col("product_id").cast("string").alias("key"), F.lit("PRODUCT").alias("dimension"), F.col("views").alias("product_views"), F.col("adds").alias("adds_to_cart"), "cart_views", "checkouts", (F.col("linked_purchase") & (F.col("adds") > 0)).alias("linked_purchase"))
+    return rows.unionByName(each.groupBy(day, "dimension", "key").agg(*counted))
+
+
+def with_rates(funnel: DataFrame) -> DataFrame:
+    """The funnel's rates and the stage that loses the largest share."""
+    c = F.col
+    done = safe_div(c("checkout_purchase_sessions"), c("checkout_sessions"))
+    out = funnel.withColumns({
+        "conversion_rate": safe_div(c("purchase_sessions"), c("sessions")), "view_to_cart": safe_div(c("cart_sessions"), c("view_sessions")), "purchase_rate": safe_div(c("purchase_sessions"), c("view_sessions")),
+        "cart_abandonment": complement(safe_div(c("cart_view_purchase_sessions"), c("cart_view_sessions"))), "checkout_abandonment": complement(done),
+    })
+    return largest_drop(out)
 
 
 def largest_drop(funnel: DataFrame) -> DataFrame:
     """The funnel stage that loses the largest share; the first of equals, null without any stage's evidence."""
-    steps = [("SESSION_TO_PRODUCT", "sessions", "view_sessions"), ("PRODUCT_TO_CART", "view_sessions", "cart_sessions"), ("CART_TO_CHECKOUT", "cart_sessions", "cart_checkout_sessions"), ("CHECKOUT_TO_PURCHASE", "checkout_sessions", "checkout_purchase_sessions")]
+    steps = [("SESSION_TO_PRODUCT", "sessions", "view_sessions"), ("PRODUCT_TO_CART", "view_sessions", "cart_sessions"), ("CART_TO_CHECKOUT", "cart_view_sessions", "cart_view_checkout_sessions"), ("CHECKOUT_TO_PURCHASE", "checkout_sessions", "checkout_purchase_sessions")]
     drops = F.array(*[F.struct(stage_drop(F.col(b), F.col(a)).alias("drop"), F.lit(-k).alias("k"), F.lit(s).alias("stage")) for k, (s, a, b) in enumerate(steps)])
     best = F.array_max(F.filter(drops, lambda d: d["drop"].isNotNull()))
     return funnel.withColumn("largest_drop_stage", best["stage"]).withColumn("largest_drop", best["drop"])
 
 
-def attribution(purchases: DataFrame, touch: DataFrame, days: int = 30) -> DataFrame:
-    """Credits per purchase and source: first, last and assisting touches of the visitor's journey.
+def behavior_read(cube: DataFrame, dimension: str, periods: Column) -> DataFrame:
+    """A dimension's keys by period, summed over days, with rates; periods labels a day, null days are left out."""
+    own = cube.where(F.col("dimension") == dimension).withColumn("period", periods).where("period is not null")
+    return with_rates(own.groupBy("period", "key").agg(*[F.sum(c).alias(c) for c in FUNNEL_COLUMNS]))
+
+
+def behavior_evidence(read: DataFrame) -> DataFrame:
+    """Both periods of each key side by side, as rules need them: x and x0; counts of a missing period are 0."""
+    names = [*FUNNEL_COLUMNS, "conversion_rate", "view_to_cart", "purchase_rate", "cart_abandonment", "checkout_abandonment"]
+    pick = lambda m, p: F.max(F.when(F.col("period") == p, F.col(m)))
+    out = read.groupBy(F.col("key").alias("entity_id")).agg(*[pick(m, p).alias(m + z) for m in names for p, z in (("CURRENT", ""), ("COMPARISON", "0"))])
+    return out.fillna(0, [c + z for c in FUNNEL_COLUMNS for z in ("", "0")]).withColumn("product_views", F.col("view_sessions")).withColumn("product_views0", F.col("view_sessions0"))
+
+
+def insight_changes(read: DataFrame) -> DataFrame:
+    """Point changes of a store's rates; that of the largest drop only if both periods lose most at the same stage."""
+    names = ["cart_abandonment", "checkout_abandonment", "conversion_rate", "largest_drop", "largest_drop_stage"]
+    pick = lambda m, p: F.max(F.when(F.col("period") == p, F.col(m)))
+    both = read.groupBy("key").agg(*[pick(m, p).alias(m + z) for m in names for p, z in (("CURRENT", ""), ("COMPARISON", "0"))])
+    out = both.withColumns({f"{m}_points": F.col(m) - F.col(f"{m}0") for m in names[:3]})
+    return out.withColumn("largest_drop_points", F.when(F.col("largest_drop_stage") == F.col("largest_drop_stage0"), F.col("largest_drop") - F.col("largest_drop0")))
+
+
+def checkout_purchase_overlap(sessions: DataFrame) -> DataFrame:
+    """By local day: sessions that began a checkout, those whose linked order is valid, and those with both."""
+    return sessions.groupBy(F.to_date("started_at").alias("day")).agg(F.count_if(F.col("checkout_started_at").isNotNull()).alias("checkout_sessions"), F.count_if("linked_purchase").alias("purchase_sessions"), F.count_if(F.col("checkout_started_at").isNotNull() & F.col("linked_purchase")).alias("both_sessions"))
+
+
+def _identities(source: Column, ad: Column) -> Column:
+    """What a touch gives credit to: its source, and the ad if that is known exactly."""
+    at = lambda d, k: F.struct(F.lit(d).alias("dimension"), k.cast("string").alias("key"))
+    return F.array_compact(F.array(at("SOURCE", source), F.when(ad.isNotNull(), at("META_AD", ad))))
+
+
+def journeys(purchases: DataFrame, touch: DataFrame, days: int = LOOKBACK_DAYS) -> DataFrame:
+    """(purchase_id, dimension, key, first): the first touch of each identity in each purchase's journey, sessions among the dimensions.
+
+    purchases: (purchase_id, visitor_id, started_at, cutoff_at).  A journey has
+    the visitor's touches from ``days`` days before the purchase session's day up to the
+    cutoff.  Touches are reduced to one per visitor, identity and day before purchases meet
+    them by day, so a visitor of many touches and purchases costs no product of both.
+    """
+    at = F.struct("touched_at", "session_id", "ordinal")
+    marks = F.concat(_identities(F.col("source"), F.col("ad_id")), F.array(F.struct(F.lit("SESSION").alias("dimension"), F.col("session_id").alias("key"))))
+    daily = touch.select("visitor_id", F.to_date("touched_at").alias("day"), at.alias("at"), F.inline(marks)).groupBy("visitor_id", "day", "dimension", "key").agg(F.min("at").alias("at"))
+    window = F.sequence(F.date_sub(F.to_date("started_at"), days), F.to_date("cutoff_at"))
+    wanted = purchases.select("purchase_id", "visitor_id", "cutoff_at", F.explode(window).alias("day"))
+    met = wanted.join(daily, ["visitor_id", "day"]).where(F.col("at.touched_at") <= F.col("cutoff_at"))
+    return met.groupBy("purchase_id", "dimension", "key").agg(F.min("at").alias("first"))
+
+
+def attribution(sessions: DataFrame, touch: DataFrame, days: int = LOOKBACK_DAYS) -> DataFrame:
+    """Credits by day, dimension (SOURCE or META_AD) and key.
 
-    purchases: (purchase_id, visitor_id, purchased_at); touch: (visitor_id,
-    session_id, touched_at, ordinal, source).  A journey has the touches of the last
-    ``days`` calendar days up to the purchase; later touches get no credit.
+    A session counts as touched by each identity of its own touches.  A session
+    with a linked purchase gives its journey's identities a purchase: the first
+    and the last touch's, and as assisted all touches' before the last one, the
+    first included.  single_touch: the journey is one touch; cross_session: it has
+    several sessions; delay: from the journey's first session start to the checkout.
     """
-    near = (F.col("touched_at") <= F.col("purchased_at")) & (F.to_date("touched_at") >= F.date_sub(F.to_date("purchased_at"), days))
-    journey = purchases.join(touch, "visitor_id").where(near)
-    w = Window.partitionBy("purchase_id").orderBy("touched_at", "session_id", "ordinal")
-    whole = Window.partitionBy("purchase_id")
-    ranked = journey.withColumn("_n", F.row_number().over(w)).withColumn("_all", F.count("*").over(whole))
-    credit = ranked.groupBy("purchase_id", "source").agg(F.max(F.col("_n") == 1).alias("is_first"), F.max(F.col("_n") == F.col("_all")).alias("is_last"))
-    assist = ~F.col("is_first") & ~F.col("is_last")
-    return credit.groupBy("source").agg(F.count("*").alias("touched"), F.count_if("is_first").alias("first_touch"), F.count_if("is_last").alias("last_touch"), F.count_if(assist).alias("assisted"), F.count_if(F.col("is_first") & F.col("is_last")).alias("both"))
-
-
-def source_paths(touch: DataFrame) -> DataFrame:
-    """Each session's sources in order, without repeats in a row, and a stable key of the path."""
+    day = F.to_date("started_at")
+    seen = touch.select("session_id", F.inline(_identities(F.col("source"), F.col("ad_id")))).distinct().join(sessions.select("session_id", day.alias("day")), "session_id")
+    touched = seen.groupBy("day", "dimension", "key").agg(F.count("*").alias("touched_sessions"))
+
+    bought = sessions.where("linked_purchase").select(F.col("session_id").alias("purchase_id"), "visitor_id", "started_at", F.coalesce("checkout_completed_at", "ended_at").alias("cutoff_at"))
+    found = journeys(bought, touch, days)
+    last = last_before(bought, touch, on=["visitor_id"], at="cutoff_at", when="touched_at", days=days + 1, ties=["session_id", "ordinal"], take=["source", "ad_id"])
+    last = last.select("purchase_id", "_last", day.alias("day"), "started_at", "cutoff_at")
+    # a journey has one touch if its first is its last
+    whole = found.groupBy("purchase_id").agg(F.min("first").alias("begin"), F.count_if(F.col("dimension") == "SESSION").alias("n_sessions"))
+    begins = conversion_starts(bought, sessions, days)
+    end = F.struct(F.col("_last.touched_at").alias("touched_at"), F.col("_last.session_id").alias("session_id"), F.col("_last.ordinal").alias("ordinal"))
+    each = found.where("dimension <> 'SESSION'").join(whole, "purchase_id").join(last, "purchase_id").join(begins.select("purchase_id", "delay_ms"), "purchase_id", "left")
+    is_last = F.exists(_identities(F.col("_last.source"), F.col("_last.ad_id")), lambda x: (x["dimension"] == F.col("dimension")) & (x["key"] == F.col("key")))
+    credit = each.groupBy("day", "dimension", "key").agg(
+        F.count("*").alias("purchases"), F.count_if(F.col("first") == F.col("begin")).alias("first_touch"), F.count_if(is_last).alias("last_touch"), F.count_if(F.col("first") < end).alias("assisted"),
+        F.count_if(F.col("begin") == end).alias("single_touch"), F.count_if(F.col("n_sessions") > 1).alias("cross_session"), F.coalesce(F.sum("delay_ms"), F.lit(0)).alias("delay_ms"), F.count("delay_ms").alias("delays"),
+    )
+    return touched.join(credit, ["day", "dimension", "key"], "full").fillna(0)
+
+
+def conversion_starts(purchases: DataFrame, sessions: DataFrame, days: int = LOOKBACK_DAYS) -> DataFrame:
+    """Purchases with the start of the visitor's first session of the days before, and the delay in milliseconds."""
+    daily = sessions.groupBy("visitor_id", F.to_date("started_at").alias("_day")).agg(F.min("started_at").alias("_start"))
+    window = F.sequence(F.date_sub(F.to_date("started_at"), days), F.to_date("cutoff_at"))
+    met = purchases.select("purchase_id", "visitor_id", "cutoff_at", F.explode(window).alias("_day")).join(daily, ["visitor_id", "_day"]).where("_start <= cutoff_at")
+    first = met.groupBy("purchase_id").agg(F.min("_start").alias("journey_started_at"))
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    delay = F.floor((us("cutoff_at") - us("journey_started_at")) / 1000)
+    return purchases.join(first, "purchase_id", "left").withColumn("delay_ms", F.when(delay >= 0, delay))
+
+
+def conversion_delays(purchases: DataFrame, sessions: DataFrame, days: int = LOOKBACK_DAYS) -> DataFrame:
+    """Milliseconds from the start of the visitor's first session of the days before a purchase; null without one."""
+    rows = purchases.withColumn("started_at", F.col("purchased_at")).withColumn("cutoff_at", F.col("purchased_at"))
+    return conversion_starts(rows, sessions, days).drop("started_at", "cutoff_at")
+
+
+def last_clicks(orders: DataFrame, clicks: DataFrame, providers: list[str], days: int = LOOKBACK_DAYS) -> DataFrame:
+    """Each order with the visitor's last click of each provider in the days before it; ties by arrival, then id.
+
+    clicks: (visitor_id, provider, click_id, clicked_at, received_at), those whose consent stands.
+    """
+    out = orders
+    for p in providers:
+        own = last_before(orders, clicks.where(F.col("provider") == p), on=["visitor_id"], at="ordered_at", when="clicked_at", days=days, ties=["received_at", "click_id"], take=[])
+        out = out.join(own.select("order_id", F.col("_last.click_id").alias(f"{p.lower()}_click_id")), "order_id", "left")
+    return out
+
+
+def source_paths(touch: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Each session's sources in order, without repeats in a row, up to its checkout, and a stable key of the path."""
+    cutoff = F.when(F.col("linked_purchase"), F.coalesce("checkout_completed_at", "ended_at")).otherwise(F.col("ended_at"))
+    own = touch.join(sessions.select("session_id", F.to_date("started_at").alias("day"), "linked_purchase", cutoff.alias("cutoff_at")), "session_id").where("touched_at <= cutoff_at")
     w = Window.partitionBy("session_id").orderBy("touched_at", "ordinal")
-    kept = touch.withColumn("_p", F.lag("source").over(w)).where("_p is null or _p <> source")
+    kept = own.withColumn("_p", F.lag("source").over(w)).where("_p is null or _p <> source")
     path = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("touched_at", "ordinal", "source"))), lambda x: x["source"]), ">")
-    return kept.groupBy("session_id").agg(F.concat(F.lit("SESSION:"), path).alias("path")).withColumn("path_key", F.sha2("path", 256))
+    return kept.groupBy("session_id", "day", "linked_purchase").agg(F.concat(F.lit("SESSION:"), path).alias("path")).withColumn("path_key", F.sha2("path", 256))
+
+
+def path_daily(paths: DataFrame) -> DataFrame:
+    """Paths by day: sessions, and those that bought."""
+    return paths.groupBy("day", "path", "path_key").agg(F.count("*").alias("sessions"), F.count_if("linked_purchase").alias("purchase_sessions"))
 
 
-def last_click(orders: DataFrame, clicks: DataFrame, days: int = 30) -> DataFrame:
-    """Each order with the visitor's last click of the days before it."""
-    near = (F.col("clicked_at") <= F.col("ordered_at")) & (F.col("clicked_at") >= F.col("ordered_at") - F.expr(f"interval {days} days"))
-    best = orders.join(clicks, "visitor_id").where(near).groupBy("order_id").agg(F.max_by("click_id", F.struct("clicked_at", "click_id")).alias("click_id"))
-    return orders.join(best, "order_id", "left")
+def target_evidence(touch: DataFrame, products: DataFrame, sessions: DataFrame) -> DataFrame:
+    """By day, exact ad and product: sessions that the ad touched and that dealt with the product."""
+    ads = touch.where("ad_id is not null").select("session_id", "ad_id").distinct()
+    stages = sessions.select("session_id", F.to_date("started_at").alias("day"), "linked_purchase")
+    met = ads.join(products, "session_id").join(stages, "session_id")
+    return met.groupBy("day", "ad_id", "product_id").agg(F.count("*").alias("interacted_sessions"), F.count_if(F.col("views") > 0).alias("viewed_sessions"), F.count_if(F.col("adds") > 0).alias("cart_sessions"), F.count_if(F.col("linked_purchase") & (F.col("adds") > 0)).alias("purchase_sessions"))
+
+
+def attribution_health(attribution_rows: DataFrame, source: str = "META") -> DataFrame:
+    """What a source touched and sold in all."""
+    own = attribution_rows.where((F.col("dimension") == "SOURCE") & (F.col("key") == source))
+    return own.agg(F.coalesce(F.sum("touched_sessions"), F.lit(0)).alias("touched_sessions"), F.coalesce(F.sum("purchases"), F.lit(0)).alias("purchase_sessions"))
+
+
+def first_touch_sources(touch: DataFrame, products: DataFrame) -> DataFrame:
+    """By product: distinct sessions by the source of their first touch."""
+    first = touch.groupBy("session_id").agg(F.min_by("source", F.struct("touched_at", "ordinal")).alias("source"))
+    return products.select("session_id", "product_id").distinct().join(first, "session_id").groupBy("product_id", "source").agg(F.count("*").alias("sessions"))
+
+
+def linked_orders(sessions: DataFrame, orders: DataFrame) -> DataFrame:
+    """Sessions that name an order with its state: LINKED once the order has arrived, PENDING until then, with the next try.
+
+    sessions: (session_id, order_ext, attempts, received_at); orders: (order_ext, order_id).  Tries wait 5 minutes, doubled each time, 6 hours at most.
+    """
+    wait = F.least(F.lit(360.0), F.lit(5.0) * F.pow(F.lit(2.0), F.least(F.col("attempts"), F.lit(10)))).cast("int")
+    out = sessions.where("order_ext is not null").join(orders, "order_ext", "left")
+    state = F.when(F.col("order_id").isNotNull(), "LINKED").otherwise("PENDING")
+    return out.withColumn("link_status", state).withColumn("next_try_at", F.when(F.col("order_id").isNull(), F.col("received_at") + F.make_dt_interval(F.lit(0), F.lit(0), wait)))
+
+
+def invalidated_sessions(products: DataFrame, touch: DataFrame, changed_products: DataFrame, changed_ads: DataFrame) -> DataFrame:
+    """Sessions to rebuild because a product or an ad that they name has changed; each once."""
+    found = [products.join(changed_products, "product_id", "left_semi").select("session_id"), touch.join(changed_ads, "ad_id", "left_semi").select("session_id")]
+    return reduce(DataFrame.unionAll, found).distinct()
 
 
 def visitor_journeys(sessions: DataFrame) -> DataFrame:
@@ -91,9 +289,16 @@ def visitor_journeys(sessions: DataFrame) -> DataFrame:
     return sessions.select("visitor_id", "session_id", F.row_number().over(w).alias("ordinal"), "started_at", "ended_at", "purchases", pause.alias("seconds_since_previous"), F.sum("purchases").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("purchases_so_far"))
 
 
-def conversion_delays(purchases: DataFrame, sessions: DataFrame, days: int = 30) -> DataFrame:
-    """Milliseconds from the start of the visitor's first session of the days before a purchase; null without one."""
-    near = (F.col("started_at") <= F.col("purchased_at")) & (F.to_date("started_at") >= F.date_sub(F.to_date("purchased_at"), days))
-    first = purchases.join(sessions.select("visitor_id", "started_at"), "visitor_id").where(near).groupBy("purchase_id").agg(F.min("started_at").alias("journey_started_at"))
-    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    return purchases.join(first, "purchase_id", "left").withColumn("delay_ms", F.floor((us("purchased_at") - us("journey_started_at")) / 1000))
+def video_retention(rows: DataFrame, minimum_plays: int = 50) -> DataFrame:
+    """A creative's video funnel by period: rates from play to play, the stage that loses most, and watch time weighted by plays.
+
+    rows: (creative_id, period, plays, p25, p50, p75, p95, p100, watch_seconds).  Counts that grow along the video are inconsistent.
+    """
+    steps = ["plays", "p25", "p50", "p75", "p95", "p100"]
+    sums = rows.groupBy("creative_id", "period").agg(*[F.sum(s).alias(s) for s in steps], safe_div(F.sum(F.col("watch_seconds") * F.col("plays")), F.sum(F.when(F.col("watch_seconds").isNotNull(), F.col("plays")))).alias("average_watch_seconds"))
+    consistent = reduce(lambda a, b: a & b, [F.coalesce(F.col(b) <= F.col(a), F.lit(True)) for a, b in zip(steps, steps[1:])])
+    rates = {f"to_{s}": safe_div(F.col(s), F.col("plays")) for s in steps[1:]}
+    drops = F.array(*[F.struct(stage_drop(F.col(b), F.col(a)).alias("drop"), F.lit(-k).alias("k"), F.lit(f"{a}_TO_{b}".upper()).alias("stage")) for k, (a, b) in enumerate(zip(steps, steps[1:]))])
+    best = F.array_max(F.filter(drops, lambda d: d["drop"].isNotNull()))
+    status = F.when(F.coalesce("plays", F.lit(0)) < minimum_plays, "INSUFFICIENT_PLAYS").when(~consistent, "INCONSISTENT").otherwise("READY")
+    return sums.withColumns(rates).withColumn("largest_drop_stage", best["stage"]).withColumn("largest_drop", best["drop"]).withColumn("status", status)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..operators.rules import RULES
+
 _P = "case when {d} >= date '1997-01-01' and {d} < date '1998-01-01' then 'CURRENT' when {d} >= date '1996-01-01' and {d} < date '1997-01-01' then 'COMPARISON' end"
 _O = f"""ord as (select o_orderkey order_id, o_custkey customer_id, o_orderdate demand_at, cast(o_totalprice as decimal(18,2)) as value, o_orderstatus = 'P' as is_cancelled,
  {_P.format(d="cast(o_orderdate as date)")} as period,
@@ -26,31 +28,84 @@ eco as (select period, product_id, count(distinct order_id) orders, sum(quantity
 met as (select *, case when cost_coverage >= 0.8 then coalesce(raw_cogs, 0.0) end cogs from (select *, case when relevant_units = 0 then 1.0 else cast(covered_units as double) / relevant_units end cost_coverage,
  greatest(revenue - cast(refund_value as double), 0.0) net_revenue, sold_units - refunded_units net_units from eco)),
 mets as (select *, net_revenue - cogs contribution_before_ads from met)"""
-_A = f"""fact as (select l_suppkey ad_id, cast(l_shipdate as date) as date, {_P.format(d="cast(l_shipdate as date)")} as period,
+def _ads(current: tuple[str, str], comparison: tuple[str, str]) -> str:
+    period = f"case when cast(l_shipdate as date) >= date '{current[0]}' and cast(l_shipdate as date) < date '{current[1]}' then 'CURRENT' when cast(l_shipdate as date) >= date '{comparison[0]}' and cast(l_shipdate as date) < date '{comparison[1]}' then 'COMPARISON' end"
+    return f"""fact as (select l_suppkey ad_id, cast(l_shipdate as date) as date, {period} as period,
  sum(cast(cast(l_extendedprice as decimal(18,2)) * cast(l_tax as decimal(4,2)) as decimal(20,4))) spend, sum(cast(l_quantity as bigint) * 100) impressions, count(*) clicks,
  case when not max(l_returnflag = 'A') then count(*) end conversions, case when not max(l_returnflag = 'A') then sum(cast(l_extendedprice as decimal(18,2))) end conversion_value,
  max(case when l_linenumber > 1 then l_linenumber end) frequency from lineitem group by 1, 2, 3),
-ad as (select f.*, s_nationkey campaign_id, case s_nationkey % 3 when 0 then 'META' when 1 then 'GOOGLE' else 'TIKTOK' end provider,
- case s_nationkey % 2 when 0 then 'EUR' else 'USD' end currency, s_nationkey % 5 account_id from fact f join supplier on s_suppkey = ad_id where period is not null),
-shared as (select s_suppkey ad_id from supplier where s_suppkey % 5 = 0),
-mp as (select distinct l_suppkey ad_id, l_partkey product_id, ((l_partkey * 7 + l_suppkey) % 100) / 100.0 confidence, l_partkey % 97 = 0 confirmed from lineitem),
-mc as (select ad_id, count(distinct case when confirmed then product_id end) nc, count(distinct product_id) na, min(case when confirmed then product_id end) pc, min(product_id) pa from mp where confirmed or confidence >= 0.7 group by 1),
-cls as (select ad_id, case when s.ad_id is not null then 'SHARED' when (case when nc > 0 then nc else na end) = 1 then 'EXACT' else 'AMBIGUOUS' end mapping_class,
- case when s.ad_id is null and (case when nc > 0 then nc else na end) = 1 then case when nc > 0 then pc else pa end end product_id from mc full join shared s using (ad_id))"""
+ad as (select f.*, s_nationkey campaign_id, s_nationkey * 2 + cast(s_acctbal < 0 as int) group_id, cast(s_nationkey * 3 + s_suppkey % 3 as bigint) creative_id, case s_nationkey % 3 when 0 then 'META' when 1 then 'GOOGLE' else 'TIKTOK' end provider,
+ case s_nationkey % 2 when 0 then 'EUR' else 'USD' end currency, s_nationkey % 5 account_id from fact f join supplier on s_suppkey = ad_id where period is not null)"""
+
+
+_M = """shared as (select s_suppkey ad_id from supplier where s_suppkey % 5 = 0),
+mp as (select ad_id, product_id, confidence, confirmed from (select distinct l_suppkey ad_id, l_partkey product_id, ((l_partkey * 7 + l_suppkey) % 100) / 100.0 confidence, l_partkey % 97 = 0 confirmed from lineitem)
+ where (product_id + ad_id) % (case when ad_id % 3 = 0 then 7 else 53 end) = 0),
+cls as (select ad_id, bool_or(confirmed) merchant_confirmed,
+ case when bool_or(s.ad_id is not null) then 'SHARED' when count(*) filter (where confirmed) > 0 and count(distinct product_id) filter (where confirmed) = 1 then 'EXACT' when count(*) filter (where confirmed) > 0 then 'AMBIGUOUS'
+  when count(distinct product_id) filter (where confidence >= 0.7) = 1 then 'EXACT' else 'AMBIGUOUS' end mapping_class,
+ case when bool_or(s.ad_id is not null) then null when count(*) filter (where confirmed) > 0 then case when count(distinct product_id) filter (where confirmed) = 1 then min(product_id) filter (where confirmed) end
+  when count(distinct product_id) filter (where confidence >= 0.7) = 1 then min(product_id) filter (where confidence >= 0.7) end product_id,
+ case when bool_or(s.ad_id is not null) then max(confidence) when count(*) filter (where confirmed) > 0 and count(distinct product_id) filter (where confirmed) = 1 then 1.0 when count(*) filter (where confirmed) > 0 then max(confidence) filter (where confirmed)
+  else coalesce(max(confidence) filter (where confidence >= 0.7), 0) end confidence
+ from mp left join shared s using (ad_id) group by 1)"""
+_A = _ads(("1997-01-01", "1998-01-01"), ("1996-01-01", "1997-01-01")) + ", " + _M
+_AM = _ads(("1997-12-01", "1998-01-01"), ("1997-11-01", "1997-12-01"))
 _SUMS = """cast(sum(spend) as double) spend, sum(impressions) impressions, sum(clicks) clicks, case when count(conversions) = count(*) then sum(conversions) end conversions,
  case when count(conversion_value) = count(*) then cast(sum(conversion_value) as double) end conversion_value,
  cast(sum(case when frequency is not null then frequency * impressions end) as double) / nullif(cast(sum(impressions) as double), 0) frequency"""
 _RATIOS = """conversion_value / nullif(spend, 0) roas, spend / nullif(cast(conversions as double), 0) cpa, cast(clicks as double) / nullif(cast(impressions as double), 0) ctr,
  spend / nullif(cast(clicks as double), 0) cpc, spend * 1000 / nullif(cast(impressions as double), 0) cpm"""
-_E = """ev as (select event_id, ts event_at, user_id visitor_id, case event_type when 'view' then 'PRODUCT_VIEW' when 'click' then 'ADD_TO_CART' when 'signup' then 'BEGIN_CHECKOUT' when 'purchase' then 'CHECKOUT_COMPLETED' else 'PAGE_VIEW' end event_name,
- case cast(json_extract_string(props, '$.k') as bigint) % 4 when 0 then 'META' when 1 then 'GOOGLE' when 2 then 'DIRECT' else 'UNKNOWN' end source from events),
+_E = """ev as (select event_id, ts event_at, ts + to_minutes(cast(event_id % 10 as bigint)) received_at, user_id visitor_id, k,
+ case when event_type = 'view' then 'PRODUCT_VIEW' when event_type = 'click' and k % 3 = 0 then 'CART_VIEW' when event_type = 'click' then 'ADD_TO_CART' when event_type = 'signup' then 'BEGIN_CHECKOUT' when event_type = 'purchase' then 'CHECKOUT_COMPLETED' else 'PAGE_VIEW' end event_name,
+ case k % 4 when 0 then 'META' when 1 then 'GOOGLE' when 2 then 'DIRECT' else 'UNKNOWN' end source,
+ case when event_type = 'view' or event_type = 'click' and k % 3 <> 0 then k % 20 end product_id, case when k % 8 = 0 then k end ad_id, event_type = 'purchase' and event_id % 4 <> 0 linked,
+ case k % 5 when 0 then '/' when 1 then '/collections/c' || (k % 3) when 2 then '/products/p' || (k % 20) when 3 then '/pages/about' else '/:other' end landing
+ from (select *, cast(json_extract_string(props, '$.k') as bigint) k from events)),
 gap as (select *, case when lag(event_at) over (partition by visitor_id order by event_at, event_id) + interval 720 minute > event_at then 0 else 1 end n from ev),
 es as (select *, cast(visitor_id as varchar) || ':' || cast(sum(n) over (partition by visitor_id order by event_at, event_id rows unbounded preceding) as varchar) session_id from gap),
-ses as (select session_id, min(visitor_id) visitor_id, count(distinct visitor_id) visitors, min(event_at) started_at, max(event_at) ended_at, count(*) events,
- count(case when event_name = 'PRODUCT_VIEW' then 1 end) product_views, count(case when event_name = 'ADD_TO_CART' then 1 end) adds_to_cart, count(case when event_name = 'BEGIN_CHECKOUT' then 1 end) checkouts,
- count(case when event_name = 'CHECKOUT_COMPLETED' then 1 end) purchases from es group by 1),
-tm as (select *, lag(source) over (partition by session_id order by event_at, event_id) p from es),
-tc as (select session_id, visitor_id, event_at touched_at, source, row_number() over (partition by session_id order by event_at, event_id) ordinal from tm where p is null or p <> source)"""
+ses as (select session_id, first(visitor_id order by event_at, event_id) visitor_id, count(distinct visitor_id) > 1 several_visitors, min(event_at) started_at, max(event_at) ended_at, count(*) events,
+ count(*) filter (where event_name = 'PAGE_VIEW') page_views, count(*) filter (where event_name = 'PRODUCT_VIEW') product_views, cast(0 as bigint) collection_views, cast(0 as bigint) searches, count(*) filter (where event_name = 'ADD_TO_CART') adds_to_cart, cast(0 as bigint) removes_from_cart,
+ count(*) filter (where event_name = 'CART_VIEW') cart_views, count(*) filter (where event_name = 'BEGIN_CHECKOUT') checkouts, count(*) filter (where event_name = 'CHECKOUT_COMPLETED') purchases,
+ min(event_at) filter (where event_name = 'BEGIN_CHECKOUT') checkout_started_at, min(event_at) filter (where event_name = 'CHECKOUT_COMPLETED') checkout_completed_at, bool_or(linked) linked_purchase,
+ first(landing order by event_at, event_id) landing, first(event_id order by event_at, event_id) first_event_id, last(event_id order by event_at, event_id) last_event_id from es group by 1),
+sp as (select session_id, product_id, count(*) filter (where event_name = 'PRODUCT_VIEW') views, count(*) filter (where event_name = 'ADD_TO_CART') adds, cast(0 as bigint) removals, min(event_at) first_seen_at, max(event_at) last_seen_at from es where product_id is not null group by 1, 2),
+tm as (select *, row_number() over w = 1 or lag(source) over w is distinct from source or lag(ad_id) over w is distinct from ad_id as fresh from es window w as (partition by session_id order by event_at, event_id)),
+tc as (select session_id, visitor_id, event_at touched_at, source, ad_id, row_number() over (partition by session_id order by event_at, event_id) ordinal from tm where fresh)"""
+_FUNNEL = ", ".join(f"count(*) filter (where {w}) {n}" for n, w in [("view_sessions", "product_views > 0"), ("cart_sessions", "adds_to_cart > 0"), ("cart_view_sessions", "cart_views > 0"), ("cart_view_checkout_sessions", "cart_views > 0 and checkouts > 0"), ("cart_view_purchase_sessions", "cart_views > 0 and linked_purchase"), ("checkout_sessions", "checkouts > 0"), ("checkout_purchase_sessions", "checkouts > 0 and linked_purchase"), ("purchase_sessions", "linked_purchase")])
+_COUNTS = "sessions view_sessions cart_sessions cart_view_sessions cart_view_checkout_sessions cart_view_purchase_sessions checkout_sessions checkout_purchase_sessions purchase_sessions".split()
+_CUBE = f"""{_E}, pj as (select started_at, cast(product_id as varchar) as key, views product_views, adds adds_to_cart, cart_views, checkouts, linked_purchase and adds > 0 linked_purchase from sp join ses using (session_id)),
+cube as (select cast(started_at as date) as day, 'STORE' dimension, 'store' as key, count(*) sessions, {_FUNNEL} from ses group by 1
+ union all select cast(started_at as date), 'LANDING_PAGE', 'https://shop.example' || landing, count(*), {_FUNNEL} from ses group by 1, 3
+ union all select cast(started_at as date), 'PRODUCT', key, count(*), {_FUNNEL} from pj group by 1, 3)"""
+_DAYS = "case when day >= date '2024-01-16' and day < date '2024-01-31' then 'CURRENT' when day >= date '2024-01-01' and day < date '2024-01-16' then 'COMPARISON' end"
+_DROPS = [("SESSION_TO_PRODUCT", "view_sessions", "sessions"), ("PRODUCT_TO_CART", "cart_sessions", "view_sessions"), ("CART_TO_CHECKOUT", "cart_view_checkout_sessions", "cart_view_sessions"), ("CHECKOUT_TO_PURCHASE", "checkout_purchase_sessions", "checkout_sessions")]
+
+
+def _behavior(dimension: str) -> str:
+    """Sums of a dimension by period with rates and the largest drop, as the last of common table expressions."""
+    drop = lambda n, d: f"case when {d} > 0 and {n} <= {d} then 1 - cast({n} as double) / {d} end"
+    most = "greatest(" + ", ".join(drop(n, d) for _, n, d in _DROPS) + ")"
+    return f"""bs as (select {_DAYS} as period, key, {', '.join(f'sum({c}) {c}' for c in _COUNTS)} from cube where dimension = '{dimension}' and {_DAYS} is not null group by 1, 2),
+br as (select *, cast(purchase_sessions as double) / nullif(sessions, 0) conversion_rate, cast(cart_sessions as double) / nullif(view_sessions, 0) view_to_cart, cast(purchase_sessions as double) / nullif(view_sessions, 0) purchase_rate,
+ greatest(0.0::double, least(1.0::double, 1 - cast(cart_view_purchase_sessions as double) / nullif(cart_view_sessions, 0))) + 0 * cart_view_purchase_sessions / nullif(cart_view_sessions, 0) cart_abandonment,
+ greatest(0.0::double, least(1.0::double, 1 - cast(checkout_purchase_sessions as double) / nullif(checkout_sessions, 0))) + 0 * checkout_purchase_sessions / nullif(checkout_sessions, 0) checkout_abandonment,
+ {most} largest_drop, case {' '.join(f"when {drop(n, d)} = {most} then '{stage}'" for stage, n, d in _DROPS)} end largest_drop_stage from bs)"""
+
+
+_RATES = ["conversion_rate", "view_to_cart", "purchase_rate", "cart_abandonment", "checkout_abandonment"]
+_SIDE = ", ".join([f"coalesce(max({c}) filter (where period = '{p}'), 0) {c}{z}" for c in _COUNTS for p, z in (("CURRENT", ""), ("COMPARISON", "0"))] + [f"max({c}) filter (where period = '{p}') {c}{z}" for c in _RATES for p, z in (("CURRENT", ""), ("COMPARISON", "0"))])
+_EVIDENCE = f"select key entity_id, {_SIDE}, coalesce(max(view_sessions) filter (where period = 'CURRENT'), 0) product_views, coalesce(max(view_sessions) filter (where period = 'COMPARISON'), 0) product_views0 from br group by 1"
+_J = f"""{_E}, bt as (select session_id pid, visitor_id, started_at, coalesce(checkout_completed_at, ended_at) cutoff_at from ses where linked_purchase),
+jt as (select pid, cast(started_at as date) as day, cutoff_at, t.touched_at, t.source, t.ad_id, t.session_id sid, row_number() over (partition by pid order by touched_at, t.session_id, ordinal) n, count(*) over (partition by pid) m from bt join tc t using (visitor_id) where touched_at <= cutoff_at and cast(touched_at as date) >= cast(started_at as date) - 30),
+dl as (select pid, (epoch_us(any_value(cutoff_at)) - epoch_us(min(s.started_at))) // 1000 delay from bt join ses s using (visitor_id) where s.started_at <= cutoff_at and cast(s.started_at as date) >= cast(bt.started_at as date) - 30 group by 1),
+wh as (select pid, count(distinct sid) ns from jt group by 1),
+ji as (select pid, day, n, m, 'SOURCE' dimension, source as key from jt union all select pid, day, n, m, 'META_AD', cast(ad_id as varchar) from jt where ad_id is not null),
+jc as (select pid, day, dimension, key, bool_or(n = 1) f, bool_or(n = m) l, bool_or(n < m) a, max(m) = 1 one from ji group by 1, 2, 3, 4),
+cr as (select day, dimension, key, count(*) purchases, count(*) filter (where f) first_touch, count(*) filter (where l) last_touch, count(*) filter (where a) assisted, count(*) filter (where one) single_touch, count(*) filter (where ns > 1) cross_session, coalesce(sum(delay), 0) delay_ms, count(delay) delays from jc join wh using (pid) left join dl using (pid) group by 1, 2, 3),
+ti as (select session_id, 'SOURCE' dimension, source as key from tc union select session_id, 'META_AD', cast(ad_id as varchar) from tc where ad_id is not null),
+td as (select cast(started_at as date) as day, dimension, key, count(*) touched_sessions from ti join ses using (session_id) group by 1, 2, 3),
+att as (select day, dimension, key, {', '.join(f'coalesce({c}, 0) {c}' for c in 'touched_sessions purchases first_touch last_touch assisted single_touch cross_session delay_ms delays'.split())} from td full join cr using (day, dimension, key))"""
 _B = f"""{_C}, {_A}, per as (select unnest(['CURRENT', 'COMPARISON']) period), acc as (select distinct account_id from ad where currency = 'EUR'),
 sp as (select period, count(*) - count(s) missing_accounts, case when count(s) = count(*) then cast(sum(s) as double) end spend from per cross join acc
  left join (select period, account_id, sum(spend) s from ad where currency = 'EUR' group by 1, 2) using (period, account_id) group by 1),
@@ -90,10 +145,6 @@ ORACLE_SQL = {
     "O-90_net_revenue_totals": f"with {_C}, x as (select period, product_id, greatest(sum(cast(revenue as double) - av), 0.0) n from adj group by 1, 2) select period, round(sum(n), 2) net_revenue from x group by 1",
     "O-93_latest_levels": "with x as (select l_partkey item_id, l_suppkey location_id, l_shipdate observed_at, max(cast(l_quantity as bigint)) available from lineitem where l_shipdate <= timestamp '1997-06-30' group by 1, 2, 3) select * from x qualify row_number() over (partition by item_id, location_id order by observed_at desc) = 1",
     "O-101_daily_trend": f"with {_O}, {_A}, d as (select cast(unnest(generate_series(timestamp '1997-01-01', timestamp '1997-12-31', interval 1 day)) as date) as day), a as (select cast(demand_at as date) as day, count(*) orders, cast(sum(value) as double) order_value from po where period = 'CURRENT' group by 1), b as (select date as day, cast(sum(spend) as double) spend from ad where currency = 'EUR' and period = 'CURRENT' group by 1) select day, coalesce(orders, 0) orders, coalesce(order_value, 0.0) order_value, coalesce(spend, 0.0) spend, case when spend > 0 then coalesce(order_value, 0.0) / spend end mer from d left join a using (day) left join b using (day)",
-    "O-108_ranked_candidates": f"with {_C}, {_A}, m as (select product_id, round(net_revenue, 2) net_revenue from mets where period = 'CURRENT'), sp as (select cls.product_id, cast(sum(spend) as double) spend from ad join cls using (ad_id) where mapping_class = 'EXACT' and period = 'CURRENT' group by 1), ids as (select product_id from m union select product_id from sp union select p_partkey from part where p_partkey % 50 = 0) select product_id, spend, net_revenue from ids left join sp using (product_id) left join m using (product_id) order by spend desc nulls last, net_revenue desc nulls last, product_id limit 50 offset 10",
-    "O-122_conversion_delays": f"with {_E}, b as (select event_id purchase_id, visitor_id, event_at purchased_at from ev where event_name = 'CHECKOUT_COMPLETED'), f as (select purchase_id, min(started_at) journey_started_at from b join ses using (visitor_id) where started_at <= purchased_at and cast(started_at as date) >= cast(purchased_at as date) - 30 group by 1) select b.*, journey_started_at, (epoch_us(purchased_at) - epoch_us(journey_started_at)) // 1000 delay_ms from b left join f using (purchase_id)",
-    "W-12_shared_exposure": f"with {_COVER}, {_A}, tg as (select ad_id, count(distinct product_id) products from mp where confirmed or confidence >= 0.7 group by 1), sm as (select ad_id, cast(sum(spend) as double) spend, sum(impressions) impressions from ad where period = 'CURRENT' group by 1), rk as (select ad_id, count(*) affected_products, bool_or(available <= 0 or available <= u * 5) c, max(greatest(0.0::double, least(1.0::double, 0.55::double + greatest(rp - available, 0) / greatest(1, rp) * 0.45::double))) urgency, min(case when tracked then dc end) minimum_days_cover from mp join st using (product_id) where (confirmed or confidence >= 0.7) and available <= rp group by 1) select ad_id, products, affected_products, spend, impressions, case when c then 'CRITICAL' else 'HIGH' end severity, urgency, minimum_days_cover from tg join sm using (ad_id) join rk using (ad_id) where products > 1 and spend > 0 and impressions >= 1000",
-    "O-120_behavior_daily": f"with {_E}, x as (select cast(started_at as date) as day, count(*) sessions, " + ", ".join(f"count(case when {when} then 1 end) {n}" for n, when in [("view_sessions", "product_views > 0"), ("cart_sessions", "adds_to_cart > 0"), ("checkout_sessions", "checkouts > 0"), ("purchase_sessions", "purchases > 0"), ("cart_checkout_sessions", "adds_to_cart > 0 and checkouts > 0"), ("checkout_purchase_sessions", "checkouts > 0 and purchases > 0")]) + " from ses group by 1), s as (select day, k, stage, 1 - n / d::double as dropped from (" + " union all ".join(f"select day, {k} k, '{stage}' stage, {n} n, {d} d from x" for k, (stage, n, d) in enumerate([("SESSION_TO_PRODUCT", "view_sessions", "sessions"), ("PRODUCT_TO_CART", "cart_sessions", "view_sessions"), ("CART_TO_CHECKOUT", "cart_checkout_sessions", "cart_sessions"), ("CHECKOUT_TO_PURCHASE", "checkout_purchase_sessions", "checkout_sessions")])) + ") where d > 0 and n <= d), w as (select * from s qualify row_number() over (partition by day order by dropped desc, k) = 1) select x.*, cast(purchase_sessions as double) / sessions conversion_rate, stage largest_drop_stage, dropped largest_drop from x left join w using (day)",
     "R-24_ad_signals": f"with {_A}, x as (select period, ad_id, count(*) n, {_SUMS} from ad group by 1, 2), y as (select *, {_RATIOS} from x), z as (select ad_id entity_id, {_PAIR} from y group by 1) " + " union all ".join(f"select entity_id, '{code}' code, {severity} severity from z where {when}" for code, when, severity in _SIGNALS),
     "W-01_overview_changes": f"with {_B}, w as (select " + ", ".join(f"max(case when period = '{p}' then {m} end) {m}{z}" for m in ("orders", "order_value", "spend", "mer") for p, z in (("CURRENT", ""), ("COMPARISON", "0"))) + f" from bl) select orders, orders0, round(order_value, 2) order_value, round(order_value0, 2) order_value0, spend, spend0, round(mer, 6) mer, round(mer0, 6) mer0, {_change('orders')} orders_change, round({_change('order_value')}, 6) order_value_change, round({_change('spend')}, 6) spend_change, round({_change('mer')}, 6) mer_change from w",
     "W-04_customers": f"with {_O}, x as (select s.segment, {_SEG} from (select unnest(['TOTAL', 'NEW', 'RETURNING', 'UNKNOWN']) segment) s left join po on s.segment in ('TOTAL', po.segment) group by 1), y as (select segment, orders, orders0, units, units0, cast(v as double) order_value, cast(v0 as double) order_value0, coalesce(cast((select sum(orders) from x where segment in ('NEW', 'RETURNING')) as double) / nullif((select orders from x where segment = 'TOTAL'), 0), 0.0) coverage, coalesce(cast((select sum(orders0) from x where segment in ('NEW', 'RETURNING')) as double) / nullif((select orders0 from x where segment = 'TOTAL'), 0), 0.0) coverage0 from x) select segment, orders, orders0, units, units0, round(order_value, 2) order_value, round(order_value0, 2) order_value0, coverage, coverage0, round(order_value / nullif(orders, 0), 4) average_order_value, round(order_value0 / nullif(orders0, 0), 4) average_order_value0, {_change('orders')} orders_change, {_change('units')} units_change, round({_change('order_value')}, 6) order_value_change from y",
@@ -108,20 +159,151 @@ ORACLE_SQL = {
     "O-70_advertising_overview": f"with {_A}, x as (select period, currency, {_SUMS}, string_agg(distinct provider, ',' order by provider) providers from ad group by 1, 2) select *, {_RATIOS} from x",
     "O-71_campaign_metrics": f"with {_A}, x as (select period, campaign_id, currency, {_SUMS} from ad group by 1, 2, 3) select *, {_RATIOS} from x",
     "O-76_raw_refund_evidence": f"with {_O} select period, product_id, sum(quantity) units, cast(sum(revenue) as double) revenue, sum(refunded_units) refunded_units, cast(sum(refund_value) as double) refund_value from pl group by 1, 2",
-    "O-82_mapping_classes": f"with {_A} select ad_id, mapping_class, product_id from cls",
-    "O-83_mapping_accounting": f"with {_A} select period, provider, coalesce(mapping_class, 'UNMAPPED') mapping_class, cast(sum(spend) as double) spend, count(distinct ad_id) ads from ad left join cls using (ad_id) group by 1, 2, 3",
     "O-85_unified_accounts": f"with {_A}, x as (select period, provider, currency, account_id, cast(sum(spend) as double) spend, sum(impressions) impressions, sum(clicks) clicks, case when count(conversions) = count(*) then sum(conversions) end c, case when count(conversion_value) = count(*) then cast(sum(conversion_value) as double) end v from ad group by 1, 2, 3, 4), y as (select *, count(c) over (partition by period, provider, currency) = count(*) over (partition by period, provider, currency) complete from x) select period, provider, currency, account_id, spend, impressions, clicks, complete, case when complete then c end conversions, case when complete then v end conversion_value from y",
-    "O-88_monitor_summary": f"with {_A}, x as (select currency, cast(sum(spend) as double) spend, sum(impressions) impressions, sum(clicks) clicks, coalesce(sum(conversions), 0) conversions, coalesce(cast(sum(conversion_value) as double), 0.0) conversion_value from ad group by 1) select *, cast(clicks * 100 as double) / nullif(cast(impressions as double), 0) ctr_percent, case when conversion_value <> 0 then conversion_value / nullif(spend, 0) end roas from x",
     "O-89_collection_performance": f"with {_O}, mem as (select p_partkey product_id, p_brand collection_id from part union select p_partkey, p_type from part), g as (select collection_id, period from (select distinct collection_id from mem) cross join (values ('CURRENT'), ('COMPARISON')) v(period)), x as (select period, collection_id, count(distinct order_id) orders, sum(quantity) units, cast(sum(revenue) as double) revenue from pl join mem using (product_id) group by 1, 2) select period, collection_id, coalesce(orders, 0) orders, coalesce(units, 0) units, coalesce(revenue, 0.0) revenue from g left join x using (period, collection_id)",
     "O-92_daily_sales": f"with {_O} select cast(demand_at as date) as day, count(distinct order_id) orders, sum(quantity) units, cast(sum(revenue) as double) gross, cast(sum(refund_value) as double) refunds from pl group by 1",
-    "O-94_inventory_history": "with sn as (select l_partkey i, l_shipdate t, max(cast(l_quantity as bigint)) a from lineitem where l_partkey % 10 = 0 group by 1, 2), d as (select cast(unnest(generate_series(timestamp '1997-01-01', timestamp '1997-01-31', interval 1 day)) as date) as day), it as (select distinct i from sn), x as (select day, i, (select a from sn where sn.i = it.i and cast(sn.t as date) <= d.day order by t desc limit 1) a from d cross join it) select day, sum(a) available from x group by 1",
-    "O-100_daily_series": f"with {_A}, d as (select cast(unnest(generate_series(timestamp '1997-01-01', timestamp '1997-12-31', interval 1 day)) as date) as day), x as (select date as day, cast(sum(spend) as double) spend, case when count(conversion_value) = count(*) then cast(sum(conversion_value) as double) end conversion_value from ad group by 1) select day, coalesce(spend, 0.0) spend, conversion_value from d left join x using (day)",
-    "O-109_leaderboard": f"with {_C} select row_number() over (order by net_revenue desc, net_units desc, orders desc, product_id) as rank, product_id, net_revenue, net_units, orders from mets where period = 'CURRENT' order by 1 limit 25",
     "O-111_spend_shares": f"with {_A}, x as (select currency, campaign_id, cast(sum(spend) as double) spend from ad group by 1, 2), t as (select currency, cast(sum(spend) as double) a from ad group by 1) select currency, campaign_id, spend, spend / nullif(a, 0) spend_share from x join t using (currency)",
-    "O-118_sessions": f"with {_E}, fl as (select session_id, event_id, row_number() over (partition by session_id order by event_at, event_id) a, row_number() over (partition by session_id order by event_at desc, event_id desc) z from es) select ses.*, f.event_id first_event_id, l.event_id last_event_id from ses join fl f on f.session_id = ses.session_id and f.a = 1 join fl l on l.session_id = ses.session_id and l.z = 1",
-    "O-121_attribution": f"with {_E}, j as (select e.event_id pid, t.*, row_number() over (partition by e.event_id order by touched_at, session_id, ordinal) n, count(*) over (partition by e.event_id) k from ev e join tc t using (visitor_id) where e.event_name = 'CHECKOUT_COMPLETED' and touched_at <= event_at and cast(touched_at as date) >= cast(event_at as date) - 30), c as (select pid, source, max(n = 1) f, max(n = k) l from j group by 1, 2) select source, count(*) touched, count(case when f then 1 end) first_touch, count(case when l then 1 end) last_touch, count(case when not f and not l then 1 end) assisted, count(case when f and l then 1 end) as both from c group by 1",
-    "O-124_source_paths": f"with {_E}, p as (select session_id, 'SESSION:' || string_agg(source, '>' order by touched_at, ordinal) path from tc group by 1) select path, sha256(path) path_key, count(*) sessions from p group by 1, 2",
-    "O-45_last_clicks": f"with {_E} select order_id, visitor_id, ordered_at, click_id from (select o.event_id order_id, o.visitor_id, o.event_at ordered_at, k.event_id click_id, row_number() over (partition by o.event_id order by k.event_at desc, k.event_id desc) n from ev o left join ev k on k.visitor_id = o.visitor_id and k.event_name = 'ADD_TO_CART' and k.event_at <= o.event_at and k.event_at >= o.event_at - interval 7 day where o.event_name = 'CHECKOUT_COMPLETED') where n = 1",
     "O-50_consented_events": f"with {_E} select event_name, count(*) events from ev e where not exists (select 1 from ev w where w.visitor_id = e.visitor_id and w.event_id % 50 = 0 and w.event_at >= e.event_at) group by 1",
-    "W-09_product_ads": f"with {_C}, {_A}, x as (select period, cls.product_id, cast(sum(spend) as double) exact_spend, sum(impressions) impressions from ad join cls using (ad_id) where mapping_class = 'EXACT' group by 1, 2) select m.period, m.product_id, net_revenue, contribution_before_ads, exact_spend, impressions, contribution_before_ads - coalesce(exact_spend, 0.0) contribution_after_ads, net_revenue / nullif(exact_spend, 0) mer from mets m left join x on x.period = m.period and x.product_id = m.product_id",
+}
+
+_PAIRS = "max({m}) filter (where period = 'CURRENT') {m}, max({m}) filter (where period = 'COMPARISON') {m}0"
+
+
+def _pairs(*names: str) -> str:
+    return ", ".join(_PAIRS.format(m=m) for m in names)
+
+
+_PADS = f"""{_C}, {_A}, own as (select * from ad where currency = 'EUR'), ex as (select * from cls where mapping_class = 'EXACT'),
+sx as (select period, ex.product_id, count(*) source_rows, cast(sum(spend) as double) exact_spend, sum(impressions) impressions, case when count(conversion_value) = count(*) then cast(sum(conversion_value) as double) end cv, sum(cast(spend as double) * cast(confidence as double)) w from own join ex using (ad_id) group by 1, 2),
+mx as (select product_id, count(*) mapped_ads, max(confidence) most, bool_or(merchant_confirmed) merchant_confirmed from ex group by 1),
+ids as (select period, product_id from mets union select period, product_id from sx union select unnest(['CURRENT', 'COMPARISON']), product_id from mx),
+tot as (select period, cast(sum(spend) as double) all_spend from own group by 1), rev as (select period, sum(net_revenue) all_revenue from mets group by 1),
+pa as (select i.period, i.product_id, coalesce(net_units, 0) net_units, coalesce(net_revenue, 0.0) net_revenue, case when m.product_id is null then 0.0 else m.contribution_before_ads end contribution_before_ads, coalesce(source_rows, 0) source_rows, coalesce(exact_spend, 0.0) exact_spend, coalesce(impressions, 0) impressions,
+ case when source_rows > 0 then case when m.product_id is null then 0.0 else m.contribution_before_ads end - exact_spend end contribution_after_ads, coalesce(coalesce(net_revenue, 0.0) / nullif(all_revenue, 0), 0.0) revenue_share, coalesce(coalesce(exact_spend, 0.0) / nullif(all_spend, 0), 0.0) spend_share,
+ case when source_rows > 0 then cv / nullif(exact_spend, 0) end roas, case when exact_spend > 0 then w / exact_spend else coalesce(cast(most as double), 0.0) end mapping_confidence, coalesce(mapped_ads, 0) mapped_ads, coalesce(merchant_confirmed, false) merchant_confirmed
+ from ids i left join mets m using (period, product_id) left join sx using (period, product_id) left join mx using (product_id) left join tot using (period) left join rev using (period)),
+mcov as (select period, coalesce(cast(sum(spend) filter (where currency = 'EUR') as double), 0.0) spend, coalesce(cast(sum(spend) filter (where currency = 'EUR' and mapping_class = 'EXACT') as double), 0.0) exact_spend, coalesce(cast(sum(spend) filter (where currency <> 'EUR') as double), 0.0) excluded_spend from ad left join cls using (ad_id) group by 1),
+mco as (select *, case when spend > 0 then exact_spend / spend else 0.0 end mapping_coverage from mcov),
+stk as (select p_partkey product_id, cast(p_size - 7 as bigint) available, p_partkey % 4 <> 0 tracked from part),
+pe as (select product_id entity_id, coalesce(sold_units, 0) units, net_revenue, revenue_share, exact_spend spend, impressions, spend_share, mapping_confidence, mapping_coverage, coalesce(cost_coverage, 1.0) cost_coverage, roas, contribution_after_ads, coalesce(tracked, false) inventory_trusted, available stock, relevant_units / 365.0::double velocity
+ from (select * from pa where period = 'CURRENT') left join (select product_id, sold_units, cost_coverage, relevant_units from mets where period = 'CURRENT') using (product_id) left join stk using (product_id), (select mapping_coverage from mco where period = 'CURRENT'))"""
+
+
+def _paid(entity: str, name: str) -> str:
+    """Evidence of one kind of advertising entity, as common table expressions."""
+    sides = ", ".join([f"coalesce(max({m}) filter (where period = '{p}'), 0) {m}{z}" for m in ("spend", "impressions", "clicks") for p, z in (("CURRENT", ""), ("COMPARISON", "0"))] + [f"max({m}) filter (where period = '{p}') {m}{z}" for m in "conversions conversion_value roas cpa ctr cpm frequency".split() for p, z in (("CURRENT", ""), ("COMPARISON", "0"))])
+    return f"""{name}x as (select period, currency, {entity}, {_SUMS} from adm group by 1, 2, 3), {name}t as (select period, currency, cast(sum(spend) as double) a from adm group by 1, 2),
+{name} as (select currency, {entity} entity_id, {sides}, coalesce(max(spend / nullif(a, 0)) filter (where period = 'CURRENT'), 0.0) spend_share from (select *, {_RATIOS} from {name}x) join {name}t using (period, currency) group by 1, 2)"""
+
+
+_MONTH = _AM.replace("fact as", "factm as").replace("from fact f", "from factm f").replace("\nad as", "\nadm as")
+_STORE = """kp as (select period, count(*) orders, count(*) filter (where segment = 'NEW') n, count(*) filter (where segment = 'RETURNING') r, sum(refunds) / sum(value) refund_rate, sum(discounts) / (sum(discounts) + sum(value)) discount_rate from po group by 1),
+st as (select 'store' entity_id, """ + ", ".join(f"max(cast({e} as double)) filter (where period = '{p}') {n}{z}" for n, e in [("orders", "orders"), ("refund_rate", "refund_rate"), ("discount_rate", "discount_rate"), ("segment_coverage", "cast(n + r as double) / orders"), ("returning_share", "cast(r as double) / nullif(n + r, 0)"), ("known_orders", "n + r")] for p, z in (("CURRENT", ""), ("COMPARISON", "0"))) + " from kp)"
+
+
+def _of(dimension: str, name: str) -> str:
+    body = _behavior(dimension).replace("bs as", f"{name}s as").replace("from bs", f"from {name}s").replace("br as", f"{name}r as")
+    return f"{body}, {name} as ({_EVIDENCE.replace('from br', f'from {name}r')})"
+
+
+_FAMILIES = f"""{_PADS}, {_MONTH}, {_paid('campaign_id', 'campaign')}, {_paid('group_id', 'adset')}, {_paid('ad_id', 'ads')}, {_paid('creative_id', 'creative')}, {_STORE},
+mapping as (select 'store' entity_id, spend, mapping_coverage from mco where period = 'CURRENT'), {_CUBE.replace("sp as (", "spr as (").replace("from sp join", "from spr join")}, {_of('STORE', 'storefront')}, {_of('PRODUCT', 'storefront_product')}, {_of('LANDING_PAGE', 'landing_page')}, {_J[len(_E) + 2:]},
+attribution as (select 'store' entity_id, 'READY' quality, coalesce(cast((select sum(conversions) from adm where provider = 'META' and period = 'CURRENT') as double), 0.0) provider_purchases, cast(coalesce(sum(purchases), 0) as double) first_party_purchases, cast(coalesce(sum(touched_sessions), 0) as double) sessions from att where dimension = 'SOURCE' and key = 'META')"""
+_TABLES = {"campaign": "campaign", "adset": "adset", "ad": "ads", "creative": "creative", "product": "pe", "store": "st", "mapping": "mapping", "attribution": "attribution", "storefront": "storefront", "storefront_product": "storefront_product", "landing_page": "landing_page"}
+
+
+def _drafts() -> str:
+    """All rules over the evidence of this module; conditions and scores are the rules' own expressions, whose values tests fix."""
+    parts = []
+    for rule_id, r in RULES.items():
+        if r.family in _TABLES:
+            parts.append(f"select '{rule_id}' rule_id, '{r.category}' category, '{r.entity}' entity_type, cast(entity_id as varchar) entity_id, {r.severity} severity, cast({r.impact} as double) impact, cast({r.confidence} as double) confidence, cast({r.urgency} as double) urgency, {r.quality} evidence_quality, '{r.precision}' as precision from {_TABLES[r.family]} where coalesce({r.when}, false)")
+    return f"drafts as ({' union all '.join(parts)})"
+
+
+_DV = """bo as (select event_id, event_at, k, source, linked from ev where event_name = 'CHECKOUT_COMPLETED'),
+dv as (select event_id source_event_id, provider, ['DELIVERED', 'DELIVERED', 'RETRY', 'DEAD', 'PENDING'][event_id % 5 + 1] status, case when event_id % 5 = 3 then 'REJECTED' end reason_code, event_id % 7 <> 0 m, event_id % 6 <> 0 c, event_at
+ from bo, (select unnest(['META', 'TIKTOK']) provider) where event_id % 3 <> 0 and (event_id + length(provider)) % 4 <> 0)"""
+_QUALITY = "case when mapped_ads = 0 or source_rows = 0 then 'LOW' when merchant_confirmed then 'HIGH' else 'MEDIUM' end"
+_WAIT = "('PENDING', 'PROCESSING', 'RETRY')"
+_PL = f"select product_id, sum(quantity) q from pl group by 1"
+
+ORACLE_SQL |= {
+    "O-62_order_kpis": f"with {_O} select period, count(*) orders, round(cast(sum(value) as double), 2) order_value, round(cast(sum(refunds) as double), 4) refunds, count(*) filter (where segment = 'NEW') new_orders, count(*) filter (where segment = 'RETURNING') returning_orders, count(*) filter (where segment = 'UNKNOWN') unknown_orders, round(cast(sum(value) as double) / count(*), 4) average_order_value, count(*) filter (where segment = 'RETURNING') / cast(count(*) filter (where segment <> 'UNKNOWN') as double) returning_share, count(*) filter (where segment <> 'UNKNOWN') / cast(count(*) as double) segment_coverage from po group by 1",
+    "O-78_commerce_health": f"with {_O} select period, count(*) orders, count(*) filter (where refunds > 0) / cast(count(*) as double) refund_order_rate, round(cast(sum(refunds) as double) / cast(sum(value) as double), 9) refund_rate, round(cast(sum(discounts) as double) / cast(sum(discounts) + sum(value) as double), 9) discount_rate from po group by 1",
+    "O-94_inventory_history": "with sn as (select l_partkey i, cast(l_shipdate as date) t, max(struct_pack(s := l_shipdate, a := cast(l_quantity as bigint))) x, arg_max(q, l_shipdate) a from (select *, max(cast(l_quantity as bigint)) over (partition by l_partkey, l_shipdate) q from lineitem) group by 1, 2), d as (select cast(unnest(generate_series(timestamp '1997-01-01', timestamp '1997-12-31', interval 1 day)) as date) as day), g as (select i, day from (select distinct i from sn) cross join d), u as (select i, t as day, a, false as grid from sn union all select i, day, null, true from g), f as (select *, last_value(a ignore nulls) over (partition by i order by day, grid rows unbounded preceding) lv from u) select day, sum(lv) available from f where grid group by 1",
+    "O-100_daily_series": f"with {_A} select date as day, currency, cast(sum(spend) as double) spend, sum(impressions) impressions, sum(clicks) clicks, case when count(conversions) = count(*) then sum(conversions) end purchases, case when count(conversion_value) = count(*) then cast(sum(conversion_value) as double) end purchase_value from ad group by 1, 2",
+    "O-88_monitor_summary": f"with {_A}, x as (select currency, count(*) row_count, cast(sum(spend) as double) spend, sum(impressions) impressions, sum(clicks) clicks, coalesce(sum(conversions), 0) conversions, coalesce(cast(sum(conversion_value) as double), 0.0) conversion_value, coalesce(sum(frequency * impressions) filter (where impressions > 0), 0) / cast(sum(impressions) as double) frequency from ad where provider = 'TIKTOK' group by 1) select *, cast(clicks * 100 as double) / nullif(cast(impressions as double), 0) ctr_percent, case when conversion_value <> 0 then conversion_value / nullif(spend, 0) end roas from x",
+    "O-183_monitor_entities": f"with {_A}, x as (select currency, campaign_id, count(*) row_count, cast(sum(spend) as double) spend, sum(impressions) impressions, sum(clicks) clicks, coalesce(sum(conversions), 0) conversions, coalesce(cast(sum(conversion_value) as double), 0.0) conversion_value, coalesce(sum(frequency * impressions) filter (where impressions > 0), 0) / cast(sum(impressions) as double) frequency from ad where provider = 'TIKTOK' group by 1, 2) select *, cast(clicks * 100 as double) / nullif(cast(impressions as double), 0) ctr_percent, case when conversion_value <> 0 then conversion_value / nullif(spend, 0) end roas from x",
+    "O-82_mapping_classes": f"with {_A} select ad_id, mapping_class, product_id, cast(confidence as double) confidence, merchant_confirmed from cls",
+    "O-82b_mapping_confidence": f"with {_A} select mapping_class, merchant_confirmed, count(*) ads, round(cast(sum(confidence) as double), 4) confidence from cls group by 1, 2",
+    "O-83_mapping_accounting": f"with {_A} select period, provider, coalesce(mapping_class, 'UNMAPPED') mapping_class, cast(sum(spend) as double) spend, count(distinct ad_id) ads from ad left join cls using (ad_id) group by 1, 2, 3",
+    "O-84_ad_rows": f"with {_A}, x as (select period, provider, ad_id, currency, {_SUMS} from ad group by 1, 2, 3, 4) select *, {_RATIOS} from x",
+    "O-86_group_metrics": f"with {_A}, x as (select period, provider, currency, group_id entity_id, {_SUMS}, count(*) source_rows, min(date) first_day, max(date) last_day from ad group by 1, 2, 3, 4) select *, {_RATIOS} from x",
+    "O-72_counters": f"with {_A} select count(distinct account_id) accounts, count(distinct campaign_id) campaigns, count(distinct ad_id) ads, count(*) facts from ad",
+    "O-173_creative_rows": f"with {_A}, y as (select period, currency, creative_id, spend, impressions, clicks, coalesce(conversions, 0) conversions, coalesce(conversion_value, 0) conversion_value, frequency from ad), x as (select period, currency, creative_id, {_SUMS} from y group by 1, 2, 3) select *, {_RATIOS} from x",
+    "O-176_exposure_targets": f"with {_A}, x as (select ad_id, product_id, cast(confidence as double) confidence, row_number() over (partition by ad_id order by confidence desc, product_id) place, count(*) over (partition by ad_id) targets from mp) select * from x where place <= 10",
+    "O-177_mapping_summary": f"with {_A} select case when s_suppkey % 5 = 0 then 'COLLECTION' else 'PRODUCT' end target_scope, count(*) ads, count(*) filter (where s_suppkey in (select ad_id from mp where confirmed)) confirmed_ads from supplier group by 1",
+    "O-186_mapping_coverage": f"with {_PADS} select * from mco",
+    "W-11_exposure_scope": f"with {_A}, x as (select period, ad_id, currency, cast(sum(spend) as double) spend from ad group by 1, 2, 3) select period, ad_id, currency, coalesce(mapping_class, 'UNKNOWN') as scope, product_id, case when mapping_class = 'EXACT' then spend end product_spend, case when mapping_class = 'SHARED' then spend end shared_spend, spend from x left join cls using (ad_id)",
+    "W-09_product_ads": f"with {_PADS} select * replace (round(net_revenue, 2) as net_revenue, round(contribution_before_ads, 2) as contribution_before_ads, round(contribution_after_ads, 2) as contribution_after_ads, round(revenue_share, 9) as revenue_share, round(spend_share, 9) as spend_share, round(roas, 6) as roas, round(mapping_confidence, 6) as mapping_confidence) from pa",
+    "O-109_leaderboard": f"with {_C}, b as (select product_id, {', '.join(f'coalesce(max({m}) filter (where period = ' + chr(39) + p + chr(39) + f'), 0) {m}{z}' for m in ('net_revenue', 'net_units', 'orders') for p, z in (('CURRENT', ''), ('COMPARISON', '0')))} from mets group by 1) select row_number() over (order by net_revenue desc, net_units desc, orders desc, product_id) as rank, product_id, round(net_revenue, 2) net_revenue, round(net_revenue0, 2) net_revenue0, net_units, net_units0, orders, orders0, round({_change('net_revenue')}, 6) net_revenue_change, {_change('net_units')} net_units_change, {_change('orders')} orders_change from b order by 1 limit 25",
+    "O-118_sessions": f"with {_E} select * exclude (landing), case landing when '/pages/about' then 'https://shop.example/pages/about?x=1' when '/:other' then 'https://shop.example/account/' || (select k from es e where e.event_id = first_event_id) else 'https://shop.example' || landing end landing_url from ses",
+    "O-119_session_products": f"with {_E} select * from sp",
+    "O-120_behavior_daily": f"with {_CUBE} select * from cube",
+    "O-102_store_behavior": f"with {_CUBE}, {_behavior('STORE')} select * from br",
+    "O-140_landing_page_drops": f"with {_CUBE}, {_behavior('LANDING_PAGE')} select * from br",
+    "O-180_storefront_evidence": f"with {_CUBE}, {_behavior('PRODUCT')} {_EVIDENCE}",
+    "O-182_insight_changes": f"with {_CUBE}, {_behavior('STORE')}, b as (select key, {_pairs('cart_abandonment', 'checkout_abandonment', 'conversion_rate', 'largest_drop', 'largest_drop_stage')} from br group by 1) select *, cart_abandonment - cart_abandonment0 cart_abandonment_points, checkout_abandonment - checkout_abandonment0 checkout_abandonment_points, conversion_rate - conversion_rate0 conversion_rate_points, case when largest_drop_stage = largest_drop_stage0 then largest_drop - largest_drop0 end largest_drop_points from b",
+    "O-138_rate_points": f"with {_CUBE}, {_behavior('STORE')} select key, max(conversion_rate) filter (where period = 'CURRENT') - max(conversion_rate) filter (where period = 'COMPARISON') points from br group by 1",
+    "O-80_checkout_purchase_overlap": f"with {_E} select cast(started_at as date) as day, count(*) filter (where checkout_started_at is not null) checkout_sessions, count(*) filter (where linked_purchase) purchase_sessions, count(*) filter (where checkout_started_at is not null and linked_purchase) both_sessions from ses group by 1",
+    "O-121_attribution": f"with {_J} select * from att",
+    "O-103_attribution_sources": f"with {_J} select {_DAYS} as period, key, {', '.join(f'sum({c}) {c}' for c in 'touched_sessions purchases first_touch last_touch assisted single_touch cross_session delays'.split())}, cast(floor(sum(delay_ms) / nullif(sum(delays), 0)) as bigint) average_delay_ms from att where dimension = 'SOURCE' and {_DAYS} is not null group by 1, 2",
+    "O-81_attribution_health": f"with {_J} select coalesce(sum(touched_sessions), 0) touched_sessions, coalesce(sum(purchases), 0) purchase_sessions from att where dimension = 'SOURCE' and key = 'META'",
+    "O-123_target_evidence": f"with {_E}, a as (select distinct session_id, ad_id from tc where ad_id is not null) select cast(started_at as date) as day, ad_id, product_id, count(*) interacted_sessions, count(*) filter (where views > 0) viewed_sessions, count(*) filter (where adds > 0) cart_sessions, count(*) filter (where linked_purchase and adds > 0) purchase_sessions from a join sp using (session_id) join ses using (session_id) group by 1, 2, 3",
+    "O-124_source_paths": f"with {_E}, o as (select t.*, cast(started_at as date) as day, linked_purchase from tc t join ses using (session_id) where touched_at <= case when linked_purchase then coalesce(checkout_completed_at, ended_at) else ended_at end), k as (select *, lag(source) over (partition by session_id order by touched_at, ordinal) p from o), x as (select session_id, day, linked_purchase, 'SESSION:' || string_agg(source, '>' order by touched_at, ordinal) path from k where p is null or p <> source group by 1, 2, 3) select day, path, sha256(path) path_key, count(*) sessions, count(*) filter (where linked_purchase) purchase_sessions from x group by 1, 2, 3",
+    "O-174_first_touch_sources": f"with {_E}, f as (select session_id, first(source order by touched_at, ordinal) source from tc group by 1) select product_id, source, count(*) sessions from sp join f using (session_id) group by 1, 2",
+    "O-122_conversion_delays": f"with {_E}, b as (select event_id purchase_id, visitor_id, event_at purchased_at from ev where event_name = 'CHECKOUT_COMPLETED'), f as (select purchase_id, min(started_at) journey_started_at from b join ses using (visitor_id) where started_at <= purchased_at and cast(started_at as date) >= cast(purchased_at as date) - 30 group by 1) select b.*, journey_started_at, (epoch_us(purchased_at) - epoch_us(journey_started_at)) // 1000 delay_ms from b left join f using (purchase_id)",
+    "O-45_last_clicks": f"with {_E}, o as (select event_id order_id, visitor_id, event_at ordered_at from ev where event_name = 'CHECKOUT_COMPLETED'), x as (select order_id, source, k.event_id click_id, row_number() over (partition by order_id, source order by k.event_at desc, received_at desc, k.event_id desc) n from o join ev k using (visitor_id) where event_name = 'ADD_TO_CART' and source in ('META', 'GOOGLE') and k.event_at <= ordered_at and k.event_at >= ordered_at - interval 30 day) select o.*, a.click_id meta_click_id, b.click_id google_click_id from o left join x a on a.order_id = o.order_id and a.source = 'META' and a.n = 1 left join x b on b.order_id = o.order_id and b.source = 'GOOGLE' and b.n = 1",
+    "O-116_accepted_events": f"with {_E} select event_name, count(*) events from ev where event_id % 9 <= 7 group by 1",
+    "O-26_retained_events": f"with {_E} select source, count(*) events from ev where received_at + interval 10 day > timestamp '2024-01-20' group by 1",
+    "O-108_ranked_candidates": f"with {_C}, {_A}, m as (select product_id, round(net_revenue, 2) net_revenue from mets where period = 'CURRENT'), sp as (select cls.product_id, cast(sum(spend) as double) spend from ad join cls using (ad_id) where mapping_class = 'EXACT' and period = 'CURRENT' group by 1), ids as (select product_id from m union select product_id from sp union select p_partkey from part where p_partkey % 50 = 0) select product_id, spend, net_revenue from ids left join sp using (product_id) left join m using (product_id) order by spend desc nulls last, net_revenue desc nulls last, product_id limit 50 offset 10",
+    "W-12_shared_exposure": f"with {_COVER}, {_A}, tg as (select ad_id, count(distinct product_id) products from mp where confirmed or confidence >= 0.7 group by 1), sm as (select ad_id, cast(sum(spend) as double) spend, sum(impressions) impressions from ad where period = 'CURRENT' group by 1), rk as (select ad_id, count(*) affected_products, bool_or(available <= 0 or available <= u * 5) c, max(greatest(0.0::double, least(1.0::double, 0.55::double + greatest(rp - available, 0) / greatest(1, rp) * 0.45::double))) urgency, min(case when tracked then dc end) minimum_days_cover from mp join st using (product_id) where (confirmed or confidence >= 0.7) and available <= rp group by 1) select ad_id, products, affected_products, spend, impressions, case when c then 'CRITICAL' else 'HIGH' end severity, urgency, minimum_days_cover from tg join sm using (ad_id) join rk using (ad_id) where products > 1 and spend > 0 and impressions >= 1000",
+    "O-181_ad_evidence": f"with {_MONTH}, {_paid('ad_id', 'ads')} select * from ads",
+    "W-21_product_evidence": f"with {_PADS} select * replace (round(net_revenue, 2) as net_revenue, round(contribution_after_ads, 2) as contribution_after_ads, round(revenue_share, 9) as revenue_share, round(spend_share, 9) as spend_share, round(roas, 6) as roas, round(mapping_confidence, 6) as mapping_confidence, round(mapping_coverage, 6) as mapping_coverage) from pe",
+    "W-15_snapshot": f"with {_FAMILIES}, {_drafts()} select * replace (round(impact, 6) as impact, round(confidence, 6) as confidence, round(urgency, 6) as urgency), case when rule_id like '%efficiency_deterioration' then case when severity = 'HIGH' then 'REDUCE' else 'HOLD' end when rule_id in ('creative_fatigue_symptoms', 'video_retention_deterioration', 'underexposed_commerce_winner') then 'TEST' when rule_id = 'provider_roas_margin_trap' then 'REDUCE' when rule_id in ('inventory_spend_conflict', 'inventory_runway_risk') then 'HOLD' else 'INVESTIGATE' end as action from drafts",
+    "R-29_occurrences": f"with {_FAMILIES}, {_drafts()} select rule_id, entity_id, rule_id || ':2:' || entity_type || ':' || entity_id || ':1997-12-01:1998-01-01' occurrence_key from drafts",
+    "R-27_data_quality": f"with {_PADS} select unnest(['SHOPIFY_HISTORY_LIMITED', 'META_SYNC_STALE']) code, 'WARNING' status, unnest(['SHOPIFY_COMMERCE', 'META_ADVERTISING']) surface union all select 'PRODUCT_AD_MAPPING_LOW', 'WARNING', 'CROSS_CHANNEL_PRODUCT_ADS' from mco where period = 'CURRENT' and spend > 0 and mapping_coverage < 0.6 union all select 'META_CURRENCY_MISMATCH', 'WARNING', 'CROSS_CHANNEL_PRODUCT_ADS' from mco where period = 'CURRENT' and excluded_spend > 0 union all select 'PRODUCT_COST_COVERAGE_LOW', 'WARNING', 'SHOPIFY_ECONOMICS' from mets where period = 'CURRENT' having sum(sold_units) > 0 and sum(sold_units * cost_coverage) / sum(sold_units) < 0.8",
+    "R-28_limited_drafts": f"with {_FAMILIES}, {_drafts()}, q as (select unnest(['SHOPIFY_HISTORY_LIMITED', 'META_SYNC_STALE']) code union all select 'PRODUCT_AD_MAPPING_LOW' from mco where period = 'CURRENT' and spend > 0 and mapping_coverage < 0.6 union all select 'META_CURRENCY_MISMATCH' from mco where period = 'CURRENT' and excluded_spend > 0), l as (select d.*, (select string_agg(code, ',' order by code) from q where code = 'META_SYNC_STALE' or code = 'SHOPIFY_HISTORY_LIMITED' and d.precision <> 'META_PROVIDER' or code in ('PRODUCT_AD_MAPPING_LOW', 'META_CURRENCY_MISMATCH') and d.precision = 'EXACT_PRODUCT') limitations from drafts d), n as (select *, confidence * pow(0.92, length(limitations) - length(replace(limitations, ',', '')) + 1) c from l) select rule_id, entity_id, case when c >= 0.58 then 'MEDIUM' else 'LOW' end evidence_quality, round(c, 6) confidence, limitations from n",
+    "O-92b_variant_sales": f"with {_O} select product_id, count(distinct order_id) orders, sum(quantity) units, sum(current_quantity) current_units, sum(refunded_units) refunded_units, round(cast(sum(revenue) as double), 2) gross, round(cast(sum(refund_value) as double), 2) refunds, round(cast(sum(revenue) as double) - cast(sum(refund_value) as double), 2) net from pl where period = 'CURRENT' group by 1",
+    "O-91_store_summary": f"with {_O} select (select count(*) from part) products, (select sum(p_size - 10) from part) available, (select count(*) from part where p_size - 10 between 1 and 5) low_stock, (select count(*) from part where p_size <= 10) out_of_stock, count(*) orders, sum(units) units, round(cast(sum(value) as double), 2) total_sales, round(cast(sum(discounts) as double), 2) discounts, count(*) filter (where refunds > 0) refunded_orders, round(cast(sum(refunds) as double), 2) refunded from po where period = 'CURRENT'",
+    "O-12_product_search": "with x as (select p_partkey product_id, p_name title, p_brand vendor from part where lower(p_name) like '%5%' or lower(p_brand) like '%5%' or 'sku-' || p_partkey like '%5%') select *, (select count(*) from x) total from x order by title, product_id limit 20 offset 20",
+    "O-165_stock_states": f"with {_COVER} select product_id, case when available <= 0 then 'SOLD_OUT' when u > 0 and greatest(available, 0) / u <= 10 then 'STOCKOUT_RISK' when available <= 5 then 'LOW_STOCK' when u = 0 and available > 15 then 'OVERSTOCK_WEAK_DEMAND' else 'HEALTHY' end stock_state from cv",
+    "O-58_recent_orders": f"with {_O}, n as (select order_id, demand_at, cast(value as double) as value, is_cancelled from ord order by demand_at desc, order_id desc limit 6) select n.*, units, lines from n left join (select order_id, sum(quantity) units, count(*) lines from ln group by 1) using (order_id)",
+    "W-02_dashboard": f"with {_B}, cv as (select p_partkey product_id, cast(p_size - 7 as bigint) available, coalesce(q, 0) / 365.0::double u from part left join (select product_id, sum(greatest(quantity - restocked_units, 0)) q from pl where period = 'CURRENT' group by 1) on product_id = p_partkey) select period, orders, round(order_value, 2) order_value, spend, round(mer, 6) mer, (select count(*) from cv where available >= 0 and u > 0 and available <= ceil(u * 10)) products_at_risk, (select count(*) from cv where available >= 0 and u > 0 and (available <= 0 or available <= u * 5)) products_critical from bl",
+    "W-03_products": f"with {_C}, b as (select product_id, {', '.join(f'coalesce(max({m}) filter (where period = ' + chr(39) + p + chr(39) + f'), 0) {m}{z}' for m in ('net_revenue', 'net_units', 'orders') for p, z in (('CURRENT', ''), ('COMPARISON', '0')))} from mets group by 1) select product_id, round(net_revenue, 2) net_revenue, round(net_revenue0, 2) net_revenue0, net_units, net_units0, orders, orders0, round({_change('net_revenue')}, 6) net_revenue_change, {_change('net_units')} net_units_change, {_change('orders')} orders_change, (select count(*) from b) total from b order by b.net_revenue desc, net_units desc, orders desc, product_id limit 50 offset 50",
+    "W-06_collections": f"with {_O}, mem as (select p_partkey product_id, p_brand collection_id from part union select p_partkey, p_type from part), g as (select collection_id, period from (select distinct collection_id from mem) cross join (values ('CURRENT'), ('COMPARISON')) v(period)), x as (select period, collection_id, count(distinct order_id) orders, sum(quantity) units, cast(sum(revenue) as double) revenue from pl join mem using (product_id) group by 1, 2), f as (select period, collection_id, coalesce(orders, 0) orders, coalesce(units, 0) units, coalesce(revenue, 0.0) revenue from g left join x using (period, collection_id)), b as (select collection_id, {_pairs('revenue', 'orders', 'units')} from f group by 1) select collection_id, round(revenue, 2) revenue, round(revenue0, 2) revenue0, orders, orders0, units, units0, round({_change('revenue')}, 6) revenue_change, {_change('orders')} orders_change, {_change('units')} units_change, (select count(*) from b) total from b order by b.revenue desc, collection_id limit 20",
+    "W-07_campaigns": f"with {_A}, x as (select period, campaign_id, {_SUMS} from ad group by 1, 2), r as (select *, {_RATIOS} from x), b as (select campaign_id entity_id, {_pairs('spend', 'impressions', 'clicks', 'roas')} from r group by 1) select *, {_change('spend')} spend_change, {_change('impressions')} impressions_change, {_change('clicks')} clicks_change, {_change('roas')} roas_change, (select count(*) from b) total from b order by spend desc nulls last, entity_id limit 20",
+    "W-14_unified_entities": f"with {_MONTH}, x as (select period, ad_id, count(*) n, {_SUMS} from adm group by 1, 2), y as (select *, {_RATIOS} from x), z as (select ad_id entity_id, {_PAIR} from y group by 1), g as (" + " union all ".join(f"select entity_id, '{code}' code from z where {when}" for code, when, _ in _SIGNALS) + "), c as (select entity_id, string_agg(code, ',' order by code) signals from g group by 1) select entity_id, spend, impressions, case when coalesce(n, 0) = 0 or coalesce(impressions, 0) < 100 then 'LOW' when impressions >= 1000 then 'HIGH' else 'MEDIUM' end confidence, coalesce(signals, '') signals, (select count(*) from z) total from z left join c using (entity_id) order by spend desc nulls last, entity_id limit 50",
+    "W-17_behavior_list": f"with {_CUBE}, {_behavior('PRODUCT')}, b as (select key, {_pairs('sessions', 'view_sessions', 'conversion_rate')} from br group by 1) select *, {_change('sessions')} sessions_change, {_change('view_sessions')} view_sessions_change, {_change('conversion_rate')} conversion_rate_change, (select count(*) from b) total from b order by sessions desc nulls last, key limit 10",
+    "O-95_signal_diagnostics": f"with {_E}, {_DV} select provider, 'PURCHASE' event_name, status, reason_code, count(*) total, count(*) filter (where m) measured, count(*) filter (where m and source_event_id % 2 = 0) email, count(*) filter (where m and source_event_id % 3 = 0) click_id, count(*) filter (where c) content_measured, coalesce(sum(source_event_id % 4) filter (where c), 0) observed_items, coalesce(sum(source_event_id % 2) filter (where c), 0) mapped_items from dv group by 1, 2, 3, 4",
+    "O-96_delivery_funnel": f"with {_E}, {_DV}, c as (select event_name, count(*) collected, count(*) filter (where event_id % 6 <> 0) consented from ev group by 1), s as (select provider, event_name, count(distinct event_id) queued, count(distinct event_id) filter (where m) matching_measured, count(distinct event_id) filter (where status = 'DELIVERED') acknowledged from dv join ev on event_id = source_event_id group by 1, 2) select p.provider, c.*, coalesce(queued, 0) queued, coalesce(matching_measured, 0) matching_measured, coalesce(acknowledged, 0) acknowledged from c cross join (values ('META'), ('TIKTOK'), ('GOOGLE_ADS')) p(provider) left join s on s.provider = p.provider and s.event_name = c.event_name",
+    "O-97_purchase_states": f"with {_E}, {_DV}, s as (select p.provider, b.event_id, coalesce(bool_or(status = 'DELIVERED'), false) a, coalesce(bool_or(status in {_WAIT}), false) w, count(source_event_id) > 0 q from bo b cross join (values ('META'), ('TIKTOK'), ('GOOGLE_ADS')) p(provider) left join dv on source_event_id = b.event_id and dv.provider = p.provider group by 1, 2) select provider, count(*) orders, count(*) filter (where a) accepted, count(*) filter (where not a and w) waiting, count(*) filter (where not a and not w and q) failed, count(*) filter (where not q) not_queued from s group by 1",
+    "O-98_first_seen_touches": f"with {_E} select visitor_id, ad_id, min(touched_at) first_touched_at from tc where ad_id is not null group by 1, 2 having min(touched_at) >= timestamp '2024-01-05'",
+    "O-169_delivery_health": f"with {_E}, {_DV}, x as (select provider, count(*) total, count(*) filter (where status = 'DELIVERED') delivered, count(*) filter (where status in {_WAIT}) waiting, count(*) filter (where status = 'DEAD') dead, min(event_at) filter (where status in {_WAIT}) oldest_waiting from dv group by 1) select *, cast(delivered as double) / nullif(delivered + dead, 0) acceptance_rate, dead >= 5 and dead * 10 >= total dead_alert from x",
+    "O-161_customer_match": "select c_custkey customer_id, sha256('user.' || c_custkey || '+x@gmail.com') em, sha256('user' || c_custkey || '@gmail.com') google_em, case when c_custkey % 3 <> 0 and length('+49301000' || c_custkey) <= 16 then sha256('49301000' || c_custkey) end ph, case when c_custkey % 3 <> 0 and length('+49301000' || c_custkey) <= 16 then sha256('+49301000' || c_custkey) end google_ph, sha256(nullif(regexp_replace(lower(trim(c_name)), '[#0-9[:punct:]]', '', 'g'), '')) fn, sha256('10115') zp, case when c_custkey % 2 = 0 then sha256('de') end country, true has_email, c_custkey % 3 <> 0 and length('+49301000' || c_custkey) <= 16 has_phone from customer",
+    "O-163_purchase_eligibility": f"with {_E}, x as (select case when k % 10 = 1 then 'TEST_ORDER' when k % 12 = 3 then 'ORDER_CANCELLED' when k % 9 = 0 then 'ORDER_SOURCE_EXCLUDED' when k % 11 = 2 then 'B2B_ORDER_EXCLUDED' when not linked then 'CHECKOUT_LINK_UNAVAILABLE' when event_at < timestamp '2024-01-03' then 'ORDER_BEFORE_INSTALLATION' when k <= 0 then 'ZERO_VALUE_ORDER' end reason from ev where event_name = 'CHECKOUT_COMPLETED') select reason, count(*) orders from x group by 1",
+    "O-192_enqueued": f"with {_E}, {_DV} select p.provider, count(*) new_deliveries from bo cross join (values ('META'), ('TIKTOK'), ('GOOGLE_ADS')) p(provider) where not exists (select 1 from dv where source_event_id = event_id and dv.provider = p.provider) group by 1",
+    "O-49_undelivered": f"with {_E}, {_DV} select source, count(*) orders from bo where not exists (select 1 from dv where source_event_id = event_id and status = 'DELIVERED') group by 1",
+    "O-54_or_key_pairs": f"with {_E} select event_id, count(*) sessions from es e join ses s on e.session_id = s.session_id or e.visitor_id = s.visitor_id where event_id % 40 = 1 group by 1",
+    "O-33_selected_accounts": f"with {_A} select account_id, count(*) facts from ad where account_id in (1, 3) group by 1",
+    "O-36_keyset": f"with {_E} select event_name, count(*) events from ev where received_at > timestamp '2024-01-15' or received_at = timestamp '2024-01-15' and event_id > 100 group by 1",
+    "O-51_still_shared": f"with {_E} select event_name, count(*) events from ev e where k % 10 <> 0 and not exists (select 1 from ev w where w.visitor_id = e.visitor_id and w.k % 10 = 0 and w.received_at > e.received_at) group by 1",
+    "O-46_latest_runs": "select distinct on (connection_id) connection_id, run_id, created_at from (select o_custkey % 50 connection_id, o_orderkey run_id, o_orderdate created_at from orders where o_orderstatus = 'F') order by connection_id, created_at desc, run_id desc",
+    "O-136_numbers": "select p_partkey product_id, case when p_partkey % 3 = 1 then cast(p_size as double) else 0.0 end n from part",
+    "O-142_local_days": "select cast((o_orderdate at time zone 'UTC') at time zone 'America/New_York' as date) as day, count(*) orders from orders group by 1",
+    "O-15_upserted": "select o_orderkey k, case when o_orderkey % 2 = 0 then o_totalprice * 2 else o_totalprice end x, case when o_orderkey % 2 = 0 then 2 else 1 end v from orders where o_orderkey % 3 <> 0 or o_orderkey % 2 = 0",
+    "O-22_delete_missing": "select p_partkey k from part where p_size >= 25 or p_partkey % 4 <> 0",
+    "O-153_normalized_text": "select p_partkey product_id, trim(regexp_replace(lower(p_name || ' -- 50% Off! -- ' || p_brand), '[^\\p{L}\\p{N}]+', ' ', 'g')) as text from part",
+    "O-160_pixel_mappings": f"with {_E}, {_M}, a as (select distinct session_id, ad_id from tc where ad_id is not null), x as (select a.ad_id, product_id, count(*) sessions, count(*) filter (where views > 0) viewed_sessions, count(*) filter (where linked_purchase and adds > 0) p from a join sp using (session_id) join ses using (session_id) group by 1, 2), y as (select *, cast(viewed_sessions as double) / sessions view_rate, sessions >= 5 and cast(viewed_sessions as double) / sessions >= 0.6 e from x), z as (select *, count(*) filter (where e) over (partition by ad_id) ne from y) select ad_id, product_id, sessions, viewed_sessions, view_rate, case when exists (select 1 from mp where mp.ad_id = z.ad_id and mp.product_id = z.product_id) then 'SUPPORTS_EXISTING' when exists (select 1 from mp where mp.ad_id = z.ad_id and confirmed) then 'CONFLICTS_WITH_MERCHANT_MAPPING' when e and ne > 1 then 'POSSIBLE_SHARED_SCOPE' when e then 'REVIEW_SUGGESTION' else 'INSUFFICIENT_EVIDENCE' end status, case when e then round(least(0.69::double, 0.45::double + least(sessions / 20.0::double, 1.0::double) * 0.12 + view_rate * 0.08 + least(p / cast(sessions as double) * 2, 1.0::double) * 0.04), 6) end confidence from z",
 }

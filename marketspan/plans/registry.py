@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import web
-from ..functions.dates import date_spine
+from ..functions.exprs import numeric, period_label, point_change, safe_div, selected
+from ..functions.dates import date_spine, store_date
 from ..operators import advertising as ads
-from ..operators import commerce, economics as eco, rules, storefront
-from ..operators.joins import asof_join, without_revoked
+from ..operators import commerce, delivery, evidence, economics as eco, mapping, rules, storefront, workspaces
+from ..operators.joins import asof_join, or_key_join, without_revoked
 from ..sources import canonical as c
+from ..sources import sinks
 from .oracle import ORACLE_SQL as ORACLE_SQL
 
 
@@ -41,21 +43,42 @@ def sessions(s, d):
     return storefront.materialize_sessions(storefront.sessions_by_gap(c.events(s, d), 720))
 
 
+def gapped(s, d):
+    return storefront.sessions_by_gap(c.events(s, d), 720)
+
+
+def products_seen(s, d):
+    return storefront.session_products(gapped(s, d))
+
+
 def touch(s, d):
-    t = storefront.touches(storefront.sessions_by_gap(c.events(s, d), 720), ["source"])
-    return t.select("session_id", "visitor_id", F.col("event_at").alias("touched_at"), "ordinal", "source")
+    t = storefront.touches(gapped(s, d), ["source", "ad_id"])
+    return t.select("session_id", "visitor_id", F.col("event_at").alias("touched_at"), "ordinal", "source", "ad_id")
 
 
 def attribution(s, d):
-    bought = c.events(s, d).where("event_name = 'CHECKOUT_COMPLETED'").select(F.col("event_id").alias("purchase_id"), "visitor_id", F.col("event_at").alias("purchased_at"))
-    return storefront.attribution(bought, touch(s, d))
+    return storefront.attribution(sessions(s, d), touch(s, d))
+
+
+def bought(s, d):
+    return c.events(s, d).where("event_name = 'CHECKOUT_COMPLETED'")
 
 
 def last_clicks(s, d):
-    e = c.events(s, d)
-    bought = e.where("event_name = 'CHECKOUT_COMPLETED'").select(F.col("event_id").alias("order_id"), "visitor_id", F.col("event_at").alias("ordered_at"))
-    clicks = e.where("event_name = 'ADD_TO_CART'").select("visitor_id", F.col("event_id").alias("click_id"), F.col("event_at").alias("clicked_at"))
-    return storefront.last_click(bought, clicks, 7)
+    clicks = c.events(s, d).where("event_name = 'ADD_TO_CART' and source in ('META', 'GOOGLE')").select("visitor_id", F.col("source").alias("provider"), F.col("event_id").alias("click_id"), F.col("event_at").alias("clicked_at"), "received_at")
+    return storefront.last_clicks(bought(s, d).select(F.col("event_id").alias("order_id"), "visitor_id", F.col("event_at").alias("ordered_at")), clicks, ["META", "GOOGLE"])
+
+
+def events_period(day):
+    return period_label(day, c.EVENTS_CURRENT, c.EVENTS_COMPARISON)
+
+
+def cube(s, d):
+    return storefront.behavior_daily(sessions(s, d), products_seen(s, d))
+
+
+def behavior(s, d, dimension):
+    return storefront.behavior_read(cube(s, d), dimension, events_period(F.col("day")))
 
 
 def consented(s, d):
@@ -64,12 +87,78 @@ def consented(s, d):
     return without_revoked(e, gone, scopes=["visitor_key"], at="event_at").groupBy("event_name").agg(F.count("*").alias("events"))
 
 
-def campaign_rules(s, d):
-    both = ads.metric_sums(c.ad_daily(s, d), ["period", "campaign_id"]).groupBy(F.col("campaign_id").alias("entity_id"))
-    pick = lambda m, p: F.max(F.when(F.col("period") == p, F.col(m)))
-    names = ["impressions", "spend", "roas", "cpa", "frequency", "ctr"]
-    e = both.agg(*[pick(m, "CURRENT").alias(m) for m in names], *[pick(m, "COMPARISON").alias(f"{m}0") for m in names])
-    return rules.apply_rules({"campaign": e, "creative": e, "adset": e, "ad": e})
+#: Windows of the rules' evidence: a month against the month before.
+MONTH, MONTH_BEFORE = ("1997-12-01", "1998-01-01"), ("1997-11-01", "1997-12-01")
+
+
+def paid_evidence(s, d, kind):
+    """An entity's metrics in both months, with its share of its currency's spend this month."""
+    own = c.ad_daily(s, d, MONTH, MONTH_BEFORE)
+    return evidence.paid_evidence(own, ads.ENTITY_COLUMNS[kind])
+
+
+def product_evidence(s, d):
+    return evidence.product_evidence(ads.product_ads(metrics(s, d), c.ad_daily(s, d), classes(s, d), "EUR"), ads.mapping_coverage(c.ad_daily(s, d), classes(s, d), "EUR"), metrics(s, d), eco.with_reorder_state(stock_cover(s, d)), days=365)
+
+
+def store_evidence(s, d):
+    return evidence.store_evidence(commerce.order_kpis(commerce.order_aggregates(c.period_orders(s, d))), commerce.commerce_health(c.period_orders(s, d)))
+
+
+def attribution_evidence(s, d):
+    touched = storefront.attribution_health(attribution(s, d))
+    provider = c.ad_daily(s, d, MONTH, MONTH_BEFORE).where("period = 'CURRENT' and provider = 'META'").agg(F.sum("conversions").alias("provider_purchases"))
+    return evidence.attribution_evidence(provider, touched)
+
+
+def families(s, d):
+    store = lambda dim: storefront.behavior_evidence(behavior(s, d, dim))
+    return {
+        "campaign": paid_evidence(s, d, "CAMPAIGN"), "adset": paid_evidence(s, d, "GROUP"), "ad": paid_evidence(s, d, "AD"), "creative": paid_evidence(s, d, "CREATIVE"),
+        "product": product_evidence(s, d), "store": store_evidence(s, d), "mapping": evidence.mapping_evidence(ads.mapping_coverage(c.ad_daily(s, d), classes(s, d), "EUR")), "attribution": attribution_evidence(s, d),
+        "storefront": store("STORE"), "storefront_product": store("PRODUCT"), "landing_page": store("LANDING_PAGE"),
+    }
+
+
+SCORES = {"impact": 6, "confidence": 6, "urgency": 6}
+
+
+def snapshot(s, d):
+    return rules.with_actions(rules.apply_rules(families(s, d)))
+
+
+def store_state(s, d):
+    """What data quality looks at; connections are not in the tables and taken as active, the pixel as stale."""
+    coverage = ads.mapping_coverage(c.ad_daily(s, d), classes(s, d), "EUR").where("period = 'CURRENT'")
+    costs = metrics(s, d).where("period = 'CURRENT'").agg(F.sum("sold_units").alias("units"), safe_div(F.sum(F.col("sold_units") * F.col("cost_coverage")), F.sum("sold_units")).alias("cost_coverage"))
+    counts = c.ad_daily(s, d).agg(F.count("*").alias("ads_rows"), F.count_distinct("account_id").alias("selected_accounts"))
+    fixed = {"commerce_status": F.lit("ACTIVE"), "reads_all_orders": F.lit(False), "commerce_age_hours": F.lit(3), "ads_status": F.lit("ACTIVE"), "ads_age_hours": F.lit(49), "pixel_status": F.lit("ACTIVE"), "pixel_age_hours": F.lit(48), "rollup_failed": F.lit(False), "rolled_up": F.lit(True), "storefront_rows": F.lit(1), "storefront_rows0": F.lit(1), "inventory_mode": F.lit("TRUSTED"), "inventory_rows": F.lit(1)}
+    one = coverage.crossJoin(F.broadcast(costs)).crossJoin(F.broadcast(counts))  # one row each
+    return one.withColumns(fixed)
+
+
+def product_state(s, d):
+    """Products as unified decisions see them."""
+    linked = ads.product_ads(metrics(s, d), c.ad_daily(s, d), classes(s, d), "EUR").where("period = 'CURRENT'")
+    stock = stock_cover(s, d).select("product_id", commerce.stock_state(F.col("available"), F.lit(True), F.col("units_per_day"), lead_days=10, low_stock=5).alias("stock_state"))
+    seen = storefront.behavior_evidence(behavior(s, d, "PRODUCT")).select(F.col("entity_id").cast("long").alias("product_id"), "product_views", "view_to_cart")
+    ambiguous = c.mappings(s, d).join(classes(s, d).where("mapping_class = 'AMBIGUOUS'"), "ad_id", "left_semi").select("product_id").distinct().withColumn("mapping_ambiguous", F.lit(True))
+    out = linked.join(stock, "product_id", "left").join(seen, "product_id", "left").join(ambiguous, "product_id", "left").fillna(False, ["mapping_ambiguous"])
+    quality = F.when((F.col("mapped_ads") == 0) | (F.col("source_rows") == 0), "LOW").when(F.col("merchant_confirmed"), "HIGH").otherwise("MEDIUM")
+    spend = F.when((F.col("mapped_ads") > 0) & (F.col("source_rows") > 0) | (F.col("mapped_ads") == 0), F.col("exact_spend"))
+    return out.withColumns({"spend": spend, "commerce_known": F.lit(True), "pixel_fresh": F.lit(True), "inefficient_paid_demand": F.col("contribution_after_ads") < 0, "evidence_quality": quality})
+
+
+def decisions(s, d):
+    """Unified decisions about entities and products."""
+    drafts = rules.product_drafts(product_state(s, d))
+    for kind in ("CAMPAIGN", "GROUP", "AD"):
+        rows = ads.entity_metrics(c.ad_daily(s, d, MONTH, MONTH_BEFORE), kind)
+        names = ["source_rows", "impressions", "spend", "conversions", "roas", "cpc", "ctr"]
+        both = eco.period_changes(rows, names, ["entity_id"])
+        quality = both.select("entity_id", ads.entity_confidence(F.col("source_rows"), F.col("impressions")).alias("evidence_quality"))
+        drafts = drafts.unionByName(rules.signal_drafts(rules.entity_signals(both).join(quality, "entity_id"), kind))
+    return drafts.withColumn("priority", rules.by_weights())
 
 
 def blended(s, d):
@@ -120,8 +209,8 @@ def stock_levels(s, d):
 
 
 def delays(s, d):
-    bought = c.events(s, d).where("event_name = 'CHECKOUT_COMPLETED'").select(F.col("event_id").alias("purchase_id"), "visitor_id", F.col("event_at").alias("purchased_at"))
-    return storefront.conversion_delays(bought, sessions(s, d))
+    rows = bought(s, d).select(F.col("event_id").alias("purchase_id"), "visitor_id", F.col("event_at").alias("purchased_at"))
+    return storefront.conversion_delays(rows, sessions(s, d))
 
 
 def landing_pages(s, d):
@@ -129,41 +218,100 @@ def landing_pages(s, d):
     return c.table(s, d, "pages").groupBy(web.landing_page(url).alias("landing_page"), web.host(url).alias("host"), F.coalesce(web.query_value(url, "utm_source"), F.lit("none")).alias("utm_source")).agg(F.count("*").alias("pages"))
 
 
+def mapping_fixture(s, d):
+    """Catalog items of a provider, most of which name a variant in one way or another, and the variants."""
+    n = F.col("p_partkey")
+    variants = c.table(s, d, "part").select(n.alias("variant_id"), F.concat(F.lit("SKU-"), n % 1500).alias("sku"), F.floor(n / 2).cast("long").alias("product_id"), F.concat(F.lit("h"), F.floor(n / 2).cast("long")).alias("handle"), F.when(n % 2 == 0, "red").otherwise("blue").alias("color"), F.lit("m").alias("size"))
+    url = F.when(n % 4 == 1, F.concat(F.lit("https://shop.example/products/h"), F.floor(n / 2).cast("long"), F.when(n % 3 == 0, F.concat(F.lit("?variant="), n)).otherwise("")))
+    items = c.table(s, d, "part").select(n.alias("item_id"), F.when(n % 4 == 0, F.concat(F.lit("SKU-"), n)).alias("retailer_id"), url.alias("url"), F.when(n % 4 == 2, F.floor(n / 2).cast("string")).alias("group_id"), F.when(n % 5 == 0, "red").alias("color"), F.lit(None).cast("string").alias("size"))
+    return items, variants
+
+
 def stock_history(s, d):
-    li = c.table(s, d, "lineitem").where("l_partkey % 10 = 0")  # the items of one warehouse
+    li = c.table(s, d, "lineitem")
     snaps = li.groupBy(F.col("l_partkey").alias("item_id"), F.lit(1).alias("location_id"), F.col("l_shipdate").alias("observed_at")).agg(F.max(F.col("l_quantity").cast("long")).alias("available"))
-    return commerce.inventory_history(snaps, date_spine(s, ("1997-01-01", "1997-02-01")))
+    return commerce.inventory_history(snaps, date_spine(s, c.CURRENT))
+
+
+def acquisitions(s, d):
+    """How page views came about: the url's own parameters, and an id derived click for every seventh page."""
+    url, n = F.col("url"), F.col("page_id")
+    google = F.when(n % 7 == 0, F.concat(F.lit("g"), n))
+    medium = F.when(n % 5 == 1, "cpc").when(n % 5 == 2, "organic").when(n % 5 == 3, "email")
+    source = F.coalesce(web.query_value(url, "utm_source"), F.when(n % 5 > 0, F.element_at(F.array(*map(F.lit, ["google", "fb", "klaviyo"])), (n % 3 + 1).cast("int"))))
+    referrer = F.when(n % 4 == 0, F.element_at(F.array(*map(F.lit, ["https://www.google.de/search?q=a", "https://m.facebook.com/", "https://shop.example/", "https://mail.google.com/", "https://news.example.org/x"])), (n % 5 + 1).cast("int")))
+    none = F.lit(None).cast("string")
+    how = web.acquisition(meta_click=F.when(n % 11 == 0, "m"), tiktok_click=none, google_click=google, tiktok_link=none, meta_link=F.when(n % 13 == 0, "1"), utm_source=source, utm_medium=medium, utm_campaign=none, referrer=referrer, page=url)
+    return c.table(s, d, "pages").select(how.alias("a")).groupBy("a.channel", "a.provider", "a.basis", "a.paid").agg(F.count("*").alias("visits"))
+
+
+def page_values(s, d):
+    """Each page's address as it may be kept, and its parameters."""
+    url = F.col("url")
+    return c.table(s, d, "pages").select("page_id", web.sanitize_url(url).alias("url"), web.attribution_value(url, "utm_source").alias("utm_source"), web.host(url).alias("host"), web.numeric_tail(web.sanitize_url(url)).alias("tail"))
+
+
+def deliveries(s, d):
+    """Delivery attempts: two providers per completed checkout, states and coverage derived from the event's number."""
+    n, p = F.col("event_id"), F.col("provider")
+    state = F.element_at(F.array(*map(F.lit, ["DELIVERED", "DELIVERED", "RETRY", "DEAD", "PENDING"])), (n % 5 + 1).cast("int"))
+    rows = bought(s, d).where("event_id % 3 <> 0").select("event_id", "event_at", F.explode(F.array(F.lit("META"), F.lit("TIKTOK"))).alias("provider")).where((n + F.length(p)) % 4 != 0)
+    coverage = F.to_json(F.struct((n % 2 == 0).alias("email"), (n % 3 == 0).alias("clickId")))
+    content = F.to_json(F.struct((n % 4).alias("observedItems"), (n % 2).alias("mappedItems")))
+    return rows.select(F.col("event_id").alias("source_event_id"), "provider", F.lit("PURCHASE").alias("event_name"), state.alias("status"), F.when(state == "DEAD", "REJECTED").alias("reason_code"), F.when(n % 7 != 0, coverage).alias("match_coverage"), F.when(n % 6 != 0, content).alias("content_coverage"), "event_at")
+
+
+def late_events(s, d):
+    e = c.events(s, d)
+    return storefront.accepted(e.withColumn("received_at", F.col("event_at") + F.make_dt_interval((F.col("event_id") % 9).cast("int")))).groupBy("event_name").agg(F.count("*").alias("events"))
+
+
+def retained(s, d):
+    e = c.events(s, d).withColumn("retention_expires_at", storefront.expires_at(F.col("received_at"), 10))
+    return storefront.unexpired(e, F.lit("2024-01-20").cast("timestamp_ntz")).groupBy("source").agg(F.count("*").alias("events"))
+
+
+def upserted(s, d):
+    o = c.table(s, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("x"), F.lit(1).alias("v"))
+    return sinks.upsert(o.where("k % 3 <> 0"), o.where("k % 2 = 0").withColumn("x", F.col("x") * 2).withColumn("v", F.lit(2)), ["k"], "v").select("k", "x", "v")
+
+
+def matched_customers(s, d):
+    n = F.col("c_custkey")
+    mail = F.concat(F.lit(" User."), n.cast("string"), F.lit("+x@Gmail.com"))
+    phone = F.when(n % 3 == 0, F.concat(F.lit("0"), n)).otherwise(F.concat(F.lit("+49 (30) 1000-"), n))
+    return c.table(s, d, "customer").select(n.alias("customer_id"), *[x.alias(k) for k, x in delivery.customer_match(email=mail, phone=phone, first_name=F.col("c_name"), country=F.when(n % 2 == 0, "DE").otherwise("xx"), postal_code=F.lit(" 10115-A ")).items()])
+
+
+def searched(s, d):
+    p = c.table(s, d, "part")
+    skus = p.select(F.col("p_partkey").alias("product_id"), F.concat(F.lit("SKU-"), "p_partkey").alias("sku"))
+    found = commerce.search(p.select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("vendor")), skus, "5")
+    return workspaces.page(found, [F.asc("title"), F.asc("product_id")], page=2, limit=20)
 
 
 QUERIES = {
     "O-60_order_aggregates": lambda s, d: commerce.order_aggregates(c.period_orders(s, d)),
     "O-61_product_economics": economics,
-    "O-62_order_kpis": lambda s, d: commerce.order_kpis(commerce.order_aggregates(c.period_orders(s, d))),
+    "O-62_order_kpis": lambda s, d: rounded(commerce.order_kpis(commerce.order_aggregates(c.period_orders(s, d))), order_value=2, refunds=4, average_order_value=4),
     "O-63_product_metrics": metrics,
     "O-64_total_product_metrics": lambda s, d: commerce.total_product_metrics(metrics(s, d)).select("period", "order_count", "net_units", F.round("net_revenue", 2).alias("net_revenue"), F.round("cogs", 2).alias("cogs"), F.round("cost_coverage", 6).alias("cost_coverage")),
     "O-65_variant_depletion": lambda s, d: commerce.variant_depletion(c.period_lines(s, d)),
     "O-70_advertising_overview": lambda s, d: ads.overview(c.ad_daily(s, d)),
     "O-71_campaign_metrics": lambda s, d: ads.metric_sums(c.ad_daily(s, d), ["period", "campaign_id", "currency"]),
     "O-76_raw_refund_evidence": lambda s, d: commerce.raw_refund_evidence(c.period_lines(s, d)),
-    "O-78_commerce_health": lambda s, d: commerce.commerce_health(c.period_orders(s, d)),
+    "O-78_commerce_health": lambda s, d: rounded(commerce.commerce_health(c.period_orders(s, d)), refund_rate=9, discount_rate=9),
     "O-82_mapping_classes": classes,
     "O-83_mapping_accounting": lambda s, d: ads.mapping_accounting(c.ad_daily(s, d), classes(s, d)),
     "O-85_unified_accounts": lambda s, d: ads.unified_accounts(c.ad_daily(s, d)),
-    "O-88_monitor_summary": lambda s, d: ads.monitor_summary(c.ad_daily(s, d)),
     "O-89_collection_performance": collections,
     "O-92_daily_sales": lambda s, d: commerce.daily_sales(c.period_lines(s, d)),
     "O-94_inventory_history": stock_history,
-    "O-100_daily_series": lambda s, d: ads.daily_series(c.ad_daily(s, d), date_spine(s, c.CURRENT)),
-    "O-109_leaderboard": lambda s, d: commerce.leaderboard(metrics(s, d).where("period = 'CURRENT'"), 25).select("rank", "product_id", "net_revenue", "net_units", "orders"),
     "O-111_spend_shares": lambda s, d: ads.spend_shares(c.ad_daily(s, d), "campaign_id"),
     "O-118_sessions": sessions,
-    "O-120_behavior_daily": lambda s, d: storefront.largest_drop(storefront.behavior_daily(sessions(s, d))),
-    "O-121_attribution": attribution,
-    "O-124_source_paths": lambda s, d: storefront.source_paths(touch(s, d)).groupBy("path", "path_key").agg(F.count("*").alias("sessions")),
     "O-45_last_clicks": last_clicks,
     "O-50_consented_events": consented,
     "O-147_landing_pages": landing_pages,
-    "R-01_campaign_rules": campaign_rules,
     "O-75_adset_evidence": lambda s, d: ads.entity_evidence(c.ad_daily(s, d), "campaign_id"),
     "O-90_net_revenue_totals": lambda s, d: rounded(eco.net_revenue_totals(c.period_lines(s, d)), net_revenue=2),
     "O-93_latest_levels": stock_levels,
@@ -172,11 +320,83 @@ QUERIES = {
     "O-122_conversion_delays": delays,
     "W-12_shared_exposure": shared_exposure,
     "R-24_ad_signals": ad_signals,
-    "R-26_campaign_actions": lambda s, d: rules.with_actions(campaign_rules(s, d)),
     "W-01_overview_changes": lambda s, d: rounded(eco.period_changes(blended(s, d), ["orders", "order_value", "spend", "mer"]), order_value=2, order_value0=2, mer=6, mer0=6, order_value_change=6, mer_change=6, spend_change=6),
     "W-04_customers": lambda s, d: rounded(eco.customers(commerce.order_aggregates(c.period_orders(s, d))), order_value=2, order_value0=2, average_order_value=4, average_order_value0=4, order_value_change=6),
     "W-05_inventory_cover": stock_cover,
     "W-13_blended_economics": lambda s, d: rounded(blended(s, d), order_value=2, mer=6, ad_spend_ratio=6, contribution_before_ads=2, contribution_after_ads=2),
     "W-19_visitor_journeys": lambda s, d: storefront.visitor_journeys(sessions(s, d)),
-    "W-09_product_ads": lambda s, d: ads.product_ads(metrics(s, d), c.ad_daily(s, d), classes(s, d)),
+    "O-88_monitor_summary": lambda s, d: ads.monitor_summary(c.ad_daily(s, d)),
+    "O-183_monitor_entities": lambda s, d: ads.monitor_summary(c.ad_daily(s, d), keys=["campaign_id"]),
+    "O-100_daily_series": lambda s, d: ads.daily_series(c.ad_daily(s, d)),
+    "O-109_leaderboard": lambda s, d: rounded(commerce.leaderboard(metrics(s, d), 25), net_revenue=2, net_revenue0=2, net_revenue_change=6),
+    "O-120_behavior_daily": lambda s, d: cube(s, d),
+    "O-102_store_behavior": lambda s, d: behavior(s, d, "STORE"),
+    "O-140_landing_page_drops": lambda s, d: behavior(s, d, "LANDING_PAGE"),
+    "O-180_storefront_evidence": lambda s, d: storefront.behavior_evidence(behavior(s, d, "PRODUCT")),
+    "O-182_insight_changes": lambda s, d: storefront.insight_changes(behavior(s, d, "STORE")),
+    "O-80_checkout_purchase_overlap": lambda s, d: storefront.checkout_purchase_overlap(sessions(s, d)),
+    "O-119_session_products": products_seen,
+    "O-121_attribution": attribution,
+    "O-103_attribution_sources": lambda s, d: workspaces.attribution_list(attribution(s, d), "SOURCE", events_period(F.col("day"))),
+    "O-81_attribution_health": lambda s, d: storefront.attribution_health(attribution(s, d)),
+    "O-123_target_evidence": lambda s, d: storefront.target_evidence(touch(s, d), products_seen(s, d), sessions(s, d)),
+    "O-124_source_paths": lambda s, d: storefront.path_daily(storefront.source_paths(touch(s, d), sessions(s, d))),
+    "O-174_first_touch_sources": lambda s, d: storefront.first_touch_sources(touch(s, d), products_seen(s, d)),
+    "O-116_accepted_events": late_events,
+    "O-26_retained_events": retained,
+    "O-145_page_values": page_values,
+    "O-148_acquisition": acquisitions,
+    "O-82b_mapping_confidence": lambda s, d: classes(s, d).groupBy("mapping_class", "merchant_confirmed").agg(F.count("*").alias("ads"), F.round(F.sum("confidence"), 4).alias("confidence")),
+    "O-84_ad_rows": lambda s, d: ads.ad_rows(c.ad_daily(s, d)),
+    "O-86_group_metrics": lambda s, d: ads.entity_metrics(c.ad_daily(s, d), "GROUP"),
+    "O-72_counters": lambda s, d: ads.counters(c.ad_daily(s, d)),
+    "O-173_creative_rows": lambda s, d: ads.creative_rows(c.ad_daily(s, d)),
+    "O-176_exposure_targets": lambda s, d: ads.exposure_targets(c.mappings(s, d), 10),
+    "O-177_mapping_summary": lambda s, d: ads.mapping_summary(c.table(s, d, "supplier").select(F.col("s_suppkey").alias("ad_id"), F.when(F.col("s_suppkey") % 5 == 0, "COLLECTION").otherwise("PRODUCT").alias("target_scope")), c.mappings(s, d)),
+    "O-186_mapping_coverage": lambda s, d: ads.mapping_coverage(c.ad_daily(s, d), classes(s, d), "EUR"),
+    "W-11_exposure_scope": lambda s, d: ads.exposure_scope(classes(s, d), c.ad_daily(s, d)),
+    "W-09_product_ads": lambda s, d: rounded(ads.product_ads(metrics(s, d), c.ad_daily(s, d), classes(s, d), "EUR"), net_revenue=2, contribution_before_ads=2, contribution_after_ads=2, revenue_share=9, spend_share=9, roas=6, mapping_confidence=6),
+    "O-181_ad_evidence": lambda s, d: paid_evidence(s, d, "AD"),
+    "W-21_product_evidence": lambda s, d: rounded(product_evidence(s, d), net_revenue=2, contribution_after_ads=2, revenue_share=9, spend_share=9, roas=6, mapping_confidence=6, mapping_coverage=6),
+    "W-15_snapshot": lambda s, d: rounded(snapshot(s, d), **SCORES),
+    "R-27_data_quality": lambda s, d: rules.data_quality(store_state(s, d)),
+    "R-28_limited_drafts": lambda s, d: rounded(rules.with_data_quality(snapshot(s, d), rules.data_quality(store_state(s, d))).withColumn("limitations", F.array_join("limitations", ",")).select("rule_id", "entity_id", "evidence_quality", "confidence", "limitations"), confidence=6),
+    "R-29_occurrences": lambda s, d: rules.with_occurrence(snapshot(s, d), *MONTH).select("rule_id", "entity_id", "occurrence_key"),
+    "R-25_product_decisions": lambda s, d: rules.product_drafts(product_state(s, d)),
+    "W-16_decisions": lambda s, d: rounded(decisions(s, d), priority=6),
+    "O-91_store_summary": lambda s, d: workspaces.store_summary(c.table(s, d, "part"), c.period_orders(s, d).where("period = 'CURRENT'")),
+    "O-92b_variant_sales": lambda s, d: rounded(commerce.variant_sales(c.period_lines(s, d).where("period = 'CURRENT'")), gross=2, refunds=2, net=2),
+    "O-12_product_search": searched,
+    "O-165_stock_states": lambda s, d: stock_cover(s, d).select("product_id", commerce.stock_state(F.col("available"), F.lit(True), F.col("units_per_day"), lead_days=10, low_stock=5).alias("stock_state")),
+    "O-58_recent_orders": lambda s, d: workspaces.recent_orders(c.orders(s, d), c.lines(s, d), 6),
+    "W-02_dashboard": lambda s, d: rounded(workspaces.dashboard(blended(s, d), eco.with_reorder_state(stock_cover(s, d))), order_value=2, mer=6),
+    "W-03_products": lambda s, d: rounded(workspaces.product_page(metrics(s, d), page=2, limit=50), net_revenue=2, net_revenue0=2, net_revenue_change=6),
+    "W-06_collections": lambda s, d: rounded(workspaces.collection_page(collections(s, d), page=1, limit=20), revenue=2, revenue0=2, revenue_change=6),
+    "W-07_campaigns": lambda s, d: workspaces.entity_page(c.ad_daily(s, d), "CAMPAIGN", page=1, limit=20),
+    "W-10_unified_product_ads": lambda s, d: rounded(workspaces.unified_page(product_state(s, d), page=1, limit=50), net_revenue=2, contribution_after_ads=2, exact_spend=4),
+    "W-14_unified_entities": lambda s, d: workspaces.signal_page(ads.entity_metrics(c.ad_daily(s, d, MONTH, MONTH_BEFORE), "AD"), page=1, limit=50),
+    "W-17_behavior_list": lambda s, d: workspaces.behavior_list(behavior(s, d, "PRODUCT"), page=1, limit=10),
+    "O-95_signal_diagnostics": lambda s, d: delivery.signal_diagnostics(deliveries(s, d)),
+    "O-96_delivery_funnel": lambda s, d: delivery.funnel(c.events(s, d).withColumn("consented", F.col("event_id") % 6 != 0), deliveries(s, d)),
+    "O-97_purchase_states": lambda s, d: delivery.purchase_states(bought(s, d).select("event_id"), deliveries(s, d)),
+    "O-98_first_seen_touches": lambda s, d: delivery.first_seen(touch(s, d), F.lit("2024-01-05").cast("timestamp_ntz")),
+    "O-169_delivery_health": lambda s, d: delivery.health(deliveries(s, d)),
+    "O-161_customer_match": matched_customers,
+    "O-163_purchase_eligibility": lambda s, d: bought(s, d).select("event_id", delivery.eligibility(source=F.when(F.col("k") % 9 == 0, "pos").otherwise("web"), is_test=F.col("k") % 10 == 1, is_b2b=F.col("k") % 11 == 2, cancelled=F.col("k") % 12 == 3, linked=F.col("order_linked"), has_facts=F.lit(True), before_install=F.col("event_at") < F.lit("2024-01-03").cast("timestamp_ntz"), value=F.col("k")).alias("reason")).groupBy("reason").agg(F.count("*").alias("orders")),
+    "O-192_enqueued": lambda s, d: delivery.enqueued(bought(s, d).select("event_id"), deliveries(s, d), ["META", "TIKTOK", "GOOGLE_ADS"]),
+    "O-49_undelivered": lambda s, d: bought(s, d).join(deliveries(s, d).where("status = 'DELIVERED'"), F.col("event_id") == F.col("source_event_id"), "left_anti").groupBy("source").agg(F.count("*").alias("orders")),
+    "O-54_or_key_pairs": lambda s, d: or_key_join(gapped(s, d).where("event_id % 40 = 1").select("event_id", "session_id", "visitor_id"), sessions(s, d).select(F.col("session_id").alias("sid"), F.col("visitor_id").alias("vid"), "started_at"), [("session_id", "sid"), ("visitor_id", "vid")]).groupBy("event_id").agg(F.count("*").alias("sessions")),
+    "O-33_selected_accounts": lambda s, d: c.ad_daily(s, d).where(selected(F.col("account_id"), [1, 3])).groupBy("account_id").agg(F.count("*").alias("facts")),
+    "O-36_keyset": lambda s, d: delivery.after_key(c.events(s, d), ["received_at", "event_id"], [F.lit("2024-01-15").cast("timestamp_ntz"), F.lit(100)]).groupBy("event_name").agg(F.count("*").alias("events")),
+    "O-51_still_shared": lambda s, d: delivery.still_shared(c.events(s, d).withColumn("shared", F.col("k") % 10 != 0), "visitor_id").groupBy("event_name").agg(F.count("*").alias("events")),
+    "O-46_latest_runs": lambda s, d: delivery.latest_runs(c.table(s, d, "orders").select((F.col("o_custkey") % 50).alias("connection_id"), F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderstatus") == "F", "SUCCEEDED").otherwise("FAILED").alias("status"))),
+    "O-136_numbers": lambda s, d: c.table(s, d, "part").select(F.col("p_partkey").alias("product_id"), numeric(F.when(F.col("p_partkey") % 3 == 0, "x").when(F.col("p_partkey") % 3 == 1, F.col("p_size").cast("string"))).alias("n")),
+    "O-138_rate_points": lambda s, d: eco.period_changes(behavior(s, d, "STORE"), ["conversion_rate"], ["key"]).select("key", point_change(F.col("conversion_rate"), F.col("conversion_rate0")).alias("points")),
+    "O-142_local_days": lambda s, d: c.table(s, d, "orders").groupBy(store_date(F.col("o_orderdate").cast("timestamp"), F.lit("America/New_York")).alias("day")).agg(F.count("*").alias("orders")),
+    "O-15_upserted": upserted,
+    "O-22_delete_missing": lambda s, d: sinks.delete_missing(c.table(s, d, "part").select(F.col("p_partkey").alias("k"), "p_size"), c.table(s, d, "part").where("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("k")), ["k"], F.col("p_size") < 25).select("k"),
+    "O-153_normalized_text": lambda s, d: c.table(s, d, "part").select(F.col("p_partkey").alias("product_id"), web.normalized_text(F.concat_ws(" -- ", F.col("p_name"), F.lit("50% Off!"), F.col("p_brand"))).alias("text")),
+    "O-156_catalog_items": lambda s, d: mapping.resolve_catalog_items(*mapping_fixture(s, d)),
+    "O-158_text_suggestions": lambda s, d: mapping.text_suggestions(c.table(s, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("ad_id"), F.concat(F.lit("New: "), F.element_at(F.array(*map(F.lit, ["Brand#11", "Brand#23", "Brand#35"])), (F.col("c_custkey") % 3 + 1).cast("int")), F.lit(" sale "), F.col("c_custkey") % 7).alias("text")), c.table(s, d, "part").select("p_brand").distinct().select(F.col("p_brand").alias("title"))),
+    "O-160_pixel_mappings": lambda s, d: rounded(mapping.pixel_mappings(storefront.target_evidence(touch(s, d), products_seen(s, d), sessions(s, d)), c.mappings(s, d)), confidence=6),
 }

@@ -61,12 +61,16 @@ def costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("product_id", "price", F.inline(versions)).select("product_id", "effective_from", "effective_until", (F.col("price") * F.col("factor")).cast("decimal(20,3)").alias("unit_cost"))
 
 
-def ad_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fact per ad and ship date; conversions are unknown where a line was returned with restock."""
+def ad_daily(spark: SparkSession, sf_dir: str, current: tuple[str, str] = CURRENT, comparison: tuple[str, str] = COMPARISON) -> DataFrame:
+    """A fact per ad and ship date; conversions are unknown where a line was returned with restock.
+
+    The tables have no groups and creatives: a group stands for an ad's campaign and
+    account balance sign, a creative for every third ad of a campaign.
+    """
     li = table(spark, sf_dir, "lineitem")
-    n = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ad_id"), F.col("s_nationkey").alias("campaign_id"))
+    n = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ad_id"), F.col("s_nationkey").alias("campaign_id"), (F.col("s_nationkey") * 2 + (F.col("s_acctbal") < 0).cast("int")).alias("group_id"), (F.col("s_nationkey") * 3 + F.col("s_suppkey") % 3).cast("long").alias("creative_id"))
     date = F.to_date("l_shipdate")
-    facts = li.withColumn("period", period_label(date, CURRENT, COMPARISON)).where("period is not null").groupBy(F.col("l_suppkey").alias("ad_id"), date.alias("date"), "period").agg(
+    facts = li.withColumn("period", period_label(date, current, comparison)).where("period is not null").groupBy(F.col("l_suppkey").alias("ad_id"), date.alias("date"), "period").agg(
         F.sum((F.col("l_extendedprice").cast("decimal(18,2)") * F.col("l_tax").cast("decimal(4,2)")).cast("decimal(20,4)")).cast("decimal(24,4)").alias("spend"),
         F.sum(F.col("l_quantity").cast("long") * 100).alias("impressions"),
         F.count("*").alias("clicks"),
@@ -79,15 +83,27 @@ def ad_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ads' products with a confidence; every eleventh product's are confirmed."""
+    """Ads' products with a confidence; the products of every 97th number are confirmed.
+
+    Only a part of an ad's products are its mappings, so that ads of all classes occur.
+    """
     pairs = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("ad_id"), F.col("l_partkey").alias("product_id")).distinct()
-    return pairs.withColumn("confidence", ((F.col("product_id") * 7 + F.col("ad_id")) % 100) / 100.0).withColumn("is_merchant_confirmed", F.col("product_id") % 97 == 0)
+    out = pairs.withColumn("confidence", ((F.col("product_id") * 7 + F.col("ad_id")) % 100) / 100.0).withColumn("is_merchant_confirmed", F.col("product_id") % 97 == 0)
+    return out.where((F.col("product_id") + F.col("ad_id")) % F.when(F.col("ad_id") % 3 == 0, 7).otherwise(53) == 0)
+
+
+#: Windows of storefront reads.
+EVENTS_CURRENT, EVENTS_COMPARISON = ("2024-01-16", "2024-01-31"), ("2024-01-01", "2024-01-16")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Storefront events; the tables have no sessions, so a pause of 12 hours ends one."""
-    e = table(spark, sf_dir, "events")
-    name = F.when(F.col("event_type") == "view", "PRODUCT_VIEW").when(F.col("event_type") == "click", "ADD_TO_CART").when(F.col("event_type") == "signup", "BEGIN_CHECKOUT").when(F.col("event_type") == "purchase", "CHECKOUT_COMPLETED").otherwise("PAGE_VIEW")
-    k = F.get_json_object("props", "$.k").cast("long")
+    """Storefront events; pages, products, ads and orders are derived from the numbers in the table."""
+    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    k, kind, lit = F.col("k"), F.col("event_type"), F.lit
+    name = F.when(kind == "view", "PRODUCT_VIEW").when((kind == "click") & (k % 3 == 0), "CART_VIEW").when(kind == "click", "ADD_TO_CART").when(kind == "signup", "BEGIN_CHECKOUT").when(kind == "purchase", "CHECKOUT_COMPLETED").otherwise("PAGE_VIEW")
     source = F.when(k % 4 == 0, "META").when(k % 4 == 1, "GOOGLE").when(k % 4 == 2, "DIRECT").otherwise("UNKNOWN")
-    return e.select("event_id", F.col("ts").alias("event_at"), F.col("user_id").alias("visitor_id"), name.alias("event_name"), source.alias("source"))
+    page = F.when(k % 5 == 0, "https://shop.example/").when(k % 5 == 1, F.concat(lit("https://shop.example/collections/c"), k % 3)).when(k % 5 == 2, F.concat(lit("https://shop.example/products/p"), k % 20)).when(k % 5 == 3, "https://shop.example/pages/about?x=1").otherwise(F.concat(lit("https://shop.example/account/"), k))
+    return e.select(
+        "event_id", F.col("ts").alias("event_at"), (F.col("ts") + F.make_dt_interval(lit(0), lit(0), (F.col("event_id") % 10).cast("int"))).alias("received_at"), F.col("user_id").alias("visitor_id"), name.alias("event_name"), source.alias("source"),
+        F.when(name.isin("PRODUCT_VIEW", "ADD_TO_CART"), k % 20).alias("product_id"), page.alias("page_url"), F.when(k % 8 == 0, k).alias("ad_id"), ((name == "CHECKOUT_COMPLETED") & (F.col("event_id") % 4 != 0)).alias("order_linked"), k.alias("k"),
+    )
