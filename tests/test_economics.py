@@ -65,9 +65,9 @@ def test_actions(spark):
 
 
 def test_video_retention(spark):
-    video = spark.createDataFrame([("a", "READY", "HIGH", True, 100, 50, 0.5, 0.7, 0.2, None), ("b", "READY", "LOW", True, 100, 50, 0.5, 0.7, 0.2, 0.2), ("c", "READY", "MEDIUM", True, 40, 50, 0.5, 0.7, 0.2, 0.2), ("d", "READY", "MEDIUM", True, 60, 50, None, 0.7, 0.25, 0.375)], "entity_id string, status string, evidence_quality string, comparison_valid boolean, plays0 int, minimum_plays int, hook double, hook0 double, completion double, completion0 double")
-    drafts = rules.apply_rules({"creative_video": video}).where(F.col("rule_id") == "video_retention_deterioration")
-    assert [r[1] for r in rows(drafts)] == ["a", "d"]
+    video = spark.createDataFrame([("a", "READY", "HIGH", True, 100, 50, 0.5, 0.7, 0.2, None, 0.1), ("b", "READY", "LOW", True, 100, 50, 0.5, 0.7, 0.2, 0.2, 0.1), ("c", "READY", "MEDIUM", True, 40, 50, 0.5, 0.7, 0.2, 0.2, 0.1), ("d", "READY", "MEDIUM", True, 60, 50, None, 0.7, 0.25, 0.375, 0.1)], "entity_id string, status string, evidence_quality string, comparison_valid boolean, plays0 int, minimum_plays int, hook double, hook0 double, completion double, completion0 double, spend_share double")
+    drafts = rules.apply_rules({"creative_video": video}).collect()
+    assert sorted((r.entity_id, r.severity, r.impact, r.confidence) for r in drafts) == [("a", "MEDIUM", 0.2, 0.9), ("d", "MEDIUM", 0.2, 0.78)]
 
 
 def test_reorder_state(spark):
@@ -94,7 +94,7 @@ def test_delay_without_sessions(spark):
 
 
 def test_largest_drop_skips_stages_without_evidence(spark):
-    names = ["sessions", "view_sessions", "cart_sessions", "checkout_sessions", "cart_checkout_sessions", "checkout_purchase_sessions"]
-    data = [(10, 5, 4, 2, 2, 2), (10, 12, 6, 0, 0, 0), (0, 0, 0, 0, 0, 0), (10, 5, 5, 4, 5, 2)]
+    names = ["sessions", "view_sessions", "cart_sessions", "checkout_sessions", "cart_view_checkout_sessions", "checkout_purchase_sessions", "cart_view_sessions"]
+    data = [(10, 5, 4, 2, 2, 2, 4), (10, 12, 6, 0, 0, 0, 6), (0, 0, 0, 0, 0, 0, 0), (10, 5, 5, 4, 5, 2, 5)]
     got = [(r.largest_drop_stage, r.largest_drop) for r in storefront.largest_drop(spark.createDataFrame(data, names)).collect()]
     assert got == [("SESSION_TO_PRODUCT", 0.5), ("CART_TO_CHECKOUT", 1.0), (None, None), ("SESSION_TO_PRODUCT", 0.5)]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketspan.functions import dates, exprs, web
-from marketspan.operators import advertising, commerce, joins, rules, storefront
+from marketspan.operators import advertising, commerce, delivery, joins, mapping, rules, storefront
 from marketspan.sources import sinks
 from marketspan.streaming import ingest
 
@@ -59,9 +59,26 @@ def test_withdrawn_events_go(spark):
 
 
 def test_mapping_classes(spark):
-    m = spark.createDataFrame([(1, 10, 0.7, False), (2, 10, 0.69, False), (3, 10, 0.1, True), (3, 11, 0.99, False), (4, 10, 1.0, True), (4, 11, 1.0, True), (5, 10, 1.0, True)], "ad_id int, product_id int, confidence double, is_merchant_confirmed boolean")
-    got = {r.ad_id: (r.mapping_class, r.product_id) for r in advertising.classify_mappings(m, spark.createDataFrame([(5,)], "ad_id int")).collect()}
-    assert got == {1: ("EXACT", 10), 3: ("EXACT", 10), 4: ("AMBIGUOUS", None), 5: ("SHARED", None)}
+    m = spark.createDataFrame([(1, 10, 0.7, False), (2, 10, 0.69, False), (3, 10, 0.1, True), (3, 11, 0.99, False), (4, 10, 1.0, True), (4, 11, 1.0, True), (5, 10, 0.4, True), (7, 1, 0.8, False), (7, 2, 0.9, None)], "ad_id int, product_id int, confidence double, is_merchant_confirmed boolean")
+    got = {r.ad_id: (r.mapping_class, r.product_id, r.confidence) for r in advertising.classify_mappings(m, spark.createDataFrame([(5,)], "ad_id int")).collect()}
+    assert got == {1: ("EXACT", 10, 0.7), 2: ("AMBIGUOUS", None, 0.0), 3: ("EXACT", 10, 1.0), 4: ("AMBIGUOUS", None, 1.0), 5: ("SHARED", None, 0.4), 7: ("AMBIGUOUS", None, 0.9)}
+
+
+def test_product_ads_never_take_missing_spend_as_none(spark):
+    metrics = spark.createDataFrame([("CURRENT", 1, 5, 100.0, 1.0, 40.0), ("CURRENT", 2, 5, 300.0, 0.5, None)], "period string, product_id int, net_units int, net_revenue double, cost_coverage double, contribution_before_ads double")
+    facts = spark.createDataFrame([("CURRENT", 8, "EUR", 30.0, 10, 60.0), ("CURRENT", 9, "EUR", 10.0, 10, None), ("CURRENT", 8, "USD", 99.0, 10, 1.0)], "period string, ad_id int, currency string, spend double, impressions int, conversion_value double")
+    classes = spark.createDataFrame([(8, "EXACT", 2, 0.8, False), (7, "EXACT", 3, 0.9, True), (9, "SHARED", None, 0.9, True)], "ad_id int, mapping_class string, product_id int, confidence double, merchant_confirmed boolean")
+    got = {r.product_id: r for r in advertising.product_ads(metrics, facts, classes, "EUR").where("period = 'CURRENT'").collect()}
+    assert (got[1].contribution_after_ads, got[1].exact_spend, got[1].revenue_share, got[1].mapped_ads) == (None, 0.0, 0.25, 0)
+    assert (got[2].contribution_after_ads, got[2].exact_spend, got[2].spend_share, got[2].roas, got[2].mapping_confidence) == (None, 30.0, 0.75, 2.0, 0.8)
+    assert (got[3].net_revenue, got[3].contribution_after_ads, got[3].mapping_confidence, got[3].merchant_confirmed) == (0.0, None, 0.9, True)
+
+
+def test_daily_series_keeps_currencies_and_levels_apart(spark):
+    d = date(2024, 1, 1)
+    rows = [(d, "META", "AD", "EUR", 1.0, 1, 1, 1, 5.0), (d, "META", "CAMPAIGN", "EUR", 9.0, 9, 9, 9, 9.0), (d, "GOOGLE", "ACCOUNT", "EUR", 2.0, 1, 1, None, 1.0), (d, "GOOGLE", "AD", "EUR", 9.0, 9, 9, 9, 9.0), (d, "TIKTOK", "AD", None, 4.0, 1, 1, 1, 1.0)]
+    facts = spark.createDataFrame(rows, "date date, provider string, level string, currency string, spend double, impressions int, clicks int, conversions int, conversion_value double")
+    assert sorted((r.currency, r.spend, r.purchases, r.purchase_value) for r in advertising.daily_series(facts).collect()) == [("EUR", 3.0, None, 6.0), ("UNKNOWN", 4.0, 1, 1.0)]
 
 
 def test_purchase_actions_pick_one_type(spark):
@@ -69,12 +86,35 @@ def test_purchase_actions_pick_one_type(spark):
     assert sorted((r.insight_id, r.action_type) for r in advertising.purchase_actions(a).collect()) == [(1, "offsite_pixel_purchase"), (2, "a_purchase")]
 
 
+SESSION = "session_id string, visitor_id int, started_at timestamp_ntz, ended_at timestamp_ntz, checkout_completed_at timestamp_ntz, linked_purchase boolean"
+
+
 def test_attribution_gives_no_credit_after_the_purchase(spark):
-    d = lambda x: datetime(2024, 1, x)
-    p = spark.createDataFrame([(1, 7, d(20))], "purchase_id int, visitor_id int, purchased_at timestamp_ntz")
-    t = spark.createDataFrame([("s1", 7, d(1), 1, "A"), ("s2", 7, d(10), 1, "B"), ("s3", 7, d(19), 1, "C"), ("s4", 7, d(21), 1, "D")], "session_id string, visitor_id int, touched_at timestamp_ntz, ordinal int, source string")
-    got = {r.source: (r.first_touch, r.last_touch, r.assisted) for r in storefront.attribution(p, t).collect()}
-    assert got == {"A": (1, 0, 0), "B": (0, 0, 1), "C": (0, 1, 0)}
+    """A first and assisting, C last; the touch after the checkout counts as touched only."""
+    d = lambda x, h=0: datetime(2024, 2, x, h)
+    sessions = spark.createDataFrame([(f"s{k}", 7, d(k), d(k, 9), d(k, 5) if k == 20 else None, k == 20) for k in (1, 10, 20)], SESSION)
+    t = spark.createDataFrame([("s1", 7, d(1), 1, "A", 4), ("s10", 7, d(10), 1, "B", None), ("s20", 7, d(20), 1, "C", None), ("s20", 7, d(20, 6), 2, "D", None)], "session_id string, visitor_id int, touched_at timestamp_ntz, ordinal int, source string, ad_id int")
+    got = {r.key: r for r in storefront.attribution(sessions, t).collect() if r.purchases}
+    assert {k: (r.first_touch, r.last_touch, r.assisted, r.single_touch, r.cross_session) for k, r in got.items()} == {"A": (1, 0, 1, 0, 1), "4": (1, 0, 1, 0, 1), "B": (0, 0, 1, 0, 1), "C": (0, 1, 0, 0, 1)}
+    assert {r.delay_ms for r in got.values()} == {(19 * 24 + 5) * 3600 * 1000}
+    assert {r.key: r.touched_sessions for r in storefront.attribution(sessions, t).where("day = '2024-02-20'").collect()}["D"] == 1
+
+
+def test_attribution_of_one_visitor_with_many_events(spark):
+    """A bot's purchases and touches meet by day, not all with all."""
+    n = 3000
+    sessions = spark.range(n).selectExpr("concat('s', id) session_id", "7 visitor_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, cast(id as int) * 20) started_at").withColumn("ended_at", F.col("started_at")).withColumn("checkout_completed_at", F.col("started_at")).withColumn("linked_purchase", F.lit(True))
+    t = sessions.selectExpr("session_id", "visitor_id", "started_at touched_at", "1 ordinal", "concat('S', cast(substr(session_id, 2) as int) % 3) source", "cast(null as int) ad_id")
+    total = storefront.attribution(sessions, t).agg(F.sum("last_touch"), F.sum("first_touch"), F.sum("touched_sessions")).first()
+    assert list(total) == [n, n, n]
+
+
+def test_last_before_takes_ties_and_bounds(spark):
+    d = lambda x, h=0: datetime(2024, 2, x, h)
+    left = spark.createDataFrame([(1, d(20, 5)), (2, d(20, 5)), (3, d(20, 5))], "k int, t timestamp_ntz")
+    right = spark.createDataFrame([(1, d(20, 5), 1), (1, d(20, 5), 2), (1, d(20, 6), 9), (2, d(18), 3), (2, d(17), 4), (3, d(10, 4), 5)], "k int, u timestamp_ntz, id int")
+    got = joins.last_before(left, right, on=["k"], at="t", when="u", days=10, ties=["id"], take=[])
+    assert sorted((r.k, r._last.id if r._last else None) for r in got.collect()) == [(1, 2), (2, 3), (3, None)]
 
 
 def test_late_bounds(spark):
@@ -83,19 +123,167 @@ def test_late_bounds(spark):
 
 
 def test_landing_pages_and_urls(spark):
-    urls = {"https://x.com/products/a?q=1": "/products/a", "https://x.com/fr/products/a": "/products/a", "https://x.com/collections/c": "/collections/c", "https://x.com/blogs/n/p": "/blogs/n/p", "https://x.com": "/", "https://x.com/cart": "/cart", "https://x.com/account/1": "/:other", "ftp://x": None}
+    urls = {
+        "https://X.com/products/a?q=1": "https://x.com/products/a", "https://x.com/fr/products/a": "https://x.com/:other", "https://x.com:443/collections/c/d": "https://x.com/collections/c", "https://x.com/blogs/n/p/q": "https://x.com/blogs/n/p", "https://x.com/blogs/n/-": "https://x.com/blogs/n",
+        "https://x.com": "https://x.com/", "https://x.com/cart/7": "https://x.com/cart", "https://x.com/search/x": "https://x.com/search", "https://x.com/products/-a": "https://x.com/:other", "http://x.com:8080/account/1": "http://x.com:8080/:other", "ftp://x": None,
+    }
     df = spark.createDataFrame([(u,) for u in urls], "u string").select("u", web.landing_page(F.col("u")).alias("p"))
     assert {r.u: r.p for r in df.collect()} == urls
-    row = one(spark, web.sanitize_url(F.lit("HTTPS://me:pw@X.com/a?b#c")), web.query_value(F.lit("https://x/?utm_source=a%20b"), "utm_source"), web.host(F.lit("https://www.X.com:80/")), web.numeric_tail(F.lit("gid/12")))
-    assert list(row) == ["https://x.com/a", "a b", "x.com", "12"]
-
-
-@pytest.mark.parametrize(("change", "fires"), [({}, True), ({"refund_rate": 0.049}, False), ({"orders": 19}, False), ({"refund_rate0": None}, False)])
+    n = F.lit
+    row = one(spark, web.sanitize_url(n("HTTPS://me:pw@X.com/a?b#c")), web.query_value(n("https://x/?utm_source=a%20b"), "utm_source"), web.host(n("https://www.X.com:80/")), web.numeric_tail(n("gid/12")), web.sanitize_url(n("https://x.com/123/Checkouts/secret")), web.sanitize_url(n("https://x.com/cart/c/tok")), web.attribution_value(n("https://x/?fbclid=a%20b"), "fbclid"), web.attribution_value(n("https://x/?utm_term=a@b.c"), "utm_term"), web.attribution_value(n("https://x/?ad_id=12"), "ad_id"))
+    assert list(row) == ["https://x.com/a", "a b", "x.com", "12", "https://x.com/checkouts", "https://x.com/cart", None, None, "12"]
+
+
+@pytest.mark.parametrize(
+    ("given", "want"),
+    [
+        ({"meta_click": "m", "google_click": "g"}, ("PAID_SOCIAL", "META", "META_CLICK", True)),
+        ({"google_click": "g"}, ("OTHER", "GOOGLE", "GOOGLE_CLICK", True)),
+        ({"google_click": "g", "utm_medium": "PPC"}, ("PAID_SEARCH", "GOOGLE", "GOOGLE_CLICK", True)),
+        ({"utm_source": "fb", "utm_medium": "cpc"}, ("PAID_SOCIAL", "META", "UTM", True)),
+        ({"utm_source": "google", "utm_medium": "cpc"}, ("OTHER", "GOOGLE", "UTM", True)),
+        ({"utm_source": "Klaviyo", "utm_medium": "email"}, ("EMAIL", "KLAVIYO", "UTM", False)),
+        ({"utm_source": "x", "utm_medium": "affiliate"}, ("AFFILIATE", "OTHER", "UTM", None)),
+        ({"utm_medium": "organic", "utm_source": "youtube"}, ("ORGANIC_SOCIAL", "YOUTUBE", "UTM", False)),
+        ({"referrer": "https://www.google.co.uk/"}, ("ORGANIC_SEARCH", "GOOGLE", "REFERRER", False)),
+        ({"referrer": "https://mail.google.com/"}, ("EMAIL", "GOOGLE", "REFERRER", False)),
+        ({"referrer": "https://l.facebook.com/"}, ("ORGANIC_SOCIAL", "META", "REFERRER", False)),
+        ({"referrer": "https://news.org/"}, ("REFERRAL", "OTHER", "REFERRER", None)),
+        ({"referrer": "https://shop.example/a"}, ("DIRECT", None, "NO_EXTERNAL_EVIDENCE", None)),
+        ({"page": None}, ("UNKNOWN", None, "NO_EVIDENCE", None)),
+    ],
+)
+def test_acquisition(spark, given, want):
+    names = ["meta_click", "tiktok_click", "google_click", "tiktok_link", "meta_link", "utm_source", "utm_medium", "utm_campaign", "referrer", "page"]
+    values = dict.fromkeys(names) | {"page": "https://shop.example/"} | given
+    assert tuple(one(spark, web.acquisition(**{k: F.lit(v).cast("string") for k, v in values.items()}))[0]) == want
+
+
+def fired(spark, family, values):
+    """Rule -> (severity, impact, confidence, urgency) over one row of evidence."""
+    kinds = {c: "double" if isinstance(v, (int, float)) and not isinstance(v, bool) or v is None else "boolean" if isinstance(v, bool) else "string" for c, v in values.items()}
+    row = [float(v) if kinds[c] == "double" and v is not None else v for c, v in values.items()]
+    e = spark.createDataFrame([("e", *row)], "entity_id string, " + ", ".join(f"{c} {k}" for c, k in kinds.items()))
+    return {r.rule_id: (r.severity, round(r.impact, 4), round(r.confidence, 4), round(r.urgency, 4)) for r in rules.apply_rules({family: e}).collect()}
+
+
+STORE = {"orders": 20, "orders0": 20, "refund_rate": 0.08, "refund_rate0": 0.04, "discount_rate": 0.0, "discount_rate0": 0.0, "segment_coverage": 0.0, "segment_coverage0": 0.0, "known_orders": 0, "known_orders0": 0, "returning_share": 0.0, "returning_share0": 0.0}
+PAID = {"impressions": 1000, "impressions0": 1000, "spend": 115, "spend0": 100, "roas": 1.6, "roas0": 2.0, "cpa": None, "cpa0": None, "ctr": 0.01, "ctr0": 0.01, "cpm": 1.0, "cpm0": 1.0, "frequency": 1.0, "frequency0": 1.0, "spend_share": 0.3}
+PRODUCT = {"units": 5, "net_revenue": 100, "revenue_share": 0.3, "spend": 0, "impressions": 0, "spend_share": 0.0, "mapping_confidence": 0.9, "mapping_coverage": 0.7, "cost_coverage": 0.9, "roas": None, "contribution_after_ads": None, "inventory_trusted": False, "stock": None, "velocity": None}
+FUNNEL = {k + z: v for k, v in {"sessions": 200, "view_sessions": 100, "cart_view_sessions": 40, "checkout_sessions": 30, "conversion_rate": 0.05, "view_to_cart": 0.2, "cart_abandonment": 0.4, "checkout_abandonment": 0.2}.items() for z in ("", "0")}
+
+
+@pytest.mark.parametrize(("change", "fires"), [({}, True), ({"refund_rate": 0.049}, False), ({"orders": 19}, False), ({"refund_rate0": None}, False), ({"refund_rate0": 0.0}, True)])
 def test_refund_rule_thresholds(spark, change, fires):
-    base = {"entity_id": 1, "orders": 20, "orders0": 20, "refund_rate": 0.08, "refund_rate0": 0.04, "discount_rate": 0.0, "discount_rate0": 0.0, "segment_coverage": 0.0, "segment_coverage0": 0.0, "known_orders": 0, "known_orders0": 0, "returning_share": 0.0, "returning_share0": 0.0, "spend": 0.0, "mapping_coverage": 1.0, "evidence_ready": False, "provider_purchases": 0, "first_party_purchases": 0, "sessions": 0} | change
-    kinds = {c: "double" if isinstance(v, float) or v is None else "boolean" if isinstance(v, bool) else "int" for c, v in base.items()}
-    e = spark.createDataFrame([tuple(base.values())], ", ".join(f"{c} {k}" for c, k in kinds.items()))
-    assert ([r.rule_id for r in rules.apply_rules({"store": e}).collect()] == ["refund_rate_deterioration"]) == fires
+    assert ("refund_rate_deterioration" in fired(spark, "store", STORE | change)) == fires
+
+
+@pytest.mark.parametrize(
+    ("family", "values", "rule", "want"),
+    [
+        ("campaign", PAID | {"roas": 1.5}, "campaign_efficiency_deterioration", ("MEDIUM", 0.3, 0.575, 0.625)),
+        ("campaign", PAID | {"roas": 1.3}, "campaign_efficiency_deterioration", ("HIGH", 0.3, 0.575, 0.675)),
+        ("campaign", PAID | {"spend": 114}, "campaign_efficiency_deterioration", None),
+        ("campaign", PAID | {"impressions0": 999}, "campaign_efficiency_deterioration", None),
+        ("ad", PAID | {"roas": 1.5}, "ad_efficiency_deterioration", ("MEDIUM", 0.3, 0.725, 0.6625)),
+        ("ad", PAID | {"roas": 1.2, "ctr": None}, "ad_efficiency_deterioration", ("HIGH", 0.3, 0.645, 0.73)),
+        ("ad", PAID, "ad_efficiency_deterioration", None),
+        ("creative", PAID | {"frequency": 1.25, "ctr": 0.006, "roas": 1.5}, "creative_fatigue_symptoms", ("HIGH", 0.3, 0.6667, 0.73)),
+        ("creative", PAID | {"frequency": 1.19, "ctr": 0.006, "roas": 1.5}, "creative_fatigue_symptoms", None),
+        ("product", PRODUCT, "underexposed_commerce_winner", ("HIGH", 0.3, 0.915, 0.9)),
+        ("product", PRODUCT | {"mapping_coverage": 0.2}, "underexposed_commerce_winner", ("HIGH", 0.3, 0.489, 0.9)),
+        ("product", PRODUCT | {"units": 4}, "underexposed_commerce_winner", None),
+        ("product", PRODUCT | {"spend_share": 0.5, "revenue_share": 0.2, "impressions": 10_000}, "paid_commerce_exposure_mismatch", ("HIGH", 0.5, 0.92, 0.9)),
+        ("product", PRODUCT | {"roas": 1.5, "contribution_after_ads": 0.0}, "provider_roas_margin_trap", ("HIGH", 0.3, 0.965, 0.8)),
+        ("product", PRODUCT | {"inventory_trusted": True, "spend": 1, "stock": 20, "velocity": 2}, "inventory_spend_conflict", ("HIGH", 0.3, 0.8, 0.55)),
+        ("product", PRODUCT | {"inventory_trusted": True, "spend": 1, "stock": 10, "velocity": 2}, "inventory_spend_conflict", ("CRITICAL", 0.3, 0.8, 0.775)),
+        ("product", PRODUCT | {"inventory_trusted": True, "spend": 1, "stock": -1, "velocity": 2}, "inventory_spend_conflict", None),
+        ("product", PRODUCT | {"inventory_trusted": True, "stock": 14, "velocity": 2}, "inventory_runway_risk", ("CRITICAL", 0.3, 0.82, 0.55)),
+        ("product", PRODUCT | {"inventory_trusted": True, "stock": -3, "velocity": 2}, "inventory_runway_risk", None),
+        ("store", STORE | {"refund_rate": 0.13}, "refund_rate_deterioration", ("HIGH", 0.18, 0.72, 0.64)),
+        ("store", STORE | {"discount_rate": 0.2, "discount_rate0": 0.1}, "discount_dependency_deterioration", ("HIGH", 0.2, 0.7, 0.55)),
+        ("store", STORE | {"segment_coverage": 0.8, "segment_coverage0": 0.8, "known_orders": 20, "known_orders0": 20, "returning_share": 0.35, "returning_share0": 0.6}, "returning_customer_deterioration", ("HIGH", 0.7, 0.74, 0.7)),
+        ("mapping", {"spend": 1, "mapping_coverage": 0.29}, "mapping_coverage_degraded", ("HIGH", 0.71, 0.95, 0.8)),
+        ("mapping", {"spend": 1, "mapping_coverage": 0.6}, "mapping_coverage_degraded", None),
+        ("attribution", {"quality": "READY", "provider_purchases": 20, "first_party_purchases": 14, "sessions": 100}, "provider_first_party_purchase_gap", ("MEDIUM", 0.3, 0.7236, 0.63)),
+        ("attribution", {"quality": "DEGRADED", "provider_purchases": 20, "first_party_purchases": 10, "sessions": 100}, "provider_first_party_purchase_gap", None),
+        ("storefront", FUNNEL | {"cart_abandonment": 0.52}, "cart_abandonment_deterioration", ("MEDIUM", 0.52, 0.62, 0.67)),
+        ("storefront", FUNNEL | {"cart_abandonment": 0.5, "cart_view_sessions0": 29}, "cart_abandonment_deterioration", None),
+        ("storefront", FUNNEL | {"checkout_abandonment": 0.4}, "checkout_abandonment_deterioration", ("HIGH", 0.4, 0.62, 0.8)),
+        ("storefront", FUNNEL | {"view_to_cart": 0.1}, "view_to_cart_deterioration", ("HIGH", 0.625, 0.76, 0.65)),
+        ("storefront", FUNNEL | {"conversion_rate": 0.03}, "storefront_conversion_deterioration", ("MEDIUM", 0.67, 0.76, 0.65)),
+        ("landing_page", FUNNEL | {"conversion_rate": 0.03}, "landing_page_quality_deterioration", ("MEDIUM", 0.48, 0.76, 0.59)),
+        ("storefront_product", {"product_views": 500, "product_views0": 500, "purchase_rate": 0.01, "purchase_rate0": 0.05}, "high_traffic_low_conversion_product", ("HIGH", 0.65, 0.9, 0.6333)),
+        ("storefront_product", {"product_views": 500, "product_views0": 500, "purchase_rate": 0.01, "purchase_rate0": 0.05}, "product_conversion_deterioration", None),
+        ("storefront_product", {"product_views": 100, "product_views0": 100, "purchase_rate": 0.01, "purchase_rate0": 0.05}, "product_conversion_deterioration", ("HIGH", 0.52, 0.76, 0.74)),
+    ],
+)
+def test_rules(spark, family, values, rule, want):
+    got = fired(spark, family, values).get(rule)
+    assert got == want
+
+
+def test_data_quality_lowers_confidence(spark):
+    drafts = spark.createDataFrame([("r", "META_PROVIDER", 0.9, "HIGH"), ("p", "EXACT_PRODUCT", 0.9, "HIGH")], "rule_id string, precision string, confidence double, evidence_quality string")
+    quality = spark.createDataFrame([("PRODUCT_AD_MAPPING_LOW", "WARNING"), ("PIXEL_NOT_ACTIVE", "WARNING"), ("CORE", "HEALTHY")], "code string, status string")
+    got = {r.rule_id: (r.limitations, round(r.confidence, 4), r.evidence_quality) for r in rules.with_data_quality(drafts, quality).collect()}
+    assert got == {"r": ([], 0.9, "HIGH"), "p": (["PRODUCT_AD_MAPPING_LOW"], 0.828, "HIGH")}
+
+
+def test_catalog_items(spark):
+    v = spark.createDataFrame([(1, "A", 10, "h", "red", "m"), (2, "B", 10, "h", "blue", "m"), (3, "A", 11, "k", "red", "m")], "variant_id long, sku string, product_id long, handle string, color string, size string")
+    u = "https://s.com/products/"
+    items = [(1, "B", None, None, None, None), (2, "A", None, None, None, None), (3, None, u + "h?variant=2", None, None, None), (4, None, u + "h", None, "red", None), (5, None, u + "k", None, "blue", None), (6, None, u + "h", None, None, "m"), (7, None, None, "10", None, None), (8, None, None, "11", None, None), (9, "zz", u + "none", None, None, None)]
+    i = spark.createDataFrame(items, "item_id long, retailer_id string, url string, group_id string, color string, size string")
+    got = {r.item_id: (r.state, r.confidence, r.variant_id) for r in mapping.resolve_catalog_items(i, v).collect()}
+    assert got == {1: ("MAPPED", 1.0, 2), 2: ("AMBIGUOUS", 0.0, None), 3: ("MAPPED", 1.0, 2), 4: ("MAPPED", 0.99, 1), 5: ("MAPPED", 0.95, 3), 6: ("MAPPED", 0.95, None), 7: ("AMBIGUOUS", 0.0, None), 8: ("MAPPED", 0.95, 3), 9: ("UNMAPPED", 0.0, None)}
+
+
+def test_ad_targets_and_ids(spark):
+    e = spark.createDataFrame([(1, "URL_PRODUCT", "p"), (1, "STRUCTURED_ID", "q"), (2, "TAG_PRODUCT", "p"), (2, "TAG_PRODUCT", "q"), (3, "COLLECTION", "c")], "ad_id int, source string, target_id string")
+    got = {r.ad_id: (r.target_scope, r.confidence, r.target_id) for r in mapping.resolve_ads(spark.createDataFrame([(k,) for k in range(1, 5)], "ad_id int"), e).collect()}
+    assert got == {1: ("PRODUCT", 1.0, "q"), 2: ("MULTI_PRODUCT", 0.95, None), 3: ("COLLECTION", 0.95, "c"), 4: ("UNKNOWN", 0.0, None)}
+    j = spark.createDataFrame([('{"a": [{"Product_ID": 7}, {"x": {"sku": "S-1"}}], "item_ids": ["3", 4], "other": 9}',), (None,)], "j string")
+    assert [r.ids for r in mapping.provider_ids(j, "j").collect()] == [["3", "4", "7", "S-1"], None]
+    assert one(spark, mapping.compatible_form(F.lit("ﬁ①")))[0] == "fi1"
+
+
+def test_text_suggestions_need_whole_words(spark):
+    ads = spark.createDataFrame([(1, "Red Shoe"), (2, "The red-shoe, now!"), (3, "red shoes")], "ad_id int, text string")
+    got = mapping.text_suggestions(ads, spark.createDataFrame([("Red shoe",), ("red",)], "title string"))
+    assert sorted((r.ad_id, r.title, r.confidence) for r in got.collect()) == [(1, "Red shoe", 0.75), (2, "Red shoe", 0.65)]
+
+
+def test_customer_matching(spark):
+    n = lambda x: F.lit(x).cast("string")
+    row = one(spark, delivery.normalized_email(n(" A.b+c@GMail.com ")), delivery.normalized_email(n("A.b+c@gmail.com"), True), delivery.normalized_email(n("x@y")), delivery.normalized_phone(n("+49 (30) 123-4567")), delivery.normalized_phone(n("030 1234567")))
+    assert list(row) == ["a.b+c@gmail.com", "ab@gmail.com", None, "+49301234567", None]
+
+
+def test_retries_and_sweeps(spark):
+    row = one(spark, delivery.retry_at(F.lit("2024-01-01").cast("timestamp_ntz"), F.lit(1)), delivery.retry_at(F.lit("2024-01-01").cast("timestamp_ntz"), F.lit(50)))
+    assert list(row) == [datetime(2024, 1, 1, 0, 2), datetime(2024, 1, 1, 6)]
+    df = spark.createDataFrame([(1, 1), (1, 2), (2, 0)], "a int, b int")
+    assert [tuple(r) for r in delivery.swept(df, ["a", "b"], [F.lit(1), F.lit(1)], 2).collect()] == [(1, 2), (2, 0)]
+    assert [tuple(r) for r in delivery.swept(df, ["a", "b"], [F.lit(9), F.lit(1)], 1).collect()] == [(1, 1)]
+
+
+def test_links_contents_and_overrides(spark):
+    s = spark.sql("select 's' session_id, 'o1' order_ext, 3 attempts, timestamp_ntz'2024-01-01' received_at union all select 't', 'o2', 20, timestamp_ntz'2024-01-01'")
+    got = {r.session_id: (r.link_status, r.next_try_at) for r in storefront.linked_orders(s, spark.createDataFrame([("o1", 5)], "order_ext string, order_id int")).collect()}
+    assert got == {"s": ("LINKED", None), "t": ("PENDING", datetime(2024, 1, 1, 6))}
+    items = spark.createDataFrame([(1, "v", 2, 5.0), (1, "w", 1, 3.0), (1, "x", 1, 1.0)], "source_event_id int, variant_id string, quantity int, price double")
+    known = spark.createDataFrame([("v", "c1"), ("w", "c1"), ("w", "c2")], "variant_id string, catalog_item_id string")
+    assert tuple(delivery.contents(items, known).first()) == (1, 3, 1, 1, 4, 14.0)
+    now = spark.sql("select 1 ad_id, 10 product_id, 0.8d confidence, false is_merchant_confirmed, timestamp_ntz'2024-01-01' valid_from, cast(null as timestamp_ntz) valid_until")
+    after = advertising.overridden_mappings(now, spark.createDataFrame([(1, 11)], "ad_id int, product_id int"), F.lit("2024-02-01").cast("timestamp_ntz"))
+    assert sorted((r.product_id, r.is_merchant_confirmed, r.valid_until) for r in after.collect()) == [(10, False, datetime(2024, 2, 1)), (11, True, None)]
+
+
+def test_video_retention_states(spark):
+    rows = [("a", "CURRENT", 100, 50, 40, 30, 20, 10, 4.0), ("b", "CURRENT", 40, 50, 40, 30, 20, 10, 4.0), ("c", "CURRENT", 100, 50, 60, 30, 20, 10, None)]
+    got = {r.creative_id: (r.status, r.to_p25, r.largest_drop_stage, r.average_watch_seconds) for r in storefront.video_retention(spark.createDataFrame(rows, "creative_id string, period string, plays int, p25 int, p50 int, p75 int, p95 int, p100 int, watch_seconds double")).collect()}
+    assert got["a"] == ("READY", 0.5, "PLAYS_TO_P25", 4.0) and got["b"][0] == "INSUFFICIENT_PLAYS" and got["c"][0] == "INCONSISTENT" and got["c"][3] is None
 
 
 def test_keyed_writes(spark, tmp_path):
