@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from marketspan.llm import chat, decontamination, hmm, licenses, near_duplicates, packing, quality, queries, simhash, token_counts, token_file, url_filters
@@ -179,20 +180,101 @@ def test_licences():
     assert licenses.satisfied("a or b and c", {"b", "c"}) and not licenses.satisfied("(a or b) and c", {"a", "b"})
 
 
+def test_licences_against_brute_force(spark, texts):
+    every = licenses.NOTICE_PHRASES | licenses.BASE_PHRASES
+    for r in queries.op6_licenses(spark, SF).collect():
+        w = alnum(texts[r.doc_id])
+        places = {p: [i for i in range(len(w)) if w[i : i + p.count(" ") + 1] == p.split()] for p in every}
+        base = sorted(i for p in licenses.BASE_PHRASES for i in places[p])
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(base), min(base, default=None), max(base, default=None))
+        assert r.base_labels == ",".join(sorted({x for p, x in licenses.BASE_PHRASES.items() if places[p]}))
+        assert {x for p, x in every.items() if places[p]} <= set(r.labels.split(",")) and 0 <= r.score <= 1
+
+
+def test_long_texts_take_linear_time():
+    """A few MB of phrases, of one repeated word, and of words without an end."""
+    got = licenses.scan("cc by " * 300_000)
+    assert (got["n_base"], got["first_word"], got["last_word"]) == (300_000, 0, 599_998)
+    m = quality.measure(["same " * 200_000, "w" * 1_000_000, " ".join(f"v{i % 70_000}" for i in range(140_000))], 8)
+    assert m["longest_repeat"].tolist() == [199_999, 0, 70_000] and m["covered_words"].tolist() == [200_000, 0, 140_000]
+    sizes, terms, counts, _ = decontamination.segment_of(["ab " * 700_000, None, "x" * 3_000_000])
+    assert sizes.tolist() == [700_000, 0, 1] and terms[0] == b"ab" and counts.tolist() == [700_000, 1]
+
+
+def test_query_columns_of_quality(spark, texts):
+    for r in queries.op4_quality(spark, SF).collect():
+        t = texts[r.doc_id] or ""
+        w = re.findall(WORD, t)
+        grams = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+        repeated = len({k + j for k in range(len(w) - 2) if grams[tuple(w[k : k + 3])] > 1 for j in range(3)})
+        failed = len(w) < 50 or 100 * repeated > 50 * len(w)
+        assert (r.n_words, r.n_repeat_words, r.n_symbols, r.base_failed) == (len(w), repeated, len(re.findall("[#*$%&|<>]", t)), failed)
+        assert r.kept == (not failed and r.covered_words <= 0.3 * len(w) and r.longest_repeat <= 200)
+
+
+def test_links_are_resolved(spark):
+    rows = [("http://a.com/x/y", "../z?p=1"), ("http://a.com/x/y", "./z"), ("http://a.com/x/y?q=1", "?r=2"), ("http://a.com", "z"), ("http://a.com/x", "//b.com"), ("http://a.com/x", "#top"), ("http://a.com/x/", "/a/./b/../../c/.."), ("http://a.com/x", "HTTPS://B.com/Q#f")]
+    u = spark.createDataFrame(rows, "url string, target string")
+    got = [r[0] for r in u.select(url_filters.node_of(url_filters.absolute(F.col("target"), F.col("url")))).collect()]
+    assert got == ["http://a.com/z?p=1", "http://a.com/x/z", "http://a.com/x/y?r=2", "http://a.com/z", "http://b.com/", "http://a.com/x", "http://a.com/", "https://b.com/Q"]
+    html = "<!-- <link rel=canonical href=/no> --><script>'<link rel=canonical href=/no>'</script><link rel='canonical' href='/a?x=1&amp;y=2'>"
+    assert spark.createDataFrame([(html,)], "html string").select(url_filters.link_targets(F.col("html"))).first()[0] == ["/a?x=1&y=2"]
+
+
+def test_other_tokenizers_are_refused_or_encoded_whole(tmp_path):
+    import json
+
+    with open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        found = json.load(f)
+    found["normalizer"] = {"type": "Lowercase"}
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(found), encoding="utf-8")
+    assert cut_of(str(path)) == "whole" and [cut_of(tokenizer_path(n)) for n in ("byte_bpe_50k.json", "word_bpe_49k.json")] == ["space", "white"]
+    with pytest.raises(ValueError):
+        token_counts.PrefixCounter(str(path))
+
+
 def test_hmm_is_exact_and_learns(spark):
     m = hmm.Model(np.array([0.6, 0.4]), np.array([[0.7, 0.3], [0.2, 0.8]]), np.array([[0.5, 0.1], [0.3, 0.3], [0.2, 0.6]]))
     seqs = [np.array([0, 2, 1, 1]), np.array([1]), np.array([2, 2, 0])]
     want = [sum(m.start[p[0]] * m.emit[s[0], p[0]] * np.prod([m.move[a, b] * m.emit[x, b] for a, b, x in zip(p, p[1:], s[1:])]) for p in np.ndindex(*[2] * len(s))) for s in seqs]
     assert np.allclose(m.log10_probabilities(seqs), np.log10(want))
     emit, move, start = np.zeros((3, 2)), np.zeros((2, 2)), np.zeros(2)
-    m.expected(seqs, emit, move, start)
-    assert np.allclose([emit.sum(), move.sum(), start.sum()], [8, 5, 3])
+    for s, total in zip(seqs, want):  # every path, weighted by its share of the sequence's probability
+        for p in np.ndindex(*[2] * len(s)):
+            share = m.start[p[0]] * m.emit[s[0], p[0]] * np.prod([m.move[a, b] * m.emit[x, b] for a, b, x in zip(p, p[1:], s[1:])]) / total
+            start[p[0]] += share
+            for x, k in zip(s, p):
+                emit[x, k] += share
+            for a, b in zip(p, p[1:]):
+                move[a, b] += share
+    for held in (1, 3, 100):  # sequences cut in stretches give the same counts
+        got = np.zeros((3, 2)), np.zeros((2, 2)), np.zeros(2)
+        assert np.isclose(m.expected(seqs, *got, held), np.log10(want).sum())
+        assert all(np.allclose(g, w) for g, w in zip(got, (emit, move, start)))
+    likely = []
+    for _ in range(6):
+        got = np.zeros((3, 2)), np.zeros((2, 2)), np.zeros(2)
+        likely.append(m.expected(seqs, *got))
+        m = hmm.Model(got[2] / got[2].sum(), got[1] / got[1].sum(1, keepdims=True), got[0] / got[0].sum(0))
+    assert all(b >= a - 1e-9 for a, b in zip(likely, likely[1:])) and likely[-1] > likely[0]
     rows = queries.op7_hmm(spark, "/root/testdata/sf0.01").collect()
     held = [r for r in rows if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1) for r in rows)
 
 
+def test_hmm_words_sum_to_one():
+    """Over all words and one unseen word each state's probabilities sum to 1."""
+    r = np.random.default_rng(2)
+    c = r.integers(1, 9, 50).astype(float)
+    by_state = r.dirichlet(np.ones(3), 50) * c[:, None]
+    share, whole = by_state.sum(0) / by_state.sum(), c.sum() + 0.5 * 51
+    ones = np.ones(3)
+    raw = hmm.emissions(np.append(c, 0), np.vstack((by_state, np.zeros(3))), share, ones, whole, 1.0)
+    assert np.allclose(hmm.emissions(np.append(c, 0), np.vstack((by_state, np.zeros(3))), share, raw.sum(0), whole, 1.0).sum(0), 1)
+
+
 def test_hmm_base_score(spark, texts):
     toks = {i: [*re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), ""] for i, t in texts.items()}
     c = Counter(w for i, ws in toks.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in ws)
@@ -202,23 +284,47 @@ def test_hmm_base_score(spark, texts):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(toks[r.doc_id]), sum(c[w] > 0 for w in toks[r.doc_id]), n) and abs(r.base_score - want) < 1e-6
 
 
+ALNUM = "[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"
+
+
+def alnum(text):
+    return re.findall(ALNUM, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def plain_hits(words, items, window, slop=0):
+    """Hit words, items with an exact window, and items with a window whose words all stand within slop of their places."""
+    hit, exact, near = set(), set(), set()
+    for item, w in items:
+        for k in range(max(1, len(w) - window + 1) if w else 0):
+            part = w[k : k + window]
+            for s in range(-slop, len(words)):
+                at = [[p for p in range(max(0, s + o - slop), min(len(words), s + o + slop + 1)) if words[p] == x] for o, x in enumerate(part)]
+                if all(at):
+                    near.add(item)
+            for s in range(len(words) - len(part) + 1):
+                if words[s : s + len(part)] == part:
+                    exact.add(item)
+                    hit |= set(range(s, s + len(part)))
+    return hit, exact, near
+
+
 @pytest.mark.parametrize("slice_words", [500_000, 300])
 def test_decontamination(spark, texts, monkeypatch, slice_words):
     monkeypatch.setattr(decontamination, "SLICE_WORDS", slice_words)
-    words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     of = {}
     for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
-        w = words(r.text)
+        w = alnum(r.text)
         for k in range(max(1, len(w) - 9) if w else 0):
             of.setdefault(tuple(w[k : k + 10]), set()).add(str(r.item_id))
     for r in queries.op8_decontamination(spark, SF).collect():
-        w, hit, items = words(texts[r.doc_id]), set(), set()
+        w, hit, items = alnum(texts[r.doc_id]), set(), set()
         for n in {len(x) for x in of}:
             for k in range(len(w) - n + 1):
                 if found := of.get(tuple(w[k : k + n])):
                     items |= found
                     hit |= set(range(k, k + n))
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256) == (len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest())
+        assert r.n_near_items >= r.n_items
 
 
 def test_proximity(spark):
@@ -228,6 +334,65 @@ def test_proximity(spark):
     assert got == {1: (0, [], ["1"]), 2: (3, ["1"], ["1"]), 3: (0, [], []), 4: (0, [], [])}
 
 
+@pytest.mark.parametrize(("slice_words", "segment_chars"), [(500_000, 8_000_000), (7, 40)])
+def test_phrases_and_proximity_against_brute_force(spark, monkeypatch, slice_words, segment_chars):
+    """Several partitions, segments and slices at once, over few words so that much repeats."""
+    monkeypatch.setattr(decontamination, "SLICE_WORDS", slice_words)
+    monkeypatch.setattr(decontamination, "SEGMENT_CHARS", segment_chars)
+    r = np.random.default_rng(7)
+    docs = [(i, " ".join(r.choice(list("abcdef"), r.integers(0, 25)))) for i in range(40)]
+    items = [(str(k), [str(x) for x in r.choice(list("abcdef"), r.integers(1, 7))]) for k in range(8)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id string, text string")
+    got = {x.doc_id: x for x in decontamination.contamination(d, b, window=4, slop=2).collect()}
+    for i, t in docs:
+        hit, exact, near = plain_hits(t.split(), items, 4, 2)
+        assert (got[i].n_hit, got[i].items, got[i].near_items) == (len(hit), sorted(exact), sorted(near)), (t, items)
+
+
+def test_one_index_serves_several_benchmarks(spark):
+    """The index holds every posting; segments of partitions beyond any 32-bit bound keep their documents apart."""
+    d = spark.createDataFrame([(1, "one two three"), (2, "four five")], "doc_id long, text string, segment int, place int".replace(", segment int, place int", ""))
+    index = stored(decontamination.index(d.coalesce(1)))
+    far = index.withColumn("segment", F.lit((1 << 20) << 32)).unionAll(index.withColumn("segment", F.lit(((1 << 20) + 1) << 32)))
+    for text, want in (("two three", [1, 1]), ("five", [2, 2]), ("six", [])):
+        b = spark.createDataFrame([("b", text)], "item_id string, text string")
+        assert sorted(r.doc_id for r in decontamination.matched(far, b).where("n_hit > 0").collect()) == want
+    assert decontamination.matched(far, spark.createDataFrame([], "item_id string, text string")).where("n_hit > 0").count() == 0
+
+
+def test_tables_with_clashing_columns(spark, docs):
+    """Empty tables and clashing extra columns for the operators whose input isn't (doc_id, text) alone."""
+    items = docs.select(F.col("doc_id").alias("item_id"), "text", "fp", "part")
+    assert decontamination.contamination(docs, items).count() == len(ODD) + 2
+    assert decontamination.contamination(docs.limit(0), items).count() == 0 == decontamination.contamination(docs, items.limit(0)).where("n_hit > 0").count()
+    pages = spark.createDataFrame([(1, "http://a.com/x", "<link rel=canonical href=y>", "n", "r")], "page_id long, url string, html string, node string, root string")
+    assert url_filters.url_verdicts(pages, queries.URL_RULES).count() == 1 and url_filters.url_verdicts(pages.limit(0), queries.URL_RULES).count() == 0
+    turns = spark.createDataFrame([(1, 0, "user", "a", 3, "i")], "conv_id long, turn long, role string, text string, rank int, ids string")
+    assert chat.digests_of(turns).count() == 1 and chat.digests_of(turns.limit(0)).count() == 0
+
+
+def test_last_stages_with_odd_tables(spark, docs):
+    b = spark.read.parquet(f"{SF}/benchmark.parquet").limit(1)
+    leaked = docs.unionByName(b.select(F.lit(99).cast("long").alias("doc_id"), F.concat(F.lit("before "), "text", F.lit(" after")).alias("text"), F.lit(1).cast("long").alias("fp"), F.lit("x").alias("block"), F.lit(2).alias("part")))
+    kept = corpus_pipeline.decontamination_stage(spark, leaked, SF)
+    assert kept.columns == docs.columns and kept.count() == len(ODD) + 2 and kept.where("doc_id = 99").count() == 0
+    assert corpus_pipeline.decontamination_stage(spark, docs.limit(0), SF).count() == 0
+    assert corpus_pipeline.packing_stage(spark, docs.limit(0), SF).count() == 0
+    assert corpus_pipeline.packing_stage(spark, docs, SF).select("doc_id").distinct().count() == len(ODD) + 1
+
+
+def test_run_packs_what_the_stages_keep(spark, texts):
+    tok = library("word_bpe_49k.json")
+    rows = corpus_pipeline.run(spark, SF).collect()
+    sizes = Counter()
+    for r in rows:
+        ids = tok.encode(texts[r.doc_id] or "", add_special_tokens=False).ids + [1]
+        assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
+        sizes[r.doc_id] += r.length
+    assert 0 < len(sizes) < len(texts) and all(n == len(tok.encode(texts[i] or "", add_special_tokens=False).ids) + 1 for i, n in sizes.items())
+
+
 def test_packing(spark, texts):
     tok = library("word_bpe_49k.json")
     ids = {i: tok.encode(t or "", add_special_tokens=False).ids + [1] for i, t in texts.items()}
