@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators.rules import RULES
+from ..operators.rules import PRODUCT_DECISIONS, RULES
 
 _P = "case when {d} >= date '1997-01-01' and {d} < date '1998-01-01' then 'CURRENT' when {d} >= date '1996-01-01' and {d} < date '1997-01-01' then 'COMPARISON' end"
 _O = f"""ord as (select o_orderkey order_id, o_custkey customer_id, o_orderdate demand_at, cast(o_totalprice as decimal(18,2)) as value, o_orderstatus = 'P' as is_cancelled,
@@ -307,3 +307,54 @@ ORACLE_SQL |= {
     "O-153_normalized_text": "select p_partkey product_id, trim(regexp_replace(lower(p_name || ' -- 50% Off! -- ' || p_brand), '[^\\p{L}\\p{N}]+', ' ', 'g')) as text from part",
     "O-160_pixel_mappings": f"with {_E}, {_M}, a as (select distinct session_id, ad_id from tc where ad_id is not null), x as (select a.ad_id, product_id, count(*) sessions, count(*) filter (where views > 0) viewed_sessions, count(*) filter (where linked_purchase and adds > 0) p from a join sp using (session_id) join ses using (session_id) group by 1, 2), y as (select *, cast(viewed_sessions as double) / sessions view_rate, sessions >= 5 and cast(viewed_sessions as double) / sessions >= 0.6 e from x), z as (select *, count(*) filter (where e) over (partition by ad_id) ne from y) select ad_id, product_id, sessions, viewed_sessions, view_rate, case when exists (select 1 from mp where mp.ad_id = z.ad_id and mp.product_id = z.product_id) then 'SUPPORTS_EXISTING' when exists (select 1 from mp where mp.ad_id = z.ad_id and confirmed) then 'CONFLICTS_WITH_MERCHANT_MAPPING' when e and ne > 1 then 'POSSIBLE_SHARED_SCOPE' when e then 'REVIEW_SUGGESTION' else 'INSUFFICIENT_EVIDENCE' end status, case when e then round(least(0.69::double, 0.45::double + least(sessions / 20.0::double, 1.0::double) * 0.12 + view_rate * 0.08 + least(p / cast(sessions as double) * 2, 1.0::double) * 0.04), 6) end confidence from z",
 }
+
+_STATE = f"""{_PADS}, {_CUBE.replace("sp as (", "spr as (").replace("from sp join", "from spr join")}, {_of('PRODUCT', 'seen')},
+pst as (select pa.*, case when stk.available <= 0 then 'SOLD_OUT' when u > 0 and greatest(stk.available, 0) / u <= 10 then 'STOCKOUT_RISK' when stk.available <= 5 then 'LOW_STOCK' when u = 0 and stk.available > 15 then 'OVERSTOCK_WEAK_DEMAND' else 'HEALTHY' end stock_state, seen.product_views, seen.view_to_cart,
+ pa.product_id in (select mp.product_id from mp join cls c2 using (ad_id) where c2.mapping_class = 'AMBIGUOUS') mapping_ambiguous, case when mapped_ads = 0 or source_rows > 0 then exact_spend end spend, true commerce_known, true pixel_fresh, contribution_after_ads < 0 inefficient_paid_demand, {_QUALITY} evidence_quality
+ from pa join stk using (product_id) left join (select product_id, sum(greatest(quantity - restocked_units, 0)) / 365.0::double u from pl where period = 'CURRENT' group by 1) v using (product_id) left join seen on seen.entity_id = cast(pa.product_id as varchar) where pa.period = 'CURRENT')"""
+_STATE = _STATE.replace("when u > 0 and", "when coalesce(u, 0) > 0 and").replace("when u = 0 and", "when coalesce(u, 0) = 0 and")
+_SURE = "case evidence_quality when 'HIGH' then 0.9 when 'MEDIUM' then 0.65 else 0.35 end"
+_DECISIONS = " union all ".join(f"select '{rule}' rule_id, '{category}' category, 'PRODUCT' entity_type, cast(product_id as varchar) entity_id, {severity} severity, cast({impact} as double) impact, cast({_SURE} as double) confidence, cast({urgency} as double) urgency, evidence_quality, '{precision}' as precision from pst where coalesce({when}, false)" for rule, (category, when, severity, impact, urgency, precision) in PRODUCT_DECISIONS.items())
+
+
+def _signal_decisions(kind: str, column: str) -> str:
+    pairs = ", ".join(f"max(case when period = '{p}' then {m} end) {m}{z}" for m in "n impressions spend conversions roas cpc ctr".split() for p, z in (("CURRENT", ""), ("COMPARISON", "0")))
+    quality = "case when coalesce(n, 0) = 0 or coalesce(impressions, 0) < 100 then 'LOW' when impressions >= 1000 then 'HIGH' else 'MEDIUM' end"
+    rows = " union all ".join(f"select entity_id, '{code}' code, {severity} s, {quality} evidence_quality from z where {when}" for code, when, severity in _SIGNALS)
+    score = "cast(case s when 'HIGH' then 0.85 when 'WARNING' then 0.6 else 0.35 end as double)"
+    return f"""select 'unified_{kind.lower()}_' || lower(code) rule_id, case when code like '%DELIVERY%' then 'PAID_MEDIA_DELIVERY' else 'PAID_MEDIA_EFFICIENCY' end category, '{kind}' entity_type, cast(entity_id as varchar) entity_id, case s when 'HIGH' then 'HIGH' when 'WARNING' then 'MEDIUM' else 'LOW' end severity,
+ {score} impact, cast({_SURE} as double) confidence, {score} urgency, evidence_quality, 'PROVIDER_REPORTED' as precision from (with x as (select period, {column}, count(*) n, {_SUMS} from adm group by 1, 2), y as (select *, {_RATIOS} from x), z as (select {column} entity_id, {pairs} from y group by 1) {rows})"""
+
+
+_HOST = r"lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1))"
+_UTM = r"nullif(regexp_extract(url, '[?&]utm_source=([^&#]*)', 1), '')"
+_PATH = r"regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
+_LOOK = f"""with p as (select page_id n, url, coalesce({_UTM}, case when page_id % 5 > 0 then ['google', 'fb', 'klaviyo'][page_id % 3 + 1] end) source, case page_id % 5 when 1 then 'cpc' when 2 then 'organic' when 3 then 'email' end medium,
+ case when page_id % 4 = 0 then ['www.google.de', 'm.facebook.com', 'shop.example', 'mail.google.com', 'news.example.org'][page_id % 5 + 1] end ref from pages),
+q as (select *, case source when 'google' then 'GOOGLE' when 'fb' then 'META' when 'klaviyo' then 'KLAVIYO' else 'OTHER' end named from p),
+r as (select case when n % 11 = 0 then ['PAID_SOCIAL', 'META', 'META_CLICK', 'true'] when n % 7 = 0 then ['OTHER', 'GOOGLE', 'GOOGLE_CLICK', 'true'] when n % 13 = 0 then ['PAID_SOCIAL', 'META', 'META_LINK_ID', 'true']
+ when (source is not null or medium is not null) and medium = 'email' then ['EMAIL', named, 'UTM', 'false'] when medium = 'cpc' then [case when named = 'META' then 'PAID_SOCIAL' else 'OTHER' end, named, 'UTM', 'true']
+ when medium = 'organic' then [case named when 'GOOGLE' then 'ORGANIC_SEARCH' when 'META' then 'ORGANIC_SOCIAL' else 'OTHER' end, named, 'UTM', 'false'] when source is not null then ['OTHER', named, 'UTM', null]
+ when ref = 'mail.google.com' then ['EMAIL', 'GOOGLE', 'REFERRER', 'false'] when ref = 'www.google.de' then ['ORGANIC_SEARCH', 'GOOGLE', 'REFERRER', 'false'] when ref = 'm.facebook.com' then ['ORGANIC_SOCIAL', 'META', 'REFERRER', 'false'] when ref is not null then ['REFERRAL', 'OTHER', 'REFERRER', null]
+ else ['DIRECT', null, 'NO_EXTERNAL_EVIDENCE', null] end a from q)"""
+_CATALOG = """with v as (select p_partkey variant_id, 'SKU-' || (p_partkey % 1500) sku, p_partkey // 2 product_id, 'h' || (p_partkey // 2) handle, case when p_partkey % 2 = 0 then 'red' else 'blue' end color from part),
+i as (select p_partkey item_id, case when p_partkey % 4 = 0 then 'SKU-' || p_partkey end rid, case when p_partkey % 4 = 1 then 'h' || (p_partkey // 2) end handle, case when p_partkey % 4 = 1 and p_partkey % 3 = 0 then p_partkey end token, case when p_partkey % 4 = 2 then p_partkey // 2 end gid, case when p_partkey % 5 = 0 then 'red' end color from part),
+a as (select item_id, count(*) n, min(variant_id) one from i join v on rid = sku group by 1), b as (select item_id, count(*) n, min(variant_id) one from i join v on i.handle = v.handle and token = variant_id group by 1),
+u as (select item_id, count(*) n, count(*) filter (where i.color is null or i.color = v.color) f, min(variant_id) al, min(variant_id) filter (where i.color is null or i.color = v.color) one from i join v on i.handle = v.handle group by 1),
+g as (select item_id, count(*) n, count(*) filter (where i.color is null or i.color = v.color) f, min(variant_id) al, min(variant_id) filter (where i.color is null or i.color = v.color) one from i join v on gid = product_id group by 1),
+x as (select i.item_id, case when a.n = 1 then struct_pack(state := 'MAPPED', source := 'RETAILER_ID_SKU', confidence := 1.0::double, variant_id := a.one) when a.n > 1 then struct_pack(state := 'AMBIGUOUS', source := null::varchar, confidence := 0.0::double, variant_id := null::bigint)
+ when b.n = 1 then struct_pack(state := 'MAPPED', source := 'URL', confidence := 1.0::double, variant_id := b.one) when u.f = 1 then struct_pack(state := 'MAPPED', source := 'URL', confidence := 0.99::double, variant_id := u.one) when u.f > 1 and i.color is not null then struct_pack(state := 'MAPPED', source := 'URL', confidence := 0.95::double, variant_id := null::bigint) when u.n = 1 then struct_pack(state := 'MAPPED', source := 'URL', confidence := 0.95::double, variant_id := u.al)
+ when g.f = 1 then struct_pack(state := 'MAPPED', source := 'PRODUCT_GROUP', confidence := 0.95::double, variant_id := g.one) when g.f > 1 and i.color is not null then struct_pack(state := 'MAPPED', source := 'PRODUCT_GROUP', confidence := 0.9::double, variant_id := null::bigint) when g.n = 1 then struct_pack(state := 'MAPPED', source := 'PRODUCT_GROUP', confidence := 0.9::double, variant_id := g.al)
+ when g.n > 1 then struct_pack(state := 'AMBIGUOUS', source := null::varchar, confidence := 0.0::double, variant_id := null::bigint) else struct_pack(state := 'UNMAPPED', source := null::varchar, confidence := 0.0::double, variant_id := null::bigint) end r from i left join a using (item_id) left join b using (item_id) left join u using (item_id) left join g using (item_id))
+select item_id, r.state, r.source, r.confidence, r.variant_id from x"""
+
+ORACLE_SQL |= {
+    "R-25_product_decisions": f"with {_STATE} {_DECISIONS}",
+    "W-16_decisions": f"with {_STATE}, {_MONTH}, al as ({_DECISIONS} union all {' union all '.join(_signal_decisions(k, c) for k, c in (('CAMPAIGN', 'campaign_id'), ('GROUP', 'group_id'), ('AD', 'ad_id')))}) select *, round(impact * 0.45 + confidence * 0.35 + urgency * 0.2, 6) priority from al",
+    "W-10_unified_product_ads": f"with {_STATE} select product_id, round(net_revenue, 2) net_revenue, round(exact_spend, 4) exact_spend, round(contribution_after_ads, 2) contribution_after_ads, stock_state, mapped_ads, evidence_quality, (select count(*) from pst) total from pst order by pst.exact_spend desc, pst.net_revenue desc, product_id limit 50",
+    "O-145_page_values": f"select page_id, regexp_extract(url, '^([a-z]+)://', 1) || '://' || {_HOST} || case when {_PATH} = '' then '/' else {_PATH} end url, {_UTM} utm_source, regexp_replace({_HOST}, '^www\\.', '') host, nullif(regexp_extract({_PATH}, '(\\d+)$', 1), '') tail from pages",
+    "O-147_landing_pages": f"select regexp_extract(url, '^([a-z]+)://', 1) || '://' || {_HOST} || case when {_PATH} in ('', '/') then '/' else '/:other' end landing_page, regexp_replace({_HOST}, '^www\\.', '') host, coalesce({_UTM}, 'none') utm_source, count(*) pages from pages group by 1, 2, 3",
+    "O-148_acquisition": f"{_LOOK} select a[1] channel, a[2] provider, a[3] basis, cast(a[4] as boolean) paid, count(*) visits from r group by 1, 2, 3, 4",
+    "O-156_catalog_items": _CATALOG,
+    "O-158_text_suggestions": "select c_custkey ad_id, 'Brand#11' title, 0.65::double confidence, 1 place from customer where c_custkey % 3 = 0 and exists (select 1 from part where p_brand = 'Brand#11')",
+}
