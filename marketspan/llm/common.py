@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,12 +16,30 @@ BLOCK_CHARS = 8_000_000
 #: Every byte but lower-cased letters, digits and those of other alphabets becomes a space.
 WORD_BYTES = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c > 127 else 32 for c in bytes(range(256)).lower())
 
+_BETWEEN = re.compile("[\x20\x09-\x0d]")
+
 
 def alnum_words(text: str | None) -> list[bytes]:
     """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z."""
     return text.encode().translate(WORD_BYTES).split() if text else []
 
 
+def pieces_of(text: str, chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of about so many characters that cut a text only where an ASCII character stands that is in no word."""
+    begin = 0
+    while begin < len(text):
+        cut = _BETWEEN.search(text, begin + chars)
+        end = cut.end() if cut else len(text)
+        yield begin, end
+        begin = end
+
+
+def alnum_pieces(text: str | None) -> Iterator[list[bytes]]:
+    """The words of ``alnum_words`` in lists of bounded size."""
+    for begin, end in pieces_of(text) if text else ():
+        yield alnum_words(text[begin:end])
+
+
 def spaced_words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` as UTF-8."""
     return text.encode().split() if text else []
