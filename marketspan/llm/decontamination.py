@@ -24,11 +24,14 @@ positions of ``SEGMENT_CHARS`` characters, or of one text if it is longer.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,18 +69,18 @@ def slices(benchmark: DataFrame, *, item_col: str, text_col: str) -> Iterator[li
 
 def segment_of(texts: list[str | None]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
     """Words of each text, terms in order, their counts, and differences of their positions, term by term."""
-    number: dict[bytes, int] = {}
+    number: dict[bytes, int] = defaultdict(count().__next__)
     sizes, found, at, begin = np.zeros(len(texts), np.int64), [], [], 0
     for k, t in enumerate(texts):
         for words in alnum_pieces(t):
-            found.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
+            found.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
             at.append(np.arange(begin, begin + len(words), dtype="<u4"))
             begin += len(words)
             sizes[k] += len(words)
         begin += GAP
     terms = sorted(number)
     rank = np.empty(len(terms), np.int32)
-    rank[[number[t] for t in terms]] = np.arange(len(terms))
+    rank[np.fromiter(map(number.__getitem__, terms), np.int32, len(terms))] = np.arange(len(terms))
     flat = rank[np.concatenate(found)] if found else np.zeros(0, np.int32)
     order = np.argsort(flat, kind="stable")
     positions = np.concatenate(at)[order] if at else np.zeros(0, "<u4")
@@ -119,19 +122,20 @@ def shifted(lists: list[tuple[np.ndarray, int]], slop: int) -> np.ndarray:
 
 def term_counts(segments: DataFrame, terms: list[bytes]) -> dict[bytes, int]:
     """How often each of the terms occurs in all segments; no more rows than terms reach the driver."""
-    sent = segments.sparkSession.sparkContext.broadcast(set(terms))
+    sent = segments.sparkSession.sparkContext.broadcast(sorted(set(terms)))
 
     def run(batches):
+        wanted = pa.array(sent.value, pa.binary())
         for batch in batches:
-            for listed, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                met = [(t, n) for t, n in zip(listed, counts) if t in sent.value]
-                yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in met], pa.binary()), pa.array([n for _, n in met], pa.int64())], names=["term", "n"])
+            listed, counts = batch.column(0).flatten(), batch.column(1).flatten()
+            met = pc.is_in(listed, value_set=wanted)
+            yield pa.RecordBatch.from_arrays([listed.filter(met), counts.filter(met).cast(pa.int64())], names=["term", "n"])
 
     counted = segments.select("terms", "counts").mapInArrow(run, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     return {bytes(t): n for t, n in counted}
 
 
-def planned(items: list[tuple[str, list[bytes]]], frequency: dict[bytes, int], window: int) -> tuple[list[bytes], dict[int, list[tuple[np.ndarray, np.ndarray, list[str]]]]]:
+def planned(items: list[tuple[str, list[bytes]]], frequency: dict[bytes, int], window: int) -> tuple[list[bytes], dict[int, list[tuple[list[int], list[int], list[str]]]]]:
     """The slice's terms, and by its rarest term each window: term numbers, offsets from the rarest on, and items.
 
     Windows are all runs of ``window`` words, or a shorter item whole.  Terms that occur nowhere rule a window out.
@@ -146,11 +150,11 @@ def planned(items: list[tuple[str, list[bytes]]], frequency: dict[bytes, int], w
             part = ids[i : i + window]
             if part.min() >= 0:
                 of.setdefault(part.tobytes(), []).append(item)
-    by_rarest: dict[int, list[tuple[np.ndarray, np.ndarray, list[str]]]] = {}
+    by_rarest: dict[int, list[tuple[list[int], list[int], list[str]]]] = {}
     for raw, names in of.items():
         ids = np.frombuffer(raw, np.int32)
         order = np.argsort(often[ids], kind="stable")
-        by_rarest.setdefault(int(ids[order[0]]), []).append((ids, order, sorted(set(names))))
+        by_rarest.setdefault(int(ids[order[0]]), []).append((ids.tolist(), order.tolist(), sorted(set(names))))
     return terms, by_rarest
 
 
@@ -162,10 +166,12 @@ def query(segments: DataFrame, items: list[tuple[str, list[bytes]]], *, window:
     sent = segments.sparkSession.sparkContext.broadcast(planned(items, frequency, window))
     arrow = to_arrow_schema(_HITS)
 
-    def matches(row: dict, numbers: dict[bytes, int], by_rarest: dict) -> tuple[dict, dict, dict]:
-        cut = np.concatenate(([0], np.cumsum(row["counts"], dtype=np.int64)))
-        steps = np.frombuffer(row["postings"], "<u4")
-        place = {numbers[t]: k for k, t in enumerate(row["terms"]) if t in numbers}
+    def matches(row: pa.RecordBatch, terms: pa.Array, by_rarest: dict) -> tuple[dict, dict, dict]:
+        cut = np.concatenate(([0], np.cumsum(row.column("counts").flatten().to_numpy(), dtype=np.int64)))
+        steps = np.frombuffer(row.column("postings")[0].as_buffer(), "<u4")
+        numbers = pc.fill_null(pc.index_in(row.column("terms").flatten(), value_set=terms), -1).to_numpy()
+        at = np.flatnonzero(numbers >= 0)
+        place = dict(zip(numbers[at].tolist(), at.tolist()))
         lists: dict[int, np.ndarray] = {}
 
         def positions(term: int) -> np.ndarray:
@@ -173,21 +179,23 @@ def query(segments: DataFrame, items: list[tuple[str, list[bytes]]], *, window:
                 lists[term] = np.cumsum(steps[cut[place[term]] : cut[place[term] + 1]], dtype=np.int64)
             return lists[term]
 
-        sizes = np.array(row["doc_words"], np.int64)
+        sizes = row.column("doc_words").flatten().to_numpy()
         ends = np.cumsum(sizes + GAP) - GAP
         spans: dict[int, list[tuple[int, int]]] = {}
         exact: dict[int, set[str]] = {}
         near: dict[int, set[str]] = {}
         for rarest in place.keys() & by_rarest.keys():
             for ids, order, names in by_rarest[rarest]:
-                if any(t not in place for t in ids.tolist()):
+                if any(t not in place for t in ids):
                     continue
-                shifts = [(positions(int(ids[k])), int(k)) for k in order]
-                for starts, into in ((shifted(shifts, 0), exact), (shifted(shifts, slop) if slop else (), near)):
+                shifts = [(positions(ids[k]), k) for k in order]
+                # an exact match is a proximity match, so without one of these there is none of those
+                close = shifted(shifts, slop)
+                for starts, into in ((shifted(shifts, 0) if slop and len(close) else close, exact), (close if slop else (), near)):
                     if not len(starts):
                         continue
                     # the rarest term stands near its place, so within half a gap of its document
-                    docs = np.searchsorted(ends + GAP // 2, starts + int(order[0]), side="right")
+                    docs = np.searchsorted(ends + GAP // 2, starts + order[0], side="right")
                     for s, d in zip(starts.tolist(), docs.tolist()):
                         into.setdefault(d, set()).update(names)
                         if into is exact:
@@ -197,14 +205,14 @@ def query(segments: DataFrame, items: list[tuple[str, list[bytes]]], *, window:
 
     def run(batches):
         terms, by_rarest = sent.value
-        numbers = {t: k for k, t in enumerate(terms)}
+        terms = pa.array(terms, pa.binary())
         for batch in batches:
             for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                spans, exact, near = matches(row, numbers, by_rarest)
+                row = batch.slice(k, 1)
+                spans, exact, near = matches(row, terms, by_rarest)
                 hit = sorted(exact.keys() | near.keys())
                 merged = [_union(spans.get(d, [])) for d in hit]
-                columns = ([row["segment"]] * len(hit), hit, [[a for a, _ in m] for m in merged], [[b for _, b in m] for m in merged], [sorted(exact.get(d, ())) for d in hit], [sorted(near.get(d, ()) if slop else exact.get(d, ())) for d in hit])
+                columns = ([row.column("segment")[0].as_py()] * len(hit), hit, [[a for a, _ in m] for m in merged], [[b for _, b in m] for m in merged], [sorted(exact.get(d, ())) for d in hit], [sorted(near.get(d, ()) if slop else exact.get(d, ())) for d in hit])
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, arrow)], schema=arrow)
 
     return segments.mapInArrow(run, _HITS)

@@ -26,6 +26,8 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import defaultdict
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -65,14 +67,15 @@ def encode_blocks(docs: DataFrame, *, id_col: str, text_col: str, classes: int)
         block = TaskContext.get().partitionId() << 32
         pack = zstandard.ZstdCompressor(1).compress
         for ids, texts in blocks(batches, BLOCK_CHARS):
-            known: dict[bytes, int] = {END: 0}
+            known: dict[bytes, int] = defaultdict(count().__next__)
+            known[END]
             held = [held_out(i) for i in ids]
             tokens, sizes = [], []
             for t in texts:
                 n = 1
                 for begin, end in pieces_of(t) if t else ():
                     words = t[begin:end].translate(_LOWER).encode().split()
-                    tokens.append(np.fromiter((known.setdefault(w, len(known)) for w in words), "<u4", len(words)))
+                    tokens.append(np.fromiter(map(known.__getitem__, words), "<u4", len(words)))
                     n += len(words)
                 tokens.append(np.zeros(1, "<u4"))
                 sizes.append(n)
@@ -232,7 +235,7 @@ def train(rows: DataFrame, totals: np.ndarray, *, states: int, rounds: int, smoo
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(model)
 
-        def count(batches, sent=sent):
+        def counted(batches, sent=sent):
             emit, move, start = np.zeros((classes, states)), np.zeros((states, states)), np.zeros(states)
             for batch in batches:
                 for k in range(batch.num_rows):
@@ -246,7 +249,7 @@ def train(rows: DataFrame, totals: np.ndarray, *, states: int, rounds: int, smoo
             number = np.concatenate((used, -1 - np.arange(states), [-1 - states])).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(number), *(pa.array(table[:, k].copy()) for k in range(states))], names=["class", *(f"s{k}" for k in range(states))])
 
-        summed = trained.mapInArrow(count, schema).groupBy("class").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(states)]).toPandas()  # at most classes + states + 1 rows
+        summed = trained.mapInArrow(counted, schema).groupBy("class").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(states)]).toPandas()  # at most classes + states + 1 rows
         number, table = summed["class"].to_numpy(), summed.drop(columns="class").to_numpy()
         emit = np.zeros((classes, states))
         emit[number[number >= 0]] = table[number >= 0]
@@ -268,7 +271,7 @@ def word_table(rows: DataFrame, model: Model, *, states: int) -> DataFrame:
     schema = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("c", T.LongType()), *(T.StructField(n, T.FloatType()) for n in names)])
     arrow = to_arrow_schema(schema)
 
-    def count(batches):
+    def counts_of(batches):
         move, start = np.zeros((states, states)), np.zeros(states)
         for batch in batches:
             for k in range(batch.num_rows):
@@ -280,7 +283,7 @@ def word_table(rows: DataFrame, model: Model, *, states: int) -> DataFrame:
         table = np.concatenate((move, start[None, :])).astype(np.float32)
         yield pa.RecordBatch.from_arrays([pa.nulls(states + 1, pa.binary()), pa.array(-1 - np.arange(states + 1)), *(pa.array(table[:, s].copy()) for s in range(states))], schema=arrow)
 
-    counted = rows.select("held_out", "doc_tokens", "tokens", "classes", "words", "counts").mapInArrow(count, schema)
+    counted = rows.select("held_out", "doc_tokens", "tokens", "classes", "words", "counts").mapInArrow(counts_of, schema)
     which = F.when(F.col("word").isNull(), F.col("c")).otherwise(0)  # numbers of transitions aren't counts
     summed = counted.groupBy("word", which.alias("_which")).agg(F.sum("c").alias("c"), *[F.sum(n).cast("float").alias(n) for n in names])
     return summed.select("word", F.when(F.col("word").isNull(), F.col("_which")).otherwise(F.col("c")).alias("c"), *names)
