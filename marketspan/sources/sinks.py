@@ -29,3 +29,27 @@ def soft_delete_missing(current: DataFrame, returned: DataFrame, keys: list[str]
 def replace_days(rows: DataFrame, path: str, day: str) -> None:
     """Writes whole days; days without rows here keep what they have."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+
+
+def with_snapshots(current: DataFrame, history: DataFrame, levels: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Stock levels as they came: the current ones replaced by newer, and all of them added to the history once.
+
+    levels: keys and observed_at with the numbers.
+    """
+    seen = history.select(*keys, "observed_at")
+    return upsert(current, levels, keys, "observed_at"), history.unionByName(levels.join(seen, [*keys, "observed_at"], "left_anti"))
+
+
+def replaced_mappings(current: DataFrame, projected: DataFrame, ads: DataFrame) -> DataFrame:
+    """Mappings of some ads replaced by new ones, all of which may be gone; other ads keep theirs."""
+    return current.join(ads.select("ad_id").distinct(), "ad_id", "left_anti").unionByName(projected)
+
+
+def dual_write(batch: DataFrame, native_path: str, canonical_path: str, hierarchy: DataFrame) -> None:
+    """For foreachBatch: one batch as native rows and as canonical rows joined to the hierarchy, read once."""
+    batch.persist()
+    try:
+        replace_days(batch, native_path, "date")
+        replace_days(batch.join(hierarchy, "external_id").drop("external_id"), canonical_path, "date")
+    finally:
+        batch.unpersist()
