@@ -94,3 +94,10 @@ def unified_page(products: DataFrame, *, page: int, limit: int) -> DataFrame:
     """Products by mapped spend, then net revenue, with stock and economics."""
     out = products.select("product_id", "net_revenue", "exact_spend", "contribution_after_ads", "stock_state", "mapped_ads", "evidence_quality")
     return _page(out, [F.desc("exact_spend"), F.desc("net_revenue"), F.asc("product_id")], page, limit)
+
+
+def report(blended: DataFrame, drafts: DataFrame) -> DataFrame:
+    """The overview, which must be there, beside how many recommendations of each severity there are, which may be none."""
+    n = lambda v: F.count_if(F.col("severity") == v).alias(f"{v.lower()}_recommendations")
+    counts = drafts.agg(n("CRITICAL"), n("HIGH"), n("MEDIUM"))
+    return blended.select("period", "orders", "order_value", "spend", "mer").crossJoin(F.broadcast(counts))

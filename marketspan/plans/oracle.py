@@ -358,3 +358,21 @@ ORACLE_SQL |= {
     "O-156_catalog_items": _CATALOG,
     "O-158_text_suggestions": "select c_custkey ad_id, 'Brand#11' title, 0.65::double confidence, 1 place from customer where c_custkey % 3 = 0 and exists (select 1 from part where p_brand = 'Brand#11')",
 }
+
+_RETRY = "to_seconds(least(21600, 60 * cast(pow(2, least(k % 20, 20)) as bigint)))"
+ORACLE_SQL |= {
+    "O-150_routing": f"with {_E}, x as (select visitor_id, source, ad_id from tc where ad_id is not null group by 1, 2, 3) select visitor_id, count(*) identities, count(*) > 1 ambiguous, count(*) > 1000 limit_reached, case when count(*) = 1 then min(ad_id) end eligible_ad_id from x group by 1",
+    "O-126_dirty_days": f"with {_E}, lt as (select distinct session_id from es where event_id % 50 = 0 and event_at < timestamp '2024-01-04'), a as (select visitor_id, cast(min(event_at) as date) as day from es join lt using (session_id) group by session_id, visitor_id union select visitor_id, cast(min(event_at) as date) from es join lt using (session_id) where event_id % 50 <> 0 group by session_id, visitor_id) select day from a union select cast(e.event_at as date) from ev e join a using (visitor_id) where event_name = 'CHECKOUT_COMPLETED' and cast(e.event_at as date) between day and day + 5",
+    "O-130_invalidated_sessions": f"with {_E} select session_id from sp where product_id in (3, 4) union select session_id from tc where ad_id in (8, 16)",
+    "O-191_contents": "select l_orderkey source_event_id, count(*) observed_items, count(*) filter (where l_partkey % 3 = 1) mapped_items, count(*) filter (where l_partkey % 3 = 2) ambiguous_items, sum(cast(l_quantity as bigint)) quantity, cast(sum(cast(l_quantity as bigint) * cast(l_extendedprice as decimal(18,2))) as double) as value from lineitem group by 1",
+    "O-133_keyset_sweep": f"with {_E} select received_at, event_id, event_name from ev where received_at > timestamp '2024-01-20' or received_at = timestamp '2024-01-20' and event_id > 0 order by 1, 2 limit 100",
+    "O-135_retries": f"with {_E} select event_id, event_at + {_RETRY} next_try_at from ev where event_name = 'CHECKOUT_COMPLETED'",
+    "O-59_within_connection": f"with {_E} select visitor_id % 3 store_id, event_name, count(*) events from ev where visitor_id % 3 = 0 and event_at >= timestamp '2024-01-05' or visitor_id % 3 = 1 and event_at >= timestamp '2024-01-25' group by 1, 2",
+    "O-184_accounts_in_scope": f"with {_A} select distinct account_id, provider, currency from ad where provider = 'META' and account_id in (0, 1, 3)",
+    "O-129_linked_orders": f"with {_E} select session_id, last_event_id order_ext, cast(events % 9 as int) attempts, ended_at received_at, case when last_event_id % 3 <> 0 then 'o' || last_event_id end order_id, case when last_event_id % 3 <> 0 then 'LINKED' else 'PENDING' end link_status, case when last_event_id % 3 = 0 then ended_at + to_minutes(least(360, 5 * cast(pow(2, events % 9) as bigint))) end next_try_at from ses where purchases > 0",
+    "W-24_purchase_candidates": f"with {_E}, {_DV}, w as (select event_id from ev where event_name = 'CHECKOUT_COMPLETED' and k % 10 <> 1 and k % 12 <> 3 and k % 9 <> 0 and k % 11 <> 2 and linked and k > 0 and event_id not in (select source_event_id from dv where status = 'DELIVERED')), o as (select event_id order_id, visitor_id, event_at ordered_at from ev where event_name = 'CHECKOUT_COMPLETED' and event_id in (select event_id from w)), x as (select order_id, source, k.event_id click_id, row_number() over (partition by order_id, source order by k.event_at desc, received_at desc, k.event_id desc) n from o join ev k using (visitor_id) where event_name = 'ADD_TO_CART' and source in ('META', 'GOOGLE') and k.event_at <= ordered_at and k.event_at >= ordered_at - interval 30 day) select o.*, a.click_id meta_click_id, b.click_id google_click_id from o left join x a on a.order_id = o.order_id and a.source = 'META' and a.n = 1 left join x b on b.order_id = o.order_id and b.source = 'GOOGLE' and b.n = 1",
+    "W-22_report": f"with {_FAMILIES}, {_drafts()}, {_B[len(_C) + len(_A) + 4:]} select period, orders, round(order_value, 2) order_value, spend, round(mer, 6) mer, (select count(*) from drafts where severity = 'CRITICAL') critical_recommendations, (select count(*) from drafts where severity = 'HIGH') high_recommendations, (select count(*) from drafts where severity = 'MEDIUM') medium_recommendations from bl",
+    "O-48_shared_ads": f"with {_A} select provider, count(*) facts from ad where ad_id in (select ad_id from shared) group by 1",
+    "O-38_json_counts": "select event_type, count(*) events from events where json_extract_string(props, '$.k') = '7' group by 1",
+    "O-52_delivery_grid": f"with {_E}, {_DV}, s as (select p.provider, b.event_id, coalesce(bool_or(status = 'DELIVERED'), false) a, coalesce(bool_or(status in {_WAIT}), false) w, count(source_event_id) > 0 q from bo b cross join (values ('META'), ('PINTEREST')) p(provider) left join dv on source_event_id = b.event_id and dv.provider = p.provider group by 1, 2) select provider, count(*) orders, count(*) filter (where a) accepted, count(*) filter (where not a and w) waiting, count(*) filter (where not a and not w and q) failed, count(*) filter (where not q) not_queued from s group by 1",
+}

@@ -13,6 +13,7 @@ from ..operators import commerce, delivery, evidence, economics as eco, mapping,
 from ..operators.joins import asof_join, or_key_join, without_revoked
 from ..sources import canonical as c
 from ..sources import sinks
+from ..streaming import ingest
 from .oracle import ORACLE_SQL as ORACLE_SQL
 
 
@@ -227,6 +228,39 @@ def mapping_fixture(s, d):
     return items, variants
 
 
+def dirty_days(s, d):
+    """Days to rebuild after every fiftieth event came late."""
+    e = gapped(s, d)
+    starts = lambda x: x.groupBy("session_id").agg(F.min("visitor_id").alias("visitor_id"), F.min("event_at").alias("started_at"))
+    late = e.where("event_id % 50 = 0 and event_at < timestamp_ntz'2024-01-04'").select("session_id").distinct()
+    own = e.join(late, "session_id", "left_semi")
+    return ingest.dirty_days(starts(own.where("event_id % 50 <> 0")), starts(own), bought(s, d).select("visitor_id", F.col("event_at").alias("purchased_at")), 5)
+
+
+def contents(s, d):
+    """What each order's conversion held; a third of the products have no catalog item, a third have two."""
+    items = c.table(s, d, "lineitem").select(F.col("l_orderkey").alias("source_event_id"), F.col("l_partkey").alias("variant_id"), F.col("l_quantity").cast("long").alias("quantity"), F.col("l_extendedprice").cast("decimal(18,2)").alias("price"))
+    p = c.table(s, d, "part").where("p_partkey % 3 > 0").select(F.col("p_partkey").alias("variant_id"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("p_partkey") % 3)).alias("n"))
+    mapped = p.select("variant_id", F.concat_ws("-", "variant_id", "n").alias("catalog_item_id"))
+    return delivery.contents(items, mapped).withColumn("value", F.col("value").cast("double"))
+
+
+def linked_orders(s, d):
+    """Sessions that bought, with an order of which two thirds have arrived."""
+    rows = sessions(s, d).where("purchases > 0").select("session_id", F.col("last_event_id").alias("order_ext"), (F.col("events") % 9).cast("int").alias("attempts"), F.col("ended_at").alias("received_at"))
+    arrived = c.table(s, d, "events").where("event_id % 3 <> 0").select(F.col("event_id").alias("order_ext"), F.concat(F.lit("o"), "event_id").alias("order_id"))
+    return storefront.linked_orders(rows, arrived)
+
+
+def purchase_candidates(s, d):
+    """Purchases that may be sent, with the last click of each provider before them."""
+    k = F.col("k")
+    reason = delivery.eligibility(source=F.when(k % 9 == 0, "pos").otherwise("web"), is_test=k % 10 == 1, is_b2b=k % 11 == 2, cancelled=k % 12 == 3, linked=F.col("order_linked"), has_facts=F.lit(True), before_install=F.lit(False), value=k)
+    own = bought(s, d).where(reason.isNull()).select(F.col("event_id").alias("order_id"))
+    new = own.join(deliveries(s, d).where("status = 'DELIVERED'").select(F.col("source_event_id").alias("order_id")), "order_id", "left_anti")
+    return last_clicks(s, d).join(new, "order_id", "left_semi")
+
+
 def stock_history(s, d):
     li = c.table(s, d, "lineitem")
     snaps = li.groupBy(F.col("l_partkey").alias("item_id"), F.lit(1).alias("location_id"), F.col("l_shipdate").alias("observed_at")).agg(F.max(F.col("l_quantity").cast("long")).alias("available"))
@@ -399,4 +433,18 @@ QUERIES = {
     "O-156_catalog_items": lambda s, d: mapping.resolve_catalog_items(*mapping_fixture(s, d)),
     "O-158_text_suggestions": lambda s, d: mapping.text_suggestions(c.table(s, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("ad_id"), F.concat(F.lit("New: "), F.element_at(F.array(*map(F.lit, ["Brand#11", "Brand#23", "Brand#35"])), (F.col("c_custkey") % 3 + 1).cast("int")), F.lit(" sale "), F.col("c_custkey") % 7).alias("text")), c.table(s, d, "part").select("p_brand").distinct().select(F.col("p_brand").alias("title"))),
     "O-160_pixel_mappings": lambda s, d: rounded(mapping.pixel_mappings(storefront.target_evidence(touch(s, d), products_seen(s, d), sessions(s, d)), c.mappings(s, d)), confidence=6),
+    "O-150_routing": lambda s, d: delivery.routing(touch(s, d)),
+    "O-126_dirty_days": dirty_days,
+    "O-130_invalidated_sessions": lambda s, d: storefront.invalidated_sessions(products_seen(s, d), touch(s, d), c.table(s, d, "part").where("p_partkey in (3, 4)").select(F.col("p_partkey").alias("product_id")), s.createDataFrame([(8,), (16,)], "ad_id long")),
+    "O-191_contents": contents,
+    "O-133_keyset_sweep": lambda s, d: delivery.swept(c.events(s, d).select("received_at", "event_id", "event_name"), ["received_at", "event_id"], [F.lit("2024-01-20").cast("timestamp_ntz"), F.lit(0)], 100),
+    "O-135_retries": lambda s, d: bought(s, d).select("event_id", delivery.retry_at(F.col("event_at"), F.col("k") % 20).alias("next_try_at")),
+    "O-59_within_connection": lambda s, d: delivery.within_connection(c.events(s, d).withColumn("store_id", F.col("visitor_id") % 3), s.createDataFrame([(0, "2024-01-05"), (1, "2024-01-25")], "store_id long, t string").select("store_id", F.col("t").cast("timestamp_ntz").alias("installed_at"))).groupBy("store_id", "event_name").agg(F.count("*").alias("events")),
+    "O-184_accounts_in_scope": lambda s, d: ads.in_scope(c.ad_daily(s, d).select("account_id", "provider", "currency").distinct(), provider="META", selected=[0, 1, 3], entitled=["META", "TIKTOK"]),
+    "O-129_linked_orders": linked_orders,
+    "W-24_purchase_candidates": purchase_candidates,
+    "W-22_report": lambda s, d: rounded(workspaces.report(blended(s, d), snapshot(s, d)), order_value=2, mer=6),
+    "O-48_shared_ads": lambda s, d: c.ad_daily(s, d).join(c.table(s, d, "supplier").where("s_suppkey % 5 = 0").select(F.col("s_suppkey").alias("ad_id")), "ad_id", "left_semi").groupBy("provider").agg(F.count("*").alias("facts")),
+    "O-38_json_counts": lambda s, d: c.table(s, d, "events").where(F.get_json_object("props", "$.k") == "7").groupBy("event_type").agg(F.count("*").alias("events")),
+    "O-52_delivery_grid": lambda s, d: delivery.purchase_states(bought(s, d).select("event_id"), deliveries(s, d), ("META", "PINTEREST")),
 }
