@@ -302,3 +302,41 @@ def video_retention(rows: DataFrame, minimum_plays: int = 50) -> DataFrame:
     best = F.array_max(F.filter(drops, lambda d: d["drop"].isNotNull()))
     status = F.when(F.coalesce("plays", F.lit(0)) < minimum_plays, "INSUFFICIENT_PLAYS").when(~consistent, "INCONSISTENT").otherwise("READY")
     return sums.withColumns(rates).withColumn("largest_drop_stage", best["stage"]).withColumn("largest_drop", best["drop"]).withColumn("status", status)
+
+
+#: How well an identity is known, from the least on.  Fixed values.
+RESOLUTIONS = ("NONE", "UNRESOLVED", "PARTIAL", "CONFLICT", "EXACT")
+
+
+def resolve_touches(touch: DataFrame, ads: DataFrame) -> DataFrame:
+    """Touches with ``resolution``: whether the ids they name are one place of the hierarchy.
+
+    EXACT: the ad is known and what else is named fits it; CONFLICT: it doesn't;
+    PARTIAL: only the group or the campaign is known; UNRESOLVED: nothing named
+    is known; NONE: nothing is named.  touch: (touch_id, campaign_ext, group_ext, ad_ext); ads: the same three, a row per ad.
+    """
+    by_ad = ads.select("ad_ext", F.col("group_ext").alias("_g"), F.col("campaign_ext").alias("_c"))
+    groups = ads.groupBy("group_ext").agg(F.min("campaign_ext").alias("_gc"))
+    campaigns = ads.select("campaign_ext").distinct().withColumn("_known", F.lit(True))
+    out = touch.join(by_ad, "ad_ext", "left").join(groups, "group_ext", "left").join(campaigns, "campaign_ext", "left")
+    differs = lambda a, b: F.coalesce(F.col(a) != F.col(b), F.lit(False))
+    named = F.col("ad_ext").isNotNull() | F.col("group_ext").isNotNull() | F.col("campaign_ext").isNotNull()
+    state = (
+        F.when(~named, "NONE")
+        .when(F.col("_g").isNotNull(), F.when(differs("group_ext", "_g") | differs("campaign_ext", "_c"), "CONFLICT").otherwise("EXACT"))
+        .when(F.col("_gc").isNotNull(), F.when(differs("campaign_ext", "_gc"), "CONFLICT").otherwise("PARTIAL"))
+        .when(F.col("_known"), "PARTIAL")
+        .otherwise("UNRESOLVED")
+    )
+    return out.select(*touch.columns, state.alias("resolution"))
+
+
+def best_resolution(touch: DataFrame, key: str) -> DataFrame:
+    """The surest resolution of each key's touches."""
+    rank = F.array_position(F.array(*map(F.lit, RESOLUTIONS)), F.col("resolution"))
+    return touch.groupBy(key).agg(F.max_by("resolution", rank).alias("resolution"))
+
+
+def side_by_side(stores: DataFrame, parts: dict[str, DataFrame], key: str = "store_id") -> DataFrame:
+    """Stores with aggregates of several tables beside each other; each part has a row per store and comes in under its own columns."""
+    return reduce(lambda out, part: out.join(part, key, "left"), parts.values(), stores)

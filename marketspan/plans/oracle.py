@@ -376,3 +376,13 @@ ORACLE_SQL |= {
     "O-38_json_counts": "select event_type, count(*) events from events where json_extract_string(props, '$.k') = '7' group by 1",
     "O-52_delivery_grid": f"with {_E}, {_DV}, s as (select p.provider, b.event_id, coalesce(bool_or(status = 'DELIVERED'), false) a, coalesce(bool_or(status in {_WAIT}), false) w, count(source_event_id) > 0 q from bo b cross join (values ('META'), ('PINTEREST')) p(provider) left join dv on source_event_id = b.event_id and dv.provider = p.provider group by 1, 2) select provider, count(*) orders, count(*) filter (where a) accepted, count(*) filter (where not a and w) waiting, count(*) filter (where not a and not w and q) failed, count(*) filter (where not q) not_queued from s group by 1",
 }
+
+_RES = f"""{_E}, tt as (select event_id touch_id, visitor_id, case when k % 5 = 0 then k // 32 end ce, case when k % 3 < 2 then k // 16 + k % 3 end ge, case when k % 4 = 0 then k end ae from ev),
+hi as (select i ad, i // 16 g, i // 32 c from (select unnest(generate_series(0, 99, 8)) i)),
+rs as (select *, case when ae is null and ge is null and ce is null then 'NONE' when ae in (select ad from hi) then case when ge <> ae // 16 or ce <> ae // 32 then 'CONFLICT' else 'EXACT' end
+ when ge in (select g from hi) then case when ce <> ge // 2 then 'CONFLICT' else 'PARTIAL' end when ce in (select c from hi) then 'PARTIAL' else 'UNRESOLVED' end resolution from tt)"""
+ORACLE_SQL |= {
+    "O-151_touch_resolutions": f"with {_RES} select resolution, count(*) touches from rs group by 1",
+    "O-152_best_resolutions": f"with {_RES} select visitor_id, ['NONE', 'UNRESOLVED', 'PARTIAL', 'CONFLICT', 'EXACT'][max(list_position(['NONE', 'UNRESOLVED', 'PARTIAL', 'CONFLICT', 'EXACT'], resolution))] resolution from rs group by 1",
+    "O-47_store_health": f"with {_E}, st as (select unnest([0, 1, 2, 3]) store_id) select store_id, nullif(events, 0) events, last_event_at, nullif(sessions, 0) sessions, case when sessions > 0 then purchase_sessions end purchase_sessions, nullif(paid_touches, 0) paid_touches from (select store_id, (select count(*) from ev where visitor_id % 4 = store_id and store_id <> 2) events, (select max(received_at) from ev where visitor_id % 4 = store_id and store_id <> 2) last_event_at, (select count(*) from ses where visitor_id % 4 = store_id and store_id <> 2) sessions, (select count(*) filter (where linked_purchase) from ses where visitor_id % 4 = store_id and store_id <> 2) purchase_sessions, (select count(*) from tc where visitor_id % 4 = store_id and store_id <> 2 and ad_id is not null) paid_touches from st)",
+}

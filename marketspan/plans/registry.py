@@ -261,6 +261,25 @@ def purchase_candidates(s, d):
     return last_clicks(s, d).join(new, "order_id", "left_semi")
 
 
+def resolved(s, d):
+    """Events as touches that name places of a hierarchy of every eighth number, some of them wrongly."""
+    k = F.col("k")
+    t = c.events(s, d).select(F.col("event_id").alias("touch_id"), "visitor_id", F.when(k % 5 == 0, F.floor(k / 32)).cast("long").alias("campaign_ext"), F.when(k % 3 < 2, F.floor(k / 16) + k % 3).cast("long").alias("group_ext"), F.when(k % 4 == 0, k).alias("ad_ext"))
+    ads_ = s.range(0, 100, 8).select(F.floor(F.col("id") / 32).cast("long").alias("campaign_ext"), F.floor(F.col("id") / 16).cast("long").alias("group_ext"), F.col("id").alias("ad_ext"))
+    return storefront.resolve_touches(t, ads_)
+
+
+def store_health(s, d):
+    """Events, sessions and purchases of each store, beside each other; a store without any has nulls."""
+    store = (F.col("visitor_id") % 4).alias("store_id")
+    parts = {
+        "events": c.events(s, d).where("visitor_id % 4 <> 2").groupBy(store).agg(F.count("*").alias("events"), F.max("received_at").alias("last_event_at")),
+        "sessions": sessions(s, d).where("visitor_id % 4 <> 2").groupBy(store).agg(F.count("*").alias("sessions"), F.count_if("linked_purchase").alias("purchase_sessions")),
+        "touches": touch(s, d).where("visitor_id % 4 <> 2 and ad_id is not null").groupBy(store).agg(F.count("*").alias("paid_touches")),
+    }
+    return storefront.side_by_side(s.range(4).select(F.col("id").alias("store_id")), parts)
+
+
 def stock_history(s, d):
     li = c.table(s, d, "lineitem")
     snaps = li.groupBy(F.col("l_partkey").alias("item_id"), F.lit(1).alias("location_id"), F.col("l_shipdate").alias("observed_at")).agg(F.max(F.col("l_quantity").cast("long")).alias("available"))
@@ -447,4 +466,7 @@ QUERIES = {
     "O-48_shared_ads": lambda s, d: c.ad_daily(s, d).join(c.table(s, d, "supplier").where("s_suppkey % 5 = 0").select(F.col("s_suppkey").alias("ad_id")), "ad_id", "left_semi").groupBy("provider").agg(F.count("*").alias("facts")),
     "O-38_json_counts": lambda s, d: c.table(s, d, "events").where(F.get_json_object("props", "$.k") == "7").groupBy("event_type").agg(F.count("*").alias("events")),
     "O-52_delivery_grid": lambda s, d: delivery.purchase_states(bought(s, d).select("event_id"), deliveries(s, d), ("META", "PINTEREST")),
+    "O-151_touch_resolutions": lambda s, d: resolved(s, d).groupBy("resolution").agg(F.count("*").alias("touches")),
+    "O-152_best_resolutions": lambda s, d: storefront.best_resolution(resolved(s, d), "visitor_id"),
+    "O-47_store_health": store_health,
 }
