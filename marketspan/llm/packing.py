@@ -8,7 +8,8 @@ ids of which document lie where in which sequence.  Only the last sequence can
 have fewer ids; it is padded to ``length`` unless its size is a power of two.
 
 Nulls: a null text is empty and has only the end id; a null doc_id and repeated
-rows are documents like others.
+rows are documents like others.  Texts are encoded whole; a task holds the ids of about
+a million characters at a time, or of one text if it is longer.
 """
 
 from __future__ import annotations

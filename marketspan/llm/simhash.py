@@ -15,6 +15,8 @@ group.  A group yields only a spanning forest of its links.
 Nulls: a null text has no words and the fingerprint zero, as an empty text has.
 Rows without words link like all others.  Rows with a null doc_id count, but
 never name a component; ties and repeated rows share a fingerprint and so a component.
+Texts are read whole; a task holds the words and shingle hashes of about a million
+characters at a time, or of one text if it is longer.
 """
 
 from __future__ import annotations
