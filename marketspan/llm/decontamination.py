@@ -43,7 +43,7 @@ from .common import alnum_pieces, alnum_words, blocks, stored, text_rows
 #: Words of the benchmark that are sent to the tasks at a time.
 SLICE_WORDS = 500_000
 #: Characters of text in a segment.
-SEGMENT_CHARS = 8_000_000
+SEGMENT_CHARS = 4_000_000
 #: Positions between two documents of a segment; slop may be a quarter of it.
 GAP = 64
 

@@ -14,7 +14,7 @@ import re
 import numpy as np
 
 #: Pieces that one worker remembers; beyond it the memory starts afresh.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 500_000
 #: Printable ASCII, line breaks and Latin letters: classes on which all regex engines agree.
 _UNUSUAL = re.compile("[^\n\x20-\x7e\xa1-ɏ]")
 _UNUSUAL_SPACED = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ]")
