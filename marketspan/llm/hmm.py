@@ -8,6 +8,8 @@ to each block's own words, never collected: P(word | state) is the word's smooth
 share of all tokens, times how much more the state emits it than its share of
 all tokens lets expect.  A word that no training text has keeps one
 smoothed share in every state.  The states' sums are made 1 over all words.
+The parts of a word's tokens that fall to each state travel as fractions of 60
+bits in all, to move little; sums and probabilities are those of these fractions.
 
 Texts are written once as blocks: a block has its own vocabulary and its
 documents as positions in it.  Each task runs the scaled forward-backward
@@ -33,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -110,22 +112,22 @@ class Model:
         """The model over a block's words: each is emitted as its class is."""
         return Model(self.start, self.move, self.emit[of])
 
-    def steps(self, seqs: list[np.ndarray]):
-        """Sequences side by side, longest first: per step the symbols of those that still run."""
+    def steps(self, seqs: list[np.ndarray]) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+        """Sequences side by side, longest first: their order, all symbols step by step, how many run at each step, and where its symbols begin."""
         order = sorted(range(len(seqs)), key=lambda k: -len(seqs[k]))
         sizes = np.array([len(seqs[k]) for k in order])
         flat = np.concatenate([seqs[k] for k in order])
-        begin = np.cumsum(sizes) - sizes
-        running = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left") if len(sizes) else []
-        return order, flat, begin, running
+        step = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        running = np.bincount(step)
+        return order, flat[np.argsort(step, kind="stable")], running, np.concatenate(([0], np.cumsum(running)))
 
     def log10_probabilities(self, seqs: list[np.ndarray]) -> np.ndarray:
         """Scaled forward recursion over whole sequences of symbols."""
-        order, flat, begin, running = self.steps(seqs)
+        order, symbols, running, begins = self.steps(seqs)
+        emitted = self.emit[symbols]
         total, alpha = np.zeros(len(seqs)), None
-        for t, n in enumerate(running):
-            e = self.emit[flat[begin[:n] + t]]
-            alpha = (self.start if alpha is None else alpha[:n] @ self.move) * e
+        for n, i in zip(running.tolist(), begins.tolist()):
+            alpha = (self.start if alpha is None else alpha[:n] @ self.move) * emitted[i : i + n]
             scale = alpha.sum(1)
             total[:n] += np.log10(scale)
             alpha /= scale[:, None]
@@ -138,46 +140,53 @@ class Model:
 
         Forward values are held for stretches of about ``held`` tokens; of all others only those at a stretch's end.
         """
-        order, flat, begin, running = self.steps(seqs)
-        cuts, n = [0], 0
-        for t, k in enumerate(running):
-            n += int(k)
-            if n >= held or t + 1 == len(running):
+        _, symbols, running, begins = self.steps(seqs)
+        cuts = [0]
+        for t in range(len(running)):
+            if begins[t + 1] - begins[cuts[-1]] >= held or t + 1 == len(running):
                 cuts.append(t + 1)
-                n = 0
-
-        def forward(first: int, end: int, alpha: np.ndarray | None) -> tuple[list, list, list]:
-            ats, alphas, scales = [], [], []
-            for t in range(first, end):
-                n = running[t]
-                ats.append(flat[begin[:n] + t])
-                alpha = (self.start if alpha is None else alpha[:n] @ self.move) * self.emit[ats[-1]]
-                scales.append(alpha.sum(1))
-                alpha = alpha / scales[-1][:, None]
-                alphas.append(alpha)
-            return ats, alphas, scales
+
+        def forward(first: int, end: int, alpha: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Emissions, scaled forward values and scales of a stretch's tokens, step by step."""
+            lo = begins[first]
+            emitted = self.emit[symbols[lo : begins[end]]]
+            alphas, scales = np.empty_like(emitted), np.empty(len(emitted))
+            for n, i in zip(running[first:end].tolist(), (begins[first:end] - lo).tolist()):
+                x = (self.start if alpha is None else alpha[:n] @ self.move) * emitted[i : i + n]
+                scale = x.sum(1)
+                scales[i : i + n] = scale
+                alpha = alphas[i : i + n]
+                np.divide(x, scale[:, None], out=alpha)
+            return emitted, alphas, scales
 
         before: list[np.ndarray | None] = [None]
         for first, end in zip(cuts[:-2], cuts[1:-1]):
-            before.append(forward(first, end, before[-1])[1][-1])
+            before.append(forward(first, end, before[-1])[1][-running[end - 1] :].copy())
         total, beta = 0.0, np.ones((0, len(self.start)))
         for first, end, entry in reversed([*zip(cuts[:-1], cuts[1:], before)]):
-            ats, alphas, scales = forward(first, end, entry)
-            total += sum(float(np.log10(x).sum()) for x in scales)
-            for k in range(end - first - 1, -1, -1):
-                n = len(ats[k])
-                beta = np.concatenate((beta, np.ones((n - len(beta), len(self.start)))))
-                gamma = alphas[k] * beta
-                gamma /= gamma.sum(1, keepdims=True)
-                last = alphas[k - 1] if k else entry
-                if last is None:
-                    start += gamma.sum(0)
-                else:
-                    back = self.emit[ats[k]] * beta / scales[k][:, None]
-                    move += self.move * (last[:n].T @ back)
-                    beta = back @ self.move.T
-                alphas[k] = gamma
-            at, gamma = np.concatenate(ats), np.concatenate(alphas)
+            emitted, alphas, scales = forward(first, end, entry)
+            total += float(np.log10(scales).sum())
+            weight = emitted / scales[:, None]
+            betas, backs = np.empty_like(alphas), np.empty_like(alphas)
+            lo, turned = begins[first], np.ascontiguousarray(self.move.T)
+            for n, i in zip(running[first:end][::-1].tolist(), (begins[first:end] - lo)[::-1].tolist()):
+                if len(beta) < n:
+                    beta = np.concatenate((beta, np.ones((n - len(beta), len(self.start)))))
+                betas[i : i + n] = beta
+                back = backs[i : i + n]
+                np.multiply(weight[i : i + n], beta, out=back)
+                beta = back @ turned
+            gamma = alphas * betas
+            gamma /= gamma.sum(1, keepdims=True)
+            n = int(running[first])
+            if entry is None:
+                start += gamma[:n].sum(0)
+            else:
+                move += self.move * (entry[:n].T @ backs[:n])
+            # each later token's place in the step before it
+            previous = np.arange(n, len(alphas)) - np.repeat(running[first : end - 1], running[first + 1 : end])
+            move += self.move * (alphas[previous].T @ backs[n:])
+            at = symbols[lo : begins[end]]
             for k in range(emit.shape[1]):
                 emit[:, k] += np.bincount(at, gamma[:, k], len(emit))
         return total
@@ -261,32 +270,48 @@ def train(rows: DataFrame, totals: np.ndarray, *, states: int, rounds: int, smoo
     return model
 
 
-def word_table(rows: DataFrame, model: Model, *, states: int) -> DataFrame:
-    """(word, c, s0, s1, ...): each training word's count and its expected count by state, summed over all blocks.
+def _bits(states: int) -> int:
+    """Bits of a fraction, so that one per state fits in a long."""
+    return 60 // states
 
-    Transitions and starts are rows with a null word, numbered by c from -1 down.
-    """
+
+def packed(fractions: np.ndarray) -> np.ndarray:
+    """A row of fractions as one long."""
+    n, bits = fractions.shape[1], _bits(fractions.shape[1])
+    whole = np.rint(fractions * ((1 << bits) - 1)).astype(np.int64)
+    return (whole << (bits * np.arange(n))).sum(1)
+
+
+def unpacked(values: np.ndarray, states: int) -> np.ndarray:
+    bits = _bits(states)
+    return (values[:, None] >> (bits * np.arange(states)) & ((1 << bits) - 1)) / ((1 << bits) - 1)
+
+
+def _fraction(column: str, k: int, states: int) -> Column:
+    bits = _bits(states)
+    return F.shiftright(F.col(column), bits * k).bitwiseAND(F.lit((1 << bits) - 1).cast("long")).cast("double") / F.lit(float((1 << bits) - 1))
+
+
+def word_table(rows: DataFrame, model: Model, *, states: int) -> DataFrame:
+    """(word, c, s0, s1, ...): each training word's count and its expected count by state, summed over all blocks."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
-    names = [f"s{k}" for k in range(states)]
-    schema = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("c", T.LongType()), *(T.StructField(n, T.FloatType()) for n in names)])
+    schema = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("c", T.LongType()), T.StructField("parts", T.LongType())])
     arrow = to_arrow_schema(schema)
 
     def counts_of(batches):
         move, start = np.zeros((states, states)), np.zeros(states)
         for batch in batches:
             for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
+                row = batch.slice(k, 1).select(["held_out", "doc_tokens", "tokens", "classes"]).to_pylist()[0]
                 by_word = word_counts(row, sent.value, move, start)
-                counts = np.array(row["counts"], np.int64)
+                counts = batch.column("counts").slice(k, 1).flatten().to_numpy()
                 used = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_arrays([batch.column("words").slice(k, 1).flatten().take(pa.array(used)), pa.array(counts[used]), *(pa.array(by_word[used, s].astype(np.float32)) for s in range(states))], schema=arrow)
-        table = np.concatenate((move, start[None, :])).astype(np.float32)
-        yield pa.RecordBatch.from_arrays([pa.nulls(states + 1, pa.binary()), pa.array(-1 - np.arange(states + 1)), *(pa.array(table[:, s].copy()) for s in range(states))], schema=arrow)
+                parts = packed(by_word[used] / np.maximum(by_word[used].sum(1, keepdims=True), 1e-300))
+                yield pa.RecordBatch.from_arrays([batch.column("words").slice(k, 1).flatten().take(pa.array(used)), pa.array(counts[used]), pa.array(parts)], schema=arrow)
 
     counted = rows.select("held_out", "doc_tokens", "tokens", "classes", "words", "counts").mapInArrow(counts_of, schema)
-    which = F.when(F.col("word").isNull(), F.col("c")).otherwise(0)  # numbers of transitions aren't counts
-    summed = counted.groupBy("word", which.alias("_which")).agg(F.sum("c").alias("c"), *[F.sum(n).cast("float").alias(n) for n in names])
-    return summed.select("word", F.when(F.col("word").isNull(), F.col("_which")).otherwise(F.col("c")).alias("c"), *names)
+    # a word has a row per block, so the rows are few per word and moved as they are, without sums per task
+    return counted.repartition("word").groupBy("word").agg(F.sum("c").alias("c"), *[F.sum(F.col("c") * _fraction("parts", k, states)).cast("float").alias(f"s{k}") for k in range(states)])
 
 
 _SCORES = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()))])
@@ -309,23 +334,27 @@ def language_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     totals[found["class"]] = found["tokens"]
     model = train(rows, totals, states=states, rounds=max(0, rounds - 1), smoothing=smoothing)
     counted = stored(word_table(rows, model, states=states))
-    vocabulary = counted.where("word is not null")
-    numbered = counted.where("word is null").drop("word").toPandas()  # states + 1 rows
     names = [f"s{k}" for k in range(states)]
-    move, start = _split(numbered["c"].to_numpy(), numbered[names].to_numpy(np.float64), states)
-    sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), *[F.coalesce(F.sum(F.col(n).cast("double")), F.lit(0.0)).alias(n) for n in names]).first()
+    sums = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), *[F.coalesce(F.sum(F.col(n).cast("double")), F.lit(0.0)).alias(n) for n in names]).first()
     n_all, v_all = sums["n"], sums["v"]
     whole = n_all + 0.5 * (v_all + 1)
     share = (np.array([sums[n] for n in names]) + 1e-9) / (sum(sums[n] for n in names) + 1e-9 * states)
+    # the smoothed part of a word's tokens in each state, at least one unit
+    units = float((1 << _bits(states)) - 1)
+    part = [F.greatest(F.lit(1.0), F.round((F.col(n).cast("double") + smoothing * float(share[k])) / (F.col("c") + smoothing) * units)).cast("long") for k, n in enumerate(names)]
+    joined = part[0]
+    for k in range(1, states):
+        joined = joined.bitwiseOR(F.shiftleft(part[k], _bits(states) * k))
+    vocabulary = counted.select("word", "c", joined.alias("parts"))
     # P(word | state) before the states' sums are made 1: see ``emissions``
-    made = [F.sum((F.col("c") + 0.5) / F.lit(whole) * (F.col(n).cast("double") + smoothing * float(share[k])) / (F.col("c") + smoothing) / float(share[k])) for k, n in enumerate(names)]
+    made = [F.sum((F.col("c") + 0.5) / F.lit(whole) * _fraction("parts", k, states) / float(share[k])) for k in range(states)]
     sums = vocabulary.agg(*[F.coalesce(x, F.lit(0.0)).alias(n) for x, n in zip(made, names)]).first()
     scale = np.array([sums[n] for n in names]) + 0.5 / whole
 
     # each block gets the counts of its own words
     listed = rows.select("block", F.posexplode("words").alias("at", "word"))
-    counted = listed.join(vocabulary, "word").groupBy("block").agg(F.collect_list(F.struct("at", "c", *names)).alias("known"))
-    sent = docs.sparkSession.sparkContext.broadcast((_renewed(move, start, np.zeros((0, states))), share, scale))
+    known = listed.join(vocabulary, "word").groupBy("block").agg(F.collect_list(F.struct("at", "c", "parts")).alias("known"))
+    sent = docs.sparkSession.sparkContext.broadcast((Model(model.start, model.move, np.zeros((0, states))), share, scale))
     arrow = to_arrow_schema(_SCORES)
 
     def run(batches):
@@ -335,12 +364,11 @@ def language_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 one = batch.slice(k, 1)
                 known = one.column("known").flatten()
                 row = one.select([n for n in one.schema.names if n != "known"]).to_pylist()[0]
-                c, by_state = np.zeros(row["n_words"]), np.zeros((row["n_words"], states))
+                c, parts = np.zeros(row["n_words"]), np.zeros(row["n_words"], np.int64)
                 at = known.field("at").to_numpy(zero_copy_only=False)
                 c[at] = known.field("c").to_numpy(zero_copy_only=False)
-                for s in range(states):
-                    by_state[at, s] = known.field(f"s{s}").to_numpy(zero_copy_only=False)
-                local = Model(model.start, model.move, emissions(c, by_state, share, scale, whole, smoothing))
+                parts[at] = known.field("parts").to_numpy(zero_copy_only=False)
+                local = Model(model.start, model.move, emissions(c, unpacked(parts, states), share, scale, whole))
                 base = np.log10((c + 0.5) / whole)
                 seqs = _documents(row)
                 score = np.zeros(len(seqs))
@@ -349,14 +377,15 @@ def language_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 out = (row["doc_ids"], row["held_out"], row["doc_tokens"], [int((c[s] > 0).sum()) for s in seqs], [math.fsum(base[s].tolist()) for s in seqs], score)
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, arrow)], schema=arrow)
 
-    scored = rows.join(counted, "block", "left").select("doc_ids", "held_out", "doc_tokens", "tokens", F.size("words").alias("n_words"), "known").mapInArrow(run, _SCORES)
+    scored = rows.join(known, "block", "left").select("doc_ids", "held_out", "doc_tokens", "tokens", F.size("words").alias("n_words"), "known").mapInArrow(run, _SCORES)
     return scored.withColumn("train_tokens", F.lit(n_all).cast("long"))
 
 
-def emissions(c: np.ndarray, by_state: np.ndarray, share: np.ndarray, scale: np.ndarray, whole: float, smoothing: float) -> np.ndarray:
+def emissions(c: np.ndarray, parts: np.ndarray, share: np.ndarray, scale: np.ndarray, whole: float) -> np.ndarray:
     """P(word | state): the smoothed share of all tokens, times the state's preference for the word.
 
-    The preference is the state's smoothed part of the word's tokens over its part of all tokens; scale makes each state's sum 1.
+    The preference is the state's part of the word's tokens over its part of all
+    tokens, 1 for words without a count; scale makes each state's sum 1.
     """
-    preference = (by_state + smoothing * share) / (c[:, None] + smoothing) / share
+    preference = np.where(c[:, None] > 0, parts / share, 1.0)
     return ((c + 0.5) / whole)[:, None] * preference / scale

@@ -268,11 +268,12 @@ def test_hmm_words_sum_to_one():
     """Over all words and one unseen word each state's probabilities sum to 1."""
     r = np.random.default_rng(2)
     c = r.integers(1, 9, 50).astype(float)
-    by_state = r.dirichlet(np.ones(3), 50) * c[:, None]
-    share, whole = by_state.sum(0) / by_state.sum(), c.sum() + 0.5 * 51
-    ones = np.ones(3)
-    raw = hmm.emissions(np.append(c, 0), np.vstack((by_state, np.zeros(3))), share, ones, whole, 1.0)
-    assert np.allclose(hmm.emissions(np.append(c, 0), np.vstack((by_state, np.zeros(3))), share, raw.sum(0), whole, 1.0).sum(0), 1)
+    parts = hmm.unpacked(hmm.packed(r.dirichlet(np.ones(3), 50)), 3)
+    assert np.allclose(parts.sum(1), 1, atol=1e-5)
+    share, whole = (parts * c[:, None]).sum(0) / c.sum(), c.sum() + 0.5 * 51
+    c, parts = np.append(c, 0), np.vstack((parts, np.zeros(3)))
+    raw = hmm.emissions(c, parts, share, np.ones(3), whole)
+    assert np.allclose(hmm.emissions(c, parts, share, raw.sum(0), whole).sum(0), 1)
 
 
 def test_hmm_base_score(spark, texts):
