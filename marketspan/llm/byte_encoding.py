@@ -15,9 +15,10 @@ from __future__ import annotations
 
 import base64
 from array import array
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections.abc import Callable, Sequence
 from itertools import accumulate
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -32,6 +33,8 @@ from .tokenization import tokenizer_path
 
 #: What a worker remembers: matches with their ids.
 CACHE_PIECES = 400_000
+#: Beginnings of matches of which it remembers the table.
+CACHE_HEADS, HEAD_BYTES = 100_000, 6
 #: Characters that a match looks at beyond its end, or a short one beyond its start.
 LOOKS = 3
 #: Characters on which all engines' tables of letters and numbers agree.
@@ -39,25 +42,37 @@ _AGREED = regex.compile("[^\x00-ɏ]")
 _WORKER: dict = {}
 
 
+def _u4(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return pack(f"<{len(ids)}I", *ids)
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(bytes.strip, f))}
 
 
-class RankEncoder:
+class RankDecoder:
+    def __init__(self, path: str):
+        self.ranks = read_ranks(path)
+        self.bytes_of = {rank: token for token, rank in self.ranks.items()}
+
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+class RankEncoder(RankDecoder):
     def __init__(self, path: str):
         import public_tokenizers
 
-        self.ranks = read_ranks(path)
+        super().__init__(path)
         if missing := 256 - sum(len(t) == 1 for t in self.ranks):
             raise ValueError(f"{path} lacks {missing} single bytes")
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.table = LastTokens.from_ranks(self.ranks)
         self.rank_of = [self.ranks[t] for t in self.table.bytes_of]
-        self.bytes_of = {rank: token for token, rank in self.ranks.items()}
-        #: Matches with their ids and tables, and once more with their ids alone.
-        self.pieces: dict[str, tuple[bytes, array]] = {}
         self.ids: dict[str, bytes] = {}
+        self.heads: dict[bytes, tuple[list[int], int]] = {}
         self.stand_ins: dict[int, str] | None = None
 
     def split(self, text: str, begin: int = 0):
@@ -92,43 +107,57 @@ class RankEncoder:
             self.stand_ins = stand_ins
         return self.stand_ins
 
+    def last_tokens(self, raw: bytes) -> list[int]:
+        """A match's table; matches that begin alike share that part."""
+        if len(raw) <= HEAD_BYTES:
+            return self.table.extend(raw, [-1], 0)
+        head = raw[:HEAD_BYTES]
+        if (known := self.heads.get(head)) is None:
+            if len(self.heads) >= CACHE_HEADS:
+                self.heads.clear()
+            known = self.heads[head] = (self.table.extend(head, [-1], 0), self.table.node)
+        return self.table.extend(raw, known[0][:], known[1])
+
     def ids_of(self, raw: bytes, last: Sequence[int]) -> bytes:
         """A match's ids, little-endian: one if its bytes are a token, else by its table."""
         whole = self.ranks.get(raw)
-        ranks = [self.rank_of[t] for t in self.table.tokens(last)] if whole is None else [whole]
-        return np.array(ranks, "<u4").tobytes()
+        return _u4([self.rank_of[t] for t in self.table.tokens(last)] if whole is None else [whole])
 
-    def piece(self, piece: str) -> tuple[bytes, array]:
-        """A match's ids and its table, remembered."""
-        if (known := self.pieces.get(piece)) is None:
+    def piece(self, piece: str) -> bytes:
+        """A match's ids, remembered."""
+        if (known := self.ids.get(piece)) is None:
             raw = piece.encode()
-            known = self.learn(piece, self.table.extend(raw, [-1]))
+            known = self.learn(piece, _u4([self.ranks[raw]]) if raw in self.ranks else self.ids_of(raw, self.last_tokens(raw)))
         return known
 
-    def learn(self, piece: str, last: list[int]) -> tuple[bytes, array]:
-        if len(self.pieces) >= CACHE_PIECES:
-            self.pieces.clear()
+    def learn(self, piece: str, ids: bytes) -> bytes:
+        if len(self.ids) >= CACHE_PIECES:
             self.ids.clear()
-        ids = self.ids[piece] = self.ids_of(piece.encode(), last)
-        known = self.pieces[piece] = (ids, array("i", last))
-        return known
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        return self.join(self.matches(text))
+        self.ids[piece] = ids
+        return ids
 
-    def join(self, pieces: list[str]) -> bytes:
+    def parts(self, pieces: list[str]) -> list[bytes]:
+        """Each match's ids; the unknown ones are learned first, each once."""
         try:
-            return b"".join(map(self.ids.__getitem__, pieces))
+            return list(map(self.ids.__getitem__, pieces))
         except KeyError:
-            return b"".join([self.piece(p)[0] for p in pieces])
+            unknown = set(pieces).difference(self.ids)
+        if len(self.ids) + len(unknown) > CACHE_PIECES:
+            self.ids.clear()
+            unknown = set(pieces)
+        if len(unknown) > CACHE_PIECES:
+            return list(map(self.piece, pieces))
+        for piece in unknown:
+            self.piece(piece)
+        return list(map(self.ids.__getitem__, pieces))
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        return b"".join(self.parts(self.matches(text)))
 
 
 class EncodedText:
-    """A text with its matches' tables; appending and editing encode again only what they touch.
+    """A text with its matches and their tables; appending and editing encode again only what they touch.
 
     ``redone`` is how many matches the last change encoded again.
     """
@@ -136,8 +165,9 @@ class EncodedText:
     def __init__(self, encoder: RankEncoder, text: str = ""):
         self.encoder, self.text = encoder, text
         self.pieces = encoder.matches(text)
-        known = [encoder.piece(p) for p in self.pieces]
-        self.parts, self.tables = [k[0] for k in known], [k[1] for k in known]
+        self.parts = encoder.parts(self.pieces)
+        #: Tables of matches as far as they were given or a change has needed them.
+        self.tables: list[Sequence[int] | None] = [None] * len(self.pieces)
         self.redone = len(self.pieces)
 
     @classmethod
@@ -168,7 +198,12 @@ class EncodedText:
     @property
     def last(self) -> bytes:
         """The last token of each byte prefix of each match, as little-endian 32-bit numbers of ``LastTokens``."""
-        return b"".join([t[1:].tobytes() for t in self.tables])
+        return b"".join([array("i", self._table(k)[1:]).tobytes() for k in range(len(self.pieces))])
+
+    def _table(self, k: int) -> Sequence[int]:
+        if self.tables[k] is None:
+            self.tables[k] = self.encoder.last_tokens(self.pieces[k].encode())
+        return self.tables[k]
 
     def append(self, more: str) -> None:
         self.replace(len(self.text), len(self.text), more)
@@ -176,27 +211,40 @@ class EncodedText:
     def replace(self, begin: int, end: int, new: str) -> None:
         """Puts ``new`` in place of the characters from begin to end."""
         begin, end = sorted((max(0, min(begin, len(self.text))), max(0, min(end, len(self.text)))))
-        starts = [0, *accumulate(map(len, self.pieces))]
-        # matches that don't look at the place stay; matching starts anew at the next one's start
-        first = max(0, bisect_right(starts, begin - LOOKS) - 1)
+        first, start = self._before(begin - LOOKS)
         moved = len(new) - (end - begin)
         self.text = self.text[:begin] + new + self.text[end:]
-        pieces, until = [], len(self.pieces)
-        for a, b in self._matches_from(starts[first], end + moved):
+        pieces, k, old = [], first, start
+        for a, b in self._matches_from(start, end + moved):
             if a >= begin + len(new):
-                k = bisect_left(starts, a - moved)
-                if k < len(self.pieces) and starts[k] == a - moved:  # from here on all matches are the old ones
-                    until = k
+                while k < len(self.pieces) and old < a - moved:
+                    old += len(self.pieces[k])
+                    k += 1
+                if k < len(self.pieces) and old == a - moved:  # from here on all matches are the old ones
                     break
             pieces.append(self.text[a:b])
-        known = [self._again(p, first + k if first + k < until else None) for k, p in enumerate(pieces)]
-        self.parts[first:until], self.tables[first:until] = [k[0] for k in known], [k[1] for k in known]
-        self.pieces[first:until] = pieces
+        else:
+            k = len(self.pieces)
+        known = [self._again(p, first + n if first + n < k else None) for n, p in enumerate(pieces)]
+        self.parts[first:k], self.tables[first:k] = [x[0] for x in known], [x[1] for x in known]
+        self.pieces[first:k] = pieces
         self.redone = len(pieces)
 
+    def _before(self, place: int) -> tuple[int, int]:
+        """The match in which a place is, and its start: matches before it don't look at what changes."""
+        if len(self.text) - place < 256:  # near the end
+            k, start = len(self.pieces), len(self.text)
+            while k and start > max(place, 0):
+                k -= 1
+                start -= len(self.pieces[k])
+            return k, start
+        starts = [0, *accumulate(map(len, self.pieces))]
+        k = max(0, bisect_right(starts, place) - 1)
+        return k, starts[k]
+
     def _matches_from(self, start: int, changed_until: int):
         """Matches from a place on, looking at more and more text only if they don't end sooner."""
-        encoder, width = self.encoder, 256
+        encoder, width = self.encoder, 48
         while True:
             stop = changed_until + width
             window = self.text[start:stop]
@@ -211,20 +259,22 @@ class EncodedText:
                 start, changed_until = sure[-1][1], sure[-1][1]
             width *= 2
 
-    def _again(self, piece: str, k: int | None) -> tuple[bytes, array]:
+    def _again(self, piece: str, k: int | None) -> tuple[bytes, Sequence[int] | None]:
         """A match's ids and table; entries of the match that was there stay as far as both begin alike."""
-        if k is None or piece in self.encoder.pieces:
-            return self.encoder.piece(piece)
+        encoder = self.encoder
+        if k is None or (self.tables[k] is None and len(self.pieces[k]) < 64):
+            return encoder.piece(piece), None
         raw, before = piece.encode(), self.pieces[k].encode()
         alike = next((n for n, (a, b) in enumerate(zip(raw, before)) if a != b), min(len(raw), len(before)))
-        return self.encoder.learn(piece, self.encoder.table.extend(raw, self.tables[k][: alike + 1].tolist()))
+        last = encoder.table.extend(raw, list(self._table(k)[: alike + 1]))
+        return encoder.ids_of(raw, last), last
 
 
-def rank_encoder(path: str) -> RankEncoder:
-    """One encoder per worker and file."""
-    if path not in _WORKER:
-        _WORKER[path] = RankEncoder(path)
-    return _WORKER[path]
+def _worker(kind: type, path: str):
+    """One encoder or decoder per worker and file."""
+    if (kind, path) not in _WORKER:
+        _WORKER[kind, path] = kind(path)
+    return _WORKER[kind, path]
 
 
 def encode_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ranks: str = "byte_bpe_50k.tiktoken", keep_tables: bool = False, append: str | None = None, edit: Callable[[str], tuple[int, int, str]] | None = None) -> DataFrame:
@@ -240,7 +290,7 @@ def encode_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), *[T.StructField(n, T.BinaryType()) for n in ("ids", *wanted)]])
 
     def made(doc_ids, texts):
-        encoder = rank_encoder(path)
+        encoder = _worker(RankEncoder, path)
         out = {n: [] for n in ("ids", *wanted)}
         for text in texts:
             text = text or ""
@@ -269,7 +319,7 @@ def decoded(ids: Column, *, ranks: str = "byte_bpe_50k.tiktoken") -> Column:
 
     @F.pandas_udf("binary")
     def decode(column: pd.Series) -> pd.Series:
-        encoder = rank_encoder(path)
-        return pd.Series([None if x is None else encoder.decode(x) for x in column], dtype=object)
+        decoder = _worker(RankDecoder, path)
+        return pd.Series([None if x is None else decoder.decode(x) for x in column], dtype=object)
 
     return decode(ids)

@@ -22,11 +22,11 @@ class LastTokens:
         self.halves: list[tuple[int, int]] = [(b, b) for b in range(256)]
         self.merge: dict[tuple[int, int], int] = {}
         self.apart: dict[int, bool] = {}
-        #: Tokens read backwards, as a tree: (node, byte) leads to a node; token_at is the token that begins there or -1.
+        #: The tree of all tokens: (node, byte) leads to a node.
         self.step: dict[int, int] = {}
-        self.token_at: list[int] = [-1]
-        for k in range(256):
-            self._enter(k)
+        #: By node: the node of its longest proper suffix, and the tokens that its bytes end in, the longest first.
+        self.shorter: list[int] = []
+        self.ending: list[tuple[int, ...]] = []
 
     @classmethod
     def from_merges(cls, merges: list[tuple[bytes, bytes]]) -> LastTokens:
@@ -59,18 +59,41 @@ class LastTokens:
             made = self.number[token] = len(self.bytes_of)
             self.bytes_of.append(token)
             self.halves.append((a, b))
-            self._enter(made)
         self.merge[a, b] = made
 
-    def _enter(self, k: int) -> None:
-        node = 0
-        for byte in reversed(self.bytes_of[k]):
-            after = self.step.get(node << 8 | byte)
-            if after is None:
-                after = self.step[node << 8 | byte] = len(self.token_at)
-                self.token_at.append(-1)
-            node = after
-        self.token_at[node] = k
+    def _build(self) -> None:
+        """The automaton that finds the tokens that each prefix ends in; made once all tokens are known."""
+        token_at, children = [-1], [[]]
+        for k, token in enumerate(self.bytes_of):
+            node = 0
+            for byte in token:
+                after = self.step.get(node << 8 | byte)
+                if after is None:
+                    after = self.step[node << 8 | byte] = len(token_at)
+                    children[node].append((byte, after))
+                    token_at.append(-1)
+                    children.append([])
+                node = after
+            token_at[node] = k
+        self.shorter, self.ending = [0] * len(token_at), [()] * len(token_at)
+        level = [0]
+        while level:
+            below = []
+            for node in level:
+                for byte, child in children[node]:
+                    if node:
+                        self.shorter[child] = self._after(self.shorter[node], byte)
+                    own = (token_at[child],) if token_at[child] >= 0 else ()
+                    self.ending[child] = own + self.ending[self.shorter[child]]
+                    below.append(child)
+            level = below
+        self.longest = max(map(len, self.bytes_of))
+
+    def _after(self, node: int, byte: int) -> int:
+        """The node of the longest suffix that a token begins with, one byte on; single bytes are tokens."""
+        while (after := self.step.get(node << 8 | byte)) is None:
+            node = self.shorter[node]
+        return after
 
     def _stay_apart(self, left: int, right: int) -> bool:
         """Whether two tokens stay apart when their bytes are merged side by side.
@@ -92,19 +115,26 @@ class LastTokens:
             else:
                 right_until, right = right, self.halves[right][0]
 
-    def extend(self, raw: bytes, last: list[int]) -> list[int]:
-        """Adds the last tokens of the prefixes of ``raw`` that are longer than those in ``last``, which begins with -1."""
-        step, token_at, apart = self.step.get, self.token_at, self.apart
-        for end in range(len(last), len(raw) + 1):
-            node, begin, ending = 0, end, []
-            while begin:
-                begin -= 1
-                node = step(node << 8 | raw[begin])
-                if node is None:
-                    break
-                if (token := token_at[node]) >= 0:
-                    ending.append((begin, token))
-            for begin, token in reversed(ending):
+    def extend(self, raw: bytes, last: list[int], node: int | None = None) -> list[int]:
+        """Adds the last tokens of the prefixes of ``raw`` that are longer than those in ``last``, which begins with -1.
+
+        node: the automaton's at the end of ``last``, if it is known; ``self.node`` is that at the end of ``raw``.
+        """
+        if not self.ending:
+            self._build()
+        step, shorter, ending, apart, sizes = self.step.get, self.shorter, self.ending, self.apart, self.bytes_of
+        have = len(last) - 1
+        if node is None:
+            node = 0
+            for byte in raw[max(0, have - self.longest) : have]:
+                node = self._after(node, byte)
+        for end in range(have + 1, len(raw) + 1):
+            byte = raw[end - 1]
+            while (after := step(node << 8 | byte)) is None:
+                node = shorter[node]
+            node = after
+            for token in ending[node]:
+                begin = end - len(sizes[token])
                 if not begin:
                     break
                 pair = last[begin] << 32 | token
@@ -115,6 +145,7 @@ class LastTokens:
                 if known:
                     break
             last.append(token)
+        self.node = node
         return last
 
     def tokens(self, last: list[int], end: int | None = None) -> list[int]:
