@@ -378,7 +378,7 @@ def test_last_stages_with_odd_tables(spark, docs):
     passage = F.concat(F.lit("before "), "text", F.lit(" after")).alias("text")
     rest = [F.lit(1).cast("long").alias("fp"), F.lit("x").alias("block"), F.lit(2).alias("part")]
     # a leak without a doc_id, and two under the doc_id of a clean row
-    leaked = docs.unionByName(b.select(F.explode(F.array(F.lit(99), F.lit(None).cast("int"), F.lit(3), F.lit(3))).cast("long").alias("doc_id"), passage, *rest))
+    leaked = docs.unionByName(b.select(F.explode(F.array(*[F.lit(i).cast("long") for i in (99, None, 3, 3)])).alias("doc_id"), passage, *rest))
     kept = corpus_pipeline.decontamination_stage(spark, leaked, SF)
     assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
     assert corpus_pipeline.decontamination_stage(spark, docs.limit(0), SF).count() == 0
