@@ -132,14 +132,19 @@ def product_ads(metrics: DataFrame, facts: DataFrame, classes: DataFrame, curren
     after ads, as missing spend is not a spend of 0.  Confidence is weighted by spend, or the largest without any.
     """
     exact = classes.where("mapping_class = 'EXACT'").select("ad_id", "product_id", "confidence", "merchant_confirmed")
-    own = facts.where(F.col("currency") == currency)
-    spent = own.join(exact, "ad_id").groupBy("period", "product_id").agg(F.count("*").alias("source_rows"), F.sum("spend").cast("double").alias("exact_spend"), F.sum("impressions").alias("impressions"), sum_if_complete(F.col("conversion_value")).cast("double").alias("conversion_value"), F.sum(F.col("spend").cast("double") * F.col("confidence")).alias("_weighted"))
+    by_ad = facts.where(F.col("currency") == currency).groupBy("period", "ad_id").agg(F.count("*").alias("source_rows"), F.sum("spend").alias("_spent"), F.sum("impressions").alias("impressions"), F.count("conversion_value").alias("_valued"), F.sum("conversion_value").alias("_value"))
+    spent = by_ad.join(exact.drop("merchant_confirmed"), "ad_id", "left").select("period", "product_id", "source_rows", "_spent", "impressions", "_valued", "_value", (F.col("_spent").cast("double") * F.col("confidence")).alias("_weighted"))
     mapped = exact.groupBy("product_id").agg(F.count("*").alias("mapped_ads"), F.max("confidence").alias("_most"), F.bool_or("merchant_confirmed").alias("merchant_confirmed"))
-    totals = own.groupBy("period").agg(F.sum("spend").cast("double").alias("_spend"))
-    revenue = metrics.groupBy("period").agg(F.sum("net_revenue").alias("_revenue"))
-    each = mapped.select("product_id", F.explode(F.array(F.lit("CURRENT"), F.lit("COMPARISON"))).alias("period"))
-    ids = metrics.select("period", "product_id").union(spent.select("period", "product_id")).union(each.select("period", "product_id")).distinct()
-    out = ids.join(metrics.select("period", "product_id", "net_units", "net_revenue", "cost_coverage", "contribution_before_ads"), ["period", "product_id"], "left").join(spent, ["period", "product_id"], "left").join(mapped, "product_id", "left").join(totals, "period", "left").join(revenue, "period", "left")
+    each = mapped.select("*", F.explode(F.array(F.lit("CURRENT"), F.lit("COMPARISON"))).alias("period"))
+    sold = metrics.where("product_id is not null").select("period", "product_id", "net_units", "net_revenue", "cost_coverage", "contribution_before_ads")
+    # what is known of a product comes together under its key in one aggregate; spend without a product only counts in the totals
+    rows = sold.unionByName(spent, allowMissingColumns=True).unionByName(each, allowMissingColumns=True)
+    out = rows.groupBy("period", "product_id").agg(
+        *[F.max(n).alias(n) for n in ("net_units", "net_revenue", "cost_coverage", "contribution_before_ads", "mapped_ads", "_most", "merchant_confirmed")],
+        *[F.sum(n).alias(n) for n in ("source_rows", "_spent", "impressions", "_weighted")], F.when(F.sum("_valued") == F.sum("source_rows"), F.sum("_value")).cast("double").alias("conversion_value"),
+    )
+    totals = out.groupBy("period").agg(F.sum("_spent").cast("double").alias("_spend"), F.sum("net_revenue").alias("_revenue"))
+    out = out.where("product_id is not null").withColumn("exact_spend", F.col("_spent").cast("double")).join(F.broadcast(totals), "period")  # a row per period
     out = out.fillna(0, ["source_rows", "impressions", "mapped_ads", "net_units"]).fillna(0.0, ["exact_spend", "net_revenue"]).fillna(False, ["merchant_confirmed"])
     # no sales: nothing was sold at no cost
     before = F.when(F.col("cost_coverage").isNull(), 0.0).otherwise(F.col("contribution_before_ads"))
@@ -182,9 +187,12 @@ def entity_metrics(facts: DataFrame, kind: str) -> DataFrame:
     return metric_sums(facts.where(F.col(entity).isNotNull()), keys).join(rows, keys).withColumnRenamed(entity, "entity_id")
 
 
-def entity_confidence(source_rows, impressions) -> F.Column:
-    """LOW without facts or impressions enough to say anything, HIGH from 1000 impressions, else MEDIUM."""
-    return F.when((F.coalesce(source_rows, F.lit(0)) == 0) | (F.coalesce(impressions, F.lit(0)) < 100), "LOW").when(impressions >= 1000, "HIGH").otherwise("MEDIUM")
+def entity_confidence(source_rows, impressions, source_rows0, impressions0) -> F.Column:
+    """LOW without facts or impressions enough to say anything now; HIGH if both periods have facts and 1000 impressions, else MEDIUM."""
+    n = lambda c: F.coalesce(c, F.lit(0))
+    low = (n(source_rows) == 0) | (n(impressions) < 100)
+    high = (n(source_rows0) > 0) & (n(impressions) >= 1000) & (n(impressions0) >= 1000)
+    return F.when(low, "LOW").when(high, "HIGH").otherwise("MEDIUM")
 
 
 def creative_rows(facts: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import percent_change, safe_div
+from . import textindex
 from .joins import top1_by
 
 #: Share of cost-relevant units that must have a cost before a COGS is reported.
@@ -99,12 +100,25 @@ def variant_sales(lines: DataFrame) -> DataFrame:
     return out.withColumn("net", F.col("gross") - F.col("refunds"))
 
 
-def search(products: DataFrame, variants: DataFrame, text: str) -> DataFrame:
-    """Products whose title or vendor, or any of whose variants' SKU, holds a text, whatever its case."""
+def search_index(products: DataFrame, variants: DataFrame) -> DataFrame:
+    """(size, gram, product_id): the grams of products' titles and vendors and of their variants' SKUs, in lower case; to be written once and searched often."""
+    field = lambda c: F.lower(F.col(c)).alias("_t")
+    texts = products.select("product_id", field("title")).unionAll(products.select("product_id", field("vendor"))).unionAll(variants.select("product_id", field("sku")))
+    return textindex.gram_index(texts.where("_t is not null"), "product_id", F.col("_t"))
+
+
+def search(products: DataFrame, variants: DataFrame, text: str, index: DataFrame) -> DataFrame:
+    """Products whose title or vendor, or any of whose variants' SKU, holds a text, whatever its case.
+
+    Only products that have the rarest gram of the text (``search_index``) are compared.
+    """
     q = text.lower()
     holds = lambda c: F.lower(c).contains(q)
-    by_sku = variants.where(holds("sku")).select("product_id").distinct().withColumn("_sku", F.lit(True))
-    return products.join(by_sku, "product_id", "left").where(holds("title") | holds("vendor") | F.col("_sku")).drop("_sku")
+    candidates = textindex.candidates(index, "product_id", q)
+    own = products if candidates is None else products.join(candidates, "product_id", "left_semi")
+    skus = variants if candidates is None else variants.join(candidates, "product_id", "left_semi")
+    by_sku = skus.where(holds("sku")).select("product_id").distinct().withColumn("_sku", F.lit(True))
+    return own.join(by_sku, "product_id", "left").where(holds("title") | holds("vendor") | F.col("_sku")).drop("_sku")
 
 
 def stock_state(available, trusted, units_per_day, *, lead_days: float, low_stock: float):

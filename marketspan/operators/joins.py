@@ -11,30 +11,101 @@ def top1_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rank = 1").drop("_rank")
 
 
+def _running(times: DataFrame, rows: DataFrame, on: list[str], at: str) -> DataFrame:
+    """times: distinct (on, at); each with ``_v``, the greatest value of rows up to its time, and ``_far``, the latest end among these.
+
+    rows: (on, _t, _v, _end), values ordered by time.  A key's rows are scanned day by day, with one
+    greatest value per day carried over, so that a key of very many rows isn't one task's work.
+    """
+    days = rows.groupBy(*on, F.to_date("_t").alias("_day")).agg(F.max("_v").alias("_dv"), F.max("_end").alias("_de"))
+    wanted = times.select(*on, F.to_date(at).alias("_day")).distinct()
+    before = Window.partitionBy(*on).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    carried = wanted.join(days, [*on, "_day"], "full").select(*on, "_day", F.max("_dv").over(before).alias("_cv"), F.max("_de").over(before).alias("_ce"))
+    kind, end = rows.schema["_v"].dataType, rows.schema["_end"].dataType
+    both = rows.select(*on, "_t", "_v", "_end", F.lit(0).alias("_k")).unionAll(times.select(*on, F.col(at).alias("_t"), F.lit(None).cast(kind).alias("_v"), F.lit(None).cast(end).alias("_end"), F.lit(1).alias("_k")))
+    upto = Window.partitionBy(*on, "_day").orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    same = both.withColumn("_day", F.to_date("_t")).select(*on, "_day", "_t", "_k", F.max("_v").over(upto).alias("_sv"), F.max("_end").over(upto).alias("_se")).where("_k = 1")
+    out = same.join(carried, [*on, "_day"], "left")
+    return out.select(*on, F.col("_t").alias(at), F.greatest("_sv", "_cv").alias("_v"), F.greatest("_se", "_ce").alias("_far"))
+
+
+#: Levels of halved time spans, from microseconds to all of time.
+_LEVELS = 63
+
+
+def _spans(begin: Column, end: Column) -> Column:
+    """The least set of aligned spans that make up [begin, end), as array of struct(level, node)."""
+    def at(level: Column) -> Column:
+        shift = lambda name, x: F.call_function(name, x, level.cast("int"))
+        size = shift("shiftleft", F.lit(1).cast("long"))
+        low, high = shift("shiftright", begin + size - 1), shift("shiftright", end)
+        some = low < high
+        odd = lambda x: F.pmod(x, F.lit(2)) == 1
+        span = lambda x: F.struct(level.alias("level"), x.alias("node"))
+        return F.array_compact(F.array(F.when(some & odd(low), span(low)), F.when(some & odd(high), span(high - 1))))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(_LEVELS - 2)), at))
+
+
 def asof_join(left: DataFrame, right: DataFrame, *, on: list[str], at: str, begins: str, ends: str, take: list[str]) -> DataFrame:
     """Each left row with ``take`` of the right row valid at its time: begins <= at < ends (null: open), latest start first.
 
-    Each distinct key and time is looked up once.  With few versions per key the
-    join is linear; the latest version is a map-side maximum, so nothing is sorted.
+    Each distinct key and time is looked up once, by a sweep over a key's versions
+    and times in one order: the last version that began is the one, if it hasn't
+    ended.  If it has, an earlier one may still be open; where the latest end so far says so,
+    versions and times meet by the aligned spans of time that they are in, of which each
+    keeps its latest version.  So the cost is in proportion to versions plus times, not their product.
+    """
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    open_end = F.lit((1 << 61) - 1)
+    none = right.select(F.struct(*take).alias("_p")).schema["_p"].dataType
+    rows = right.where(F.col(begins).isNotNull()).select(*on, F.col(begins).alias("_t"), F.coalesce(micros(F.col(ends)), open_end).alias("_end"), F.struct(*take).alias("_p"))
+    rows = rows.where(F.col("_end") > micros(F.col("_t")))  # what ends as it begins is never valid
+    values = rows.select(*on, "_t", "_end", F.struct(F.col("_t").alias("t"), F.col("_end").alias("e"), F.col("_p").alias("p")).alias("_v"))
+    times = left.select(*on, at).where(F.col(at).isNotNull()).distinct()
+    swept = _running(times, values, on, at)
+    now = micros(F.col(at))
+    direct = swept.select(*on, at, F.when(F.col("_v.e") > now, F.col("_v.p")).alias("_a"), ((F.col("_v.e") <= now) & (F.col("_far") > now)).alias("_under"))
+    under = direct.where("_under").select(*on, at)
+    spans = values.join(under.select(*on).distinct(), on, "left_semi").select(*on, F.col("_v"), F.inline(_spans(micros(F.col("_t")), F.col("_end"))))
+    covers = spans.groupBy(*on, "level", "node").agg(F.max("_v").alias("_v"))
+    asked = under.select(*on, at, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(_LEVELS - 2)), lambda k: F.call_function("shiftright", now, k.cast("int")))).alias("level", "node"))
+    nested = asked.join(covers, [*on, "level", "node"]).groupBy(*on, at).agg(F.max("_v").alias("_n"))
+    best = direct.where("not coalesce(_under, false)").select(*on, at, "_a").unionAll(nested.select(*on, at, F.col("_n.p").cast(none)))
+    return left.join(best, [*on, at], "left").select(*left.columns, *[F.col("_a")[c].alias(c) for c in take])
+
+
+def band_join(left: DataFrame, right: DataFrame, *, on: list[str], at: str, when: str, before: int, after: int) -> DataFrame:
+    """Pairs of a left and a right row of one key where ``when`` is from ``before`` seconds before ``at`` to ``after`` seconds after it.
+
+    Times fall into buckets as wide as the band; a left row looks into the two or
+    three buckets that its band touches, a right row is in one, so they meet by equality and no pair twice.
+    Right columns other than the keys must have names of their own.
     """
-    inside = (F.col(begins) <= F.col(at)) & (F.col(ends).isNull() | (F.col(ends) > F.col(at)))
-    met = left.select(*on, at).distinct().join(right, on).where(inside)
-    best = met.groupBy(*on, at).agg(F.max_by(F.struct(*take), F.col(begins)).alias("_v"))
-    return left.join(best, [*on, at], "left").select(*left.columns, *[F.col("_v")[c].alias(c) for c in take])
+    width = before + after + 1
+    bucket = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / (width * 1_000_000))
+    seconds = lambda n: F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(n))
+    low, high = F.col(at) - seconds(before), F.col(at) + seconds(after)
+    wanted = left.withColumn("_bucket", F.explode(F.sequence(bucket(low), bucket(high))))
+    met = wanted.join(right.withColumn("_bucket", bucket(F.col(when))), [*on, "_bucket"])
+    return met.where((F.col(when) >= low) & (F.col(when) <= high)).drop("_bucket")
 
 
-def last_before(left: DataFrame, right: DataFrame, *, on: list[str], at: str, when: str, days: int, ties: list[str], take: list[str]) -> DataFrame:
+def last_before(left: DataFrame, right: DataFrame, *, on: list[str], at: str, when: str, days: int, ties: list[str], take: list[str], since: str | None = None) -> DataFrame:
     """Each left row with ``_last``, the right row of its key that comes last by ``when`` and ties, at most ``days`` days before its time.
 
+    since: a column of times; a right row on or after it surely exists, so days before it aren't looked at.
+
     Right rows are reduced to the last of each day; a left row meets those of the
     days before, and on its own day the last one up to its time by a running
     maximum.  So many rows under one key cost a sort by day, not a product.
     """
     value = F.struct(when, *ties, *take)
-    times = left.select(*on, at).distinct().withColumn("_day", F.to_date(at))
+    times = left.groupBy(*on, at).agg(*([F.min(F.to_date(since)).alias("_since")] if since else [F.lit(None).cast("date").alias("_since")])).withColumn("_day", F.to_date(at))
     rows = right.select(*on, F.to_date(when).alias("_day"), value.alias("_v"))
     daily = rows.groupBy(*on, "_day").agg(F.max("_v").alias("_v"))
-    spread = times.select(*on, at, F.explode(F.sequence(F.date_sub("_day", days), F.date_sub("_day", 1))).alias("_day"))
+    begin = F.greatest(F.date_sub("_day", days), F.col("_since"))
+    spread = times.where(begin < F.col("_day")).select(*on, at, F.explode(F.sequence(begin, F.date_sub("_day", 1))).alias("_day"))
     earlier = spread.join(daily, [*on, "_day"]).groupBy(*on, at).agg(F.max("_v").alias("_earlier"))
     kind = right.select(value.alias("_v")).schema["_v"].dataType
     both = rows.select(*on, "_day", "_v", F.col(f"_v.{when}").alias("_t"), F.lit(0).alias("_k")).unionAll(times.select(*on, "_day", F.lit(None).cast(kind).alias("_v"), F.col(at).alias("_t"), F.lit(1).alias("_k")))
@@ -57,10 +128,28 @@ def or_key_join(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]])
     return found
 
 
-def without_revoked(events: DataFrame, tombstones: DataFrame, *, scopes: list[str], at: str) -> DataFrame:
-    """Events of which no scope was withdrawn at or after their time; tombstones are (scope_key, revoked_before)."""
+def or_key_counts(left: DataFrame, right: DataFrame, first: tuple[str, str], second: tuple[str, str], name: str) -> DataFrame:
+    """Left rows with how many right rows agree with them on the first pair of keys or the second.
+
+    The right side is counted by each key and by both before the joins, so no pair of rows is made:
+    those of either key less those of both, which else would count twice.
+    """
+    (a, x), (b, y) = first, second
+    by = lambda keys, n: right.groupBy(*[F.col(r).alias(f"_{k}") for k, r in keys]).agg(F.count("*").alias(n)).where(" and ".join(f"_{k} is not null" for k, _ in keys))
+    out = left.join(by([(0, x)], "_n0"), F.col(a) == F.col("_0"), "left").drop("_0")
+    out = out.join(by([(1, y)], "_n1"), F.col(b) == F.col("_1"), "left").drop("_1")
+    out = out.join(by([(0, x), (1, y)], "_n2"), (F.col(a) == F.col("_0")) & (F.col(b) == F.col("_1")), "left")
+    n = lambda c: F.coalesce(c, F.lit(0))
+    return out.select(*left.columns, (n("_n0") + n("_n1") - n("_n2")).alias(name))
+
+
+def without_revoked(events: DataFrame, tombstones: DataFrame, *, scopes: list[str], at: Column | str) -> DataFrame:
+    """Events of which no scope was withdrawn at or after their time; tombstones are (scope_key, revoked_before).
+
+    scopes: columns of scope keys, null for an event without one.
+    """
     latest = tombstones.groupBy("scope_key").agg(F.max("revoked_before").alias("_revoked"))
     kept = events
     for scope in scopes:
-        kept = kept.join(latest, F.col(scope) == F.col("scope_key"), "left").where(F.col("_revoked").isNull() | (F.col("_revoked") < F.col(at))).drop("scope_key", "_revoked")
+        kept = kept.join(latest, F.col(scope) == F.col("scope_key"), "left").where(F.col("_revoked").isNull() | (F.col("_revoked") < (F.col(at) if isinstance(at, str) else at))).drop("scope_key", "_revoked")
     return kept

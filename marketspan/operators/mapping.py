@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.exprs import safe_div
 from ..functions.web import normalized_text
+from . import textindex
 
 
 def compatible_form(c: Column) -> Column:
@@ -98,15 +99,15 @@ def resolve_ads(ads: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def text_suggestions(ads: DataFrame, titles: DataFrame, most: int = 5) -> DataFrame:
-    """Titles that an ad's text is (.75) or contains as whole words (.65), the surest ``most``, from 4 characters on.
+    """Titles that one of an ad's texts is (.75) or contains (.65), the surest ``most``, titles of 4 characters and more.
 
-    Texts meet titles by the title's first word, not all with all.  ads: (ad_id, text); titles: (title).
+    Containment is looked up by a title's rarest run of three characters (``textindex``) and
+    then compared, so no title meets all texts.  ads: (ad_id, text), a row per text; titles: (title).
     """
-    text = ads.select("ad_id", normalized_text(F.col("text")).alias("text"))
-    named = titles.select("title", normalized_text(F.col("title")).alias("t")).where("length(t) >= 4").withColumn("word", F.substring_index("t", " ", 1))
-    met = text.select("ad_id", "text", F.explode(F.array_distinct(F.split("text", " "))).alias("word")).join(named, "word")
-    inside = F.concat(F.lit(" "), "text", F.lit(" ")).contains(F.concat(F.lit(" "), "t", F.lit(" ")))
-    scored = met.where(inside).select("ad_id", "title", F.when(F.col("text") == F.col("t"), 0.75).otherwise(0.65).alias("confidence")).distinct()
+    text = ads.select("ad_id", normalized_text(F.col("text")).alias("text")).where("text <> ''").distinct()
+    named = titles.select("title", normalized_text(F.col("title")).alias("name")).where("length(name) >= 4").distinct()
+    met = textindex.contained(named.select("name").distinct(), text.select("text").distinct(), needle="name", text="text")
+    scored = met.join(named, "name").join(text, "text").groupBy("ad_id", "title").agg(F.max(F.when(F.col("text") == F.col("name"), 0.75).otherwise(0.65)).alias("confidence"))
     w = Window.partitionBy("ad_id").orderBy(F.desc("confidence"), "title")
     return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
 
@@ -141,10 +142,33 @@ def options_current(mappings: DataFrame, variants: DataFrame) -> DataFrame:
     return mappings.join(valid, "mapping_id", "left").withColumn("is_current", F.coalesce("_ok", F.lit(False))).drop("_ok")
 
 
-def provider_ids(rows: DataFrame, column: str, keys: tuple[str, ...] = ("item_id", "item_ids", "product_id", "product_ids", "retailer_id", "sku", "sku_id")) -> DataFrame:
-    """Rows with ``ids``: what stands under one of the keys at any depth of a JSON column, in order."""
-    wanted = "|".join(keys)
-    scalars = F.regexp_extract_all(column, F.lit(rf'(?i)"(?:{wanted})"\s*:\s*"?([^"\[\]{{}},]+)"?'), F.lit(1))
-    lists = F.flatten(F.transform(F.regexp_extract_all(column, F.lit(rf'(?i)"(?:{wanted})"\s*:\s*\[([^\[\]{{}}]*)\]'), F.lit(1)), lambda x: F.split(x, ",")))
-    cleaned = F.transform(F.concat(scalars, lists), lambda x: F.trim(F.regexp_replace(x, '"', "")))
-    return rows.withColumn("ids", F.array_sort(F.array_distinct(F.filter(cleaned, lambda x: (x != "") & (x != "null")))))
+#: Keys under which providers name products and variants.  Fixed values.
+PROVIDER_ID_KEYS = ("item_id", "item_ids", "product_id", "product_ids", "retailer_id", "sku", "sku_id")
+
+
+def provider_ids(rows: DataFrame, column: str, keys: tuple[str, ...] = PROVIDER_ID_KEYS, depth: int = 24) -> DataFrame:
+    """Rows with ``ids``: the texts and numbers under one of the keys, or in a list under it, at any depth of a JSON column.
+
+    The parsed value is walked level by level, each level one generator over the
+    rows of the one above, so text inside a value is never taken for a key.  Keys are
+    compared without case.  Null for a null or malformed text, empty without any id; a
+    value nested deeper than ``depth`` stops the job instead of losing ids.
+    """
+    spark = rows.sparkSession
+    # several rows may have the same text, so each distinct text is walked once
+    texts = rows.select(F.col(column).alias("_json")).where("_json is not null").distinct()
+    level = texts.select("_json", F.try_parse_json("_json").alias("_v"), F.lit(None).cast("string").alias("_key"), F.lit(False).alias("_listed"))
+    kind = F.schema_of_variant("_v")
+    for _ in range(depth):
+        level = level.withColumn("_is_list", kind.startswith("ARRAY")).lateralJoin(spark.tvf.variant_explode_outer(F.col("_v").outer()))
+        inside = F.col("value").isNotNull()
+        # what stands in a list under a key is under that key; a list in a list is under none
+        name = F.when(F.col("_is_list"), F.when(~F.col("_listed"), F.col("_key"))).otherwise(F.lower("key"))
+        level = level.select("_json", F.coalesce("value", "_v").alias("_v"), F.when(inside, name).otherwise(F.col("_key")).alias("_key"), F.when(inside, F.col("_is_list")).otherwise(F.col("_listed")).alias("_listed"))
+    text = F.trim(F.expr("try_variant_get(_v, '$', 'string')"))
+    filled = kind.rlike("^(ARRAY|OBJECT)") & ~text.isin("[]", "{}")
+    own = F.when(F.col("_key").isin(*keys) & kind.rlike("^(STRING|BIGINT|DECIMAL|DOUBLE|FLOAT)") & (text != ""), text)
+    own = F.when(filled, F.raise_error(F.lit(f"JSON deeper than {depth} levels")).cast("string")).otherwise(own)
+    found = level.groupBy("_json").agg(F.array_sort(F.collect_set(own)).alias("_ids"), F.bool_or(F.col("_v").isNotNull()).alias("_ok"))
+    out = rows.join(found, F.col(column) == F.col("_json"), "left")
+    return out.select(*rows.columns, F.when(F.col("_ok"), F.col("_ids")).alias("ids"))

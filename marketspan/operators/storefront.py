@@ -69,27 +69,35 @@ def session_products(events: DataFrame) -> DataFrame:
     return once.groupBy("session_id", "product_id").agg(n("PRODUCT_VIEW").alias("views"), n("ADD_TO_CART").alias("adds"), n("REMOVE_FROM_CART").alias("removals"), F.min("event_at").alias("first_seen_at"), F.max("event_at").alias("last_seen_at"))
 
 
+def session_collections(events: DataFrame) -> DataFrame:
+    """How often a session saw each collection, and when first and last."""
+    once = events.where("event_name = 'COLLECTION_VIEW' and collection_id is not null").dropDuplicates(["event_id"])
+    return once.groupBy("session_id", "collection_id").agg(F.count("*").alias("views"), F.min("event_at").alias("first_seen_at"), F.max("event_at").alias("last_seen_at"))
+
+
 def touches(events: DataFrame, signature: list[str]) -> DataFrame:
-    """Touches of a session in order: an event whose signature differs from the one before it starts a new touch."""
+    """Touches of a session in order, with the session's start: an event whose signature differs from the one before it starts a new touch."""
     w = Window.partitionBy("session_id").orderBy("event_at", "event_id")
     now = F.struct(*signature)
     first = F.row_number().over(w) == 1
-    marked = events.withColumn("_new", first | ~now.eqNullSafe(F.lag(now).over(w))).where("_new").drop("_new")
+    marked = events.withColumn("session_started_at", F.min("event_at").over(Window.partitionBy("session_id"))).withColumn("_new", first | ~now.eqNullSafe(F.lag(now).over(w))).where("_new").drop("_new")
     return marked.withColumn("ordinal", F.row_number().over(w))
 
 
 _FUNNEL = {
-    "view_sessions": "product_views > 0", "cart_sessions": "adds_to_cart > 0", "cart_view_sessions": "cart_views > 0", "cart_view_checkout_sessions": "cart_views > 0 and checkouts > 0", "cart_view_purchase_sessions": "cart_views > 0 and linked_purchase",
+    "view_sessions": "product_views > 0", "collection_view_sessions": "collection_views > 0", "cart_sessions": "adds_to_cart > 0", "cart_view_sessions": "cart_views > 0", "cart_view_checkout_sessions": "cart_views > 0 and checkouts > 0", "cart_view_purchase_sessions": "cart_views > 0 and linked_purchase",
     "checkout_sessions": "checkouts > 0", "checkout_purchase_sessions": "checkouts > 0 and linked_purchase", "purchase_sessions": "linked_purchase",
 }
 FUNNEL_COLUMNS = ["sessions", *_FUNNEL]
 
 
-def behavior_daily(sessions: DataFrame, products: DataFrame) -> DataFrame:
-    """The cube of daily behaviour: sessions by the day they start on, over the store, the landing page and each product.
+def behavior_daily(sessions: DataFrame, products: DataFrame, collections: DataFrame | None = None, ordered: DataFrame | None = None) -> DataFrame:
+    """The cube of daily behaviour: sessions by the day they start on, over the store, the landing page, each product and each collection.
 
-    products: ``session_products``; its rows count a product's own views and adds,
-    and a purchase where the session's linked order can have it: it was added to the cart.
+    products: ``session_products``; its rows count a product's own views and adds, and a
+    purchase if the session's linked order has the product.  ordered: (session_id,
+    product_id) of these orders' lines; where they aren't known, a product counts as bought if it was
+    added to the cart.  collections: ``session_collections``; a purchase counts for all of a session's collections.
     """
     day = F.to_date("started_at").alias("day")
     places = F.array(F.struct(F.lit("STORE").alias("dimension"), F.lit("store").alias("key")), F.struct(F.lit("LANDING_PAGE").alias("dimension"), landing_page(F.col("landing_url")).alias("key")))
@@ -97,7 +105,17 @@ def behavior_daily(sessions: DataFrame, products: DataFrame) -> DataFrame:
     counted = [F.count("*").alias("sessions"), *[F.count_if(F.expr(e)).alias(c) for c, e in _FUNNEL.items()]]
     rows = whole.groupBy(day, "dimension", "key").agg(*counted)
     stages = sessions.select("session_id", "started_at", "cart_views", "checkouts", "linked_purchase")
-    each = products.join(stages, "session_id").select("session_id", "started_at", F.col("product_id").cast("string").alias("key"), F.lit("PRODUCT").alias("dimension"), F.col("views").alias("product_views"), F.col("adds").alias("adds_to_cart"), "cart_views", "checkouts", (F.col("linked_purchase") & (F.col("adds") > 0)).alias("linked_purchase"))
+    none = F.lit(0).cast("long")
+    each = products.join(stages, "session_id")
+    if ordered is None:
+        has = F.col("adds") > 0
+    else:
+        each = each.join(ordered.select("session_id", "product_id").distinct().withColumn("_ordered", F.lit(True)), ["session_id", "product_id"], "left")
+        has = F.coalesce("_ordered", F.lit(False))
+    each = each.select("started_at", F.col("product_id").cast("string").alias("key"), F.lit("PRODUCT").alias("dimension"), F.col("views").alias("product_views"), none.alias("collection_views"), F.col("adds").alias("adds_to_cart"), "cart_views", "checkouts", (F.col("linked_purchase") & has).alias("linked_purchase"))
+    if collections is not None:
+        seen = collections.join(stages, "session_id")
+        each = each.unionByName(seen.select("started_at", F.col("collection_id").cast("string").alias("key"), F.lit("COLLECTION").alias("dimension"), none.alias("product_views"), F.col("views").alias("collection_views"), none.alias("adds_to_cart"), none.alias("cart_views"), "checkouts", "linked_purchase"))
     return rows.unionByName(each.groupBy(day, "dimension", "key").agg(*counted))
 
 
@@ -149,73 +167,108 @@ def checkout_purchase_overlap(sessions: DataFrame) -> DataFrame:
 
 
 def _identities(source: Column, ad: Column) -> Column:
-    """What a touch gives credit to: its source, and the ad if that is known exactly."""
+    """What a touch gives credit to: its source, and the ad of the one source whose ads are resolved, if it is known exactly."""
     at = lambda d, k: F.struct(F.lit(d).alias("dimension"), k.cast("string").alias("key"))
-    return F.array_compact(F.array(at("SOURCE", source), F.when(ad.isNotNull(), at("META_AD", ad))))
+    return F.array_compact(F.array(at("SOURCE", source), F.when(ad.isNotNull() & (source == "META"), at("META_AD", ad))))
+
+
+def _journey_key(session: str) -> Column:
+    """Who a journey belongs to: the visitor, or the session alone without one."""
+    return F.coalesce(F.concat(F.lit("v"), F.col("visitor_id").cast("string")), F.concat(F.lit("s"), F.col(session).cast("string"))).alias("journey_key")
+
 
+def _touch_order() -> Column:
+    return F.struct("touched_at", "ordinal", "session_started_at", "session_id")
 
-def journeys(purchases: DataFrame, touch: DataFrame, days: int = LOOKBACK_DAYS) -> DataFrame:
-    """(purchase_id, dimension, key, first): the first touch of each identity in each purchase's journey, sessions among the dimensions.
 
-    purchases: (purchase_id, visitor_id, started_at, cutoff_at).  A journey has
-    the visitor's touches from ``days`` days before the purchase session's day up to the
-    cutoff.  Touches are reduced to one per visitor, identity and day before purchases meet
-    them by day, so a visitor of many touches and purchases costs no product of both.
+#: Days of a bucket in which purchases meet what came before them; a look-back spans two of them, or three.
+BUCKET_DAYS = 32
+
+
+def _in_window(purchases: DataFrame, rows: DataFrame, days: int) -> DataFrame:
+    """Purchases with the rows of their journey key whose ``day`` is from ``days`` days before the session's to the cutoff's.
+
+    purchases: (purchase_id, journey_key, started_at, cutoff_at); rows: (journey_key, day, ...).
     """
-    at = F.struct("touched_at", "session_id", "ordinal")
-    marks = F.concat(_identities(F.col("source"), F.col("ad_id")), F.array(F.struct(F.lit("SESSION").alias("dimension"), F.col("session_id").alias("key"))))
-    daily = touch.select("visitor_id", F.to_date("touched_at").alias("day"), at.alias("at"), F.inline(marks)).groupBy("visitor_id", "day", "dimension", "key").agg(F.min("at").alias("at"))
-    window = F.sequence(F.date_sub(F.to_date("started_at"), days), F.to_date("cutoff_at"))
-    wanted = purchases.select("purchase_id", "visitor_id", "cutoff_at", F.explode(window).alias("day"))
-    met = wanted.join(daily, ["visitor_id", "day"]).where(F.col("at.touched_at") <= F.col("cutoff_at"))
-    return met.groupBy("purchase_id", "dimension", "key").agg(F.min("at").alias("first"))
+    bucket = lambda d: F.floor(F.unix_date(d) / BUCKET_DAYS)
+    low, high = F.date_sub(F.to_date("started_at"), days), F.to_date("cutoff_at")
+    wanted = purchases.select("purchase_id", "journey_key", "cutoff_at", low.alias("_low"), high.alias("_high"), F.explode(F.sequence(bucket(low), bucket(high))).alias("_bucket"))
+    met = wanted.join(rows.withColumn("_bucket", bucket(F.col("day"))), ["journey_key", "_bucket"])
+    return met.where("day between _low and _high").drop("_bucket", "_low", "_high")
+
+
+def _bought(sessions: DataFrame) -> DataFrame:
+    return sessions.where("linked_purchase").select(F.col("session_id").alias("purchase_id"), _journey_key("session_id"), "started_at", "checkout_completed_at", F.coalesce("checkout_completed_at", "ended_at").alias("cutoff_at"))
+
+
+def credits(sessions: DataFrame, touch: DataFrame, days: int = LOOKBACK_DAYS) -> DataFrame:
+    """(purchase_id, day, dimension, key, is_first, is_last, is_assisted, single_touch, cross_session, delay_ms): a row per identity of each purchase's journey.
+
+    A journey has the touches up to the checkout of the visitor's sessions that
+    start from ``days`` days before the purchase session's day on; without a
+    visitor, the session's own.  assisted: a touch before the last one;
+    single_touch: the journey is one touch; cross_session: its touches are of
+    several sessions; delay: from the first of its sessions' starts to the completed checkout, null without one.
+    Touches are reduced to one per visitor, identity and day before purchases meet
+    them, so a visitor of many touches and purchases costs no product of both.
+    """
+    bought = _bought(sessions)
+    marks = F.concat(_identities(F.col("source"), F.col("ad_id")), F.array(F.struct(F.lit("SESSION").alias("dimension"), F.col("session_id").cast("string").alias("key"))))
+    own = touch.select(_journey_key("session_id"), F.to_date("session_started_at").alias("day"), _touch_order().alias("at"), F.inline(marks))
+    start = F.struct(F.col("started_at").alias("touched_at"), F.lit(0).alias("ordinal"), F.col("started_at").alias("session_started_at"), "session_id")
+    begun = sessions.select(_journey_key("session_id"), F.to_date("started_at").alias("day"), start.alias("at"), F.lit("START").alias("dimension"), F.lit("").alias("key"))
+    daily = own.unionByName(begun).groupBy("journey_key", "day", "dimension", "key").agg(F.min("at").alias("at"))
+    found = _in_window(bought, daily, days).where("at.touched_at <= cutoff_at").groupBy("purchase_id", "dimension", "key").agg(F.min("at").alias("first"))
+    w, credited = Window.partitionBy("purchase_id"), F.col("dimension").isin("SOURCE", "META_AD")
+    found = found.withColumns({
+        "begin": F.min(F.when(credited, F.col("first"))).over(w), "n_sessions": F.sum(F.when(F.col("dimension") == "SESSION", 1)).over(w), "start": F.min(F.when(F.col("dimension") == "START", F.col("first.touched_at"))).over(w),
+    }).where(credited)
+    keyed = touch.select(_journey_key("session_id"), "touched_at", "ordinal", "session_started_at", "session_id", "source", "ad_id")
+    # the purchase session's own touches are the last ones but for sessions beside it, so the search need not begin earlier
+    last = last_before(bought, keyed, on=["journey_key"], at="cutoff_at", when="touched_at", days=days, since="started_at", ties=["ordinal", "session_started_at", "session_id"], take=["source", "ad_id"])
+    each = found.join(last.select("purchase_id", F.to_date("started_at").alias("day"), "started_at", "checkout_completed_at", "_last"), "purchase_id")
+    end = F.struct(*[F.col(f"_last.{n}").alias(n) for n in ("touched_at", "ordinal", "session_started_at", "session_id")])
+    is_last = F.exists(_identities(F.col("_last.source"), F.col("_last.ad_id")), lambda x: (x["dimension"] == F.col("dimension")) & (x["key"] == F.col("key")))
+    return each.select(
+        "purchase_id", "day", "dimension", "key", (F.col("first") == F.col("begin")).alias("is_first"), is_last.alias("is_last"), (F.col("first") < end).alias("is_assisted"), (F.col("begin") == end).alias("single_touch"),
+        (F.col("n_sessions") > 1).alias("cross_session"), _delay_ms(F.least("start", "started_at"), F.col("checkout_completed_at")).alias("delay_ms"),
+    )
+
+
+def _delay_ms(start: Column, end: Column) -> Column:
+    us = lambda c: F.unix_micros(c.cast("timestamp"))
+    delay = F.floor((us(end) - us(start)) / 1000)
+    return F.when(delay >= 0, delay)
 
 
 def attribution(sessions: DataFrame, touch: DataFrame, days: int = LOOKBACK_DAYS) -> DataFrame:
-    """Credits by day, dimension (SOURCE or META_AD) and key.
+    """Credits by day, dimension (SOURCE or META_AD) and key: see ``credits``.
 
-    A session counts as touched by each identity of its own touches.  A session
-    with a linked purchase gives its journey's identities a purchase: the first
-    and the last touch's, and as assisted all touches' before the last one, the
-    first included.  single_touch: the journey is one touch; cross_session: it has
-    several sessions; delay: from the journey's first session start to the checkout.
+    A session counts as touched by each identity of its own touches, a purchase by each of its journey's.
     """
-    day = F.to_date("started_at")
-    seen = touch.select("session_id", F.inline(_identities(F.col("source"), F.col("ad_id")))).distinct().join(sessions.select("session_id", day.alias("day")), "session_id")
+    seen = touch.select("session_id", F.to_date("session_started_at").alias("day"), F.inline(_identities(F.col("source"), F.col("ad_id")))).distinct()
     touched = seen.groupBy("day", "dimension", "key").agg(F.count("*").alias("touched_sessions"))
-
-    bought = sessions.where("linked_purchase").select(F.col("session_id").alias("purchase_id"), "visitor_id", "started_at", F.coalesce("checkout_completed_at", "ended_at").alias("cutoff_at"))
-    found = journeys(bought, touch, days)
-    last = last_before(bought, touch, on=["visitor_id"], at="cutoff_at", when="touched_at", days=days + 1, ties=["session_id", "ordinal"], take=["source", "ad_id"])
-    last = last.select("purchase_id", "_last", day.alias("day"), "started_at", "cutoff_at")
-    # a journey has one touch if its first is its last
-    whole = found.groupBy("purchase_id").agg(F.min("first").alias("begin"), F.count_if(F.col("dimension") == "SESSION").alias("n_sessions"))
-    begins = conversion_starts(bought, sessions, days)
-    end = F.struct(F.col("_last.touched_at").alias("touched_at"), F.col("_last.session_id").alias("session_id"), F.col("_last.ordinal").alias("ordinal"))
-    each = found.where("dimension <> 'SESSION'").join(whole, "purchase_id").join(last, "purchase_id").join(begins.select("purchase_id", "delay_ms"), "purchase_id", "left")
-    is_last = F.exists(_identities(F.col("_last.source"), F.col("_last.ad_id")), lambda x: (x["dimension"] == F.col("dimension")) & (x["key"] == F.col("key")))
-    credit = each.groupBy("day", "dimension", "key").agg(
-        F.count("*").alias("purchases"), F.count_if(F.col("first") == F.col("begin")).alias("first_touch"), F.count_if(is_last).alias("last_touch"), F.count_if(F.col("first") < end).alias("assisted"),
-        F.count_if(F.col("begin") == end).alias("single_touch"), F.count_if(F.col("n_sessions") > 1).alias("cross_session"), F.coalesce(F.sum("delay_ms"), F.lit(0)).alias("delay_ms"), F.count("delay_ms").alias("delays"),
+    credit = credits(sessions, touch, days).groupBy("day", "dimension", "key").agg(
+        F.count("*").alias("purchases"), F.count_if("is_first").alias("first_touch"), F.count_if("is_last").alias("last_touch"), F.count_if("is_assisted").alias("assisted"),
+        F.count_if("single_touch").alias("single_touch"), F.count_if("cross_session").alias("cross_session"), F.coalesce(F.sum("delay_ms"), F.lit(0)).alias("delay_ms"), F.count("delay_ms").alias("delays"),
     )
     return touched.join(credit, ["day", "dimension", "key"], "full").fillna(0)
 
 
 def conversion_starts(purchases: DataFrame, sessions: DataFrame, days: int = LOOKBACK_DAYS) -> DataFrame:
-    """Purchases with the start of the visitor's first session of the days before, and the delay in milliseconds."""
-    daily = sessions.groupBy("visitor_id", F.to_date("started_at").alias("_day")).agg(F.min("started_at").alias("_start"))
-    window = F.sequence(F.date_sub(F.to_date("started_at"), days), F.to_date("cutoff_at"))
-    met = purchases.select("purchase_id", "visitor_id", "cutoff_at", F.explode(window).alias("_day")).join(daily, ["visitor_id", "_day"]).where("_start <= cutoff_at")
-    first = met.groupBy("purchase_id").agg(F.min("_start").alias("journey_started_at"))
-    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    delay = F.floor((us("cutoff_at") - us("journey_started_at")) / 1000)
-    return purchases.join(first, "purchase_id", "left").withColumn("delay_ms", F.when(delay >= 0, delay))
+    """Purchases with the start of the first session of their journey key in the days before, and the delay in milliseconds.
+
+    purchases: (purchase_id, journey_key, started_at, cutoff_at).
+    """
+    daily = sessions.groupBy(_journey_key("session_id"), F.to_date("started_at").alias("day")).agg(F.min("started_at").alias("_start"))
+    first = _in_window(purchases, daily, days).where("_start <= cutoff_at").groupBy("purchase_id").agg(F.min("_start").alias("journey_started_at"))
+    return purchases.join(first, "purchase_id", "left").withColumn("delay_ms", _delay_ms(F.col("journey_started_at"), F.col("cutoff_at")))
 
 
 def conversion_delays(purchases: DataFrame, sessions: DataFrame, days: int = LOOKBACK_DAYS) -> DataFrame:
     """Milliseconds from the start of the visitor's first session of the days before a purchase; null without one."""
-    rows = purchases.withColumn("started_at", F.col("purchased_at")).withColumn("cutoff_at", F.col("purchased_at"))
-    return conversion_starts(rows, sessions, days).drop("started_at", "cutoff_at")
+    rows = purchases.withColumns({"started_at": F.col("purchased_at"), "cutoff_at": F.col("purchased_at"), "journey_key": F.concat(F.lit("v"), F.col("visitor_id").cast("string"))})
+    return conversion_starts(rows, sessions, days).drop("started_at", "cutoff_at", "journey_key")
 
 
 def last_clicks(orders: DataFrame, clicks: DataFrame, providers: list[str], days: int = LOOKBACK_DAYS) -> DataFrame:
@@ -230,27 +283,60 @@ def last_clicks(orders: DataFrame, clicks: DataFrame, providers: list[str], days
     return out
 
 
-def source_paths(touch: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Each session's sources in order, without repeats in a row, up to its checkout, and a stable key of the path."""
-    cutoff = F.when(F.col("linked_purchase"), F.coalesce("checkout_completed_at", "ended_at")).otherwise(F.col("ended_at"))
-    own = touch.join(sessions.select("session_id", F.to_date("started_at").alias("day"), "linked_purchase", cutoff.alias("cutoff_at")), "session_id").where("touched_at <= cutoff_at")
+def _path(steps: Column) -> Column:
+    """Sources in order without repeats in a row; UNKNOWN without any."""
+    sources = F.transform(F.array_sort(steps), lambda x: x["source"])
+    kept = F.filter(sources, lambda x, k: (k == 0) | (x != F.get(sources, k - 1)))
+    return F.when(F.size(kept) > 0, F.array_join(kept, ">")).otherwise("UNKNOWN")
+
+
+def source_paths(touch: DataFrame, sessions: DataFrame, days: int = LOOKBACK_DAYS) -> DataFrame:
+    """(day, path, is_session, bought, cross_session, delay_ms): each session's own path, and the path of each purchase's journey.
+
+    A session's path ends at its checkout and is SESSION:UNKNOWN without touches.  A
+    journey's path goes through all sessions of ``credits``' journey; its length is that of its result.
+    """
     w = Window.partitionBy("session_id").orderBy("touched_at", "ordinal")
-    kept = own.withColumn("_p", F.lag("source").over(w)).where("_p is null or _p <> source")
-    path = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("touched_at", "ordinal", "source"))), lambda x: x["source"]), ">")
-    return kept.groupBy("session_id", "day", "linked_purchase").agg(F.concat(F.lit("SESSION:"), path).alias("path")).withColumn("path_key", F.sha2("path", 256))
+    changes = touch.withColumn("_p", F.lag("source").over(w)).where("_p is null or _p <> source")
+    step = F.struct("touched_at", "ordinal", "session_started_at", "session_id", "source").alias("step")
+    cutoff = F.when(F.col("linked_purchase"), F.coalesce("checkout_completed_at", "ended_at")).otherwise(F.col("ended_at")).alias("cutoff_at")
+    own = changes.join(sessions.select("session_id", cutoff), "session_id").where("touched_at <= cutoff_at").groupBy("session_id").agg(F.collect_list(step).alias("steps"))
+    empty = F.coalesce("steps", F.array())
+    alone = sessions.select("session_id", F.to_date("started_at").alias("day"), "linked_purchase").join(own, "session_id", "left")
+    alone = alone.select("day", F.concat(F.lit("SESSION:"), _path(empty)).alias("path"), F.lit(True).alias("is_session"), F.col("linked_purchase").alias("bought"), F.lit(False).alias("cross_session"), F.lit(None).cast("long").alias("delay_ms"))
+
+    bought = _bought(sessions)
+    rows = changes.select(_journey_key("session_id"), F.to_date("session_started_at").alias("day"), step)
+    met = _in_window(bought, rows, days).where("step.touched_at <= cutoff_at").groupBy("purchase_id").agg(F.collect_list("step").alias("steps"), (F.count_distinct("step.session_id") > 1).alias("cross_session"))
+    timed = conversion_starts(bought, sessions, days).withColumn("delay_ms", F.when(F.col("checkout_completed_at").isNotNull(), F.col("delay_ms")))
+    through = timed.join(met, "purchase_id", "left").select(F.to_date("started_at").alias("day"), F.concat(F.lit("JOURNEY:"), _path(empty)).alias("path"), F.lit(False).alias("is_session"), F.lit(True).alias("bought"), F.coalesce("cross_session", F.lit(False)).alias("cross_session"), "delay_ms")
+    return alone.unionByName(through)
 
 
 def path_daily(paths: DataFrame) -> DataFrame:
-    """Paths by day: sessions, and those that bought."""
-    return paths.groupBy("day", "path", "path_key").agg(F.count("*").alias("sessions"), F.count_if("linked_purchase").alias("purchase_sessions"))
+    """Paths by day, with a stable key: sessions, purchases, those of several sessions, and delays."""
+    return paths.groupBy("day", "path", F.sha2("path", 256).alias("path_key")).agg(F.count_if("is_session").alias("sessions"), F.count_if("bought").alias("purchase_sessions"), F.count_if("cross_session").alias("cross_session"), F.coalesce(F.sum("delay_ms"), F.lit(0)).alias("delay_ms"), F.count("delay_ms").alias("delays"))
+
 
+def target_evidence(touch: DataFrame, products: DataFrame, sessions: DataFrame, *, ordered: DataFrame, collections: DataFrame | None = None, days: int = LOOKBACK_DAYS) -> DataFrame:
+    """By day, exact ad and target (PRODUCT or COLLECTION): sessions that the ad touched and that dealt with the target, and their purchases.
 
-def target_evidence(touch: DataFrame, products: DataFrame, sessions: DataFrame) -> DataFrame:
-    """By day, exact ad and product: sessions that the ad touched and that dealt with the product."""
-    ads = touch.where("ad_id is not null").select("session_id", "ad_id").distinct()
-    stages = sessions.select("session_id", F.to_date("started_at").alias("day"), "linked_purchase")
-    met = ads.join(products, "session_id").join(stages, "session_id")
-    return met.groupBy("day", "ad_id", "product_id").agg(F.count("*").alias("interacted_sessions"), F.count_if(F.col("views") > 0).alias("viewed_sessions"), F.count_if(F.col("adds") > 0).alias("cart_sessions"), F.count_if(F.col("linked_purchase") & (F.col("adds") > 0)).alias("purchase_sessions"))
+    A purchase counts if the order has the product (for a collection: at all) and
+    the ad is in its journey; with it, whether the ad was the first, the last or an assisting touch.
+    ordered: (session_id, product_id), the lines of sessions' linked orders.
+    """
+    ads = touch.select("session_id", F.inline(_identities(F.col("source"), F.col("ad_id")))).where("dimension = 'META_AD'").select("session_id", F.col("key").alias("ad_id")).distinct()
+    has = ordered.select("session_id", "product_id").distinct().withColumn("has", F.lit(True))
+    targets = products.join(has, ["session_id", "product_id"], "left").select("session_id", F.lit("PRODUCT").alias("target"), F.col("product_id").cast("string").alias("target_id"), "views", "adds", F.coalesce("has", F.lit(False)).alias("has"))
+    if collections is not None:
+        targets = targets.unionByName(collections.select("session_id", F.lit("COLLECTION").alias("target"), F.col("collection_id").cast("string").alias("target_id"), "views", F.lit(0).cast("long").alias("adds"), F.lit(True).alias("has")))
+    credit = credits(sessions, touch, days).where("dimension = 'META_AD'").select(F.col("purchase_id").alias("session_id"), F.col("key").alias("ad_id"), "is_first", "is_last", "is_assisted")
+    met = ads.join(targets, "session_id").join(sessions.select("session_id", F.to_date("started_at").alias("day")), "session_id").join(credit, ["session_id", "ad_id"], "left")
+    bought = F.col("has") & F.col("is_first").isNotNull()
+    return met.groupBy("day", "ad_id", "target", "target_id").agg(
+        F.count("*").alias("interacted_sessions"), F.count_if(F.col("views") > 0).alias("viewed_sessions"), F.count_if(F.col("adds") > 0).alias("cart_sessions"), F.count_if(bought).alias("purchase_sessions"),
+        *[F.count_if(bought & F.col(f"is_{n}")).alias(f"{n}_touch") for n in ("first", "last")], F.count_if(bought & F.col("is_assisted")).alias("assisted"),
+    )
 
 
 def attribution_health(attribution_rows: DataFrame, source: str = "META") -> DataFrame:
@@ -265,21 +351,20 @@ def first_touch_sources(touch: DataFrame, products: DataFrame) -> DataFrame:
     return products.select("session_id", "product_id").distinct().join(first, "session_id").groupBy("product_id", "source").agg(F.count("*").alias("sessions"))
 
 
+def link_retry_at(tried_at: Column, attempts: Column) -> Column:
+    """When a session's order is looked for again: 5 minutes after the first try, doubled up to 7 times, 6 hours at most."""
+    minutes = F.least(F.lit(360.0), F.lit(5.0) * F.pow(F.lit(2.0), F.least(F.greatest(attempts - 1, F.lit(0)), F.lit(7)))).cast("int")
+    return tried_at + F.make_dt_interval(F.lit(0), F.lit(0), minutes)
+
+
 def linked_orders(sessions: DataFrame, orders: DataFrame) -> DataFrame:
     """Sessions that name an order with its state: LINKED once the order has arrived, PENDING until then, with the next try.
 
-    sessions: (session_id, order_ext, attempts, received_at); orders: (order_ext, order_id).  Tries wait 5 minutes, doubled each time, 6 hours at most.
+    sessions: (session_id, order_ext, attempts, tried_at), attempts with the one at tried_at; orders: (order_ext, order_id).
     """
-    wait = F.least(F.lit(360.0), F.lit(5.0) * F.pow(F.lit(2.0), F.least(F.col("attempts"), F.lit(10)))).cast("int")
     out = sessions.where("order_ext is not null").join(orders, "order_ext", "left")
     state = F.when(F.col("order_id").isNotNull(), "LINKED").otherwise("PENDING")
-    return out.withColumn("link_status", state).withColumn("next_try_at", F.when(F.col("order_id").isNull(), F.col("received_at") + F.make_dt_interval(F.lit(0), F.lit(0), wait)))
-
-
-def invalidated_sessions(products: DataFrame, touch: DataFrame, changed_products: DataFrame, changed_ads: DataFrame) -> DataFrame:
-    """Sessions to rebuild because a product or an ad that they name has changed; each once."""
-    found = [products.join(changed_products, "product_id", "left_semi").select("session_id"), touch.join(changed_ads, "ad_id", "left_semi").select("session_id")]
-    return reduce(DataFrame.unionAll, found).distinct()
+    return out.withColumn("link_status", state).withColumn("next_try_at", F.when(F.col("order_id").isNull(), link_retry_at(F.col("tried_at"), F.col("attempts"))))
 
 
 def visitor_journeys(sessions: DataFrame) -> DataFrame:
@@ -304,8 +389,8 @@ def video_retention(rows: DataFrame, minimum_plays: int = 50) -> DataFrame:
     return sums.withColumns(rates).withColumn("largest_drop_stage", best["stage"]).withColumn("largest_drop", best["drop"]).withColumn("status", status)
 
 
-#: How well an identity is known, from the least on.  Fixed values.
-RESOLUTIONS = ("NONE", "UNRESOLVED", "PARTIAL", "CONFLICT", "EXACT")
+#: What the ids of an identity come to, from the most harmless on.  Fixed values.
+RESOLUTIONS = ("NONE", "EXACT", "PARTIAL", "UNRESOLVED", "CONFLICT")
 
 
 def resolve_touches(touch: DataFrame, ads: DataFrame) -> DataFrame:
@@ -331,8 +416,8 @@ def resolve_touches(touch: DataFrame, ads: DataFrame) -> DataFrame:
     return out.select(*touch.columns, state.alias("resolution"))
 
 
-def best_resolution(touch: DataFrame, key: str) -> DataFrame:
-    """The surest resolution of each key's touches."""
+def worst_resolution(touch: DataFrame, key: str) -> DataFrame:
+    """The resolution that stands for all of a key's touches: that of the worst one."""
     rank = F.array_position(F.array(*map(F.lit, RESOLUTIONS)), F.col("resolution"))
     return touch.groupBy(key).agg(F.max_by("resolution", rank).alias("resolution"))
 

@@ -73,7 +73,7 @@ def signal_page(entities: DataFrame, *, page: int, limit: int) -> DataFrame:
     """Entities by spend with the codes of their signals and how sure their evidence is."""
     both = _both(entities, "entity_id", ["source_rows", "impressions", "spend", "conversions", "roas", "cpc", "ctr"])
     codes = entity_signals(both).groupBy("entity_id").agg(F.array_join(F.array_sort(F.collect_list("code")), ",").alias("signals"))
-    out = both.select("entity_id", "spend", "impressions", entity_confidence(F.col("source_rows"), F.col("impressions")).alias("confidence")).join(codes, "entity_id", "left").fillna({"signals": ""})
+    out = both.select("entity_id", "spend", "impressions", entity_confidence(*[F.col(n) for n in ("source_rows", "impressions", "source_rows0", "impressions0")]).alias("confidence")).join(codes, "entity_id", "left").fillna({"signals": ""})
     return _page(out, [F.desc_nulls_last("spend"), F.asc("entity_id")], page, limit)
 
 

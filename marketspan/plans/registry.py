@@ -9,8 +9,8 @@ from ..functions import web
 from ..functions.exprs import numeric, period_label, point_change, safe_div, selected
 from ..functions.dates import date_spine, store_date
 from ..operators import advertising as ads
-from ..operators import commerce, delivery, evidence, economics as eco, mapping, rules, storefront, workspaces
-from ..operators.joins import asof_join, or_key_join, without_revoked
+from ..operators import changes, commerce, delivery, evidence, economics as eco, mapping, rules, storefront, workspaces
+from ..operators.joins import asof_join, or_key_counts, without_revoked
 from ..sources import canonical as c
 from ..sources import sinks
 from ..streaming import ingest
@@ -54,7 +54,19 @@ def products_seen(s, d):
 
 def touch(s, d):
     t = storefront.touches(gapped(s, d), ["source", "ad_id"])
-    return t.select("session_id", "visitor_id", F.col("event_at").alias("touched_at"), "ordinal", "source", "ad_id")
+    return t.select("session_id", "visitor_id", "session_started_at", F.col("event_at").alias("touched_at"), "ordinal", "source", "ad_id")
+
+
+def collections_seen(s, d):
+    return storefront.session_collections(gapped(s, d))
+
+
+def ordered(s, d):
+    return c.storefront_order_lines(gapped(s, d))
+
+
+def target_evidence(s, d):
+    return storefront.target_evidence(touch(s, d), products_seen(s, d), sessions(s, d), ordered=ordered(s, d), collections=collections_seen(s, d))
 
 
 def attribution(s, d):
@@ -75,7 +87,7 @@ def events_period(day):
 
 
 def cube(s, d):
-    return storefront.behavior_daily(sessions(s, d), products_seen(s, d))
+    return storefront.behavior_daily(sessions(s, d), products_seen(s, d), collections_seen(s, d), ordered(s, d))
 
 
 def behavior(s, d, dimension):
@@ -83,9 +95,9 @@ def behavior(s, d, dimension):
 
 
 def consented(s, d):
-    e = c.events(s, d).withColumn("visitor_key", F.concat(F.lit("v"), F.col("visitor_id")))
-    gone = e.where("event_id % 50 = 0").select(F.col("visitor_key").alias("scope_key"), F.col("event_at").alias("revoked_before"))
-    return without_revoked(e, gone, scopes=["visitor_key"], at="event_at").groupBy("event_name").agg(F.count("*").alias("events"))
+    e = gapped(s, d).withColumn("visitor_key", F.concat(F.lit("visitor:"), "visitor_id")).withColumn("session_key", F.concat(F.lit("session:"), "session_id"))
+    gone = e.where("event_id % 50 = 0").select(F.when(F.col("event_id") % 100 == 0, F.col("visitor_key")).otherwise(F.col("session_key")).alias("scope_key"), F.col("event_at").alias("revoked_before"))
+    return without_revoked(e, gone, scopes=["visitor_key", "session_key"], at=F.least("event_at", "received_at")).groupBy("event_name").agg(F.count("*").alias("events"))
 
 
 #: Windows of the rules' evidence: a month against the month before.
@@ -157,7 +169,7 @@ def decisions(s, d):
         rows = ads.entity_metrics(c.ad_daily(s, d, MONTH, MONTH_BEFORE), kind)
         names = ["source_rows", "impressions", "spend", "conversions", "roas", "cpc", "ctr"]
         both = eco.period_changes(rows, names, ["entity_id"])
-        quality = both.select("entity_id", ads.entity_confidence(F.col("source_rows"), F.col("impressions")).alias("evidence_quality"))
+        quality = both.select("entity_id", ads.entity_confidence(*[F.col(n) for n in ("source_rows", "impressions", "source_rows0", "impressions0")]).alias("evidence_quality"))
         drafts = drafts.unionByName(rules.signal_drafts(rules.entity_signals(both).join(quality, "entity_id"), kind))
     return drafts.withColumn("priority", rules.by_weights())
 
@@ -232,9 +244,9 @@ def dirty_days(s, d):
     """Days to rebuild after every fiftieth event came late."""
     e = gapped(s, d)
     starts = lambda x: x.groupBy("session_id").agg(F.min("visitor_id").alias("visitor_id"), F.min("event_at").alias("started_at"))
-    late = e.where("event_id % 50 = 0 and event_at < timestamp_ntz'2024-01-04'").select("session_id").distinct()
+    late = e.where("event_id % 50 = 0").select("session_id").distinct()
     own = e.join(late, "session_id", "left_semi")
-    return ingest.dirty_days(starts(own.where("event_id % 50 <> 0")), starts(own), bought(s, d).select("visitor_id", F.col("event_at").alias("purchased_at")), 5)
+    return ingest.dirty_days(starts(own.where("event_id % 50 <> 0")), starts(own), bought(s, d).select("visitor_id", F.col("event_at").alias("purchased_at")))
 
 
 def contents(s, d):
@@ -247,7 +259,7 @@ def contents(s, d):
 
 def linked_orders(s, d):
     """Sessions that bought, with an order of which two thirds have arrived."""
-    rows = sessions(s, d).where("purchases > 0").select("session_id", F.col("last_event_id").alias("order_ext"), (F.col("events") % 9).cast("int").alias("attempts"), F.col("ended_at").alias("received_at"))
+    rows = sessions(s, d).where("purchases > 0").select("session_id", F.col("last_event_id").alias("order_ext"), (F.col("events") % 9 + 1).cast("int").alias("attempts"), F.col("ended_at").alias("tried_at"))
     arrived = c.table(s, d, "events").where("event_id % 3 <> 0").select(F.col("event_id").alias("order_ext"), F.concat(F.lit("o"), "event_id").alias("order_id"))
     return storefront.linked_orders(rows, arrived)
 
@@ -270,14 +282,37 @@ def resolved(s, d):
 
 
 def store_health(s, d):
-    """Events, sessions and purchases of each store, beside each other; a store without any has nulls."""
+    """Events, sessions and purchases of each store, beside each other; the fifth store has no visitors, so nulls."""
     store = (F.col("visitor_id") % 4).alias("store_id")
     parts = {
-        "events": c.events(s, d).where("visitor_id % 4 <> 2").groupBy(store).agg(F.count("*").alias("events"), F.max("received_at").alias("last_event_at")),
-        "sessions": sessions(s, d).where("visitor_id % 4 <> 2").groupBy(store).agg(F.count("*").alias("sessions"), F.count_if("linked_purchase").alias("purchase_sessions")),
-        "touches": touch(s, d).where("visitor_id % 4 <> 2 and ad_id is not null").groupBy(store).agg(F.count("*").alias("paid_touches")),
+        "events": c.events(s, d).groupBy(store).agg(F.count("*").alias("events"), F.max("received_at").alias("last_event_at")),
+        "sessions": sessions(s, d).groupBy(store).agg(F.count("*").alias("sessions"), F.count_if("linked_purchase").alias("purchase_sessions")),
+        "touches": touch(s, d).where("ad_id is not null").groupBy(store).agg(F.count("*").alias("paid_touches")),
     }
-    return storefront.side_by_side(s.range(4).select(F.col("id").alias("store_id")), parts)
+    return storefront.side_by_side(s.range(5).select(F.col("id").alias("store_id")), parts)
+
+
+def health(s, d):
+    """Purchases' deliveries with what their health looks at, derived from the event's number: tests, shadows, lost connections, due times."""
+    n = F.col("source_event_id")
+    skipped = F.when(n % 11 == 0, "SKIPPED").otherwise(F.col("status"))
+    reason = F.when((n % 11 == 0) & (n % 2 == 0), "SHADOW_MODE").when(n % 13 == 0, "CONNECTION_REAUTH_REQUIRED").otherwise(F.col("reason_code"))
+    rows = deliveries(s, d).withColumns({"status": skipped, "reason_code": reason, "is_test": n % 17 == 0, "created_at": F.col("event_at"), "next_attempt_at": F.col("event_at") + F.make_dt_interval(F.lit(0), F.lit(0), (n % 30).cast("int"))})
+    return delivery.health(rows, F.lit("2024-02-05").cast("timestamp_ntz"))
+
+
+def routed(s, d):
+    """What the paid touches before each purchase make of it."""
+    signals = c.landing_signals(gapped(s, d))
+    return delivery.routing(signals.where("event_name = 'CHECKOUT_COMPLETED'").select(F.col("event_id").alias("conversion_id"), "event_at", "session_id", "visitor_id"), signals, since=F.lit("2024-01-02").cast("timestamp_ntz"), days=10)
+
+
+def retries(s, d):
+    """When each purchase's delivery is tried again; some providers say how long to wait, or until when."""
+    k, at = F.col("k"), F.col("event_at")
+    asked = F.when(k % 6 == 0, "900").when(k % 6 == 1, "Thu, 25 Jan 2024 00:00:00 GMT").when(k % 6 == 2, "soon")
+    again = delivery.retry_at(at, k % 12, F.col("event_id") % 10 / 10, delivery.retry_after_ms(asked, at))
+    return bought(s, d).select("event_id", again.alias("next_try_at"), delivery.delivery_deadline(at).alias("deadline_at"), (again > delivery.delivery_deadline(at)).alias("expired"))
 
 
 def stock_history(s, d):
@@ -330,17 +365,114 @@ def upserted(s, d):
 
 
 def matched_customers(s, d):
-    n = F.col("c_custkey")
-    mail = F.concat(F.lit(" User."), n.cast("string"), F.lit("+x@Gmail.com"))
-    phone = F.when(n % 3 == 0, F.concat(F.lit("0"), n)).otherwise(F.concat(F.lit("+49 (30) 1000-"), n))
-    return c.table(s, d, "customer").select(n.alias("customer_id"), *[x.alias(k) for k, x in delivery.customer_match(email=mail, phone=phone, first_name=F.col("c_name"), country=F.when(n % 2 == 0, "DE").otherwise("xx"), postal_code=F.lit(" 10115-A ")).items()])
+    n, lit, text = F.col("c_custkey"), F.lit, F.col("c_custkey").cast("string")
+    mails = F.array(F.concat(lit(" User."), text, lit("+x@Gmail.com")), F.when(n % 4 == 0, F.concat(lit("u"), text, lit("@shop.example"))), F.concat(lit("user."), text, lit("+x@gmail.com ")), lit("no address"))
+    phones = F.array(F.when(n % 3 == 0, F.concat(lit("0"), text)).otherwise(F.concat(lit("+49 (30) 1000-"), text)), F.when(n % 5 == 0, F.concat(lit("+4930 77 "), text)))
+    match = delivery.customer_match(
+        emails=mails, phones=phones, first_name=F.col("c_name"), last_name=F.when(n % 6 > 0, F.concat(lit(" O'Neil-"), n % 7)), city=lit("Bad Homburg v.d.H."), region=F.when(n % 2 == 0, "Hesse"), postal_code=lit(" 10115-A "),
+        country=F.when(n % 2 == 0, "DE").when(n % 7 == 0, " nz").otherwise("xx"), external_id=F.when(n % 9 > 0, text),
+    )
+    shown = {k: F.array_join(v, ",") if k in ("em", "ph", "google_identifiers") else v for k, v in match.items()}
+    return c.table(s, d, "customer").select(n.alias("customer_id"), delivery.customer_identity("k3y", F.col("c_nationkey"), n).alias("identity"), *[v.alias(k) for k, v in shown.items()])
 
 
 def searched(s, d):
     p = c.table(s, d, "part")
     skus = p.select(F.col("p_partkey").alias("product_id"), F.concat(F.lit("SKU-"), "p_partkey").alias("sku"))
-    found = commerce.search(p.select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("vendor")), skus, "5")
-    return workspaces.page(found, [F.asc("title"), F.asc("product_id")], page=2, limit=20)
+    own = p.select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("vendor"))
+    found = commerce.search(own, skus, "D#1", commerce.search_index(own, skus))
+    return workspaces.page(found, [F.asc("title"), F.asc("product_id")], page=2, limit=10)
+
+
+def all_found(s, d):
+    """Everything that holds a short text, which is looked up by the whole of it."""
+    p = c.table(s, d, "part")
+    skus = p.select(F.col("p_partkey").alias("product_id"), F.concat(F.lit("SKU-"), "p_partkey").alias("sku"))
+    own = p.select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("vendor"))
+    return commerce.search(own, skus, "G", commerce.search_index(own, skus)).unionByName(commerce.search(own, skus, "ku-17", commerce.search_index(own, skus)))
+
+
+def suggestions(s, d):
+    """Every part as an ad whose texts name parts and brands; a brand's name may be the beginning of another's."""
+    p = c.table(s, d, "part")
+    texts = F.array(F.concat(F.lit("New: "), "p_name", F.lit("s of "), "p_brand"), F.when(F.col("p_partkey") % 3 == 0, F.upper("p_name")), F.when(F.col("p_partkey") % 5 == 0, F.concat("p_brand", F.lit("!"))))
+    ads_ = p.select(F.col("p_partkey").alias("ad_id"), F.explode(F.array_compact(texts)).alias("text"))
+    return mapping.text_suggestions(ads_, p.select(F.explode(F.array("p_name", "p_brand", "p_type")).alias("title")).distinct())
+
+
+def json_ids(s, d):
+    """Ids in a payload at several depths, beside texts that only look like keys."""
+    k, lit = F.col("p_partkey").cast("string"), F.lit
+    said = r'{"note": "\"sku\": \"no\"", "list": [{"Product_ID": '
+    payload = F.concat(lit(said), k, lit('}, {"deep": {"a": [{"b": {"sku": "S-'), F.col("p_size"), lit('"}}]}}], "item_ids": ["'), k, lit('x", 7, [8], {"retailer_id": "R-'), F.col("p_size") % 5, lit('"}], "sku_id": true, "other": 9}'))
+    rows = c.table(s, d, "part").select(F.col("p_partkey").alias("product_id"), payload.alias("payload"))
+    return mapping.provider_ids(rows, "payload", depth=8).select("product_id", F.array_join("ids", ",").alias("ids"))
+
+
+def hierarchy(s, d, now: bool):
+    """Ads below campaigns, before and after a synchronization that renames, moves, adds and drops some."""
+    n = F.col("s_suppkey")
+    rows = c.table(s, d, "supplier").where("s_suppkey % 17 <> 0" if not now else "s_suppkey % 13 <> 0")
+    campaign, name = F.col("s_nationkey"), F.col("s_name")
+    return rows.select(n.alias("ad_id"), (F.when(n % 11 == 0, campaign + 1).otherwise(campaign) if now else campaign).alias("campaign_id"), (F.when(n % 7 == 0, F.concat(name, F.lit(" II"))).otherwise(name) if now else name).alias("name"))
+
+
+def campaigns(s, d, now: bool):
+    n = c.table(s, d, "nation").select(F.col("n_nationkey").alias("campaign_id"), F.col("n_name").alias("name"))
+    return n.withColumn("name", F.when(F.col("campaign_id") % 9 == 4, F.lower("name")).otherwise(F.col("name"))) if now else n
+
+
+def catalog(s, d, now: bool):
+    n = F.col("p_partkey")
+    rows = c.table(s, d, "part").where("p_partkey % 19 <> 0" if now else "p_partkey % 23 <> 0")
+    return rows.select(n.alias("product_id"), (F.when(n % 6 == 0, F.lit("other")).otherwise(F.col("p_brand")) if now else F.col("p_brand")).alias("vendor"), "p_name")
+
+
+def changed_ads(s, d):
+    return changes.changed_keys(hierarchy(s, d, False), hierarchy(s, d, True), key="ad_id", parents=["campaign_id"], values=["name"])
+
+
+def invalidated(s, d):
+    """Sessions to rebuild after both synchronizations: those that name a changed ad, an ad below a changed campaign, or a changed product."""
+    moved = changes.changed_keys(campaigns(s, d, False), campaigns(s, d, True), key="campaign_id", parents=[], values=["name"])
+    links = hierarchy(s, d, False).select("ad_id", "campaign_id").union(hierarchy(s, d, True).select("ad_id", "campaign_id"))
+    below = changes.with_descendants(moved, links, key="ad_id", parent="campaign_id")
+    products = changes.changed_keys(catalog(s, d, False), catalog(s, d, True), key="product_id", parents=["vendor"], values=["p_name"])
+    named = gapped(s, d).select("session_id", "received_at", "ad_id", "product_id")
+    return changes.invalidated_sessions([(named, changed_ads(s, d).select("ad_id").union(below), "ad_id"), (named, products, "product_id")])
+
+
+def versioned_costs(s, d):
+    """Each order line with the cost of its product as of the order; every delivery is a version that holds for as many days as it had pieces."""
+    li = c.table(s, d, "lineitem")
+    versions = li.select(F.col("l_partkey").alias("product_id"), F.col("l_shipdate").alias("begins"), F.when(F.col("l_linenumber") < 6, F.col("l_shipdate") + F.make_dt_interval(F.col("l_quantity").cast("int"))).alias("ends"), F.col("l_extendedprice").cast("decimal(18,2)").alias("unit_cost"))
+    o = c.table(s, d, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_orderdate").alias("demand_at"))
+    sold = li.select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_number"), F.col("l_partkey").alias("product_id")).join(o, "order_id")
+    return asof_join(sold, versions, on=["product_id"], at="demand_at", begins="begins", ends="ends", take=["unit_cost"]).select("order_id", "line_number", "unit_cost")
+
+
+def browser_pairs(s, d):
+    """Requests of a store's browsers, one per event, the events that they may send, and where; stores and destinations are derived from regions and nations."""
+    n, k, lit = F.col("event_id"), F.col("k"), F.lit
+    seconds = lambda x: F.make_dt_interval(lit(0), lit(0), lit(0), x.cast("decimal(18,6)"))
+    own = c.landing_signals(gapped(s, d)).withColumns({"store_id": F.col("visitor_id") % 5, "received_at": F.col("event_at") + seconds(n % 40), "shared": k % 10 != 0, "consent_state": F.when(k % 7 == 0, "DENIED").when(k % 7 == 1, "NOT_REQUIRED").otherwise("GRANTED")})
+    own = own.withColumn("retention_expires_at", F.col("received_at") + F.when(n % 29 == 0, F.expr("interval 10 seconds")).otherwise(F.expr("interval 90 days")))
+    requests = own.select(n.alias("request_id"), "store_id", (F.col("received_at") + seconds(n % 50)).alias("requested_at"))
+    t = lambda x: lit(x).cast("timestamp_ntz")
+    r = F.col("r_regionkey")
+    stores = c.table(s, d, "region").select(
+        r.alias("store_id"), F.when(r == 4, "PAUSED").otherwise("ACTIVE").alias("status"), F.when(r == 1, t("2024-01-10")).otherwise(t("2023-12-01")).alias("installed_at"), F.array(lit("read_customer_events")).alias("scopes"), lit("ACTIVE").alias("installation_status"),
+        F.when(r != 2, "ACTIVE").alias("ads_status"), F.array(lit("ads_management")).alias("ads_scopes"), F.array(lit("act_0"), lit("act_3")).alias("ads_accounts"), F.when(r == 3, t("2024-01-20")).alias("token_expires_at"),
+    )
+    m = F.col("n_nationkey")
+    destinations = c.table(s, d, "nation").select(
+        m.alias("destination_id"), (m % 5).alias("store_id"), F.when(m % 4 == 3, "TIKTOK").otherwise("META").alias("provider"), lit("ACTIVE").alias("status"), (m % 6 != 5).alias("browser_events"), lit(True).alias("funnel_events"),
+        F.when(m % 8 == 6, "SHARED").otherwise("EXCLUSIVE").alias("overlap_policy"), F.when(m % 9 == 1, "SHADOW").alias("delivery_mode"), F.when(m % 2 == 0, "META_CONNECTION").alias("auth_source"), F.concat(lit("act_"), m % 4).alias("ad_account_id"),
+    )
+    gone = own.where("event_id % 50 = 0").select("store_id", F.when(n % 100 == 0, F.concat(lit("visitor:"), "visitor_id")).otherwise(F.concat(lit("session:"), "session_id")).alias("scope_key"), F.col("event_at").alias("revoked_before"))
+    asked = own.where(F.col("event_name").isin(*delivery.BROWSER_EVENTS)).select(n.alias("conversion_id"), "event_at", "session_id", "visitor_id")
+    routes = delivery.routing(asked, own, since=t("2024-01-02")).select(F.col("conversion_id").alias("event_id"), F.explode(F.split("eligible_providers", ",")).alias("provider"))
+    return delivery.permitted_browser_pairs(requests, own, destinations, stores, gone, routes)
 
 
 QUERIES = {
@@ -365,7 +497,7 @@ QUERIES = {
     "O-45_last_clicks": last_clicks,
     "O-50_consented_events": consented,
     "O-147_landing_pages": landing_pages,
-    "O-75_adset_evidence": lambda s, d: ads.entity_evidence(c.ad_daily(s, d), "campaign_id"),
+    "O-75_adset_evidence": lambda s, d: ads.entity_evidence(c.ad_daily(s, d), "group_id"),
     "O-90_net_revenue_totals": lambda s, d: rounded(eco.net_revenue_totals(c.period_lines(s, d)), net_revenue=2),
     "O-93_latest_levels": stock_levels,
     "O-101_daily_trend": lambda s, d: eco.daily_trend(c.period_orders(s, d).where("period = 'CURRENT'"), c.ad_daily(s, d).where("period = 'CURRENT'"), date_spine(s, c.CURRENT), "EUR"),
@@ -384,6 +516,7 @@ QUERIES = {
     "O-109_leaderboard": lambda s, d: rounded(commerce.leaderboard(metrics(s, d), 25), net_revenue=2, net_revenue0=2, net_revenue_change=6),
     "O-120_behavior_daily": lambda s, d: cube(s, d),
     "O-102_store_behavior": lambda s, d: behavior(s, d, "STORE"),
+    "O-102_collection_behavior": lambda s, d: behavior(s, d, "COLLECTION"),
     "O-140_landing_page_drops": lambda s, d: behavior(s, d, "LANDING_PAGE"),
     "O-180_storefront_evidence": lambda s, d: storefront.behavior_evidence(behavior(s, d, "PRODUCT")),
     "O-182_insight_changes": lambda s, d: storefront.insight_changes(behavior(s, d, "STORE")),
@@ -392,7 +525,8 @@ QUERIES = {
     "O-121_attribution": attribution,
     "O-103_attribution_sources": lambda s, d: workspaces.attribution_list(attribution(s, d), "SOURCE", events_period(F.col("day"))),
     "O-81_attribution_health": lambda s, d: storefront.attribution_health(attribution(s, d)),
-    "O-123_target_evidence": lambda s, d: storefront.target_evidence(touch(s, d), products_seen(s, d), sessions(s, d)),
+    "O-119_session_collections": collections_seen,
+    "O-123_target_evidence": target_evidence,
     "O-124_source_paths": lambda s, d: storefront.path_daily(storefront.source_paths(touch(s, d), sessions(s, d))),
     "O-174_first_touch_sources": lambda s, d: storefront.first_touch_sources(touch(s, d), products_seen(s, d)),
     "O-116_accepted_events": late_events,
@@ -420,6 +554,7 @@ QUERIES = {
     "O-91_store_summary": lambda s, d: workspaces.store_summary(c.table(s, d, "part"), c.period_orders(s, d).where("period = 'CURRENT'")),
     "O-92b_variant_sales": lambda s, d: rounded(commerce.variant_sales(c.period_lines(s, d).where("period = 'CURRENT'")), gross=2, refunds=2, net=2),
     "O-12_product_search": searched,
+    "O-12_short_search": all_found,
     "O-165_stock_states": lambda s, d: stock_cover(s, d).select("product_id", commerce.stock_state(F.col("available"), F.lit(True), F.col("units_per_day"), lead_days=10, low_stock=5).alias("stock_state")),
     "O-58_recent_orders": lambda s, d: workspaces.recent_orders(c.orders(s, d), c.lines(s, d), 6),
     "W-02_dashboard": lambda s, d: rounded(workspaces.dashboard(blended(s, d), eco.with_reorder_state(stock_cover(s, d))), order_value=2, mer=6),
@@ -433,15 +568,15 @@ QUERIES = {
     "O-96_delivery_funnel": lambda s, d: delivery.funnel(c.events(s, d).withColumn("consented", F.col("event_id") % 6 != 0), deliveries(s, d)),
     "O-97_purchase_states": lambda s, d: delivery.purchase_states(bought(s, d).select("event_id"), deliveries(s, d)),
     "O-98_first_seen_touches": lambda s, d: delivery.first_seen(touch(s, d), F.lit("2024-01-05").cast("timestamp_ntz")),
-    "O-169_delivery_health": lambda s, d: delivery.health(deliveries(s, d)),
+    "O-169_delivery_health": health,
     "O-161_customer_match": matched_customers,
     "O-163_purchase_eligibility": lambda s, d: bought(s, d).select("event_id", delivery.eligibility(source=F.when(F.col("k") % 9 == 0, "pos").otherwise("web"), is_test=F.col("k") % 10 == 1, is_b2b=F.col("k") % 11 == 2, cancelled=F.col("k") % 12 == 3, linked=F.col("order_linked"), has_facts=F.lit(True), before_install=F.col("event_at") < F.lit("2024-01-03").cast("timestamp_ntz"), value=F.col("k")).alias("reason")).groupBy("reason").agg(F.count("*").alias("orders")),
     "O-192_enqueued": lambda s, d: delivery.enqueued(bought(s, d).select("event_id"), deliveries(s, d), ["META", "TIKTOK", "GOOGLE_ADS"]),
     "O-49_undelivered": lambda s, d: bought(s, d).join(deliveries(s, d).where("status = 'DELIVERED'"), F.col("event_id") == F.col("source_event_id"), "left_anti").groupBy("source").agg(F.count("*").alias("orders")),
-    "O-54_or_key_pairs": lambda s, d: or_key_join(gapped(s, d).where("event_id % 40 = 1").select("event_id", "session_id", "visitor_id"), sessions(s, d).select(F.col("session_id").alias("sid"), F.col("visitor_id").alias("vid"), "started_at"), [("session_id", "sid"), ("visitor_id", "vid")]).groupBy("event_id").agg(F.count("*").alias("sessions")),
+    "O-54_or_key_counts": lambda s, d: or_key_counts(gapped(s, d).select("event_id", "session_id", "visitor_id"), sessions(s, d).select(F.col("session_id").alias("sid"), F.col("visitor_id").alias("vid")), ("session_id", "sid"), ("visitor_id", "vid"), "sessions").select("event_id", "sessions"),
     "O-33_selected_accounts": lambda s, d: c.ad_daily(s, d).where(selected(F.col("account_id"), [1, 3])).groupBy("account_id").agg(F.count("*").alias("facts")),
     "O-36_keyset": lambda s, d: delivery.after_key(c.events(s, d), ["received_at", "event_id"], [F.lit("2024-01-15").cast("timestamp_ntz"), F.lit(100)]).groupBy("event_name").agg(F.count("*").alias("events")),
-    "O-51_still_shared": lambda s, d: delivery.still_shared(c.events(s, d).withColumn("shared", F.col("k") % 10 != 0), "visitor_id").groupBy("event_name").agg(F.count("*").alias("events")),
+    "O-51_still_shared": lambda s, d: delivery.still_shared(gapped(s, d).withColumn("shared", F.col("k") % 100 != 0), ["session_id", "visitor_id"]).groupBy("event_name").agg(F.count("*").alias("events")),
     "O-46_latest_runs": lambda s, d: delivery.latest_runs(c.table(s, d, "orders").select((F.col("o_custkey") % 50).alias("connection_id"), F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderstatus") == "F", "SUCCEEDED").otherwise("FAILED").alias("status"))),
     "O-136_numbers": lambda s, d: c.table(s, d, "part").select(F.col("p_partkey").alias("product_id"), numeric(F.when(F.col("p_partkey") % 3 == 0, "x").when(F.col("p_partkey") % 3 == 1, F.col("p_size").cast("string"))).alias("n")),
     "O-138_rate_points": lambda s, d: eco.period_changes(behavior(s, d, "STORE"), ["conversion_rate"], ["key"]).select("key", point_change(F.col("conversion_rate"), F.col("conversion_rate0")).alias("points")),
@@ -450,14 +585,18 @@ QUERIES = {
     "O-22_delete_missing": lambda s, d: sinks.delete_missing(c.table(s, d, "part").select(F.col("p_partkey").alias("k"), "p_size"), c.table(s, d, "part").where("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("k")), ["k"], F.col("p_size") < 25).select("k"),
     "O-153_normalized_text": lambda s, d: c.table(s, d, "part").select(F.col("p_partkey").alias("product_id"), web.normalized_text(F.concat_ws(" -- ", F.col("p_name"), F.lit("50% Off!"), F.col("p_brand"))).alias("text")),
     "O-156_catalog_items": lambda s, d: mapping.resolve_catalog_items(*mapping_fixture(s, d)),
-    "O-158_text_suggestions": lambda s, d: mapping.text_suggestions(c.table(s, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("ad_id"), F.concat(F.lit("New: "), F.element_at(F.array(*map(F.lit, ["Brand#11", "Brand#23", "Brand#35"])), (F.col("c_custkey") % 3 + 1).cast("int")), F.lit(" sale "), F.col("c_custkey") % 7).alias("text")), c.table(s, d, "part").select("p_brand").distinct().select(F.col("p_brand").alias("title"))),
-    "O-160_pixel_mappings": lambda s, d: rounded(mapping.pixel_mappings(storefront.target_evidence(touch(s, d), products_seen(s, d), sessions(s, d)), c.mappings(s, d)), confidence=6),
-    "O-150_routing": lambda s, d: delivery.routing(touch(s, d)),
+    "O-158_text_suggestions": suggestions,
+    "O-155_provider_ids": json_ids,
+    "O-160_pixel_mappings": lambda s, d: rounded(mapping.pixel_mappings(target_evidence(s, d).where("target = 'PRODUCT'").select(F.col("ad_id").cast("long").alias("ad_id"), F.col("target_id").cast("long").alias("product_id"), "interacted_sessions", "viewed_sessions", "purchase_sessions"), c.mappings(s, d)), confidence=6),
+    "O-150_routing": routed,
     "O-126_dirty_days": dirty_days,
-    "O-130_invalidated_sessions": lambda s, d: storefront.invalidated_sessions(products_seen(s, d), touch(s, d), c.table(s, d, "part").where("p_partkey in (3, 4)").select(F.col("p_partkey").alias("product_id")), s.createDataFrame([(8,), (16,)], "ad_id long")),
+    "O-130_invalidated_sessions": invalidated,
+    "O-130_changed_ads": changed_ads,
+    "O-44_versioned_costs": versioned_costs,
+    "O-170_browser_pairs": browser_pairs,
     "O-191_contents": contents,
     "O-133_keyset_sweep": lambda s, d: delivery.swept(c.events(s, d).select("received_at", "event_id", "event_name"), ["received_at", "event_id"], [F.lit("2024-01-20").cast("timestamp_ntz"), F.lit(0)], 100),
-    "O-135_retries": lambda s, d: bought(s, d).select("event_id", delivery.retry_at(F.col("event_at"), F.col("k") % 20).alias("next_try_at")),
+    "O-135_retries": retries,
     "O-59_within_connection": lambda s, d: delivery.within_connection(c.events(s, d).withColumn("store_id", F.col("visitor_id") % 3), s.createDataFrame([(0, "2024-01-05"), (1, "2024-01-25")], "store_id long, t string").select("store_id", F.col("t").cast("timestamp_ntz").alias("installed_at"))).groupBy("store_id", "event_name").agg(F.count("*").alias("events")),
     "O-184_accounts_in_scope": lambda s, d: ads.in_scope(c.ad_daily(s, d).select("account_id", "provider", "currency").distinct(), provider="META", selected=[0, 1, 3], entitled=["META", "TIKTOK"]),
     "O-129_linked_orders": linked_orders,
@@ -467,6 +606,6 @@ QUERIES = {
     "O-38_json_counts": lambda s, d: c.table(s, d, "events").where(F.get_json_object("props", "$.k") == "7").groupBy("event_type").agg(F.count("*").alias("events")),
     "O-52_delivery_grid": lambda s, d: delivery.purchase_states(bought(s, d).select("event_id"), deliveries(s, d), ("META", "PINTEREST")),
     "O-151_touch_resolutions": lambda s, d: resolved(s, d).groupBy("resolution").agg(F.count("*").alias("touches")),
-    "O-152_best_resolutions": lambda s, d: storefront.best_resolution(resolved(s, d), "visitor_id"),
+    "O-152_worst_resolutions": lambda s, d: storefront.worst_resolution(resolved(s, d), "visitor_id"),
     "O-47_store_health": store_health,
 }

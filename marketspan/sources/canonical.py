@@ -97,13 +97,31 @@ EVENTS_CURRENT, EVENTS_COMPARISON = ("2024-01-16", "2024-01-31"), ("2024-01-01",
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Storefront events; pages, products, ads and orders are derived from the numbers in the table."""
+    """Storefront events; pages, products, collections, ads and orders are derived from the numbers in the table."""
     e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
     k, kind, lit = F.col("k"), F.col("event_type"), F.lit
-    name = F.when(kind == "view", "PRODUCT_VIEW").when((kind == "click") & (k % 3 == 0), "CART_VIEW").when(kind == "click", "ADD_TO_CART").when(kind == "signup", "BEGIN_CHECKOUT").when(kind == "purchase", "CHECKOUT_COMPLETED").otherwise("PAGE_VIEW")
+    name = F.when((kind == "view") & (k % 5 == 1), "COLLECTION_VIEW").when(kind == "view", "PRODUCT_VIEW").when((kind == "click") & (k % 3 == 0), "CART_VIEW").when(kind == "click", "ADD_TO_CART").when(kind == "signup", "BEGIN_CHECKOUT").when(kind == "purchase", "CHECKOUT_COMPLETED").otherwise("PAGE_VIEW")
     source = F.when(k % 4 == 0, "META").when(k % 4 == 1, "GOOGLE").when(k % 4 == 2, "DIRECT").otherwise("UNKNOWN")
     page = F.when(k % 5 == 0, "https://shop.example/").when(k % 5 == 1, F.concat(lit("https://shop.example/collections/c"), k % 3)).when(k % 5 == 2, F.concat(lit("https://shop.example/products/p"), k % 20)).when(k % 5 == 3, "https://shop.example/pages/about?x=1").otherwise(F.concat(lit("https://shop.example/account/"), k))
     return e.select(
         "event_id", F.col("ts").alias("event_at"), (F.col("ts") + F.make_dt_interval(lit(0), lit(0), (F.col("event_id") % 10).cast("int"))).alias("received_at"), F.col("user_id").alias("visitor_id"), name.alias("event_name"), source.alias("source"),
-        F.when(name.isin("PRODUCT_VIEW", "ADD_TO_CART"), k % 20).alias("product_id"), page.alias("page_url"), F.when(k % 8 == 0, k).alias("ad_id"), ((name == "CHECKOUT_COMPLETED") & (F.col("event_id") % 4 != 0)).alias("order_linked"), k.alias("k"),
+        F.when(name.isin("PRODUCT_VIEW", "ADD_TO_CART"), k % 20).alias("product_id"), page.alias("page_url"), F.when(name == "COLLECTION_VIEW", k % 3).alias("collection_id"), F.when(k % 8 == 0, k).alias("ad_id"), ((name == "CHECKOUT_COMPLETED") & (F.col("event_id") % 4 != 0)).alias("order_linked"), k.alias("k"),
     )
+
+
+def storefront_order_lines(events: DataFrame) -> DataFrame:
+    """(session_id, product_id) of the order that a session's last linked checkout made; the tables have no lines of these orders, so two products are derived."""
+    at = F.struct("event_at", "event_id")
+    last = events.where("order_linked").groupBy("session_id").agg(F.max_by("k", at).alias("k"))
+    return last.select("session_id", F.explode(F.array_distinct(F.array(F.col("k") % 20, (F.col("k") + 7) % 20))).alias("product_id"))
+
+
+def landing_signals(events: DataFrame) -> DataFrame:
+    """Events as they would be with click ids, utm values and ids in their links, derived from the numbers in the table."""
+    k, lit, none = F.col("k"), F.lit, F.lit(None).cast("string")
+    named = lambda mark, n: F.when(k % n == 0, F.concat(lit(mark), k))
+    of = lambda n, *x: F.get(F.array(*map(lit, x)), (k % n).cast("int"))
+    return events.withColumns({
+        "meta_click": named("m", 11), "tiktok_click": named("t", 13), "google_click": named("g", 17), "utm_source": of(6, "facebook", "google", "tiktok", "klaviyo"), "utm_medium": of(5, "cpc", "paid_social", "organic", "email"),
+        "utm_campaign": F.concat(lit("c"), k % 3), "utm_content": none, "meta_campaign": none, "meta_group": none, "meta_ad": named("a", 8), "tiktok_campaign": none, "tiktok_group": none, "tiktok_ad": named("b", 19),
+    })

@@ -1,8 +1,10 @@
-"""Keyed writes over Parquet tables: each gives the table's new state, which the caller writes."""
+"""Keyed writes over Parquet tables: the table's new state as a frame, or a table in buckets of which a write touches only some."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import top1_by
@@ -53,3 +55,82 @@ def dual_write(batch: DataFrame, native_path: str, canonical_path: str, hierarch
         replace_days(batch.join(hierarchy, "external_id").drop("external_id"), canonical_path, "date")
     finally:
         batch.unpersist()
+
+
+class KeyedTable:
+    """A table of rows under keys, in as many folders as ``buckets``; a row's folder follows from its key.
+
+    A write reads and replaces only the folders that its keys fall into; the others keep their files.
+    Folders are replaced as the job commits, so a lost executor or a repeated batch
+    leaves the state before or after the write: of equal versions the change wins, and it is the same change.
+    Give as many buckets as make folders of some hundred MB.  One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], version: str, buckets: int = 64):
+        self.spark, self.path, self.keys, self.version, self.buckets = spark, path, keys, version, buckets
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+
+    def exists(self) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def read(self, schema=None) -> DataFrame:
+        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
+        return reader.parquet(self.path).drop("_bucket")
+
+    def _replace(self, rows: DataFrame) -> None:
+        rows.repartition("_bucket").sortWithinPartitions("_bucket", *self.keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(self.path)
+
+    def _touched(self, changes: DataFrame, change: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        """Replaces the buckets of the changes' keys by what ``change`` makes of their rows; emptied ones keep no rows but one empty file."""
+        marked = changes.withColumn("_bucket", self._bucket()).persist()
+        try:
+            touched = [r[0] for r in marked.select("_bucket").distinct().collect()]  # at most ``buckets`` numbers
+            if not touched:
+                return
+            if not self.exists():
+                now = marked.limit(0)
+            else:
+                now = self.spark.read.parquet(self.path).where(F.col("_bucket").isin(touched))
+            left = change(now.drop("_bucket"), marked.drop("_bucket")).withColumn("_bucket", self._bucket()).persist()
+            try:
+                kept = {r[0] for r in left.select("_bucket").distinct().collect()}
+                self._replace(left)
+                for gone in set(touched) - kept:
+                    path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_bucket={gone}")
+                    path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            finally:
+                left.unpersist()
+        finally:
+            marked.unpersist()
+
+    def upsert(self, changes: DataFrame) -> None:
+        """The latest version of each key, in the buckets of the changes."""
+        self._touched(changes, lambda now, new: upsert(now, new, self.keys, self.version))
+
+    def delete(self, keys: DataFrame) -> None:
+        """Drops the rows of these keys."""
+        self._touched(keys.select(*self.keys).distinct(), lambda now, gone: now.join(gone, self.keys, "left_anti"))
+
+    def batches(self) -> Callable[[DataFrame, int], None]:
+        """For foreachBatch: each batch's rows as changes; a batch that comes again changes nothing."""
+        return lambda batch, _: self.upsert(batch)
+
+
+def dual_upsert(native: KeyedTable, canonical: KeyedTable, project: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: a batch's rows into the native table, and what ``project`` makes of them into the canonical one.
+
+    Both writes are repeated as one if either fails, and neither counts a row twice.
+    """
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.persist()
+        try:
+            native.upsert(batch)
+            canonical.upsert(project(batch))
+        finally:
+            batch.unpersist()
+
+    return write

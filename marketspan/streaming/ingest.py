@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.storefront import FUNNEL_COLUMNS, accepted, behavior_daily, materialize_sessions, session_products
@@ -52,12 +52,14 @@ def dirty_days(before: DataFrame, after: DataFrame, purchases: DataFrame, days:
     """Days to rebuild after sessions changed: where they start now, where they did, and those of later purchases of their visitors.
 
     before, after: (session_id, visitor_id, started_at); purchases: (visitor_id,
-    purchased_at), which look back ``days`` days.  Visitors are reduced to the first
-    day that changed, so a visitor of many sessions meets its purchases once.
+    purchased_at), which look back ``days`` days.  Both are reduced to a visitor's distinct days, over which one
+    running maximum finds the last change before each purchase.
     """
     moved = before.select("visitor_id", F.to_date("started_at").alias("day")).union(after.select("visitor_id", F.to_date("started_at").alias("day"))).distinct()
-    spread = moved.select("visitor_id", F.explode(F.sequence("day", F.date_add("day", days))).alias("day")).distinct()
-    later = purchases.select("visitor_id", F.to_date("purchased_at").alias("day")).distinct().join(spread, ["visitor_id", "day"])
+    bought = purchases.select("visitor_id", F.to_date("purchased_at").alias("day")).distinct()
+    both = moved.withColumn("_moved", F.col("day")).unionByName(bought.withColumn("_moved", F.lit(None).cast("date")))
+    last = F.max("_moved").over(Window.partitionBy("visitor_id").orderBy("day").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    later = both.withColumn("_last", last).where(F.col("_moved").isNull() & (F.date_diff("day", "_last") <= days))
     return moved.select("day").union(later.select("day")).distinct()
 
 

@@ -1,12 +1,12 @@
 """Null and edge rules on hand-made rows."""
 
-from datetime import date, datetime, timezone
+from datetime import date, datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
 from marketspan.functions import dates, exprs, web
-from marketspan.operators import advertising, commerce, delivery, joins, mapping, rules, storefront
+from marketspan.operators import advertising, changes, commerce, delivery, joins, mapping, rules, storefront, textindex
 from marketspan.sources import sinks
 from marketspan.streaming import ingest
 
@@ -39,10 +39,65 @@ def test_line_refunds_are_capped_and_removals_count(spark):
 
 
 def test_asof_takes_the_latest_start_and_excludes_the_end(spark):
-    left = spark.createDataFrame([(1, 5), (1, 10), (1, 1), (2, 5)], "k int, t int")
-    right = spark.createDataFrame([(1, 2, 10, "a"), (1, 4, None, "b"), (1, 10, 11, "c")], "k int, f int, u int, v string")
+    t = lambda x: None if x is None else datetime(2024, 1, 1, 0, x)
+    left = spark.createDataFrame([(1, t(5)), (1, t(10)), (1, t(1)), (2, t(5)), (1, None), (None, t(5))], "k int, t timestamp_ntz")
+    right = spark.createDataFrame([(1, t(2), t(10), "a"), (1, t(4), None, "b"), (1, t(10), t(11), "c"), (1, t(9), t(9), "never"), (None, t(1), None, "no key"), (1, None, None, "no start")], "k int, f timestamp_ntz, u timestamp_ntz, v string")
     got = joins.asof_join(left, right, on=["k"], at="t", begins="f", ends="u", take=["v"])
-    assert sorted((r.k, r.t, r.v) for r in got.collect()) == [(1, 1, None), (1, 5, "b"), (1, 10, "c"), (2, 5, None)]
+    assert sorted(((r.k, r.t, r.v) for r in got.collect()), key=str) == sorted([(1, t(1), None), (1, t(5), "b"), (1, t(10), "c"), (2, t(5), None), (1, None, None), (None, t(5), None)], key=str)
+
+
+def test_asof_with_nested_versions(spark):
+    """Versions inside of each other, over days and years, against every pair."""
+    import random
+
+    rng, day = random.Random(4), datetime(2024, 1, 1)
+    at = lambda: day + timedelta(seconds=rng.choice([60, 3600, 86400]) * rng.randint(-400, 400))
+    versions = [(k % 3, b, rng.choice([None, b + timedelta(minutes=rng.choice([1, 300, 40_000, 900_000]))]) if k % 20 == 0 else b + timedelta(minutes=rng.choice([1, 300, 40_000])), k) for k in range(120) for b in [at()]]
+    times = [(k % 4, at(), k) for k in range(300)]
+    got = joins.asof_join(spark.createDataFrame(times, "k int, t timestamp_ntz, n int"), spark.createDataFrame(versions, "k int, f timestamp_ntz, u timestamp_ntz, v int"), on=["k"], at="t", begins="f", ends="u", take=["v"])
+    end = datetime(9999, 1, 1)
+    best = lambda k, t: max(((f, u or end, v) for k2, f, u, v in versions if k2 == k and f <= t and (u is None or u > t)), default=(0, 0, None))[2]
+    assert {r.n: r.v for r in got.collect()} == {n: best(k, t) for k, t, n in times}
+
+
+def test_asof_with_many_versions_of_one_key(spark):
+    """The rows that joins and windows see are in proportion to versions plus times, not to their product."""
+    n = 10_000
+    versions = spark.range(n).selectExpr("1 k", "timestamp_ntz'2020-01-01' + make_dt_interval(0, 0, cast(id as int) * 10) f", "timestamp_ntz'2020-01-01' + make_dt_interval(0, 0, cast(id as int) * 10 + 9) u", "id v")
+    times = spark.range(n).selectExpr("1 k", "timestamp_ntz'2020-01-01' + make_dt_interval(0, 0, cast(id as int) * 10 + cast(id as int) % 10) t", "id n")
+    got = joins.asof_join(times, versions, on=["k"], at="t", begins="f", ends="u", take=["v"])
+    got.collect()
+    wrong = got.where("not (v <=> if(n % 10 = 9, null, n))").count()
+    plan = got._jdf.queryExecution().executedPlan()
+    most, stack = 0, [plan]
+    while stack:
+        node = stack.pop()
+        rows = node.metrics().get("numOutputRows")
+        if rows.isDefined():
+            most = max(most, rows.get().value())
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            stack.append(node.executedPlan())
+        elif node.getClass().getSimpleName().endswith("QueryStageExec"):
+            stack.append(node.plan())
+        children = node.children()
+        stack += [children.apply(k) for k in range(children.size())]
+    assert wrong == 0 and 0 < most < 10 * n
+
+
+def test_band_join(spark):
+    t = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    left = [(k % 2, k, t(37 * k)) for k in range(60)] + [(None, 99, t(0)), (0, 98, None)]
+    right = [(k % 2, k, t(23 * k + 0.5)) for k in range(100)] + [(0, 200, t(37 * 4 - 60)), (0, 201, t(37 * 4 + 5))]
+    got = joins.band_join(spark.createDataFrame(left, "k int, a int, t timestamp_ntz"), spark.createDataFrame(right, "k int, b int, u timestamp_ntz"), on=["k"], at="t", when="u", before=60, after=5)
+    assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
+    want = [(a, b) for k, a, x in left for k2, b, y in right if k is not None and k == k2 and x is not None and -60 <= (y - x).total_seconds() <= 5]
+    assert sorted((r.a, r.b) for r in got.collect()) == sorted(want) and (4, 200) in want and (4, 201) in want
+
+
+def test_or_key_counts(spark):
+    a = spark.createDataFrame([(1, "s", "v"), (2, "s", None), (3, None, "v"), (4, "q", "q"), (1, "s", "v")], "i int, s string, v string")
+    b = spark.createDataFrame([(7, "s", "v"), (8, "x", "v"), (9, None, "v"), (10, None, None), (11, "s", None)], "j int, s2 string, v2 string")
+    assert sorted((r.i, r.n) for r in joins.or_key_counts(a, b, ("s", "s2"), ("v", "v2"), "n").collect()) == [(1, 4), (1, 4), (2, 2), (3, 3), (4, 0)]
 
 
 def test_or_keys_join_once(spark):
@@ -104,7 +159,7 @@ def test_attribution_of_one_visitor_with_many_events(spark):
     """A bot's purchases and touches meet by day, not all with all."""
     n = 3000
     sessions = spark.range(n).selectExpr("concat('s', id) session_id", "7 visitor_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, cast(id as int) * 20) started_at").withColumn("ended_at", F.col("started_at")).withColumn("checkout_completed_at", F.col("started_at")).withColumn("linked_purchase", F.lit(True))
-    t = sessions.selectExpr("session_id", "visitor_id", "started_at touched_at", "1 ordinal", "concat('S', cast(substr(session_id, 2) as int) % 3) source", "cast(null as int) ad_id")
+    t = sessions.selectExpr("session_id", "visitor_id", "started_at session_started_at", "started_at touched_at", "1 ordinal", "concat('S', cast(substr(session_id, 2) as int) % 3) source", "cast(null as int) ad_id")
     total = storefront.attribution(sessions, t).agg(F.sum("last_touch"), F.sum("first_touch"), F.sum("touched_sessions")).first()
     assert list(total) == [n, n, n]
 
@@ -245,13 +300,38 @@ def test_ad_targets_and_ids(spark):
     assert got == {1: ("PRODUCT", 1.0, "q"), 2: ("MULTI_PRODUCT", 0.95, None), 3: ("COLLECTION", 0.95, "c"), 4: ("UNKNOWN", 0.0, None)}
     j = spark.createDataFrame([('{"a": [{"Product_ID": 7}, {"x": {"sku": "S-1"}}], "item_ids": ["3", 4], "other": 9}',), (None,)], "j string")
     assert [r.ids for r in mapping.provider_ids(j, "j").collect()] == [["3", "4", "7", "S-1"], None]
+    deep = ['{"note": "\\"sku\\": \\"no\\" {[", "a": {"b": [{"c": {"d": [{"SKU": "deep"}]}}]}}', '{"sku": ["a", ["nested"], {"sku": " b "}, true, null, ""], "product_ids": {"sku_id": 5}}', "[[[[[1]]]]]", "no json", "7", "{}", '[{"item_id": 1.5}, {"item_id": 1.5}]']
+    j = spark.createDataFrame(list(enumerate(deep)) + [(7, None), (8, "{}")], "n int, j string")
+    assert [r.ids for r in mapping.provider_ids(j, "j").orderBy("n").collect()] == [["deep"], ["5", "a", "b"], [], None, [], [], ["1.5"], None, []]
+    with pytest.raises(Exception, match="deeper"):
+        mapping.provider_ids(j, "j", depth=3).collect()
     assert one(spark, mapping.compatible_form(F.lit("ﬁ①")))[0] == "fi1"
 
 
-def test_text_suggestions_need_whole_words(spark):
-    ads = spark.createDataFrame([(1, "Red Shoe"), (2, "The red-shoe, now!"), (3, "red shoes")], "ad_id int, text string")
-    got = mapping.text_suggestions(ads, spark.createDataFrame([("Red shoe",), ("red",)], "title string"))
-    assert sorted((r.ad_id, r.title, r.confidence) for r in got.collect()) == [(1, "Red shoe", 0.75), (2, "Red shoe", 0.65)]
+def test_text_suggestions_contain_titles(spark):
+    ads = spark.createDataFrame([(1, "Red Shoe"), (2, "The red-shoe, now!"), (3, "hundred shoes"), (3, "red  SHOE"), (4, None), (5, "")], "ad_id int, text string")
+    got = mapping.text_suggestions(ads, spark.createDataFrame([("Red shoe",), ("red",), ("shoes",), (None,), ("now!",)], "title string"))
+    assert sorted((r.ad_id, r.title, r.confidence) for r in got.where("title <> 'now!'").collect()) == [(1, "Red shoe", 0.75), (2, "Red shoe", 0.65), (3, "Red shoe", 0.75), (3, "shoes", 0.65)]
+    many = spark.createDataFrame([(f"title {k}",) for k in range(9)], "title string")
+    assert [r.title for r in mapping.text_suggestions(spark.createDataFrame([(1, " ".join(f"title {k}" for k in range(9)))], "ad_id int, text string"), many).orderBy("place").collect()] == [f"title {k}" for k in range(5)]
+
+
+def test_containment_equals_all_pairs(spark):
+    import random
+
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("ab ") for _ in range(n))
+    needles, texts = sorted({word(rng.randint(0, 7)) for _ in range(120)}), sorted({word(rng.randint(0, 40)) for _ in range(150)})
+    got = textindex.contained(spark.createDataFrame([(x,) for x in [*needles, None]], "needle string"), spark.createDataFrame([(x,) for x in [*texts, None]], "text string"), needle="needle", text="text")
+    assert sorted((r.needle, r.text) for r in got.collect()) == sorted((a, b) for a in needles for b in texts if a and a in b)
+    assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
+
+
+def test_search_by_grams(spark):
+    p = spark.createDataFrame([(1, "Red shoe", "Acme"), (2, "Blue", None), (3, None, "red"), (4, "x", "y")], "product_id int, title string, vendor string")
+    v = spark.createDataFrame([(2, "SKU-RED-1"), (4, "z"), (4, None)], "product_id int, sku string")
+    find = lambda q: sorted(r.product_id for r in commerce.search(p, v, q, commerce.search_index(p, v)).collect())
+    assert (find("RED"), find("d s"), find("u"), find("nothing"), find("")) == ([1, 2, 3], [1], [2], [], [1, 2, 3, 4])
 
 
 def test_customer_matching(spark):
@@ -260,16 +340,44 @@ def test_customer_matching(spark):
     assert list(row) == ["a.b+c@gmail.com", "ab@gmail.com", None, "+49301234567", None]
 
 
+def test_keyed_identity_and_lists(spark):
+    import hashlib
+    import hmac
+
+    for secret in ("k", "x" * 64, "long" * 40, "schlüssel"):
+        row = one(spark, delivery.hmac_sha256(secret, F.lit("a ü \n")), delivery.customer_identity(secret, F.lit(7), F.lit("c\"1")))
+        assert list(row) == [hmac.new(secret.encode(), m.encode(), "sha256").hexdigest() for m in ("a ü \n", '["customer-v1","7","c\\"1"]')]
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    n, arr = (lambda x: F.lit(x).cast("string")), (lambda *x: F.array(*[F.lit(v).cast("string") for v in x]))
+    match = lambda **k: one(spark, *[v.alias(n) for n, v in delivery.customer_match(**(dict.fromkeys(("first_name", "last_name", "city", "region", "postal_code", "country", "external_id"), n(None)) | {"emails": arr(None), "phones": arr(None)} | k)).items()])
+    assert len(delivery.iso_countries()) > 240
+    got = match(emails=arr(" A@b.de", "a@B.de ", None, "no", *[f"u{k}@x.io" for k in range(12)]), phones=arr("+49 30 1", "+49 (30) 123456", "030 1"), first_name=n("Ann-Marie 2"), last_name=n("O'Neil"), city=n("St. Gallen"), region=n(" "), postal_code=n(" SW1 2-3 "), country=n(" NZ"), external_id=n("7"))
+    assert got.em == [sha("a@b.de"), *[sha(f"u{k}@x.io") for k in range(9)]] and got.ph == [sha("4930123456")] and got.tiktok_phone == sha("+4930123456")
+    assert (got.fn, got.ln, got.ct, got.st, got.zp, got.country, got.external_id) == (sha("annmarie"), sha("oneil"), sha("stgallen"), None, sha("sw12"), sha("nz"), sha("7"))
+    assert len(got.google_identifiers) == 10
+    got = match(emails=arr("a.b+c@gmail.com"), first_name=n("A"), last_name=n("B"), postal_code=n("1 a"), country=n("de"))
+    assert got.google_identifiers == [sha("ab@gmail.com"), f"{sha('a')}|{sha('b')}|DE|1 a"]
+    assert list(match(country=n("zz"))) == [[], [], None, None, None, None, None, None, None, None, None, [], False, False]
+
+
 def test_retries_and_sweeps(spark):
-    row = one(spark, delivery.retry_at(F.lit("2024-01-01").cast("timestamp_ntz"), F.lit(1)), delivery.retry_at(F.lit("2024-01-01").cast("timestamp_ntz"), F.lit(50)))
-    assert list(row) == [datetime(2024, 1, 1, 0, 2), datetime(2024, 1, 1, 6)]
+    t = lambda *x: datetime(2024, 1, 1, *x)
+    at, lit = F.lit("2024-01-01").cast("timestamp_ntz"), F.lit
+    waits = one(spark, *[delivery.retry_at(at, lit(a), lit(r), None if x is None else lit(x)) for a, r, x in ((0, 1.0, None), (1, 1.0, None), (2, 1.0, None), (2, 0.0, None), (9, 1.0, None), (50, 1.0, None), (1, 0.0, 90_000), (3, 1.0, 1000))])
+    assert list(waits) == [t(0, 1), t(0, 1), t(0, 2), t(0, 1), t(4, 16), t(4, 16), t(0, 1, 30), t(0, 4)]
+    drawn = one(spark, delivery.retry_at(at, lit(3)))[0]
+    assert t(0, 2) <= drawn <= t(0, 4)
+    asked = one(spark, *[delivery.retry_after_ms(lit(v).cast("string"), at) for v in ("120", " 1.5 ", "9999999", "Mon, 01 Jan 2024 00:01:00 GMT", "Sun, 31 Dec 2023 00:00:00 GMT", "soon", "", None, "-5")])
+    assert list(asked) == [120_000, 1500, 604_800_000, 60_000, None, None, None, None, None]
+    assert one(spark, delivery.delivery_deadline(at))[0] == datetime(2024, 1, 7, 23, 55)
+    assert list(one(spark, *[storefront.link_retry_at(at, lit(a)) for a in (0, 1, 2, 7, 9)])) == [t(0, 5), t(0, 5), t(0, 10), t(5, 20), t(6)]
     df = spark.createDataFrame([(1, 1), (1, 2), (2, 0)], "a int, b int")
     assert [tuple(r) for r in delivery.swept(df, ["a", "b"], [F.lit(1), F.lit(1)], 2).collect()] == [(1, 2), (2, 0)]
     assert [tuple(r) for r in delivery.swept(df, ["a", "b"], [F.lit(9), F.lit(1)], 1).collect()] == [(1, 1)]
 
 
 def test_links_contents_and_overrides(spark):
-    s = spark.sql("select 's' session_id, 'o1' order_ext, 3 attempts, timestamp_ntz'2024-01-01' received_at union all select 't', 'o2', 20, timestamp_ntz'2024-01-01'")
+    s = spark.sql("select 's' session_id, 'o1' order_ext, 3 attempts, timestamp_ntz'2024-01-01' tried_at union all select 't', 'o2', 20, timestamp_ntz'2024-01-01'")
     got = {r.session_id: (r.link_status, r.next_try_at) for r in storefront.linked_orders(s, spark.createDataFrame([("o1", 5)], "order_ext string, order_id int")).collect()}
     assert got == {"s": ("LINKED", None), "t": ("PENDING", datetime(2024, 1, 1, 6))}
     items = spark.createDataFrame([(1, "v", 2, 5.0), (1, "w", 1, 3.0), (1, "x", 1, 1.0)], "source_event_id int, variant_id string, quantity int, price double")
@@ -311,3 +419,139 @@ def test_windows():
     assert dates.preceding((date(2024, 1, 8), date(2024, 1, 15))) == (date(2024, 1, 1), date(2024, 1, 8))
     with pytest.raises(ValueError):
         dates.ranged_window(None, date(2024, 1, 1))
+
+
+TOUCH = {n: None for n in delivery.SIGNATURE}
+
+
+def route(spark, touches, **options):
+    """The routing of one conversion on January 31 by touches (days before it, values)."""
+    end = datetime(2024, 1, 31)
+    rows = [(end - timedelta(days=d), "s", "v", *(TOUCH | t).values()) for d, t in touches]
+    schema = "event_at timestamp_ntz, session_id string, visitor_id string, " + ", ".join(f"{n} string" for n in TOUCH)
+    made = spark.createDataFrame([(1, end, "s", "v")], "conversion_id int, event_at timestamp_ntz, session_id string, visitor_id string")
+    return delivery.routing(made, spark.createDataFrame(rows, schema), since=F.lit("2023-12-15").cast("timestamp_ntz"), **options).first()
+
+
+def test_routing_by_paid_touches(spark):
+    facebook = {"utm_source": "facebook", "utm_medium": "paid_social"}
+    r = route(spark, [(3, facebook | {"meta_click": "m"}), (2, {"google_click": "g"}), (1, facebook | {"meta_click": "m", "utm_campaign": "again"})])
+    assert (r.eligible_providers, r.paid_touches, r.reason, r.last_provider, r.last_basis) == ("GOOGLE_ADS,META", 2, "PAID_TOUCH_FOUND", "GOOGLE_ADS", "GOOGLE_CLICK")
+    # a click alone may decorate any link; with an id in the link it is paid
+    assert route(spark, [(1, {"meta_click": "m"})]).reason == "NO_PAID_TOUCH"
+    r = route(spark, [(1, {"meta_click": "m", "meta_ad": "7", "meta_campaign": "c"})])
+    assert (r.eligible_providers, r.last_ad, r.last_campaign) == ("META", "7", "c")
+    assert route(spark, [(1, {"utm_source": "tiktok", "utm_medium": "paid"})]).eligible_providers == "TIKTOK"
+
+
+def test_routing_refuses_what_is_ambiguous(spark):
+    two = route(spark, [(2, {"google_click": "g"}), (1, {"meta_click": "m", "tiktok_click": "t"})])
+    assert (two.eligible_providers, two.ambiguous_touches, two.reason, two.last_provider) == ("", 1, "AMBIGUOUS_TOUCH", None)
+    assert route(spark, [(1, {"google_click": "g", "utm_source": "facebook", "utm_medium": "cpc"})]).reason == "AMBIGUOUS_TOUCH"
+    assert route(spark, [(1, {"google_click": "g", "utm_source": "google", "utm_medium": "organic"})]).reason == "AMBIGUOUS_TOUCH"
+    assert route(spark, [(1, {"utm_source": "newsletter", "utm_medium": "email"})]).reason == "NO_PAID_TOUCH"
+
+
+def test_routing_window_and_limit(spark):
+    google = {"google_click": "g"}
+    # the first time of a signature counts: one that began before the window is out, one before the store's connection isn't seen
+    assert route(spark, [(31, google), (1, google)]).reason == "NO_PAID_TOUCH"
+    assert route(spark, [(60, google), (1, google)]).reason == "PAID_TOUCH_FOUND"
+    assert route(spark, [(-1, google)]).reason == "NO_PAID_TOUCH"
+    assert route(spark, []).reason == "NO_PAID_TOUCH"
+    many = route(spark, [(k, {"google_click": f"g{k}"}) for k in range(1, 5)], most=3)
+    assert (many.eligible_providers, many.paid_touches, many.reason) == ("", 0, "EVIDENCE_LIMIT_REACHED")
+
+
+def test_worst_resolution_stands_for_all(spark):
+    rows = [("a", "EXACT"), ("a", "PARTIAL"), ("b", "EXACT"), ("b", "NONE"), ("c", "UNRESOLVED"), ("c", "EXACT"), ("d", "CONFLICT"), ("d", "UNRESOLVED")]
+    got = storefront.worst_resolution(spark.createDataFrame(rows, "k string, resolution string"), "k").collect()
+    assert {r.k: r.resolution for r in got} == {"a": "PARTIAL", "b": "EXACT", "c": "UNRESOLVED", "d": "CONFLICT"}
+
+
+def test_confidence_needs_both_periods(spark):
+    n = lambda *x: advertising.entity_confidence(*[F.lit(v).cast("int") for v in x])
+    assert list(one(spark, n(1, 1000, 1, 1000), n(1, 1000, 1, 999), n(1, 999, 1, 1000), n(1, 5000, 0, 5000), n(1, 5000, None, None), n(0, 5000, 1, 5000), n(1, 99, 1, 5000))) == ["HIGH", "MEDIUM", "MEDIUM", "MEDIUM", "MEDIUM", "LOW", "LOW"]
+
+
+def test_delivery_health(spark):
+    at = lambda m: datetime(2024, 1, 31) - timedelta(minutes=m)
+    rows = [("META", "DELIVERED", None, False, 1, None)] * 45 + [("META", "DEAD", "REJECTED", False, 1, None)] * 5 + [("META", "SKIPPED", "SHADOW_MODE", False, 1, None), ("META", "SKIPPED", "NO_CONSENT", False, 1, None), ("META", "RETRY", "CONNECTION_REAUTH_REQUIRED", False, 1, at(9))]
+    rows += [("TIKTOK", "PENDING", None, False, 1, at(11)), ("TIKTOK", "PROCESSING", None, False, 1, at(-5)), ("TIKTOK", "DEAD", None, True, 1, None), ("TIKTOK", "DEAD", None, False, 31, None)]
+    made = spark.createDataFrame([(p, "PURCHASE", s, r, t, datetime(2024, 1, 31) - timedelta(days=d), n) for p, s, r, t, d, n in rows], "provider string, event_name string, status string, reason_code string, is_test boolean, created_at timestamp_ntz, next_attempt_at timestamp_ntz")
+    got = {r.provider: r for r in delivery.health(made, F.lit("2024-01-31").cast("timestamp_ntz")).collect()}
+    m, t, g = got["META"], got["TIKTOK"], got["GOOGLE_ADS"]
+    assert (m.eligible, m.acknowledged, m.shadow, m.excluded, m.retrying, m.terminal, m.acceptance_rate, m.alerts) == (52, 45, 1, 1, 1, 5, 45 / 52, "CREDENTIAL_RECONNECT_REQUIRED,DELIVERY_FAILURE_RATE")
+    assert (t.eligible, t.pending, t.terminal, t.acceptance_rate, t.alerts) == (2, 2, 0, 0.0, "DELIVERY_QUEUE_STALE") and (g.eligible, g.acceptance_rate, g.alerts) == (0, None, "")
+
+
+def test_paths_and_targets(spark):
+    """A visitor's journey over two sessions, a session without touches, and one without a visitor."""
+    d = lambda x, h: datetime(2024, 1, x, h)
+    rows = [("a", 1, d(1, 1), d(1, 2), None, False), ("b", 1, d(2, 1), d(2, 5), d(2, 4), True), ("c", 2, d(2, 1), d(2, 2), None, False), ("n", None, d(3, 1), d(3, 2), d(3, 2), True), ("old", 1, datetime(2023, 11, 1), datetime(2023, 11, 1), None, False)]
+    s = spark.createDataFrame(rows, "session_id string, visitor_id int, started_at timestamp_ntz, ended_at timestamp_ntz, checkout_completed_at timestamp_ntz, linked_purchase boolean")
+    touches = [("a", 1, d(1, 1), d(1, 1), 1, "META", 8), ("b", 1, d(2, 1), d(2, 1), 1, "META", None), ("b", 1, d(2, 1), d(2, 3), 2, "GOOGLE", 9), ("b", 1, d(2, 1), d(2, 5), 3, "LATE", None), ("n", None, d(3, 1), d(3, 1), 1, "META", 16), ("old", 1, datetime(2023, 11, 1), datetime(2023, 11, 1), 1, "OLD", None)]
+    t = spark.createDataFrame(touches, "session_id string, visitor_id int, session_started_at timestamp_ntz, touched_at timestamp_ntz, ordinal int, source string, ad_id int")
+    got = {(r.day, r.path): (r.sessions, r.purchase_sessions, r.cross_session, r.delay_ms, r.delays) for r in storefront.path_daily(storefront.source_paths(t, s)).collect()}
+    hour = 3600_000
+    assert got == {
+        (date(2024, 1, 1), "SESSION:META"): (1, 0, 0, 0, 0), (date(2024, 1, 2), "SESSION:META>GOOGLE"): (1, 1, 0, 0, 0), (date(2024, 1, 2), "JOURNEY:META>GOOGLE"): (0, 1, 1, 27 * hour, 1), (date(2024, 1, 2), "SESSION:UNKNOWN"): (1, 0, 0, 0, 0),
+        (date(2024, 1, 3), "SESSION:META"): (1, 1, 0, 0, 0), (date(2024, 1, 3), "JOURNEY:META"): (0, 1, 0, hour, 1), (date(2023, 11, 1), "SESSION:OLD"): (1, 0, 0, 0, 0),
+    }
+    credit = {(r.purchase_id, r.dimension, r.key): (r.is_first, r.is_last, r.is_assisted, r.single_touch, r.cross_session, r.delay_ms) for r in storefront.credits(s, t).collect()}
+    assert credit == {
+        ("b", "SOURCE", "META"): (True, False, True, False, True, 27 * hour), ("b", "META_AD", "8"): (True, False, True, False, True, 27 * hour), ("b", "SOURCE", "GOOGLE"): (False, True, False, False, True, 27 * hour),
+        ("n", "SOURCE", "META"): (True, True, False, True, False, hour), ("n", "META_AD", "16"): (True, True, False, True, False, hour),
+    }
+    products = spark.createDataFrame([("n", 5, 1, 0), ("n", 6, 0, 2), ("a", 5, 1, 1)], "session_id string, product_id int, views int, adds int")
+    seen = spark.createDataFrame([("n", "k", 2)], "session_id string, collection_id string, views int")
+    ordered = spark.createDataFrame([("n", 6), ("b", 5), ("n", 6)], "session_id string, product_id int")
+    rows = storefront.target_evidence(t, products, s, ordered=ordered, collections=seen).collect()
+    assert sorted((r.ad_id, r.target, r.target_id, r.interacted_sessions, r.viewed_sessions, r.cart_sessions, r.purchase_sessions, r.first_touch, r.last_touch, r.assisted) for r in rows) == [
+        ("16", "COLLECTION", "k", 1, 1, 0, 1, 1, 1, 0), ("16", "PRODUCT", "5", 1, 1, 0, 0, 0, 0, 0), ("16", "PRODUCT", "6", 1, 0, 1, 1, 1, 1, 0), ("8", "PRODUCT", "5", 1, 1, 1, 0, 0, 0, 0),
+    ]
+
+
+def test_snapshot_changes(spark):
+    schema = "ad_id int, campaign_id int, name string"
+    before = spark.createDataFrame([(1, 1, "a"), (2, 1, "b"), (3, 1, None), (4, 2, "d"), (5, 2, "e"), (7, None, "x|y")], schema)
+    after = spark.createDataFrame([(1, 1, "a"), (2, 2, "b"), (3, 1, ""), (5, 2, "e2"), (6, 2, "f"), (7, None, "x|y"), (7, None, "x|y")], schema)
+    got = changes.changed_keys(before, after, key="ad_id", parents=["campaign_id"], values=["name"])
+    assert {r.ad_id: r.change for r in got.collect()} == {2: "MOVED", 3: "CHANGED", 4: "DELETED", 5: "CHANGED", 6: "ADDED"}
+    renamed = spark.createDataFrame([(2,)], "campaign_id int")
+    below = changes.with_descendants(renamed, before.union(after).select("ad_id", "campaign_id"), key="ad_id", parent="campaign_id")
+    assert sorted(r.ad_id for r in below.collect()) == [2, 4, 5, 6]
+    named = spark.createDataFrame([("s", 1, 4), ("s", 9, 6), ("t", 3, 1), ("u", 5, 3), ("u", 7, None)], "session_id string, received_at int, ad_id int")
+    stale = changes.invalidated_sessions([(named, got, "ad_id")])
+    assert sorted(tuple(r) for r in stale.collect()) == [("s", 9), ("u", 5)]
+    marks = changes.reissued(spark.createDataFrame([("s", 3, "old"), ("z", 2, "old")], "session_id string, source_received_at int, generation string"), stale, "g2")
+    assert sorted((r.session_id, r.source_received_at) for r in marks.collect()) == [("s", 9), ("u", 5), ("z", 2)] and "old" not in {r.generation for r in marks.collect()}
+
+
+def test_browser_pairs(spark):
+    """One event that may be sent, and the same with each condition broken."""
+    now, ok = datetime(2024, 1, 31, 12), {"event_name": "PAGE_VIEW", "lag": 30, "arrived": 20, "shared": True, "consent_state": "GRANTED", "kept": 60}
+    broken = [{}, {"event_name": "SEARCH"}, {"lag": 61}, {"lag": -6, "arrived": 0}, {"arrived": 61}, {"arrived": -1}, {"shared": False}, {"consent_state": "DENIED"}, {"kept": 0}, {"lag": -5, "arrived": 0}]
+    rows = [(k, 1, *(ok | b).values()) for k, b in enumerate(broken)]
+    e = spark.createDataFrame(rows, "event_id int, store_id int, event_name string, lag int, arrived int, shared boolean, consent_state string, kept int")
+    t = F.lit(now)
+    ago = lambda c: t - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col(c).cast("decimal(18,6)"))
+    e = e.select("event_id", "store_id", "event_name", ago("lag").cast("timestamp_ntz").alias("event_at"), ago("arrived").cast("timestamp_ntz").alias("received_at"), F.col("event_id").alias("session_id"), F.lit(None).cast("int").alias("visitor_id"), "shared", "consent_state", (t + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("kept").cast("decimal(18,6)"))).cast("timestamp_ntz").alias("retention_expires_at"))
+    ask = spark.createDataFrame([(1, 1, now)], "request_id int, store_id int, requested_at timestamp_ntz")
+    dest = spark.sql("select 'd' destination_id, 1 store_id, 'META' provider, 'ACTIVE' status, true browser_events, true funnel_events, 'EXCLUSIVE' overlap_policy, cast(null as string) delivery_mode, 'META_CONNECTION' auth_source, 'a1' ad_account_id")
+    store = spark.sql("select 1 store_id, 'ACTIVE' status, timestamp_ntz'2024-01-01' installed_at, array('read_customer_events') scopes, 'ACTIVE' installation_status, 'ACTIVE' ads_status, array('ads_management') ads_scopes, array('a1') ads_accounts, cast(null as timestamp_ntz) token_expires_at")
+    none = spark.createDataFrame([], "store_id int, scope_key string, revoked_before timestamp_ntz")
+    routes = e.select("event_id", F.lit("META").alias("provider"))
+    ids = lambda requests=ask, events=e, destinations=dest, stores=store, withdrawals=none, routed=routes: sorted(r.event_id for r in delivery.permitted_browser_pairs(requests, events, destinations, stores, withdrawals, routed).collect())
+    assert ids() == [0, 9]
+    assert ids(routed=routes.where("event_id > 0")) == [9]
+    for column, value in (("status", "PAUSED"), ("provider", "TIKTOK"), ("browser_events", False), ("overlap_policy", "SHARED"), ("delivery_mode", "SHADOW"), ("ad_account_id", "a2")):
+        assert ids(destinations=dest.withColumn(column, F.lit(value))) == []
+    assert ids(destinations=dest.withColumn("auth_source", F.lit("TOKEN")), stores=store.withColumn("ads_accounts", F.array())) == [0, 9]
+    assert ids(stores=store.withColumn("installed_at", F.lit("2024-01-31 12:00:01").cast("timestamp_ntz"))) == []
+    for column, value in (("status", "PAUSED"), ("installation_status", "PAUSED"), ("ads_status", "EXPIRED")):
+        assert ids(stores=store.withColumn(column, F.lit(value))) == []
+    gone = lambda scope, lag: spark.createDataFrame([(1, scope, now - timedelta(seconds=lag))], none.schema)
+    assert ids(withdrawals=gone("session:0", 30)) == [9] and ids(withdrawals=gone("session:0", 31)) == [0, 9]
+    later = e.where("event_id = 0").select(F.lit(77).alias("event_id"), "store_id", F.lit("SEARCH").alias("event_name"), F.lit(now).cast("timestamp_ntz").alias("event_at"), "received_at", "session_id", "visitor_id", F.lit(False).alias("shared"), "consent_state", "retention_expires_at")
+    assert ids(events=e.union(later)) == [9]
