@@ -32,7 +32,7 @@ class ConsentDowngrade(StatefulProcessor):
 
         arrivals = [r.asDict() for r in rows]
         # of arrivals in one batch the first one counts, and any of them may withdraw
-        arrivals.sort(key=lambda r: (r["received_at"] is None, r["received_at"]))
+        arrivals.sort(key=lambda r: r["received_at"])
         known = self.first.get() if self.first.exists() else None
         row = pickle.loads(b64decode(known[0])) if known is not None else dict(arrivals[0])
         before = None if known is None else bool(row[self.shared])
@@ -41,7 +41,7 @@ class ConsentDowngrade(StatefulProcessor):
         if not allowed:
             row |= dict.fromkeys(self.covered)
         if known is None:
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + KEPT_MS)
+            self.handle.registerTimer(int(row["received_at"].timestamp() * 1000) + KEPT_MS)
         if known is None or before and not allowed:
             self.first.update((b64encode(pickle.dumps(row)).decode(),))
             yield Row(**{f.name: row[f.name] for f in self.schema.fields})
@@ -54,11 +54,12 @@ class ConsentDowngrade(StatefulProcessor):
         pass
 
 
-def permitted(events: DataFrame, withdrawals: DataFrame | None = None, *, installed_at=None, shared: str = "ad_sharing_allowed", covered: tuple[str, ...] = ()) -> DataFrame:
+def permitted(events: DataFrame, withdrawals: DataFrame | None = None, *, installed_at=None, shared: str = "ad_sharing_allowed", covered: tuple[str, ...] = (), late: str = "1 hour") -> DataFrame:
     """A stream of accepted events without repeats, except that a retry which withdraws sharing gives the event again, unshared.
 
     Sharing is refused too for events before the store's connection, and for those up
-    to a withdrawal of their visitor or session.  events: (event_id, event_at, received_at, session_id,
+    to a withdrawal of their visitor or session.  Arrivals may come ``late`` behind the newest one; an id is
+    forgotten 8 days after its first arrival.  events: (event_id, event_at, received_at, session_id,
     visitor_id, ...); withdrawals: a static (scope_key, revoked_before).
     """
     columns = events.columns
@@ -72,5 +73,5 @@ def permitted(events: DataFrame, withdrawals: DataFrame | None = None, *, instal
             named = latest.select(F.col("scope_key").alias(f"_s{k}"), F.col("_until").alias(f"_u{k}"))
             rows = rows.join(named, F.concat(F.lit(f"{scope}:"), F.col(f"{scope}_id").cast("string")) == F.col(f"_s{k}"), "left")
             allowed = allowed & F.coalesce(F.col("event_at") > F.col(f"_u{k}"), F.lit(True))
-    rows = rows.withColumn(shared, allowed).select(*columns)
-    return rows.groupBy("event_id").transformWithState(ConsentDowngrade(rows.schema, shared, list(covered)), rows.schema, "Update", "ProcessingTime")
+    rows = rows.withColumn(shared, allowed).select(*columns).where("received_at is not null").withWatermark("received_at", late)
+    return rows.groupBy("event_id").transformWithState(ConsentDowngrade(rows.schema, shared, list(covered)), rows.schema, "Update", "EventTime")

@@ -27,11 +27,14 @@ def drain(stream, checkpoint, out, mode="append"):
 
 @pytest.fixture()
 def state_store(spark):
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """The store that state with timers needs, in one partition, as each one has a Python process of its own."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.shuffle.partitions": "1"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     yield
-    spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def test_a_retry_may_lower_consent_and_never_raise_it(spark, tmp_path, state_store):
