@@ -157,10 +157,10 @@ class LastTokens:
             end -= len(self.bytes_of[last[end]])
         return found[::-1]
 
-    def counts(self, last: list[int]) -> list[int]:
-        """How many tokens each prefix has, the empty one first."""
-        counts = [0]
+    def counts(self, last: list[int], counts: list[int] | None = None) -> list[int]:
+        """How many tokens each prefix has, the empty one first; ``counts`` is a list of those of the first prefixes, which grows."""
+        counts = [0] if counts is None else counts
         sizes = self.bytes_of
-        for end in range(1, len(last)):
+        for end in range(len(counts), len(last)):
             counts.append(counts[end - len(sizes[last[end]])] + 1)
         return counts

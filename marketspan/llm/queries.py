@@ -60,8 +60,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = token_counts.prefix_counts(_table(spark, sf_dir, "documents"), tokenizer="byte_bpe_50k.json", keep_steps=False)
-    return token_counts.over_limit(counts, 1024).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    counts = token_counts.prefix_counts(_table(spark, sf_dir, "documents"), tokenizer="byte_bpe_50k.json", keep_steps=False, budget=1024, place=1000)
+    return token_counts.over_limit(counts, 1024).select("doc_id", "n_bytes", "n_tokens", "over_limit", F.col("budget_chars").alias("chars_within_limit"), F.col("place_tokens").alias("tokens_of_1000_chars"))
 
 
 def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,10 +8,10 @@ differences from one prefix to the next, one small integer per character; sums
 of them answer how many tokens a prefix has, or where a budget is used up, without
 encoding again.  Differences are remembered per piece of text between sure cuts.
 
-Where characters are unusual (engines may class them in another way) each distinct unit's
-prefixes are checked against the library, and each stretch between sure cuts by its
-total; a stretch that differs is taken from the library prefix by prefix.  That is
-quadratic in the stretch, so it matters only where nothing in a text separates words.
+Units are split by another regex engine than the library's.  The characters that the two
+class in different ways are found by asking both about every one, and a stretch between sure cuts that
+holds one is taken from the library prefix by prefix, which is quadratic in
+the stretch.  All else rests on the tables alone, at every length.
 Tokenizer files of another kind than byte-level merges are refused.
 
 A worker remembers a bounded number of units, beginnings and pairs of tokens.  Texts are counted whole.
@@ -30,18 +30,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import by_batch, text_rows
+from .prefix_tables import LastTokens
 from .tokenization import _UNUSUAL, is_byte_level, load_tokenizer, tokenizer_path
 
 #: Fixed value: how byte-level tokenizers split text before merging.
-_PRE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
-#: A unit is a pre-token with the white space before it, so that cuts inside white space stay within a unit.
-_UNITS = regex.compile(_PRE + r"|\s+(?:(?<= )(?:\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+))?")
+_CONTRACTED = r"'s|'t|'re|'ve|'m|'ll|'d"
+_WORD = r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+"
+_PRE = _CONTRACTED + r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
+#: A unit is a pre-token with the white space before it, since a run of white space is cut before its last character once something follows.
+_UNITS = regex.compile(rf"{_PRE}|\s+(?:(?<= )(?:{_WORD})|(?<! )(?:{_CONTRACTED}|{_WORD}))?")
+_SPACE = regex.compile(r"\s*")
 #: The vocabulary's one special string, which the library takes for one token inside texts.
 SPECIAL = "<|endoftext|>"
 #: What a worker remembers: units, and the tables of beginnings of so many bytes.
-CACHE_UNITS, CACHE_HEADS, HEAD_BYTES, CACHE_PAIRS = 1_000_000, 200_000, 6, 2_000_000
-#: Characters of a unit whose prefixes are checked one by one.
-CHECKED_CHARS = 64
+CACHE_UNITS, CACHE_HEADS, HEAD_BYTES = 1_000_000, 200_000, 6
 #: A cut that every engine makes: a space between two visible ASCII characters.
 _SURE = regex.compile(r"(?<=[!-~])(?= [!-~])")
 _WORKER: dict = {}
@@ -58,74 +60,23 @@ class PrefixCounter:
             model = json.load(f)["model"]
         read = lambda s: bytes(bytes_of[c] for c in s)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        #: Tokens by their bytes, numbered in the order in which merging makes them; 0 to 255 are single bytes.
-        self.number = {bytes([b]): b for b in range(256)}
-        self.merge: dict[tuple[int, int], int] = {}
-        self.halves: list[tuple[int, int]] = [(b, b) for b in range(256)]
-        for a, b in pairs:
-            a, b = read(a), read(b)
-            made = self.number.setdefault(a + b, len(self.halves))
-            self.merge[self.number[a], self.number[b]] = made
-            self.halves.append((self.number[a], self.number[b]))
-        self.longest = max(map(len, self.number))
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.table = LastTokens.from_merges([(read(a), read(b)) for a, b in pairs])
         self.units: dict[str, bytes] = {}
-        self.heads: dict[bytes, tuple[list[int], list[int]]] = {}
-
-    def may_follow(self, before: int, token: int) -> bool:
-        """Whether two tokens stay apart when their bytes are merged side by side.
-
-        Undoes the merges of both tokens, the latest first, and looks at the two
-        pieces that touch the border at each time: a merge of these that came before
-        either became part of a larger piece would have crossed the border.  Of
-        equal merges the left one comes first.
-        """
-        if (known := self.follows.get((before, token))) is not None:
-            return known
-        left, right = before, token
-        left_until = right_until = len(self.halves)
-        apart = True
-        while True:
-            crossing = self.merge.get((left, right))
-            if crossing is not None and crossing < left_until and crossing <= right_until:
-                apart = False
-                break
-            if left < 256 and right < 256:
-                break
-            if left > right:
-                left_until, left = left, self.halves[left][1]
-            else:
-                right_until, right = right, self.halves[right][0]
-        if len(self.follows) >= CACHE_PAIRS:
-            self.follows.clear()
-        self.follows[before, token] = apart
-        return apart
+        self.heads: dict[bytes, tuple[list[int], list[int], int]] = {}
+        self.disputed: regex.Pattern | None = None
 
     def prefixes(self, raw: bytes) -> list[int]:
         """Token counts of raw[:1], raw[:2], ...: the table of last tokens grows by one prefix at a time."""
-        last, counts = [-1], [0]
-        if len(raw) > HEAD_BYTES:  # words with the same beginning share its table
-            head = raw[:HEAD_BYTES]
-            if head not in self.heads:
-                self.prefixes(head)
-            last, counts = (x[:] for x in self.heads[head])
-        number, follows = self.number.get, self.follows.get
-        for end in range(len(counts), len(raw) + 1):
-            for begin in range(max(0, end - self.longest), end):
-                if (token := number(raw[begin:end])) is None:
-                    continue
-                if begin:
-                    known = follows((last[begin], token))
-                    if not (self.may_follow(last[begin], token) if known is None else known):
-                        continue
-                last.append(token)
-                counts.append(counts[begin] + 1)
-                break
-        if len(raw) == HEAD_BYTES:
+        if len(raw) <= HEAD_BYTES:
+            return self.table.counts(self.table.extend(raw, [-1], 0))[1:]
+        head = raw[:HEAD_BYTES]
+        if (known := self.heads.get(head)) is None:  # words with the same beginning share its table
             if len(self.heads) >= CACHE_HEADS:
                 self.heads.clear()
-            self.heads[raw] = last[:], counts[:]
-        return counts[1:]
+            last = self.table.extend(head, [-1], 0)
+            known = self.heads[head] = (last, self.table.counts(last), self.table.node)
+        last, counts, node = known
+        return self.table.counts(self.table.extend(raw, last[:], node), counts[:])[1:]
 
     def pre_token(self, text: str) -> list[int]:
         """Counts at the character prefixes of a pre-token."""
@@ -136,23 +87,30 @@ class PrefixCounter:
         # a character ends where no continuation byte follows
         return [c for c, after in zip(counts, raw[1:] + b" ") if after & 0xC0 != 0x80]
 
+    def word(self, text: str) -> list[int]:
+        """Counts at the character prefixes of a pre-token, or of white space."""
+        counts = self.pre_token(text)
+        if text in ("'re", "'ve", "'ll"):  # cut after two characters it is a quote and a letter
+            counts[1] = 2
+        return counts
+
     def unit(self, text: str) -> bytes:
         """Differences of the counts at each character prefix of a unit."""
         if (known := self.units.get(text)) is not None:
             return known
-        space = len(text) - len(text.lstrip())
-        if space == len(text):
-            counts = self.pre_token(text)
-        elif space > 1:
-            run = self.pre_token(text[:space])
-            base = run[space - 2]
-            counts = run + [base + c for c in self.pre_token(text[space - 1 :])[1:]]
+        space = _SPACE.match(text).end()
+        if space in (0, len(text)) or text[:space] == " ":
+            counts = self.word(text)
         else:
-            counts = self.pre_token(text)
-            if text in ("'re", "'ve", "'ll"):  # cut after two characters it is a quote and a letter
-                counts[1] = 2
-        if _UNUSUAL.search(text) and len(text) <= CHECKED_CHARS:
-            counts = [self._count(text[:k]) for k in range(1, len(text) + 1)]
+            # the run's last character begins the next pre-token: a space with the word after it, any other alone
+            run = self.pre_token(text[:space])
+            base = run[space - 2] if space > 1 else 0
+            if text[space - 1] == " ":
+                after = self.word(text[space - 1 :])[1:]
+            else:
+                last = self.pre_token(text[space - 1 : space])[0]
+                after = [last + c for c in self.word(text[space:])]
+            counts = run + [base + c for c in after]
         steps = [b - a for a, b in zip([0, *counts], counts)]
         if len(self.units) >= CACHE_UNITS:
             self.units.clear()
@@ -177,17 +135,38 @@ class PrefixCounter:
     def _plain(self, text: str) -> np.ndarray:
         if not _UNUSUAL.search(text):
             return self._steps(text)
-        parts, usual = [], []
+        parts, agreed = [], []
         for stretch in _SURE.split(text):
-            if not _UNUSUAL.search(stretch):
-                usual.append(stretch)
-                continue
-            steps = self._steps(stretch)
-            if int(steps.sum(dtype=np.int64)) != self._count(stretch):
-                steps = self._by_library(stretch)
-            parts += [self._steps("".join(usual)), steps]
-            usual = []
-        return np.concatenate([*parts, self._steps("".join(usual))])
+            if _UNUSUAL.search(stretch) and self._disputed().search(stretch):
+                parts += [self._steps("".join(agreed)), self._by_library(stretch)]
+                agreed = []
+            else:
+                agreed.append(stretch)
+        return np.concatenate([*parts, self._steps("".join(agreed))])
+
+    def _disputed(self) -> regex.Pattern:
+        """The characters that the library's engine and ours don't both take for a letter, a number or white space.
+
+        Both are asked once per worker about every character; their Unicode tables are of different years.
+        """
+        if self.disputed is None:
+            from tokenizers import Regex
+            from tokenizers.pre_tokenizers import Split
+
+            every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+            ask, found = "".join(regex.findall(_UNUSUAL.pattern, every)), set()
+            for name in (r"\p{L}", r"\p{N}", r"\s"):
+                split = Split(Regex(f"{name}+"), "removed", invert=True)
+                theirs = {c for at in range(0, len(ask), 50_000) for piece, _ in split.pre_tokenize_str(ask[at : at + 50_000]) for c in piece}
+                found |= theirs ^ set(regex.findall(name, ask))
+            codes, spans = sorted(map(ord, found)), []
+            for c in codes:
+                if spans and c == spans[-1][1] + 1:
+                    spans[-1][1] = c
+                else:
+                    spans.append([c, c])
+            self.disputed = regex.compile("[" + "".join(f"\\U{x:08x}-\\U{y:08x}" for x, y in spans) + "]" if spans else "(?!)")
+        return self.disputed
 
     def _steps(self, text: str) -> np.ndarray:
         units = _UNITS.findall(text)
@@ -213,19 +192,35 @@ def prefix_counter(path: str) -> PrefixCounter:
     return _WORKER[path]
 
 
-_COUNTS = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("n_bytes", T.LongType()), ("n_tokens", T.LongType()), ("steps", T.BinaryType()))])
+_COUNTS = [("doc_id", T.LongType()), ("n_bytes", T.LongType()), ("n_tokens", T.LongType()), ("steps", T.BinaryType())]
+
 
+def prefix_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", keep_steps: bool = True, budget: int | None = None, place: int | None = None) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, steps): steps has little-endian 16-bit differences, one per character; null if they aren't kept.
 
-def prefix_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", keep_steps: bool = True) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, steps): steps has little-endian 16-bit differences, one per character; null if they aren't kept."""
+    budget adds ``budget_chars``, the characters of the longest prefix of at most so many
+    tokens; place adds ``place_tokens``, the tokens of the prefix of so many characters (of the whole text if it is shorter).
+    """
     path = tokenizer_path(tokenizer)
+    asked = [("budget_chars", T.LongType())] * (budget is not None) + [("place_tokens", T.LongType())] * (place is not None)
+    schema = T.StructType([T.StructField(n, t) for n, t in _COUNTS + asked])
 
     def made(ids, texts):
         counter = prefix_counter(path)
         steps = [counter.differences(t) if t else np.zeros(0, np.int8) for t in texts]
-        return {"doc_id": ids, "n_bytes": [len(t.encode()) if t else 0 for t in texts], "n_tokens": [int(x.sum(dtype=np.int64)) for x in steps], "steps": [x.astype("<i2").tobytes() if keep_steps else None for x in steps]}
+        out = {"doc_id": ids, "n_bytes": [len(t.encode()) if t else 0 for t in texts], "n_tokens": [int(x.sum(dtype=np.int64)) for x in steps], "steps": [x.astype("<i2").tobytes() if keep_steps else None for x in steps]}
+        if budget is not None:
+            out["budget_chars"] = [len(x) if n <= budget else _within(x, budget) for x, n in zip(steps, out["n_tokens"])]
+        if place is not None:
+            out["place_tokens"] = [int(x[:place].sum(dtype=np.int64)) for x in steps]
+        return out
 
-    return text_rows(docs, id_col=id_col, text_col=text_col).mapInArrow(by_batch(made, _COUNTS), _COUNTS)
+    return text_rows(docs, id_col=id_col, text_col=text_col).mapInArrow(by_batch(made, schema), schema)
+
+
+def _within(steps: np.ndarray, budget: int) -> int:
+    fits = np.flatnonzero(np.cumsum(steps, dtype=np.int64) <= budget)
+    return int(fits[-1]) + 1 if len(fits) else 0
 
 
 def tokens_at(steps: bytes, chars: int) -> int:
@@ -235,9 +230,7 @@ def tokens_at(steps: bytes, chars: int) -> int:
 
 def longest_within(steps: bytes, budget: int) -> int:
     """Characters of the longest prefix that has at most ``budget`` tokens."""
-    counts = np.cumsum(np.frombuffer(steps, "<i2"), dtype=np.int64)
-    fits = np.flatnonzero(counts <= budget)
-    return int(fits[-1]) + 1 if len(fits) else 0
+    return _within(np.frombuffer(steps, "<i2"), budget)
 
 
 def over_limit(counts: DataFrame, limit: int) -> DataFrame:

@@ -415,6 +415,38 @@ def test_packing(spark, texts):
         assert at == parts[0][2] and (at == 2048 or k == max(filled))
 
 
+def prefix_totals(tok, text):
+    return [len(tok.encode(text[:k], add_special_tokens=False).ids) for k in range(1, len(text) + 1)]
+
+
+def test_prefix_counts_of_strange_texts():
+    """White space of every kind before words, contractions, unspaced scripts, and characters that engines class differently."""
+    import random
+
+    rng, tok = random.Random(6), library("byte_bpe_50k.json")
+    counter = token_counts.PrefixCounter(tokenizer_path("byte_bpe_50k.json"))
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    kinds = [["a", "b'", " ", "\n", "\t", "\r", "'", "s", "re", "1", "!"], ["é", "日", "\xa0", "\x1c", "\x85", "\u2003", " ", "\n", "'ll", "x", "9"], ["日", "本", "กข", "สวัส", " "], rng.sample(every, 300) + [" ", "\n", "a"] * 40]
+    for kind in kinds:
+        for _ in range(80):
+            text = "".join(rng.choice(kind) for _ in range(rng.randint(1, 30)))
+            assert np.cumsum(counter.differences(text)).tolist() == prefix_totals(tok, text), ascii(text)
+    for text in ("a\n\nb", "a\n\n\nb's", "\n\n", "日本語" * 60, "\u0558" * 3 + "a"):
+        assert np.cumsum(counter.differences(text)).tolist() == prefix_totals(tok, text), ascii(text)
+    long = "".join(rng.choice("一二三四五六七八九十") for _ in range(20_000))
+    assert int(counter.differences(long).sum(dtype=np.int64)) == len(tok.encode(long, add_special_tokens=False).ids)
+
+
+def test_query_of_prefix_counts(spark, texts):
+    tok = library("byte_bpe_50k.json")
+    count = lambda t: len(tok.encode(t, add_special_tokens=False).ids)
+    for r in queries.op10_token_counts(spark, SF).collect():
+        t = texts[r.doc_id] or ""
+        assert (r.n_tokens, r.over_limit, r.tokens_of_1000_chars) == (count(t), count(t) > 1024, count(t[:1000]))
+        within = r.chars_within_limit
+        assert within == len(t) if not r.over_limit else count(t[:within]) <= 1024 < count(t[: within + 1])
+
+
 def test_prefix_counts(texts):
     counter, tok = token_counts.prefix_counter(tokenizer_path("byte_bpe_50k.json")), library("byte_bpe_50k.json")
     for t in ["It's we'll they've you're  x\n\n y 'tis \t z\r\n 's 're", "a  b   c \n d", *[x for x in ODD if x and len(x) < 400], *[t[:200] for t in [*texts.values()][:20]]]:
