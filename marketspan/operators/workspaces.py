@@ -96,6 +96,21 @@ def unified_page(products: DataFrame, *, page: int, limit: int) -> DataFrame:
     return _page(out, [F.desc("exact_spend"), F.desc("net_revenue"), F.asc("product_id")], page, limit)
 
 
+def mapping_totals(accounting: DataFrame, spend: DataFrame) -> DataFrame:
+    """By period: the store's paid spend, and how much of it is mapped to exactly one product, shared, ambiguous or unmapped.
+
+    Unmapped is what exact and shared mappings leave of the whole; it is unknown, like the coverage, while an account's
+    facts are missing.  by_provider lists the exactly mapped spend of each provider.
+    accounting: ``advertising.mapping_accounting`` of facts in the store's currency; spend: ``economics.compatible_spend``.
+    """
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("mapping_class") == kind, F.col("spend"))), F.lit(0.0))
+    exact = F.array_compact(F.array_sort(F.collect_list(F.when(F.col("mapping_class") == "EXACT", F.concat_ws(":", "provider", F.round("spend", 2).cast("decimal(20,2)"))))))
+    sums = accounting.groupBy("period").agg(of("EXACT").alias("exact_spend"), of("SHARED").alias("shared_spend"), of("AMBIGUOUS").alias("ambiguous_spend"), F.array_join(exact, ",").alias("by_provider"))
+    out = spend.join(sums, "period", "left").fillna(0.0, ["exact_spend", "shared_spend", "ambiguous_spend"]).fillna("", ["by_provider"])
+    unmapped = F.when(F.col("spend").isNotNull(), F.greatest(F.lit(0.0), F.col("spend") - F.col("exact_spend") - F.col("shared_spend")))
+    return out.withColumn("unmapped_spend", unmapped).withColumn("mapping_coverage", F.when(F.col("spend") > 0, F.col("exact_spend") / F.col("spend")))
+
+
 def report(blended: DataFrame, drafts: DataFrame) -> DataFrame:
     """The overview, which must be there, beside how many recommendations of each severity there are, which may be none."""
     n = lambda v: F.count_if(F.col("severity") == v).alias(f"{v.lower()}_recommendations")

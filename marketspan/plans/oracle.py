@@ -444,3 +444,15 @@ ORACLE_SQL |= {
     "O-152_worst_resolutions": f"with {_RES} select visitor_id, ['NONE', 'EXACT', 'PARTIAL', 'UNRESOLVED', 'CONFLICT'][max(list_position(['NONE', 'EXACT', 'PARTIAL', 'UNRESOLVED', 'CONFLICT'], resolution))] resolution from rs group by 1",
     "O-47_store_health": f"with {_E} select store_id, nullif(events, 0) events, last_event_at, nullif(sessions, 0) sessions, case when sessions > 0 then purchase_sessions end purchase_sessions, nullif(paid_touches, 0) paid_touches from (select store_id, (select count(*) from ev where visitor_id % 4 = store_id) events, (select max(received_at) from ev where visitor_id % 4 = store_id) last_event_at, (select count(*) from ses where visitor_id % 4 = store_id) sessions, (select count(*) filter (where linked_purchase) from ses where visitor_id % 4 = store_id) purchase_sessions, (select count(*) from tc where visitor_id % 4 = store_id and ad_id is not null) paid_touches from (select unnest([0, 1, 2, 3, 4]) store_id))",
 }
+
+_TOTALS = f"""{_A}, per as (select unnest(['CURRENT', 'COMPARISON']) period), acc as (select distinct account_id from ad where currency = 'EUR'),
+sa as (select period, count(*) - count(s) missing_accounts, case when count(s) = count(*) then cast(sum(s) as double) end spend from per cross join acc left join (select period, account_id, sum(spend) s from ad where currency = 'EUR' group by 1, 2) using (period, account_id) group by 1),
+ac as (select period, provider, coalesce(mapping_class, 'UNMAPPED') k, cast(sum(spend) as double) s from ad left join cls using (ad_id) where currency = 'EUR' group by 1, 2, 3),
+su as (select period, coalesce(sum(s) filter (where k = 'EXACT'), 0.0) exact_spend, coalesce(sum(s) filter (where k = 'SHARED'), 0.0) shared_spend, coalesce(sum(s) filter (where k = 'AMBIGUOUS'), 0.0) ambiguous_spend,
+ coalesce(string_agg(provider || ':' || cast(cast(round(s, 2) as decimal(20,2)) as varchar), ',' order by provider) filter (where k = 'EXACT'), '') by_provider from ac group by 1),
+tt as (select *, greatest(0.0::double, spend - exact_spend - shared_spend) + 0 * spend unmapped_spend, case when spend > 0 then exact_spend / spend end mapping_coverage from sa left join su using (period))"""
+_MOVED = ("spend", "exact_spend", "shared_spend", "unmapped_spend", "mapping_coverage")
+ORACLE_SQL |= {
+    "W-10_mapping_totals": f"with {_TOTALS} select period, missing_accounts, round(spend, 4) spend, round(exact_spend, 4) exact_spend, round(shared_spend, 4) shared_spend, round(ambiguous_spend, 4) ambiguous_spend, by_provider, round(unmapped_spend, 4) unmapped_spend, round(mapping_coverage, 9) mapping_coverage from tt",
+    "W-10_mapping_changes": f"with {_TOTALS}, p as (select {', '.join(f"max({n}) filter (where period = '{p}') {n}{z}" for n in _MOVED for p, z in (('CURRENT', ''), ('COMPARISON', '0')))} from tt) select {', '.join(f'round({n}{z}, {9 if n == "mapping_coverage" else 4}) {n}{z}' for n in _MOVED for z in ('', '0'))}, {', '.join(f'round(case when {n}0 = 0 and {n} = 0 then 0.0 when {n}0 <> 0 then ({n} - {n}0) / abs({n}0) end, 9) {n}_change' for n in _MOVED)} from p",
+}

@@ -180,6 +180,12 @@ def blended(s, d):
     return eco.blended_economics(commerce.order_kpis(commerce.order_aggregates(c.period_orders(s, d))), metrics(s, d), spend)
 
 
+def mapping_totals(s, d):
+    facts = c.ad_daily(s, d)
+    spend = eco.compatible_spend(facts, facts.select("account_id", "currency").distinct(), "EUR")
+    return workspaces.mapping_totals(ads.mapping_accounting(facts.where("currency = 'EUR'"), classes(s, d)), spend)
+
+
 def rounded(df, **digits):
     """Sums of doubles depend on their order; this keeps the digits that don't."""
     return df.withColumns({n: F.round(n, k) for n, k in digits.items()})
@@ -562,6 +568,8 @@ QUERIES = {
     "W-06_collections": lambda s, d: rounded(workspaces.collection_page(collections(s, d), page=1, limit=20), revenue=2, revenue0=2, revenue_change=6),
     "W-07_campaigns": lambda s, d: workspaces.entity_page(c.ad_daily(s, d), "CAMPAIGN", page=1, limit=20),
     "W-10_unified_product_ads": lambda s, d: rounded(workspaces.unified_page(product_state(s, d), page=1, limit=50), net_revenue=2, contribution_after_ads=2, exact_spend=4),
+    "W-10_mapping_totals": lambda s, d: rounded(mapping_totals(s, d), spend=4, exact_spend=4, shared_spend=4, ambiguous_spend=4, unmapped_spend=4, mapping_coverage=9),
+    "W-10_mapping_changes": lambda s, d: rounded(eco.period_changes(mapping_totals(s, d), ["spend", "exact_spend", "shared_spend", "unmapped_spend", "mapping_coverage"]), **{f"{n}{z}": 4 if z != "_change" and n != "mapping_coverage" else 9 for n in ("spend", "exact_spend", "shared_spend", "unmapped_spend", "mapping_coverage") for z in ("", "0", "_change")}),
     "W-14_unified_entities": lambda s, d: workspaces.signal_page(ads.entity_metrics(c.ad_daily(s, d, MONTH, MONTH_BEFORE), "AD"), page=1, limit=50),
     "W-17_behavior_list": lambda s, d: workspaces.behavior_list(behavior(s, d, "PRODUCT"), page=1, limit=10),
     "O-95_signal_diagnostics": lambda s, d: delivery.signal_diagnostics(deliveries(s, d)),

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketspan.functions import dates, exprs, web
-from marketspan.operators import advertising, changes, commerce, delivery, joins, mapping, rules, storefront, textindex
+from marketspan.operators import advertising, changes, commerce, delivery, joins, mapping, rules, storefront, textindex, workspaces
 from marketspan.sources import sinks
 from marketspan.streaming import ingest
 
@@ -555,3 +555,13 @@ def test_browser_pairs(spark):
     assert ids(withdrawals=gone("session:0", 30)) == [9] and ids(withdrawals=gone("session:0", 31)) == [0, 9]
     later = e.where("event_id = 0").select(F.lit(77).alias("event_id"), "store_id", F.lit("SEARCH").alias("event_name"), F.lit(now).cast("timestamp_ntz").alias("event_at"), "received_at", "session_id", "visitor_id", F.lit(False).alias("shared"), "consent_state", "retention_expires_at")
     assert ids(events=e.union(later)) == [9]
+
+
+def test_totals_by_mapping_class(spark):
+    rows = [("CURRENT", "META", "EXACT", 60.0), ("CURRENT", "GOOGLE", "EXACT", 5.0), ("CURRENT", "META", "SHARED", 25.0), ("CURRENT", "META", "AMBIGUOUS", 7.0), ("COMPARISON", "META", "EXACT", 9.0)]
+    accounting = spark.createDataFrame(rows, "period string, provider string, mapping_class string, spend double")
+    spend = spark.createDataFrame([("CURRENT", 0, 100.0), ("COMPARISON", 1, None)], "period string, missing_accounts long, spend double")
+    got = {r.period: r for r in workspaces.mapping_totals(accounting, spend).collect()}
+    now, then = got["CURRENT"], got["COMPARISON"]
+    assert (now.exact_spend, now.shared_spend, now.ambiguous_spend, now.unmapped_spend, now.mapping_coverage, now.by_provider) == (65.0, 25.0, 7.0, 10.0, 0.65, "GOOGLE:5.00,META:60.00")
+    assert (then.exact_spend, then.shared_spend, then.unmapped_spend, then.mapping_coverage) == (9.0, 0.0, None, None)
