@@ -10,7 +10,7 @@ from ..functions.exprs import numeric, period_label, point_change, safe_div, sel
 from ..functions.dates import date_spine, store_date
 from ..operators import advertising as ads
 from ..operators import changes, commerce, delivery, evidence, economics as eco, mapping, rules, storefront, workspaces
-from ..operators.joins import asof_join, or_key_counts, without_revoked
+from ..operators.joins import asof_few, asof_join, or_key_counts, without_revoked
 from ..sources import canonical as c
 from ..sources import sinks
 from ..streaming import ingest
@@ -18,7 +18,8 @@ from .oracle import ORACLE_SQL as ORACLE_SQL
 
 
 def costed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return asof_join(c.period_lines(spark, sf_dir), c.costs(spark, sf_dir), on=["product_id"], at="demand_at", begins="effective_from", ends="effective_until", take=["unit_cost"])
+    # a product has two cost ranges
+    return asof_few(c.period_lines(spark, sf_dir), c.costs(spark, sf_dir), on=["product_id"], at="demand_at", begins="effective_from", ends="effective_until", take=["unit_cost"])
 
 
 def economics(s, d):
