@@ -174,7 +174,11 @@ def _identities(source: Column, ad: Column) -> Column:
 
 def _journey_key(session: str) -> Column:
     """Who a journey belongs to: the visitor, or the session alone without one."""
-    return F.coalesce(F.concat(F.lit("v"), F.col("visitor_id").cast("string")), F.concat(F.lit("s"), F.col(session).cast("string"))).alias("journey_key")
+    return F.coalesce(_visitor_key(), F.concat(F.lit("s"), F.col(session).cast("string"))).alias("journey_key")
+
+
+def _visitor_key() -> Column:
+    return F.concat(F.lit("v"), F.col("visitor_id").cast("string")).alias("journey_key")
 
 
 def _touch_order() -> Column:
@@ -258,16 +262,17 @@ def attribution(sessions: DataFrame, touch: DataFrame, days: int = LOOKBACK_DAYS
 def conversion_starts(purchases: DataFrame, sessions: DataFrame, days: int = LOOKBACK_DAYS) -> DataFrame:
     """Purchases with the start of the first session of their journey key in the days before, and the delay in milliseconds.
 
-    purchases: (purchase_id, journey_key, started_at, cutoff_at).
+    purchases: (purchase_id, journey_key, started_at, cutoff_at); sessions without a session_id count for their visitor only.
     """
-    daily = sessions.groupBy(_journey_key("session_id"), F.to_date("started_at").alias("day")).agg(F.min("started_at").alias("_start"))
+    key = _journey_key("session_id") if "session_id" in sessions.columns else _visitor_key()
+    daily = sessions.groupBy(key, F.to_date("started_at").alias("day")).agg(F.min("started_at").alias("_start"))
     first = _in_window(purchases, daily, days).where("_start <= cutoff_at").groupBy("purchase_id").agg(F.min("_start").alias("journey_started_at"))
     return purchases.join(first, "purchase_id", "left").withColumn("delay_ms", _delay_ms(F.col("journey_started_at"), F.col("cutoff_at")))
 
 
 def conversion_delays(purchases: DataFrame, sessions: DataFrame, days: int = LOOKBACK_DAYS) -> DataFrame:
     """Milliseconds from the start of the visitor's first session of the days before a purchase; null without one."""
-    rows = purchases.withColumns({"started_at": F.col("purchased_at"), "cutoff_at": F.col("purchased_at"), "journey_key": F.concat(F.lit("v"), F.col("visitor_id").cast("string"))})
+    rows = purchases.withColumns({"started_at": F.col("purchased_at"), "cutoff_at": F.col("purchased_at"), "journey_key": _visitor_key()})
     return conversion_starts(rows, sessions, days).drop("started_at", "cutoff_at", "journey_key")
 
 
