@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def top1_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -11,68 +17,73 @@ def top1_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rank = 1").drop("_rank")
 
 
-def _running(times: DataFrame, rows: DataFrame, on: list[str], at: str) -> DataFrame:
-    """times: distinct (on, at); each with ``_v``, the greatest value of rows up to its time, and ``_far``, the latest end among these.
+def _latest_open(on: list[str], columns: list[str], names: list[str]):
+    """Over rows sorted by key and time, versions (``_e`` is not null) before what asks: each asking row with the version that began last of those still open.
 
-    rows: (on, _t, _v, _end), values ordered by time.  A key's rows are scanned day by day, with one
-    greatest value per day carried over, so that a key of very many rows isn't one task's work.
+    A version that ends before a later one is never asked for again, so the open
+    ones that matter are a stack with ever earlier ends, and every row is put on it and taken off once.
     """
-    days = rows.groupBy(*on, F.to_date("_t").alias("_day")).agg(F.max("_v").alias("_dv"), F.max("_end").alias("_de"))
-    wanted = times.select(*on, F.to_date(at).alias("_day")).distinct()
-    before = Window.partitionBy(*on).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    carried = wanted.join(days, [*on, "_day"], "full").select(*on, "_day", F.max("_dv").over(before).alias("_cv"), F.max("_de").over(before).alias("_ce"))
-    kind, end = rows.schema["_v"].dataType, rows.schema["_end"].dataType
-    both = rows.select(*on, "_t", "_v", "_end", F.lit(0).alias("_k")).unionAll(times.select(*on, F.col(at).alias("_t"), F.lit(None).cast(kind).alias("_v"), F.lit(None).cast(end).alias("_end"), F.lit(1).alias("_k")))
-    upto = Window.partitionBy(*on, "_day").orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    same = both.withColumn("_day", F.to_date("_t")).select(*on, "_day", "_t", "_k", F.max("_v").over(upto).alias("_sv"), F.max("_end").over(upto).alias("_se")).where("_k = 1")
-    out = same.join(carried, [*on, "_day"], "left")
-    return out.select(*on, F.col("_t").alias(at), F.greatest("_sv", "_cv").alias("_v"), F.greatest("_se", "_ce").alias("_far"))
-
-
-#: Levels of halved time spans, from microseconds to all of time.
-_LEVELS = 63
-
-
-def _spans(begin: Column, end: Column) -> Column:
-    """The least set of aligned spans that make up [begin, end), as array of struct(level, node)."""
-    def at(level: Column) -> Column:
-        shift = lambda name, x: F.call_function(name, x, level.cast("int"))
-        size = shift("shiftleft", F.lit(1).cast("long"))
-        low, high = shift("shiftright", begin + size - 1), shift("shiftright", end)
-        some = low < high
-        odd = lambda x: F.pmod(x, F.lit(2)) == 1
-        span = lambda x: F.struct(level.alias("level"), x.alias("node"))
-        return F.array_compact(F.array(F.when(some & odd(low), span(low)), F.when(some & odd(high), span(high - 1))))
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(_LEVELS - 2)), at))
+    def run(batches):
+        before, ends, places, open_ = None, [], [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(c) for c in on]
+            new = np.zeros(batch.num_rows, bool)
+            for key in keys:
+                new[1:] |= pc.fill_null(pc.not_equal(key[1:], key[:-1]), True).to_numpy(zero_copy_only=False)
+            new[0] = before != [key[0].as_py() for key in keys]
+            before = [key[-1].as_py() for key in keys]
+            values = batch.column("_p")
+            kept = 0 if open_ is None else len(open_)
+            asks = batch.column("_e").is_null()
+            found = []
+            times, until = (pc.fill_null(batch.column(c), -(1 << 63)).to_pylist() for c in ("_t", "_e"))
+            for at, (fresh, ask, t, e) in enumerate(zip(new.tolist(), asks.to_pylist(), times, until), kept):
+                if fresh:
+                    ends.clear()
+                    places.clear()
+                over = t if ask else e
+                while ends and ends[-1] <= over:
+                    ends.pop()
+                    places.pop()
+                if ask:
+                    found.append(places[-1] if places else None)
+                else:
+                    ends.append(e)
+                    places.append(at)
+            values = values if open_ is None else pa.concat_arrays([open_, values])
+            asking = batch.filter(asks)
+            rest = dict(zip(columns, asking.column("_l").flatten()))
+            own = [rest[n] if n in rest else asking.column(n) for n in names[: len(names) - values.type.num_fields]]
+            yield pa.RecordBatch.from_arrays([*own, *values.take(pa.array(found, pa.int64())).flatten()], names=names)
+            open_, places = values.take(pa.array(places, pa.int64())), list(range(len(places)))
+
+    return run
 
 
 def asof_join(left: DataFrame, right: DataFrame, *, on: list[str], at: str, begins: str, ends: str, take: list[str]) -> DataFrame:
     """Each left row with ``take`` of the right row valid at its time: begins <= at < ends (null: open), latest start first.
 
-    Each distinct key and time is looked up once, by a sweep over a key's versions
-    and times in one order: the last version that began is the one, if it hasn't
-    ended.  If it has, an earlier one may still be open; where the latest end so far says so,
-    versions and times meet by the aligned spans of time that they are in, of which each
-    keeps its latest version.  So the cost is in proportion to versions plus times, not their product.
+    Versions and left rows are moved once, by key, and sorted by time; a task then
+    reads its keys' rows as a stream and keeps only the versions that are open and not
+    covered by a later one that ends no sooner.  So the cost is in proportion to versions plus left rows, not to
+    their product, however versions lie inside of each other.  Rows without a key or a time are dealt over all tasks.
     """
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    open_end = F.lit((1 << 61) - 1)
-    none = right.select(F.struct(*take).alias("_p")).schema["_p"].dataType
-    rows = right.where(F.col(begins).isNotNull()).select(*on, F.col(begins).alias("_t"), F.coalesce(micros(F.col(ends)), open_end).alias("_end"), F.struct(*take).alias("_p"))
-    rows = rows.where(F.col("_end") > micros(F.col("_t")))  # what ends as it begins is never valid
-    values = rows.select(*on, "_t", "_end", F.struct(F.col("_t").alias("t"), F.col("_end").alias("e"), F.col("_p").alias("p")).alias("_v"))
-    times = left.select(*on, at).where(F.col(at).isNotNull()).distinct()
-    swept = _running(times, values, on, at)
-    now = micros(F.col(at))
-    direct = swept.select(*on, at, F.when(F.col("_v.e") > now, F.col("_v.p")).alias("_a"), ((F.col("_v.e") <= now) & (F.col("_far") > now)).alias("_under"))
-    under = direct.where("_under").select(*on, at)
-    spans = values.join(under.select(*on).distinct(), on, "left_semi").select(*on, F.col("_v"), F.inline(_spans(micros(F.col("_t")), F.col("_end"))))
-    covers = spans.groupBy(*on, "level", "node").agg(F.max("_v").alias("_v"))
-    asked = under.select(*on, at, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(_LEVELS - 2)), lambda k: F.call_function("shiftright", now, k.cast("int")))).alias("level", "node"))
-    nested = asked.join(covers, [*on, "level", "node"]).groupBy(*on, at).agg(F.max("_v").alias("_n"))
-    best = direct.where("not coalesce(_under, false)").select(*on, at, "_a").unionAll(nested.select(*on, at, F.col("_n.p").cast(none)))
-    return left.join(best, [*on, at], "left").select(*left.columns, *[F.col("_a")[c].alias(c) for c in take])
+    named = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in on])
+    values = F.struct(*take)
+    kind = right.select(values.alias("_p")).schema["_p"].dataType
+    rows = right.where(named & F.col(begins).isNotNull()).select(*on, micros(F.col(begins)).alias("_t"), F.coalesce(micros(F.col(ends)), F.lit((1 << 63) - 1)).alias("_e"), values.alias("_p"))
+    rows = rows.where("_e > _t")  # what ends as it begins is never valid
+    columns = [c for c in left.columns if c not in on]
+    asked = left.select(*on, F.when(named, micros(F.col(at))).alias("_t"), F.struct(*columns).alias("_l"), F.when(~named | F.col(at).isNull(), F.xxhash64(*left.columns)).alias("_deal"))
+    both = rows.unionByName(asked, allowMissingColumns=True)
+    own = left.schema.fields + [T.StructField(f.name, f.dataType) for f in kind.fields]
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in own])
+    ordered = both.repartition(*on, "_deal").sortWithinPartitions(*on, "_t", F.col("_e").isNull(), "_e", "_p")
+    return ordered.drop("_deal").mapInArrow(_latest_open(on, columns, schema.names), schema)
 
 
 def asof_few(left: DataFrame, right: DataFrame, *, on: list[str], at: str, begins: str, ends: str, take: list[str]) -> DataFrame:

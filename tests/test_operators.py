@@ -566,3 +566,31 @@ def test_totals_by_mapping_class(spark):
     now, then = got["CURRENT"], got["COMPARISON"]
     assert (now.exact_spend, now.shared_spend, now.ambiguous_spend, now.unmapped_spend, now.mapping_coverage, now.by_provider) == (65.0, 25.0, 7.0, 10.0, 0.65, "GOOGLE:5.00,META:60.00")
     assert (then.exact_spend, then.shared_spend, then.unmapped_spend, then.mapping_coverage) == (9.0, 0.0, None, None)
+
+
+def most_rows(df):
+    """The most rows that any step of a collected plan gave."""
+    most, stack = 0, [df._jdf.queryExecution().executedPlan()]
+    while stack:
+        node = stack.pop()
+        for name in ("numOutputRows", "shuffleRecordsWritten"):
+            rows = node.metrics().get(name)
+            if rows.isDefined():
+                most = max(most, rows.get().value())
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            stack.append(node.executedPlan())
+        elif node.getClass().getSimpleName().endswith("QueryStageExec"):
+            stack.append(node.plan())
+        children = node.children()
+        stack += [children.apply(k) for k in range(children.size())]
+    return most
+
+
+def test_asof_with_open_versions_below_short_ones(spark):
+    """Times whose last version has ended, while an earlier one is open, move no more rows than others do."""
+    n = 2_000
+    versions = spark.range(n).selectExpr("id % 50 k", "timestamp_ntz'2020-01-01' + make_dt_interval(cast(id as int)) f", "if(id < 50, null, timestamp_ntz'2020-01-01' + make_dt_interval(cast(id as int), 1)) u", "id v")
+    times = spark.range(n).selectExpr("id % 50 k", "timestamp_ntz'2020-01-01' + make_dt_interval(cast(id as int), cast(id % 2 as int) * 2) t", "id n")
+    got = joins.asof_join(times, versions, on=["k"], at="t", begins="f", ends="u", take=["v"])
+    assert {r.n: r.v for r in got.collect()} == {k: k % 50 if k % 2 else k for k in range(n)}
+    assert n <= most_rows(got) <= 3 * n
