@@ -594,3 +594,12 @@ def test_asof_with_open_versions_below_short_ones(spark):
     got = joins.asof_join(times, versions, on=["k"], at="t", begins="f", ends="u", take=["v"])
     assert {r.n: r.v for r in got.collect()} == {k: k % 50 if k % 2 else k for k in range(n)}
     assert n <= most_rows(got) <= 3 * n
+
+
+def test_product_search_pages_through_all_that_hold_the_text(spark):
+    """Twenty of all the products with a 5 in any text, not a few of one brand."""
+    from marketspan.plans.registry import QUERIES
+
+    rows = QUERIES["O-12_product_search"](spark, "/root/testdata/sf0.001").collect()
+    held = spark.read.parquet("/root/testdata/sf0.001/part.parquet").where("concat_ws(' ', p_name, p_brand, p_partkey) like '%5%'")
+    assert len(rows) == 20 and {r.total for r in rows} == {held.count()}
