@@ -129,11 +129,12 @@ def product_ads(metrics: DataFrame, facts: DataFrame, classes: DataFrame, curren
 
     Only facts in the store's currency count.  Products with sales, with spend or
     with a mapped ad only are all there; without a fact there is no contribution
-    after ads, as missing spend is not a spend of 0.  Confidence is weighted by spend, or the largest without any.
+    after ads, as missing spend is not a spend of 0.  Confidence is weighted by spend, or the largest without any;
+    it is summed without rounding and kept to 12 digits, so that a threshold doesn't hang on the order of the sum.
     """
     exact = classes.where("mapping_class = 'EXACT'").select("ad_id", "product_id", "confidence", "merchant_confirmed")
     by_ad = facts.where(F.col("currency") == currency).groupBy("period", "ad_id").agg(F.count("*").alias("source_rows"), F.sum("spend").alias("_spent"), F.sum("impressions").alias("impressions"), F.count("conversion_value").alias("_valued"), F.sum("conversion_value").alias("_value"))
-    spent = by_ad.join(exact.drop("merchant_confirmed"), "ad_id", "left").select("period", "product_id", "source_rows", "_spent", "impressions", "_valued", "_value", (F.col("_spent").cast("double") * F.col("confidence")).alias("_weighted"))
+    spent = by_ad.join(exact.drop("merchant_confirmed"), "ad_id", "left").select("period", "product_id", "source_rows", "_spent", "impressions", "_valued", "_value", (F.col("_spent").cast("decimal(26,4)") * F.col("confidence").cast("decimal(11,10)")).alias("_weighted"))
     mapped = exact.groupBy("product_id").agg(F.count("*").alias("mapped_ads"), F.max("confidence").alias("_most"), F.bool_or("merchant_confirmed").alias("merchant_confirmed"))
     each = mapped.select("*", F.explode(F.array(F.lit("CURRENT"), F.lit("COMPARISON"))).alias("period"))
     sold = metrics.where("product_id is not null").select("period", "product_id", "net_units", "net_revenue", "cost_coverage", "contribution_before_ads")
@@ -155,7 +156,7 @@ def product_ads(metrics: DataFrame, facts: DataFrame, classes: DataFrame, curren
         F.coalesce(safe_div(F.col("net_revenue"), F.col("_revenue")), F.lit(0.0)).alias("revenue_share"),
         F.coalesce(safe_div(spend, F.col("_spend")), F.lit(0.0)).alias("spend_share"),
         F.when(F.col("source_rows") > 0, safe_div(F.col("conversion_value"), spend)).alias("roas"),
-        F.when(spend > 0, F.col("_weighted") / spend).otherwise(F.coalesce("_most", F.lit(0.0))).alias("mapping_confidence"),
+        F.when(spend > 0, F.round(F.col("_weighted").cast("double") / spend, 12)).otherwise(F.coalesce("_most", F.lit(0.0))).alias("mapping_confidence"),
         "mapped_ads", "merchant_confirmed",
     )
 

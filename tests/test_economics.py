@@ -98,3 +98,21 @@ def test_largest_drop_skips_stages_without_evidence(spark):
     data = [(10, 5, 4, 2, 2, 2, 4), (10, 12, 6, 0, 0, 0, 6), (0, 0, 0, 0, 0, 0, 0), (10, 5, 5, 4, 5, 2, 5)]
     got = [(r.largest_drop_stage, r.largest_drop) for r in storefront.largest_drop(spark.createDataFrame(data, names)).collect()]
     assert got == [("SESSION_TO_PRODUCT", 0.5), ("CART_TO_CHECKOUT", 1.0), (None, None), ("SESSION_TO_PRODUCT", 0.5)]
+
+
+def test_weighted_confidence_is_exact(spark):
+    """The mean of equal confidences is that confidence, however spend adds up."""
+    from marketspan.operators import advertising as ads
+
+    facts = spark.range(600).selectExpr("'CURRENT' period", "id ad_id", "'EUR' currency", "explode(transform(sequence(1, 9), j -> cast((id * 7919 + j * 104729) / 10000 as decimal(24,4)))) spend", "1L impressions", "cast(null as decimal(24,2)) conversion_value")
+    classes = spark.range(600).selectExpr("id ad_id", "'EXACT' mapping_class", "id div 3 product_id", "0.7D confidence", "false merchant_confirmed")
+    metrics = spark.createDataFrame([], "period string, product_id long, net_units long, net_revenue double, cost_coverage double, contribution_before_ads double")
+    got = ads.product_ads(metrics, facts, classes, "EUR").where("period = 'CURRENT'")
+    assert {r.mapping_confidence for r in got.collect()} == {0.7}
+
+
+def test_decisions_in_sql_do_not_hang_on_the_order_of_sums():
+    from marketspan.plans.registry import ORACLE_SQL
+
+    for name in ("R-25_product_decisions",):
+        assert "cast(spend as double) * cast(confidence as double)" not in ORACLE_SQL[name] and "round(w / exact_spend, 12)" in ORACLE_SQL[name]
