@@ -114,5 +114,5 @@ def test_weighted_confidence_is_exact(spark):
 def test_decisions_in_sql_do_not_hang_on_the_order_of_sums():
     from marketspan.plans.registry import ORACLE_SQL
 
-    for name in ("R-25_product_decisions",):
+    for name in ("R-25_product_decisions", "W-16_decisions"):
         assert "cast(spend as double) * cast(confidence as double)" not in ORACLE_SQL[name] and "round(w / exact_spend, 12)" in ORACLE_SQL[name]
