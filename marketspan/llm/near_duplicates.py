@@ -16,9 +16,9 @@ of the 17 groups agrees, it is missed with a probability under 0.001.  Verified
 links are exact.
 
 Crowded group values: members are compared with some pivots of the value,
-which joins large families at once, and those that aren't close to a pivot meet
-again under the values of two, then three groups.  What is still crowded then is
-one family without a test.  A family only says which texts are compared
+which joins large families at once.  Those that the pivots don't join to the
+value's largest family meet all its members, in pairs of blocks, so that every pair that
+agrees in enough symbols is connected.  A family only says which texts are compared
 exactly: in blocks, all with the first block, then those outside the family's
 largest group with all others.
 
@@ -50,6 +50,8 @@ SYMBOLS = 64
 CROWDED, PIVOTS = 256, 32
 #: Sets, and shingles in them, of a block of a large family.
 SET_ROWS, SET_SHINGLES = 512, 4_000_000
+#: Members of a block of a crowded value.
+MEMBER_ROWS = 1024
 #: Words whose hashes a task remembers.
 CACHE_WORDS = 200_000
 #: A key with more than this share of all rows is joined by a broadcast of at most 1 / HOT_SHARE keys.
@@ -228,20 +230,19 @@ def _pivots(names: list[int], raw: list[bytes], agree: int) -> tuple[list[int],
     return names, symbols, label
 
 
-_TESTED = T.StructType([T.StructField(n, t) for n, t in (("key", T.LongType()), ("last", T.IntegerType()), ("v", T.LongType()), ("sketch", T.BinaryType()), ("core", T.BooleanType()), ("near", T.ArrayType(T.LongType())))])
+_TESTED = T.StructType([T.StructField(n, t) for n, t in (("key", T.LongType()), ("v", T.LongType()), ("sketch", T.BinaryType()), ("near", T.ArrayType(T.LongType())), ("homes", T.ArrayType(T.LongType())))])
 
 
-def _against_pivots(crowd: DataFrame, symbols: DataFrame, total: int, agree: int, core: int) -> DataFrame:
-    """Each member of a crowded value with the pivots that it is to be linked to and whether one is so close that no more is needed.
+def _against_pivots(crowd: DataFrame, counted: DataFrame, symbols: DataFrame, total: int, agree: int) -> DataFrame:
+    """Each member of a crowded value with the pivots that it is to be linked to, and the groups of connected pivots that it belongs to.
 
     Pivots are linked to each other where they are close.  A member is linked
-    to one pivot of each group of pivots that is so connected.
+    to one pivot of each group of pivots that is so connected; ``homes`` names each by one of its pivots.
     """
     chosen = crowd.where((F.pmod(F.xxhash64("v", "key"), F.greatest(F.lit(1), F.floor(F.col("count") / PIVOTS))) == 0)).select("key", "v")
     chosen = chosen.join(symbols, "v").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("v", "sketch"))).alias("pivots"))
-    members = crowd.select("key", "last", "v", "count").join(symbols, "v")
-    counted = crowd.select("key", "count").distinct().join(chosen, "key", "left")
-    met = hot_join(members.drop("count"), counted, "key", total).select("key", "last", "v", "sketch", F.col("pivots.v").alias("p"), F.col("pivots.sketch").alias("ps"))
+    members = crowd.select("key", "v").join(symbols, "v")
+    met = hot_join(members, counted.join(chosen, "key", "left"), "key", total).select("key", "v", "sketch", F.col("pivots.v").alias("p"), F.col("pivots.sketch").alias("ps"))
     arrow = to_arrow_schema(_TESTED)
 
     def run(batches):
@@ -249,57 +250,94 @@ def _against_pivots(crowd: DataFrame, symbols: DataFrame, total: int, agree: int
             known: dict[int, tuple[list[int], np.ndarray, np.ndarray]] = {}
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sure, links = [], []
+                links, homes = [], []
                 for value, name, raw, names, theirs in zip(*(part.column(c).to_pylist() for c in ("key", "v", "sketch", "p", "ps"))):
                     if value not in known:
                         known[value] = _pivots(names or [], theirs or [], agree)
                     names, symbols, label = known[value]
                     same = (symbols == np.frombuffer(raw, "<u2")).sum(1)
                     own = name in names
-                    if own:
-                        same[names.index(name)] = 0
                     order = np.argsort(-same, kind="stable")
                     close = order[same[order] >= agree].tolist()
+                    homes.append(sorted({names[label[k]] for k in close}))
                     if not own:
                         close = list({int(label[k]): k for k in reversed(close)}.values())
-                    sure.append(bool(len(same)) and int(same.max()) >= core)
-                    links.append([names[k] for k in close])
-                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("last"), part.column("v"), part.column("sketch"), pa.array(sure), pa.array(links, arrow.field("near").type)], schema=arrow)
+                    links.append([names[k] for k in close if names[k] != name])
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("v"), part.column("sketch"), pa.array(links, arrow.field("near").type), pa.array(homes, arrow.field("homes").type)], schema=arrow)
 
     return met.mapInArrow(run, _TESTED)
 
 
-def candidate_links(symbols: DataFrame, groups: list[list[int]], *, agree: int, core: int, levels: int = 3) -> DataFrame:
-    """(a, b): links that connect all candidates, nodes that share a group's symbols and agree in enough; symbols: (v, sketch)."""
+def _beside_pivots(tested: DataFrame, counted: DataFrame, total: int, agree: int) -> DataFrame:
+    """Links that connect all pairs of a crowded value that agree in enough symbols, as far as pivots don't.
+
+    Members of the group of pivots with the most members are connected already;
+    all others meet all members of their value, in pairs of blocks.
+    """
+    each = tested.select("key", F.explode("homes").alias("home")).groupBy("key", "home").count()
+    main = each.groupBy("key").agg(F.max_by("home", F.struct("count", "home")).alias("main"))
+    known = hot_join(tested.select("key", "v", "sketch", "homes"), counted.join(main, "key", "left"), "key", total)
+    marked = stored(known.select("key", "v", "sketch", "count", (~F.coalesce(F.array_contains("homes", F.col("main")), F.lit(False))).alias("out")))
+    number = lambda n: F.ceil(n / F.lit(MEMBER_ROWS)).cast("int")
+    outs = stored(marked.where("out").groupBy("key").agg(number(F.count("*")).alias("outs"), number(F.max("count")).alias("blocks"), F.max("count").alias("count")))
+    rows = hot_join(marked.drop("count"), outs, "key", total)
+    place = lambda n: F.pmod(F.xxhash64("v"), n).cast("int")
+    mine = rows.where("out").withColumn("p", place(F.col("outs"))).select("key", "v", "sketch", F.lit(0).alias("side"), "p", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("q"))
+    theirs = rows.withColumn("q", place(F.col("blocks"))).select("key", "v", "sketch", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("outs") - 1)).alias("p"), "q")
+    arrow = to_arrow_schema(_EDGES)
+
+    def run(batches):
+        key, held = None, ([], [])
+
+        def table():
+            edges = _across(*held, agree)
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], schema=arrow)
+
+        for batch in batches:
+            for *now, side, name, raw in zip(*(batch.column(c).to_pylist() for c in ("key", "p", "q", "side", "v", "sketch"))):
+                if now != key:
+                    if held[0]:
+                        yield table()
+                    key, held = now, ([], [])
+                held[side].append((name, raw))
+        yield table()
+
+    met = mine.unionByName(theirs).select("key", "p", "q", "side", "v", "sketch")
+    return met.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "side", "v").mapInArrow(run, _EDGES)
 
-    def value(k: int, seed) -> F.Column:
-        return F.xxhash64(F.lit(k), seed, F.concat(*[F.substring("sketch", 2 * i + 1, 2) for i in groups[k]]))
-
-    keys = F.array(*[F.struct(F.lit(k).alias("last"), value(k, F.lit(0)).alias("key")) for k in range(len(groups))])
-    rows = symbols.select("v", F.explode(keys).alias("x")).select("v", "x.*")
-    found = []
-    for level in range(1, levels + 1):
-        counts = stored(rows.groupBy("key").count().where("count > 1"))
-        total = counts.agg(F.sum("count")).first()[0] or 0
-        met = stored(hot_join(rows, counts, "key", total).select("key", "last", "v", "count"))
-        lists = met.where(F.col("count") <= CROWDED).groupBy("key").agg(F.array_sort(F.collect_list("v")).alias("vs")).select("vs")
-        found.append(stored(_within(lists, symbols, agree)))
-        crowd = met.where(F.col("count") > CROWDED)
-        if crowd.isEmpty():
-            discard(counts, met)
-            break
-        tested = stored(_against_pivots(crowd, symbols, total, agree, core))
-        found.append(tested.select(F.explode("near").alias("a"), F.col("v").alias("b")))
-        rest = tested.where("not core")
-        discard(counts, met)
-        if level == levels:
-            found.append(rest.join(rest.groupBy("key").agg(F.min("v").alias("a")), "key").select("a", F.col("v").alias("b")))
-            break
-        further = F.array(*[F.struct(F.lit(k).alias("last"), value(k, F.col("key")).alias("key")) for k in range(len(groups))])
-        rows = rest.select("v", F.explode(F.slice(further, F.col("last") + 2, len(groups))).alias("x")).select("v", "x.*")
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionAll(f)
+
+def _across(mine: list[tuple[int, bytes]], theirs: list[tuple[int, bytes]], agree: int) -> list[tuple[int, int]]:
+    """Links that connect all pairs of one row of each list that agree in enough symbols."""
+    if not mine or not theirs:
+        return []
+    symbols = np.frombuffer(b"".join(raw for _, raw in theirs), "<u2").reshape(-1, SYMBOLS)
+    place = {name: k for k, name in enumerate(dict.fromkeys(name for name, _ in [*mine, *theirs]))}
+    label, at = np.arange(len(place)), np.array([place[name] for name, _ in theirs])
+    edges = []
+    for name, raw in mine:
+        i = place[name]
+        near = ((symbols == np.frombuffer(raw, "<u2")).sum(1) >= agree) & (label[at] != label[i])
+        for k in np.flatnonzero(near).tolist():
+            if _fold(label, i, at[k]):
+                edges.append((name, theirs[k][0]))
+    return edges
+
+
+def candidate_links(symbols: DataFrame, groups: list[list[int]], *, agree: int) -> DataFrame:
+    """(a, b): links that connect all candidates, nodes that share a group's symbols and agree in enough; symbols: (v, sketch)."""
+    keys = F.array(*[F.xxhash64(F.lit(k), F.concat(*[F.substring("sketch", 2 * i + 1, 2) for i in g])) for k, g in enumerate(groups)])
+    rows = symbols.select("v", F.explode(keys).alias("key"))
+    counts = stored(rows.groupBy("key").count().where("count > 1"))
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    met = stored(hot_join(rows, counts, "key", total).select("key", "v", "count"))
+    lists = met.where(F.col("count") <= CROWDED).groupBy("key").agg(F.array_sort(F.collect_list("v")).alias("vs")).select("vs")
+    out = stored(_within(lists, symbols, agree))
+    crowd = met.where(F.col("count") > CROWDED)
+    if not crowd.isEmpty():
+        crowded = counts.where(F.col("count") > CROWDED)
+        tested = stored(_against_pivots(crowd, crowded, symbols, total, agree))
+        out = out.unionAll(tested.select(F.explode("near").alias("a"), F.col("v").alias("b"))).unionAll(stored(_beside_pivots(tested, crowded, total, agree)))
+    discard(counts, met)
     return out.where("a <> b").distinct()
 
 
@@ -327,7 +365,7 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     each = stored(described(docs, id_col=id_col, text_col=text_col, shingle=shingle))
     nodes = stored(each.groupBy("same").agg(F.first("v").alias("v"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"), F.count("*").alias("count")))
     symbols = stored(nodes.where("n > 0").groupBy("v").agg(F.first("sketch").alias("sketch"), F.first("bits").alias("bits")))
-    found = stored(candidate_links(symbols.drop("bits"), chosen_groups(symbols, parts, distance), agree=int(sure - 4 * slack), core=round(sure)))
+    found = stored(candidate_links(symbols.drop("bits"), chosen_groups(symbols, parts, distance), agree=int(sure - 4 * slack)))
     families = connected_components(found).withColumnRenamed("node", "v").withColumnRenamed("root", "family")
     members = stored(nodes.select("same", "v", "n", "sketch", "first").join(families, "v"))
     discard(found, symbols)

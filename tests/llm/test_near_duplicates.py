@@ -135,3 +135,22 @@ def test_probes_find_all_pairs(spark):
     nodes = spark.createDataFrame([(f, f, f) for f in fps], "node long, fp long, check long")
     got = {tuple(sorted(e)) for e in simhash.links(nodes, 3, [list(range(32)), list(range(32, 64))], [1, 1]).collect()}
     assert got == {(a, b) for a in fps for b in fps if a < b and ((a ^ b) & M).bit_count() <= 3}
+
+
+def test_members_of_a_crowded_value_meet_without_pivots(spark, monkeypatch):
+    """Pairs share one crowded value and no other, and few of them are close to a pivot."""
+    monkeypatch.setattr(near, "CROWDED", 8)
+    monkeypatch.setattr(near, "PIVOTS", 2)
+    r = np.random.default_rng(3)
+    parts = [list(range(4 * k, 4 * k + 4)) for k in range(16)]
+    rows = []
+    for pair in range(40):
+        a = r.integers(0, 1 << 16, 64).astype("<u2")
+        a[:4] = 7
+        b = a.copy()
+        b[7::4] ^= 1
+        rows += [(2 * pair, a.tobytes()), (2 * pair + 1, b.tobytes())]
+    for limit in (1024, 16):
+        monkeypatch.setattr(near, "MEMBER_ROWS", limit, raising=False)
+        got = near.candidate_links(spark.createDataFrame([(v, bytearray(x)) for v, x in rows], "v long, sketch binary"), parts, agree=38)
+        assert {tuple(sorted(e)) for e in got.collect()} == {(2 * k, 2 * k + 1) for k in range(40)}
