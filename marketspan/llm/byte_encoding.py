@@ -110,13 +110,13 @@ class RankEncoder(RankDecoder):
     def last_tokens(self, raw: bytes) -> list[int]:
         """A match's table; matches that begin alike share that part."""
         if len(raw) <= HEAD_BYTES:
-            return self.table.extend(raw, [-1], 0)
+            return self.table.extend_from(raw, [-1], 0)
         head = raw[:HEAD_BYTES]
         if (known := self.heads.get(head)) is None:
             if len(self.heads) >= CACHE_HEADS:
                 self.heads.clear()
-            known = self.heads[head] = (self.table.extend(head, [-1], 0), self.table.node)
-        return self.table.extend(raw, known[0][:], known[1])
+            known = self.heads[head] = (self.table.extend_from(head, [-1], 0), self.table.node)
+        return self.table.extend_from(raw, known[0][:], known[1])
 
     def ids_of(self, raw: bytes, last: Sequence[int]) -> bytes:
         """A match's ids, little-endian: one if its bytes are a token, else by its table."""

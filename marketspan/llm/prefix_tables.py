@@ -116,6 +116,10 @@ class LastTokens:
                 right_until, right = right, self.halves[right][0]
 
     def extend(self, raw: bytes, last: list[int], node: int | None = None) -> list[int]:
+        """``extend_from`` where the automaton's node may be unknown."""
+        return self.extend_from(raw, last, node)
+
+    def extend_from(self, raw: bytes, last: list[int], node: int | None) -> list[int]:
         """Adds the last tokens of the prefixes of ``raw`` that are longer than those in ``last``, which begins with -1.
 
         node: the automaton's at the end of ``last``, if it is known; ``self.node`` is that at the end of ``raw``.
