@@ -128,24 +128,36 @@ def routing(conversions: DataFrame, touches: DataFrame, *, since: Column, days:
     ``since`` count once per signature, by their first time, which must be within
     ``days`` days.  One ambiguous touch makes no provider eligible; nor do more than ``most`` touches.
     A signature's first time doesn't depend on the conversion, so touches are reduced to one row per visitor (or
-    session) and signature before conversions meet them.
+    session) and signature before conversions meet them.  Where all touches of a conversion's session are of its
+    visitor, the session adds nothing to the visitor's touches and isn't looked at.
 
     conversions: (conversion_id, event_at, session_id, visitor_id); touches: (event_at, session_id, visitor_id, SIGNATURE).
     """
-    scopes = F.array_compact(F.array(F.concat(F.lit("session:"), F.col("session_id").cast("string")), F.concat(F.lit("visitor:"), F.col("visitor_id").cast("string"))))
+    visitor = F.concat(F.lit("visitor:"), F.col("visitor_id").cast("string"))
+    scopes = F.array_compact(F.array(F.concat(F.lit("session:"), F.col("session_id").cast("string")), visitor))
     signed = touches.where((F.col("event_at") >= since) & F.coalesce(*[F.when(F.col(n).isNotNull(), True) for n in SIGNATURE if n not in ("utm_medium", "utm_campaign", "utm_content", "meta_group")], F.lit(False)))
     first = signed.select(F.explode(scopes).alias("scope"), "event_at", *SIGNATURE).groupBy("scope", *SIGNATURE).agg(F.min("event_at").alias("first_at"))
     known = routed_touches(first)
-    wanted = conversions.select("conversion_id", "event_at", F.explode(scopes).alias("scope"))
-    met = wanted.join(known, "scope").where("first_at <= event_at").groupBy("conversion_id", "event_at", *SIGNATURE, "ambiguous", "paid", "provider", "basis", "touch_key", "campaign", "ad").agg(F.min("first_at").alias("first_at"))
-    met = met.where(F.col("first_at") >= F.col("event_at") - F.make_dt_interval(F.lit(days)))
-    seen = F.struct("first_at", "touch_key", "provider", "basis", "campaign", "ad")
+    owners = signed.where("session_id is not null").groupBy("session_id").agg(F.min("visitor_id").alias("_least"), F.max("visitor_id").alias("_greatest"), F.count_if(F.col("visitor_id").isNull()).alias("_unknown"))
+    asked = conversions.select("conversion_id", "event_at", "session_id", "visitor_id").withColumn("_times", F.count("*").over(Window.partitionBy("conversion_id"))).join(owners, "session_id", "left")
+    foreign = (F.col("_unknown") > 0) | (F.col("_least") != F.col("visitor_id")) | (F.col("_greatest") != F.col("visitor_id"))
+    alone = F.col("visitor_id").isNotNull() & (F.col("_times") == 1) & ~F.coalesce(foreign, F.lit(False))
+    wanted = asked.select("conversion_id", "event_at", alone.alias("_alone"), F.explode(F.when(alone, F.array(visitor)).otherwise(scopes)).alias("scope"))
     # a key's first touch stands for it
-    keys = met.groupBy("conversion_id", "touch_key", "paid", "ambiguous").agg(F.min(F.when(F.col("paid"), seen)).alias("touch"), F.count("*").alias("rows"))
-    sums = keys.groupBy("conversion_id").agg(
-        F.sum("rows").alias("_rows"), F.coalesce(F.sum(F.when(F.col("ambiguous"), F.col("rows"))), F.lit(0)).alias("ambiguous_touches"), F.count_if("paid").alias("_paid"),
-        F.array_sort(F.collect_set(F.when(F.col("paid"), F.col("touch.provider")))).alias("_providers"), F.max("touch").alias("_last"),
-    )
+    seen = F.struct("first_at", "touch_key", "provider", "basis", "campaign", "ad")
+    recent = F.col("first_at") >= F.col("event_at") - F.make_dt_interval(F.lit(days))
+
+    def summed(met, by):
+        keys = met.where(recent).groupBy(*by, "touch_key", "paid", "ambiguous").agg(F.min(F.when(F.col("paid"), seen)).alias("touch"), F.count("*").alias("rows"))
+        return keys.groupBy(*by).agg(
+            F.sum("rows").alias("_rows"), F.coalesce(F.sum(F.when(F.col("ambiguous"), F.col("rows"))), F.lit(0)).alias("ambiguous_touches"), F.count_if("paid").alias("_paid"),
+            F.array_sort(F.collect_set(F.when(F.col("paid"), F.col("touch.provider")))).alias("_providers"), F.max("touch").alias("_last"),
+        ).drop("scope")
+
+    # rows of one scope stay where they met, so a scope's pairs are summed without being moved
+    single = summed(wanted.where("_alone").join(known, "scope").where("first_at <= event_at"), ["scope", "conversion_id"])
+    twice = wanted.where("not _alone").join(known, "scope").where("first_at <= event_at").groupBy("conversion_id", "event_at", *SIGNATURE, "ambiguous", "paid", "provider", "basis", "touch_key", "campaign", "ad").agg(F.min("first_at").alias("first_at"))
+    sums = single.unionByName(summed(twice, ["conversion_id"]))
     out = conversions.select("conversion_id").join(sums, "conversion_id", "left").fillna(0, ["_rows", "ambiguous_touches", "_paid"])
     over, unsure = F.col("_rows") > most, F.col("ambiguous_touches") > 0
     sure = ~over & ~unsure
