@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from marketspan.operators import delivery
+from marketspan.operators import commerce, delivery
 
 
 def moved(spark, df) -> int:
@@ -51,3 +51,24 @@ def test_routing_by_sessions_of_several_visitors(spark):
     asked = spark.createDataFrame([(1, "s", 1), (2, "s", 2), (3, "t", 3), (4, "u", None), (5, None, 1), (6, "x", 3), (7, "r", 4), (8, "w", 4), (8, "t", 3)], "conversion_id long, session_id string, visitor_id long").withColumn("event_at", at)
     found = delivery.routing(asked, touches, since=F.lit("2024-01-01").cast("timestamp_ntz"))
     assert sorted((r.conversion_id, r.paid_touches) for r in found.collect()) == [(1, 4), (2, 3), (3, 2), (4, 1), (5, 2), (6, 2), (7, 2), (8, 3), (8, 3)]
+
+
+def test_inventory_history_moves_changes_only(spark):
+    snaps = spark.createDataFrame([(k, 1, datetime(2024, 1, d), 10 * k + d) for k in range(20) for d in (1, 5, 9)], "item_id long, location_id int, observed_at timestamp_ntz, available long")
+    days = spark.range(365).select(F.date_add(F.lit("2024-01-03").cast("date"), F.col("id").cast("int")).alias("day"))
+    found = commerce.inventory_history(snaps, days)
+    level = {r.day.isoformat(): r.available for r in found.collect()}
+    tens = 10 * sum(range(20))
+    assert len(level) == 365 and [level[f"2024-01-{d:02d}"] for d in (3, 4, 5, 8, 9, 31)] == [tens + 20 * x for x in (1, 1, 5, 5, 9, 9)]
+    assert moved(spark, found) < 3000  # 20 items on 365 days are 7,300
+
+
+def test_inventory_history_without_levels(spark):
+    schema = "item_id long, location_id int, observed_at timestamp_ntz, available long"
+    days = spark.range(3).select(F.date_add(F.lit("2024-01-03").cast("date"), F.col("id").cast("int") * 2).alias("day"))  # January 3, 5, 7
+    history = lambda rows: [r.available for r in commerce.inventory_history(spark.createDataFrame(rows, schema), days).orderBy("day").collect()]
+    assert history([]) == []
+    assert history([(1, 1, datetime(2024, 2, 1), 5)]) == [None, None, None]
+    # levels that are not known, and days that are not asked for, change nothing
+    assert history([(1, 1, datetime(2024, 1, 5), 5), (1, 1, datetime(2024, 1, 6), 9), (1, 1, datetime(2024, 1, 7), None)]) == [None, 5, 5]
+    assert history([(1, 1, datetime(2024, 1, 1), 4), (1, 1, datetime(2024, 1, 2), None), (2, 1, datetime(2024, 1, 2), 7), (2, 1, datetime(2024, 1, 7), 1)]) == [7, 7, 1]
