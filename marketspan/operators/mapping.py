@@ -149,26 +149,32 @@ PROVIDER_ID_KEYS = ("item_id", "item_ids", "product_id", "product_ids", "retaile
 def provider_ids(rows: DataFrame, column: str, keys: tuple[str, ...] = PROVIDER_ID_KEYS, depth: int = 24) -> DataFrame:
     """Rows with ``ids``: the texts and numbers under one of the keys, or in a list under it, at any depth of a JSON column.
 
-    The parsed value is walked level by level, each level one generator over the
-    rows of the one above, so text inside a value is never taken for a key.  Keys are
+    The parsed value is walked level by level as an array of the row's own, each level made of the
+    one above, so text inside a value is never taken for a key, and no rows are gathered by text:
+    a task holds one row's values at a time.  Keys are
     compared without case.  Null for a null or malformed text, empty without any id; a
     value nested deeper than ``depth`` stops the job instead of losing ids.
     """
-    spark = rows.sparkSession
-    # several rows may have the same text, so each distinct text is walked once
-    texts = rows.select(F.col(column).alias("_json")).where("_json is not null").distinct()
-    level = texts.select("_json", F.try_parse_json("_json").alias("_v"), F.lit(None).cast("string").alias("_key"), F.lit(False).alias("_listed"))
-    kind = F.schema_of_variant("_v")
-    for _ in range(depth):
-        level = level.withColumn("_is_list", kind.startswith("ARRAY")).lateralJoin(spark.tvf.variant_explode_outer(F.col("_v").outer()))
-        inside = F.col("value").isNotNull()
+    none, element = F.lit(None).cast("string"), "struct<v:variant,key:string,listed:boolean>"
+    row = lambda v, key, listed: F.struct(v.alias("v"), key.alias("key"), listed.alias("listed"))
+
+    def below(x):
         # what stands in a list under a key is under that key; a list in a list is under none
-        name = F.when(F.col("_is_list"), F.when(~F.col("_listed"), F.col("_key"))).otherwise(F.lower("key"))
-        level = level.select("_json", F.coalesce("value", "_v").alias("_v"), F.when(inside, name).otherwise(F.col("_key")).alias("_key"), F.when(inside, F.col("_is_list")).otherwise(F.col("_listed")).alias("_listed"))
-    text = F.trim(F.expr("try_variant_get(_v, '$', 'string')"))
-    filled = kind.rlike("^(ARRAY|OBJECT)") & ~text.isin("[]", "{}")
-    own = F.when(F.col("_key").isin(*keys) & kind.rlike("^(STRING|BIGINT|DECIMAL|DOUBLE|FLOAT)") & (text != ""), text)
-    own = F.when(filled, F.raise_error(F.lit(f"JSON deeper than {depth} levels")).cast("string")).otherwise(own)
-    found = level.groupBy("_json").agg(F.array_sort(F.collect_set(own)).alias("_ids"), F.bool_or(F.col("_v").isNotNull()).alias("_ok"))
-    out = rows.join(found, F.col(column) == F.col("_json"), "left")
-    return out.select(*rows.columns, F.when(F.col("_ok"), F.col("_ids")).alias("ids"))
+        items = F.transform(F.try_variant_get(x["v"], "$", "array<variant>"), lambda v: row(v, F.when(~x["listed"], x["key"]), F.lit(True)))
+        fields = F.transform(F.map_entries(F.try_variant_get(x["v"], "$", "map<string,variant>")), lambda e: row(e["value"], F.lower(e["key"]), F.lit(False)))
+        inside = F.coalesce(items, fields)
+        return F.when(F.size(inside) > 0, inside).otherwise(F.array(x)).cast(f"array<{element}>")
+
+    def own(x):
+        text, kind = F.trim(F.try_variant_get(x["v"], "$", "string")), F.schema_of_variant(x["v"])
+        filled = kind.rlike("^(ARRAY|OBJECT)") & ~text.isin("[]", "{}")
+        named = F.when(x["key"].isin(*keys) & kind.rlike("^(STRING|BIGINT|DECIMAL|DOUBLE|FLOAT)") & (text != ""), text)
+        return F.when(filled, F.raise_error(F.lit(f"JSON deeper than {depth} levels")).cast("string")).otherwise(named)
+
+    level = F.array(row(F.col("_parsed"), none, F.lit(False))).cast(f"array<{element}>")
+    for _ in range(depth):
+        level = F.flatten(F.transform(level, below))
+    ids = F.array_sort(F.array_distinct(F.array_compact(F.transform(level, own))))
+    # a small file is read by one task, but a walk is worth several
+    dealt = rows.withColumn("_deal", F.monotonically_increasing_id()).repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, "_deal")
+    return dealt.withColumn("_parsed", F.try_parse_json(column)).select(*rows.columns, F.when(F.col("_parsed").isNotNull(), ids).alias("ids"))

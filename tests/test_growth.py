@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from marketspan.operators import commerce, delivery
+from marketspan.operators import commerce, delivery, mapping
 
 
 def moved(spark, df) -> int:
@@ -24,6 +24,10 @@ def moved(spark, df) -> int:
     return written() - before
 
 
+def plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def touch_rows(spark, rows):
     """Touches (minute, session, visitor, google click) with every other signal missing."""
     start = datetime(2024, 1, 1)
@@ -72,3 +76,10 @@ def test_inventory_history_without_levels(spark):
     # levels that are not known, and days that are not asked for, change nothing
     assert history([(1, 1, datetime(2024, 1, 5), 5), (1, 1, datetime(2024, 1, 6), 9), (1, 1, datetime(2024, 1, 7), None)]) == [None, 5, 5]
     assert history([(1, 1, datetime(2024, 1, 1), 4), (1, 1, datetime(2024, 1, 2), None), (2, 1, datetime(2024, 1, 2), 7), (2, 1, datetime(2024, 1, 7), 1)]) == [7, 7, 1]
+
+
+def test_provider_ids_gather_nothing(spark):
+    rows = spark.createDataFrame([('{"sku": ["b", "a", "a"], "x": [{"ITEM_ID": 3}, [], {}]}',)] * 3 + [("[",), (None,)], "j string")
+    found = mapping.provider_ids(rows, "j")
+    assert sorted(str(r.ids) for r in found.collect()) == ["None", "None"] + ["['3', 'a', 'b']"] * 3
+    assert not any(step in plan(found) for step in ("Aggregate", "Generate", "Join"))
