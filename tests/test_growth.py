@@ -1,10 +1,12 @@
 """What operators move and hold: figures that must not grow faster than their input."""
 
+import re
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from marketspan.operators import commerce, delivery, mapping
+from marketspan.plans import registry
 
 
 def moved(spark, df) -> int:
@@ -83,3 +85,16 @@ def test_provider_ids_gather_nothing(spark):
     found = mapping.provider_ids(rows, "j")
     assert sorted(str(r.ids) for r in found.collect()) == ["None", "None"] + ["['3', 'a', 'b']"] * 3
     assert not any(step in plan(found) for step in ("Aggregate", "Generate", "Join"))
+
+
+def test_families_share_what_they_read(spark):
+    sf = "/root/testdata/sf0.001"
+    reads = sum(len(set(re.findall(r"\w+\.parquet", f))) for df in registry.families(spark, sf).values() for f in df.inputFiles() if "lineitem" in f or "events" in f)
+    assert reads <= 1  # the product family's stock cover; all else reads tables written once
+
+
+def test_months_are_days_of_the_current_year(spark):
+    sf = "/root/testdata/sf0.001"
+    month = registry.bases(spark, sf)["month"]
+    own = registry.c.ad_daily(spark, sf, registry.MONTH, registry.MONTH_BEFORE).select(*month.columns)
+    assert month.count() > 0 and not month.exceptAll(own).count() and not own.exceptAll(month).count()
