@@ -277,16 +277,17 @@ def _worker(kind: type, path: str):
     return _WORKER[kind, path]
 
 
-def encode_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ranks: str = "byte_bpe_50k.tiktoken", keep_tables: bool = False, append: str | None = None, edit: Callable[[str], tuple[int, int, str]] | None = None) -> DataFrame:
+def encode_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ranks: str = "byte_bpe_50k.tiktoken", keep_tables: bool = False, decode: bool = False, append: str | None = None, edit: Callable[[str], tuple[int, int, str]] | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids) of every row; ids are little-endian unsigned 32-bit integers.
 
-    keep_tables adds ``last``, from which ``EncodedText.stored`` goes on; append adds
+    keep_tables adds ``last``, from which ``EncodedText.stored`` goes on; decode adds
+    ``decoded``, the bytes that the ids stand for, from the same worker; append adds
     ``appended_ids``, those of the text and what is appended; edit, which gives
     (begin, end, new text) for a text, adds ``edited_ids``.  Both come from the
     text's tables, not from encoding it anew.
     """
     path = tokenizer_path(ranks)
-    wanted = ["last"] * keep_tables + ["appended_ids"] * (append is not None) + ["edited_ids"] * (edit is not None)
+    wanted = ["decoded"] * decode + ["last"] * keep_tables + ["appended_ids"] * (append is not None) + ["edited_ids"] * (edit is not None)
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), *[T.StructField(n, T.BinaryType()) for n in ("ids", *wanted)]])
 
     def made(doc_ids, texts):
@@ -294,7 +295,7 @@ def encode_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         out = {n: [] for n in ("ids", *wanted)}
         for text in texts:
             text = text or ""
-            if not wanted:
+            if not set(wanted).difference(("decoded",)):
                 out["ids"].append(encoder.encode(text))
                 continue
             whole = EncodedText(encoder, text)
@@ -308,6 +309,8 @@ def encode_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             if edit is not None:
                 whole.replace(*edit(text))
                 out["edited_ids"].append(whole.ids)
+        if decode:
+            out["decoded"] = list(map(encoder.decode, out["ids"]))
         return {"doc_id": doc_ids, "n_tokens": [len(x) // 4 for x in out["ids"]], **out}
 
     return text_rows(docs, id_col=id_col, text_col=text_col).mapInArrow(by_batch(made, schema), schema)

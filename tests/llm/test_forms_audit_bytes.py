@@ -209,3 +209,11 @@ def test_query_of_bytes(spark, public):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(public.encode_ordinary(text)), digest(text), sha(text))
         assert (r.appended_sha256, r.edited_sha256) == (digest(text + queries.APPENDED), digest(text[:half] + queries.EDITED + text[half + 1 :]))
     assert not texts
+
+
+def test_documents_are_decoded_by_the_worker_that_encodes(spark):
+    docs = spark.createDataFrame([(1, "a bé \U0001f600"), (2, None), (3, "")], "doc_id long, text string")
+    rows = byte_encoding.encode_documents(docs, decode=True)
+    assert sorted((r.doc_id, bytes(r.decoded).decode()) for r in rows.collect()) == [(1, "a bé \U0001f600"), (2, ""), (3, "")]
+    both = queries.op13_byte_encoding(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in both and "ArrowEvalPython" not in both  # a second worker a task would hold the ranks again
