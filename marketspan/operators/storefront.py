@@ -291,7 +291,8 @@ def last_clicks(orders: DataFrame, clicks: DataFrame, providers: list[str], days
 def _path(steps: Column) -> Column:
     """Sources in order without repeats in a row; UNKNOWN without any."""
     sources = F.transform(F.array_sort(steps), lambda x: x["source"])
-    kept = F.filter(sources, lambda x, k: (k == 0) | (x != F.get(sources, k - 1)))
+    # bound by a lambda of its own: named twice, the steps would be sorted again for each of them
+    kept = F.get(F.transform(F.array(sources), lambda all_: F.filter(all_, lambda x, k: (k == 0) | (x != F.get(all_, k - 1)))), 0)
     return F.when(F.size(kept) > 0, F.array_join(kept, ">")).otherwise("UNKNOWN")
 
 

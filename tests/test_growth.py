@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from marketspan.operators import commerce, delivery, mapping
+from marketspan.operators import commerce, delivery, mapping, storefront
 from marketspan.plans import registry
 
 
@@ -98,3 +98,12 @@ def test_months_are_days_of_the_current_year(spark):
     month = registry.bases(spark, sf)["month"]
     own = registry.c.ad_daily(spark, sf, registry.MONTH, registry.MONTH_BEFORE).select(*month.columns)
     assert month.count() > 0 and not month.exceptAll(own).count() and not own.exceptAll(month).count()
+
+
+def test_a_path_sorts_its_steps_once(spark):
+    steps = spark.createDataFrame([(1, ["b", "a", "a", "b", "b"]), (2, []), (3, ["a"])], "n int, sources array<string>")
+    made = F.transform("sources", lambda x, k: F.struct(k.alias("k"), x.alias("source")))
+    found = steps.select("n", storefront._path(F.reverse(made)).alias("path"))
+    assert [r.path for r in found.orderBy("n").collect()] == ["b>a>b", "UNKNOWN", "a"]
+    sorts = plan(found).count("array_sort") + plan(found).count("sort_array")
+    assert sorts <= 2  # in the condition of a length and in the text, but not in the comparison of neighbours
