@@ -10,15 +10,21 @@ from __future__ import annotations
 
 import json
 import re
+import string
 
 import numpy as np
 
-#: Pieces that one worker remembers; beyond it the memory starts afresh.
-CACHE_PIECES = 500_000
+#: Pieces that one worker remembers: a newer half, and the half before it, from which pieces that come again are taken over.
+CACHE_PIECES = 600_000
 #: Printable ASCII, line breaks and Latin letters: classes on which all regex engines agree.
 _UNUSUAL = re.compile("[^\n\x20-\x7e\xa1-ɏ]")
 _UNUSUAL_SPACED = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ]")
 _SPECIAL = "<|"
+#: Stands before the first piece of a text that is cut at spaces, which has none before it; the others have one, or a line break.
+_FIRST = "\x01"
+_BEGINS = (_FIRST, "\n")
+#: Splits after which a run of letters is one pre-token, and the marks after it another.
+_LETTER_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _WORKER: dict = {}
 
 
@@ -43,6 +49,54 @@ def load_tokenizer(path: str, specials_as_text: bool = False):
     return _WORKER[key]
 
 
+class _Pieces(dict):
+    """Ids of pieces, each made when it is first asked for, by the library."""
+
+    def __init__(self, path: str, cut: str):
+        self.library = load_tokenizer(path, False)
+        self.older: dict[str, bytes] = {}
+        self.spaced = cut == "space"
+        self.words = splits_at_letters(path)
+        self.marks: dict[str, bytes] = {}
+        self.raw = [k.to_bytes(4, "little") for k in range(self.library.get_vocab_size())]
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHE_PIECES // 2:
+            self.older = dict(self)
+            self.clear()
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self._word(piece) if self.words else None
+        if ids is None:
+            written = piece if not self.spaced else piece.lstrip(_FIRST) if piece[0] in _BEGINS else " " + piece
+            ids = b"".join([self.raw[k] for k in self.library.encode(written, add_special_tokens=False).ids])
+        self[piece] = ids
+        return ids
+
+    def _word(self, piece: str) -> bytes | None:
+        """Letters and the marks after them surely are one pre-token and another, which the library's model takes past its splits; None for other pieces."""
+        word = bare = piece.rstrip(string.punctuation)
+        end = piece[len(bare) :]
+        begin = word[:1] if word[:1] in _BEGINS else ""
+        if begin:
+            word = word[1:]
+        if not word.isalpha():
+            return None
+        ids = self.get(bare) or self.older.get(bare) if end else None
+        if ids is None:
+            ids = self._mark(begin) + self._pre_token((word if begin or not self.spaced else " " + word))
+        return ids + self._mark(end) if end else ids
+
+    def _pre_token(self, text: str) -> bytes:
+        raw = self.raw
+        return b"".join([raw[t.id] for t in self.library.model.tokenize(text.translate(_BYTE_LEVEL))])
+
+    def _mark(self, mark: str) -> bytes:
+        if mark not in self.marks:
+            self.marks[mark] = self._pre_token(mark.strip(_FIRST))
+        return self.marks[mark]
+
+
 class CachedEncoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes.
 
@@ -52,65 +106,42 @@ class CachedEncoder:
     space and fold case.
     """
 
-    #: Put between the pieces of one call: an added token, found before all else.
+    #: The special string that the files of both kinds must have, which no piece holds.
     JOINER = "<|endoftext|>"
 
     def __init__(self, path: str, cut: str, specials_as_text: bool = False):
         self.cut = cut
-        self.cache: dict[str, bytes] = {}
         self.library = load_tokenizer(path, specials_as_text)
-        self.plain = load_tokenizer(path, False)
-        self.joiner_id = self.plain.token_to_id(self.JOINER)
+        self.cache = _Pieces(path, cut) if cut != "whole" else {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
-        unknown = [p for p in dict.fromkeys(pieces) if p not in self.cache]
-        if len(self.cache) + len(unknown) > CACHE_PIECES:
+    def forget(self) -> None:
+        """Frees the memory at a task's end: a worker that goes on to other work would hold it beside that; a task of 16 MB gains as much from its own pieces."""
+        if self.cut != "whole":
             self.cache.clear()
-            unknown = list(dict.fromkeys(pieces))
-        for at in range(0, len(unknown), 4096):
-            part = unknown[at : at + 4096]
-            written = part if self.cut == "white" else [p if p[0] == "\n" else " " + p for p in part]
-            ids = np.array(self.plain.encode_batch_fast([self.JOINER.join(written)], add_special_tokens=False)[0].ids, "<u4")
-            ends = [*np.flatnonzero(ids == self.joiner_id).tolist(), len(ids)]
-            assert len(ends) == len(part)
-            raw, begin = ids.tobytes(), 0
-            for piece, end in zip(part, ends):
-                self.cache[piece] = raw[4 * begin : 4 * end]
-                begin = end + 1
-
-    def _cuts(self, text: str) -> tuple[str, list[str]] | None:
-        """What stands before the first sure cut, and the pieces after it; None if the whole text must be encoded."""
+            self.cache.older = {}
+
+    def _cuts(self, text: str) -> list[str] | None:
+        """The pieces between sure cuts; None if the whole text must be encoded."""
         if self.cut == "whole" or _SPECIAL in text:
             return None
         if self.cut == "white":
-            return None if _UNUSUAL_SPACED.search(text) else ("", text.lower().split())
+            return None if _UNUSUAL_SPACED.search(text) else text.lower().split()
         if "  " in text or " \n" in text or "\n\n" in text or text.endswith(" ") or _UNUSUAL.search(text):
             return None
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return first, rest
+        pieces = text.replace("\n", " \n").split(" ")
+        pieces[0] = _FIRST + pieces[0]
+        return pieces if len(pieces[0]) > 1 else pieces[1:]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids.  The unseen pieces of about a million characters are learned in one call."""
+        """Each text's ids."""
         out: list[bytes] = []
-        at = 0
-        while at < len(texts):
-            size, group = 0, []
-            while at < len(texts) and (not group or size + len(texts[at]) < 1_000_000):
-                size += len(texts[at])
-                group.append(texts[at])
-                at += 1
-            cuts = [self._cuts(t) if t else ("", []) for t in group]
-            self._learn([p for c in cuts if c for p in c[1]])
-            get = self.cache.__getitem__
-            for text, cut in zip(group, cuts):
-                if cut is None:
-                    out.append(self.whole(text))
-                else:
-                    body = b"".join(map(get, cut[1]))
-                    out.append(self.whole(cut[0]) + body if cut[0] else body)
+        get = self.cache.__getitem__
+        for text in texts:
+            cut = self._cuts(text) if text else []
+            out.append(self.whole(text) if cut is None else b"".join(map(get, cut)))
         return out
 
 
@@ -128,7 +159,7 @@ def described(path: str) -> dict:
     if key not in _WORKER:
         with open(path, encoding="utf-8") as f:
             found = json.load(f)
-        _WORKER[key] = {k: v for k, v in found.items() if k != "model"} | {"kind": found["model"].get("type"), "ignore_merges": found["model"].get("ignore_merges")}
+        _WORKER[key] = {k: v for k, v in found.items() if k != "model"} | {"kind": found["model"].get("type"), "ignore_merges": found["model"].get("ignore_merges"), "plain": not any(found["model"].get(k) for k in ("dropout", "byte_fallback", "ignore_merges", "continuing_subword_prefix"))}
     return _WORKER[key]
 
 
@@ -140,6 +171,25 @@ def is_byte_level(path: str) -> bool:
     return bool(usual and d["normalizer"] is None and d["kind"] == "BPE" and not d["ignore_merges"] and [t["content"] for t in d["added_tokens"]] == [CachedEncoder.JOINER])
 
 
+def _byte_level() -> dict[int, str]:
+    """How byte-level tokenizers write line breaks, spaces and, byte by byte, the characters of ``_UNUSUAL``'s Latin range and their lower case."""
+    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    written = {b: chr(b) for b in kept} | {b: chr(0x100 + n) for n, b in enumerate(b for b in range(256) if b not in set(kept))}
+    return {c: "".join(written[b] for b in chr(c).encode()) for c in {10, 32} | {ord(x) for c in range(0xA1, 0x250) for x in chr(c) + chr(c).lower()}}
+
+
+_BYTE_LEVEL = _byte_level()
+
+
+def splits_at_letters(path: str) -> bool:
+    """Whether the file's pre-tokens surely are runs of letters, and marks apart from them, each written byte by byte for a plain BPE model."""
+    d = described(path)
+    if is_byte_level(path):
+        return d["plain"]
+    known = [{"type": "Split", "pattern": {"Regex": _LETTER_SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+    return d["plain"] and d["kind"] == "BPE" and (d["pre_tokenizer"] or {}).get("pretokenizers") == known
+
+
 def cut_of(path: str) -> str:
     """How texts may be cut for a tokenizer file, from its own description; "whole" for kinds that aren't known here."""
     d = described(path)
