@@ -45,6 +45,7 @@ def encoded(docs: DataFrame, *, id_col: str, text_col: str, tokenizer: str, end_
             sizes = np.array([*map(len, ids)], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int32()), pa.array(names, pa.int64()), pa.array(inside + np.cumsum(sizes) - sizes, pa.int64()), pa.array(sizes, pa.int64()), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())], schema=arrow)
             inside += int(sizes.sum())
+        encoder.forget()
 
     return text_rows(docs, id_col=id_col, text_col=text_col).mapInArrow(run, _ENCODED)
 

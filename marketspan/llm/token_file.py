@@ -109,6 +109,7 @@ def write_token_files(docs: DataFrame, path: str, *, id_col: str = "doc_id", tex
             if n >= SHARD_TOKENS:
                 yield row()
                 ids, sizes, held, n, shard = [], [], [], 0, shard + 1
+        encoder.forget()
         if ids:
             yield row()
 
