@@ -87,14 +87,15 @@ def asof_join(left: DataFrame, right: DataFrame, *, on: list[str], at: str, begi
 
 
 def asof_few(left: DataFrame, right: DataFrame, *, on: list[str], at: str, begins: str, ends: str, take: list[str]) -> DataFrame:
-    """``asof_join`` where every key is known to have only a few versions: each distinct key and time meets all of its key's.
+    """``asof_join`` where every key is known to have only a few versions: a key's are one row, from which each left row takes its own.
 
-    Nothing is sorted and the latest version is a map-side maximum, so it is the cheaper way up to some ten versions a key.
+    Left rows are moved once, by key, and stay there for what groups them by it; nothing is
+    sorted by time, so it is the cheaper way up to some ten versions a key.  Of versions that begin together the one that ends last counts.
     """
-    inside = (F.col(begins) <= F.col(at)) & (F.col(ends).isNull() | (F.col(ends) > F.col(at)))
-    met = left.select(*on, at).distinct().join(right, on).where(inside)
-    best = met.groupBy(*on, at).agg(F.max_by(F.struct(*take), F.col(begins)).alias("_v"))
-    return left.join(best, [*on, at], "left").select(*left.columns, *[F.col("_v")[c].alias(c) for c in take])
+    version = F.struct(F.col(begins).alias("b"), F.col(ends).isNull().alias("open"), F.col(ends).alias("e"), F.struct(*take).alias("v"))
+    known = right.where(F.col(begins).isNotNull()).groupBy(*on).agg(F.collect_list(version).alias("_versions"))
+    valid = F.filter("_versions", lambda x: (x["b"] <= F.col(at)) & (x["open"] | (x["e"] > F.col(at))))
+    return left.join(known, on, "left").withColumn("_v", F.array_max(valid)["v"]).select(*left.columns, *[F.col("_v")[c].alias(c) for c in take])
 
 
 def band_join(left: DataFrame, right: DataFrame, *, on: list[str], at: str, when: str, before: int, after: int) -> DataFrame:
