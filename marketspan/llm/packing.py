@@ -9,7 +9,7 @@ have fewer ids; it is padded to ``length`` unless its size is a power of two.
 
 Nulls: a null text is empty and has only the end id; a null doc_id and repeated
 rows are documents like others.  Texts are encoded whole; a task holds the ids of about
-a million characters at a time, or of one text if it is longer.
+four million characters at a time, or of one text if it is longer.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.taskcontext import TaskContext
 
 from .common import blocks, stored, text_rows
-from .tokenization import cached_encoder, cut_of, tokenizer_path
+from .tokenization import ENCODED_CHARS, cached_encoder, cut_of, tokenizer_path
 
 _ENCODED = T.StructType([T.StructField(n, t) for n, t in (("part", T.IntegerType()), ("doc_id", T.LongType()), ("inside", T.LongType()), ("n_tokens", T.LongType()), ("ids", T.BinaryType()))])
 _PIECES = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
@@ -40,7 +40,7 @@ def encoded(docs: DataFrame, *, id_col: str, text_col: str, tokenizer: str, end_
         encoder, part, inside = cached_encoder(file, cut_of(file)), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4")
         kind = id_type(encoder.library.get_vocab_size())
-        for names, texts in blocks(batches):
+        for names, texts in blocks(batches, ENCODED_CHARS):
             ids = [np.append(np.frombuffer(raw, "<u4"), end) for raw in encoder.encode([t or "" for t in texts])]
             sizes = np.array([*map(len, ids)], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int32()), pa.array(names, pa.int64()), pa.array(inside + np.cumsum(sizes) - sizes, pa.int64()), pa.array(sizes, pa.int64()), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())], schema=arrow)

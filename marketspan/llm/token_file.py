@@ -9,7 +9,7 @@ doc_id order, so they can be kept in any store that Spark reads.
 
 Nulls: a null text is empty and has only the end id.  A null doc_id sorts
 first.  Repeated doc_ids are documents of their own, in order of their texts' hashes.
-Texts are encoded whole; a task holds the ids of a shard, ``SHARD_TOKENS`` and one text more at most.
+Texts are encoded whole; a task holds the ids of a shard, ``SHARD_TOKENS`` and one text more at most, and of a block of texts.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.taskcontext import TaskContext
 
 from .common import blocks, shared_folder, stored, text_rows
-from .tokenization import cached_encoder, cut_of, tokenizer_path
+from .tokenization import ENCODED_CHARS, cached_encoder, cut_of, tokenizer_path
 
 #: Ids of a shard at least, but for the last of a task; bounds what a task holds.
 SHARD_TOKENS = 2_000_000
@@ -100,15 +100,15 @@ def write_token_files(docs: DataFrame, path: str, *, id_col: str = "doc_id", tex
         def row():
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((part, shard, n, ids, sizes, write_codes(np.frombuffer(b"".join(held), "<u4"))), arrow)], schema=arrow)
 
-        for names, texts in blocks(batches):
+        for names, texts in blocks(batches, ENCODED_CHARS):
             for name, raw in zip(names, encoder.encode([t or "" for t in texts])):
                 ids.append(name)
                 sizes.append(len(raw) // 4 + 1)
                 held += [raw, end]
                 n += sizes[-1]
-            if n >= SHARD_TOKENS:
-                yield row()
-                ids, sizes, held, n, shard = [], [], [], 0, shard + 1
+                if n >= SHARD_TOKENS:
+                    yield row()
+                    ids, sizes, held, n, shard = [], [], [], 0, shard + 1
         encoder.forget()
         if ids:
             yield row()

@@ -1,33 +1,54 @@
 """Exact, cached encoding with the public tokenizer files.
 
 A text is cut at places where the tokenizer always starts a new pre-token, and
-each distinct piece is encoded once per Python worker.  Texts for which those
+each distinct piece is looked up once in a block of texts.  Words that a Python
+worker doesn't remember are encoded together.  Texts for which those
 places aren't certain (unusual characters, runs of white space, special
 strings) go to the library whole, so ids always equal the library's.
 """
 
 from __future__ import annotations
 
+import codecs
 import json
+import os
 import re
 import string
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Pieces that one worker remembers: a newer half, and the half before it, from which pieces that come again are taken over.
+#: Words that one worker remembers: a newer half, and the half before it, from which words that come again are taken over.
 CACHE_PIECES = 600_000
+#: Characters of the texts that an encoder best gets at once: each of their distinct pieces is looked up once.
+ENCODED_CHARS = 4_000_000
 #: Printable ASCII, line breaks and Latin letters: classes on which all regex engines agree.
 _UNUSUAL = re.compile("[^\n\x20-\x7e\xa1-ɏ]")
 _UNUSUAL_SPACED = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ]")
 _SPECIAL = "<|"
-#: Stands before the first piece of a text that is cut at spaces, which has none before it; the others have one, or a line break.
+#: Stands before pieces that have no space before them in a text that is cut at spaces: its first one, and those after line breaks.
 _FIRST = "\x01"
-_BEGINS = (_FIRST, "\n")
+_BREAK = f" \n {_FIRST}"
 #: Splits after which a run of letters is one pre-token, and the marks after it another.
 _LETTER_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The letters of usual characters and of their lower case, and the sign before unspaced pieces.
+_LETTERS = _FIRST + "".join(sorted({c for x in range(0x41, 0x250) for c in chr(x) + chr(x).lower() if c.isalpha()}))
+#: Pre-tokens that the library's model gets in one call.
+_TOGETHER = 1000
 _WORKER: dict = {}
 
 
+def _byte_level() -> str:
+    """How byte-level tokenizers write each byte; a tab stays, as it lies between pre-tokens."""
+    kept = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    written = {b: chr(0x100 + n) for n, b in enumerate(b for b in range(256) if b not in kept)} | {9: "\t"}
+    return "".join(written.get(b, chr(b)) for b in range(256))
+
+
+_BYTE_LEVEL = _byte_level()
+
+
 def tokenizer_path(name_or_path: str) -> str:
     """A public tokenizer's file by its name, or the path itself."""
     if "/" in name_or_path:
@@ -41,6 +62,7 @@ def load_tokenizer(path: str, specials_as_text: bool = False):
     """The library's tokenizer, loaded once per worker."""
     from tokenizers import Tokenizer
 
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     key = ("tokenizer", path, specials_as_text)
     if key not in _WORKER:
         tokenizer = Tokenizer.from_file(path)
@@ -49,51 +71,112 @@ def load_tokenizer(path: str, specials_as_text: bool = False):
     return _WORKER[key]
 
 
+def _strings(texts: pa.Array) -> list[str]:
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
+def _end_to_end(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids, and how many each of the runs has."""
+    return np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+
+
+def _taken(ids: np.ndarray, sizes: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """The named ones of the runs that lie end to end in ``ids``, in the order given."""
+    last, n = np.cumsum(sizes), sizes[runs]
+    where = np.repeat(last[runs] - np.cumsum(n), n)
+    where += np.arange(len(where))
+    return ids[where]
+
+
 class _Pieces(dict):
-    """Ids of pieces, each made when it is first asked for, by the library."""
+    """Ids of words; those that are asked for and not remembered are made by the library, all at once."""
 
     def __init__(self, path: str, cut: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
         self.library = load_tokenizer(path, False)
         self.older: dict[str, bytes] = {}
         self.spaced = cut == "space"
-        self.words = splits_at_letters(path)
+        self.letter_splits = splits_at_letters(path)
         self.marks: dict[str, bytes] = {}
-        self.raw = [k.to_bytes(4, "little") for k in range(self.library.get_vocab_size())]
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_PIECES // 2:
-            self.older = dict(self)
-            self.clear()
-        ids = self.older.get(piece)
-        if ids is None:
-            ids = self._word(piece) if self.words else None
-        if ids is None:
-            written = piece if not self.spaced else piece.lstrip(_FIRST) if piece[0] in _BEGINS else " " + piece
-            ids = b"".join([self.raw[k] for k in self.library.encode(written, add_special_tokens=False).ids])
-        self[piece] = ids
-        return ids
-
-    def _word(self, piece: str) -> bytes | None:
-        """Letters and the marks after them surely are one pre-token and another, which the library's model takes past its splits; None for other pieces."""
-        word = bare = piece.rstrip(string.punctuation)
-        end = piece[len(bare) :]
-        begin = word[:1] if word[:1] in _BEGINS else ""
-        if begin:
-            word = word[1:]
-        if not word.isalpha():
-            return None
-        ids = self.get(bare) or self.older.get(bare) if end else None
-        if ids is None:
-            ids = self._mark(begin) + self._pre_token((word if begin or not self.spaced else " " + word))
-        return ids + self._mark(end) if end else ids
+        # the library's model behind no splits but ours
+        self.model = Tokenizer(self.library.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.letters = np.zeros(self.library.get_vocab_size(), np.int64)
+        suffix = self.library.model.end_of_word_suffix or ""
+        for token, k in self.library.get_vocab().items():
+            self.letters[k] = len(token.removesuffix(suffix))
+
+    def of_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct pieces, one after the other, and how many each has.
+
+        Letters and the marks after them surely are one pre-token and another;
+        other pieces are words as they are.
+        """
+        if not self.letter_splits:
+            return _end_to_end(self.of_words(_strings(pieces)))
+        rest, words = pc.utf8_ltrim(pieces, _LETTERS), pc.utf8_rtrim(pieces, string.punctuation)
+        plain = pc.and_(pc.equal(pc.utf8_rtrim(rest, string.punctuation), ""), pc.not_equal(words, ""))
+        words = pc.if_else(plain, words, pieces).dictionary_encode()
+        marks = pc.if_else(plain, rest, "").dictionary_encode()
+        known = self.of_words(_strings(words.dictionary))
+        ids, sizes = _end_to_end(known + [self._mark(mark) for mark in _strings(marks.dictionary)])
+        both = np.column_stack([words.indices.to_numpy(), marks.indices.to_numpy() + len(known)]).ravel()
+        return _taken(ids, sizes, both), sizes[both].reshape(-1, 2).sum(1)
+
+    def of_words(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words, which are remembered: what lies in the older half is taken over into the newer one."""
+        found = [*map(self.get, words)]
+        missing = [n for n, ids in enumerate(found) if ids is None]
+        asked = [words[n] for n in missing]
+        made = [*map(self.older.get, asked)]
+        new = [n for n, ids in enumerate(made) if ids is None]
+        for n, ids in zip(new, self._made([asked[n] for n in new])):
+            made[n] = ids
+        for n, ids in zip(missing, made):
+            found[n] = ids
+        half, at = CACHE_PIECES // 2, 0
+        while at < len(asked):
+            if len(self) >= half:
+                self.older = dict(self)
+                self.clear()
+            to = at + half - len(self)
+            self.update(zip(asked[at:to], made[at:to]))
+            at = to
+        return found
+
+    def _made(self, words: list[str]) -> list[bytes]:
+        """The library's model takes letters past its splits; other words go through them."""
+        written = [word[1:] if word[:1] == _FIRST else word if word == "\n" else " " + word for word in words] if self.spaced else words
+        out: list[bytes] = [b""] * len(words)
+        one = [n for n, word in enumerate(words) if word.lstrip(_FIRST).isalpha()] if self.letter_splits else []
+        for n, ids in zip(one, self._pre_tokens([written[n] for n in one])):
+            out[n] = ids
+        others = sorted({*range(len(words))}.difference(one)) if len(one) < len(words) else []
+        for n, found in zip(others, self.library.encode_batch_fast([written[n] for n in others], add_special_tokens=False)):
+            out[n] = np.array(found.ids, "<u4").tobytes()
+        return out
 
-    def _pre_token(self, text: str) -> bytes:
-        raw = self.raw
-        return b"".join([raw[t.id] for t in self.library.model.tokenize(text.translate(_BYTE_LEVEL))])
+    def _pre_tokens(self, texts: list[str]) -> list[bytes]:
+        """The model's ids of texts that are a pre-token each."""
+        out: list[bytes] = []
+        for k in range(0, len(texts), _TOGETHER):
+            joined = codecs.charmap_decode("\t".join(texts[k : k + _TOGETHER]).encode(), "strict", _BYTE_LEVEL)[0]
+            ids = np.array(self.model.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            # tokens have their pre-token's letters, so a pre-token ends where as many letters do
+            written = joined.split("\t")
+            ends, last = np.cumsum(self.letters[ids]), np.cumsum([*map(len, written)])
+            at = np.searchsorted(ends, last)
+            if len(ids) and at[-1] + 1 == len(ids) and (ends[at] == last).all():
+                raw, cuts = ids.tobytes(), [0, *((at + 1) * 4).tolist()]
+                out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+            else:  # a vocabulary without some bytes, which the model leaves out
+                out += [np.array([t.id for t in self.library.model.tokenize(x)], "<u4").tobytes() for x in written]
+        return out
 
     def _mark(self, mark: str) -> bytes:
         if mark not in self.marks:
-            self.marks[mark] = self._pre_token(mark.strip(_FIRST))
+            self.marks[mark] = self._pre_tokens([mark])[0] if mark else b""
         return self.marks[mark]
 
 
@@ -123,27 +206,42 @@ class CachedEncoder:
             self.cache.clear()
             self.cache.older = {}
 
-    def _cuts(self, text: str) -> list[str] | None:
-        """The pieces between sure cuts; None if the whole text must be encoded."""
+    def _spaced(self, text: str) -> str | None:
+        """The text with spaces at its sure cuts, and only there; None if the whole text must be encoded."""
         if self.cut == "whole" or _SPECIAL in text:
             return None
         if self.cut == "white":
-            return None if _UNUSUAL_SPACED.search(text) else text.lower().split()
+            return None if _UNUSUAL_SPACED.search(text) else text.lower().replace("\n", " ").replace("\t", " ").replace("\r", " ")
         if "  " in text or " \n" in text or "\n\n" in text or text.endswith(" ") or _UNUSUAL.search(text):
             return None
-        pieces = text.replace("\n", " \n").split(" ")
-        pieces[0] = _FIRST + pieces[0]
-        return pieces if len(pieces[0]) > 1 else pieces[1:]
+        spaced = text.replace("\n", _BREAK)
+        return spaced[1:] if spaced[0] == " " else _FIRST + spaced
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids."""
-        out: list[bytes] = []
-        get = self.cache.__getitem__
-        for text in texts:
-            cut = self._cuts(text) if text else []
-            out.append(self.whole(text) if cut is None else b"".join(map(get, cut)))
+        out = [b""] * len(texts)
+        places, spaced = [], []
+        for n, text in enumerate(texts):
+            cut = self._spaced(text) if text else ""
+            if cut is None:
+                out[n] = self.whole(text)
+            elif cut:
+                places.append(n)
+                spaced.append(cut)
+        for n, ids in zip(places, self._looked_up(spaced) if spaced else ()):
+            out[n] = ids
         return out
 
+    def _looked_up(self, spaced: list[str]) -> list[bytes]:
+        """Each text's ids, for which each distinct piece of all of them is looked up once."""
+        cut = pc.split_pattern(pa.array(spaced, pa.large_string()), " ")
+        coded = cut.flatten().dictionary_encode()
+        ids, sizes = self.cache.of_pieces(coded.dictionary)
+        runs = coded.indices.to_numpy()
+        raw = _taken(ids, sizes, runs).tobytes()
+        at = (np.append(0, np.cumsum(sizes[runs]))[cut.offsets.to_numpy()] * 4).tolist()
+        return [raw[a:b] for a, b in zip(at, at[1:])]
+
 
 def cached_encoder(path: str, cut: str, specials_as_text: bool = False) -> CachedEncoder:
     """One encoder per worker and tokenizer; its memory lasts as long as the worker."""
@@ -171,16 +269,6 @@ def is_byte_level(path: str) -> bool:
     return bool(usual and d["normalizer"] is None and d["kind"] == "BPE" and not d["ignore_merges"] and [t["content"] for t in d["added_tokens"]] == [CachedEncoder.JOINER])
 
 
-def _byte_level() -> dict[int, str]:
-    """How byte-level tokenizers write line breaks, spaces and, byte by byte, the characters of ``_UNUSUAL``'s Latin range and their lower case."""
-    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    written = {b: chr(b) for b in kept} | {b: chr(0x100 + n) for n, b in enumerate(b for b in range(256) if b not in set(kept))}
-    return {c: "".join(written[b] for b in chr(c).encode()) for c in {10, 32} | {ord(x) for c in range(0xA1, 0x250) for x in chr(c) + chr(c).lower()}}
-
-
-_BYTE_LEVEL = _byte_level()
-
-
 def splits_at_letters(path: str) -> bool:
     """Whether the file's pre-tokens surely are runs of letters, and marks apart from them, each written byte by byte for a plain BPE model."""
     d = described(path)
