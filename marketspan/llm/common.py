@@ -59,11 +59,18 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows as a table written to the shared folder: no later step depends on executors that made them."""
+def stored(df: DataFrame, *, group_bytes: int | None = None) -> DataFrame:
+    """The rows as a table written to the shared folder: no later step depends on executors that made them.
+
+    ``group_bytes`` is for rows of megabytes: a reader holds a file's row group at a time, and Parquet's
+    writer else looks at a group's size from its hundredth row on, so a group is all that a task wrote.
+    """
     spark = df.sparkSession
     path = shared_folder(spark)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    if group_bytes:
+        writer = writer.options(**{"parquet.block.size": group_bytes, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1})
+    writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

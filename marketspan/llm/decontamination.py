@@ -19,7 +19,8 @@ at most ``SLICE_WORDS`` words (or one item, if it is longer), which all read the
 Nulls: a null text has no words; items without words or without an item_id are
 no items.  Items with the same id are one item.  Null doc_ids and repeated rows are
 reported row by row.  Texts are read whole, long ones piece by piece; a task holds the
-positions of ``SEGMENT_CHARS`` characters, or of one text if it is longer.
+positions of ``SEGMENT_CHARS`` characters, or of one text if it is longer, and the JVM a few
+segments (``GROUP_BYTES``), however many of them a task writes or reads.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ from .common import alnum_pieces, alnum_words, blocks, stored, text_rows
 SLICE_WORDS = 500_000
 #: Characters of text in a segment.
 SEGMENT_CHARS = 4_000_000
+#: Bytes of segments that a file of the index keeps together; writers and readers hold so much of it at a time.
+GROUP_BYTES = 8_000_000
 #: Positions between two documents of a segment; slop may be a quarter of it.
 GAP = 64
 
@@ -257,4 +260,4 @@ def matched(segments: DataFrame, benchmark: DataFrame, *, item_col: str = "item_
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, slop: int = 0) -> DataFrame:
     """Indexes the documents and queries the index: see ``matched``."""
-    return matched(stored(index(docs, id_col=id_col, text_col=text_col)), benchmark, item_col=item_col, item_text_col=item_text_col, window=window, slop=slop)
+    return matched(stored(index(docs, id_col=id_col, text_col=text_col), group_bytes=GROUP_BYTES), benchmark, item_col=item_col, item_text_col=item_text_col, window=window, slop=slop)
